@@ -60,6 +60,10 @@ _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _IS_SPACE = np.zeros(256, dtype=bool)
 _IS_SPACE[list(WHITESPACE)] = True
+#: For terms: whatever is ASCII but no letter or digit parts words too.
+PUNCTUATED = np.ones(256, dtype=bool)
+PUNCTUATED[128:] = False
+PUNCTUATED[48:58] = PUNCTUATED[97:123] = False
 _powers: list[np.ndarray] = []
 
 
@@ -91,13 +95,17 @@ def utf8_steps(column: pa.Array | pa.ChunkedArray) -> Iterator[tuple[int, np.nda
         first = last
 
 
-def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Hash of each word of some texts, and the number of words before each text (one entry more than texts)."""
+def word_hashes(data: np.ndarray, offsets: np.ndarray, parting: np.ndarray = _IS_SPACE, stem: int = 0) -> tuple[np.ndarray, ...]:
+    """Hash of each word of some texts, and the number of words before each text (one entry more than texts).
+
+    parting: for each byte, A-Z lowered, whether it parts words. With a stem, also the
+    hash of each word's first `stem` bytes.
+    """
     n = len(data)
     if not n:
-        return np.zeros(0, np.uint64), np.zeros(len(offsets), np.int64)
+        return (np.zeros(0, np.uint64), np.zeros(len(offsets), np.int64), np.zeros(0, np.uint64))[: 3 if stem else 2]
     lowered = _LOWER[data]
-    space = _IS_SPACE[lowered]
+    space = parting[lowered]
     edges = np.zeros(n + 1, dtype=bool)
     edges[offsets] = True
     starts = ~space
@@ -110,6 +118,9 @@ def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.n
         sums = np.zeros(n + 1, dtype=np.uint64)
         np.cumsum(_BYTE_VALUE[lowered] * power[:n], out=sums[1:])
         hashes = mix64((sums[ends] - sums[starts]) * inverse[starts] + (ends - starts).astype(np.uint64) * _M2)
+        if stem:
+            stems = mix64((sums[np.minimum(starts + stem, ends)] - sums[starts]) * inverse[starts])
+            return hashes, np.searchsorted(starts, offsets), stems
     return hashes, np.searchsorted(starts, offsets)
 
 
