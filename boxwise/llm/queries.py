@@ -7,6 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from boxwise.llm.bpe import round_trip
 from boxwise.llm.exact_dedup import exact_duplicates
 from boxwise.llm.near_dedup import near_duplicates
 from boxwise.llm.packing import pack
@@ -36,6 +37,10 @@ def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(_table(spark, sf_dir, "documents"), tokenizer_file("byte_bpe_50k.tiktoken"), _pattern())
 
 
+def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return round_trip(_table(spark, sf_dir, "documents"), tokenizer_file("byte_bpe_50k.tiktoken"))
+
+
 def op6_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_table(spark, sf_dir, "documents"))
 
@@ -50,6 +55,7 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_best_fit_packing": op1_best_fit_packing,
+    "op4_byte_bpe": op4_byte_bpe,
     "op6_minhash_near_dedup": op6_minhash_near_dedup,
     "op9_fm_toxicity": op9_fm_toxicity,
     "op10_exact_dedup": op10_exact_dedup,
