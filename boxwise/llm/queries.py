@@ -7,6 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from boxwise.llm.ann import nearest
 from boxwise.llm.bpe import round_trip
 from boxwise.llm.exact_dedup import exact_duplicates
 from boxwise.llm.near_dedup import near_duplicates
@@ -45,6 +46,11 @@ def op6_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_table(spark, sf_dir, "documents"))
 
 
+def op8_multi_index_hashing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = _table(spark, sf_dir, "embeddings")
+    return nearest(vectors, vectors.where("vec_id % 50 = 0"))
+
+
 def op9_fm_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
@@ -57,6 +63,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_best_fit_packing": op1_best_fit_packing,
     "op4_byte_bpe": op4_byte_bpe,
     "op6_minhash_near_dedup": op6_minhash_near_dedup,
+    "op8_multi_index_hashing": op8_multi_index_hashing,
     "op9_fm_toxicity": op9_fm_toxicity,
     "op10_exact_dedup": op10_exact_dedup,
 }
