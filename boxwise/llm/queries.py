@@ -12,6 +12,7 @@ from boxwise.llm.bpe import round_trip
 from boxwise.llm.exact_dedup import exact_duplicates
 from boxwise.llm.near_dedup import near_duplicates
 from boxwise.llm.packing import pack
+from boxwise.llm.secrets import digests, scan
 from boxwise.llm.toxicity import toxicity
 
 
@@ -42,6 +43,10 @@ def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return round_trip(_table(spark, sf_dir, "documents"), tokenizer_file("byte_bpe_50k.tiktoken"))
 
 
+def op5_linked_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return digests(scan(_table(spark, sf_dir, "documents")))
+
+
 def op6_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_table(spark, sf_dir, "documents"))
 
@@ -62,6 +67,7 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_best_fit_packing": op1_best_fit_packing,
     "op4_byte_bpe": op4_byte_bpe,
+    "op5_linked_secrets": op5_linked_secrets,
     "op6_minhash_near_dedup": op6_minhash_near_dedup,
     "op8_multi_index_hashing": op8_multi_index_hashing,
     "op9_fm_toxicity": op9_fm_toxicity,
