@@ -12,6 +12,7 @@ from boxwise.llm.bpe import round_trip
 from boxwise.llm.exact_dedup import exact_duplicates
 from boxwise.llm.near_dedup import near_duplicates
 from boxwise.llm.packing import pack
+from boxwise.llm.pii import personal_data
 from boxwise.llm.secrets import digests, scan
 from boxwise.llm.toxicity import toxicity
 
@@ -29,14 +30,18 @@ def tokenizer_file(name: str) -> str:
     return public_tokenizers.path(name)
 
 
-def _pattern() -> str:
+def token_pattern() -> str:
     import public_tokenizers
 
     return public_tokenizers.PATTERN
 
 
 def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pack(_table(spark, sf_dir, "documents"), tokenizer_file("byte_bpe_50k.tiktoken"), _pattern())
+    return pack(_table(spark, sf_dir, "documents"), tokenizer_file("byte_bpe_50k.tiktoken"), token_pattern())
+
+
+def op2_skip_chain_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return personal_data(_table(spark, sf_dir, "documents"))
 
 
 def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -66,6 +71,7 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_best_fit_packing": op1_best_fit_packing,
+    "op2_skip_chain_crf": op2_skip_chain_crf,
     "op4_byte_bpe": op4_byte_bpe,
     "op5_linked_secrets": op5_linked_secrets,
     "op6_minhash_near_dedup": op6_minhash_near_dedup,
