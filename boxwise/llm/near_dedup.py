@@ -8,30 +8,39 @@ a candidate is a link only after the whole shingle sets have been compared.
 
 Texts with the same words are one class from the start, and its smallest doc_id
 stands for it. In each bucket of a band, classes are first compared with the
-bucket's smallest member; buckets that then still hold several components compare
-the members outside their largest component with every member. So no link between
-components is lost, and a large group of near copies costs its size, not its square.
+bucket's smallest member, then, where a bucket still holds several components, with
+a few members of its largest one. Buckets that are still mixed compare the members
+outside their largest component with every member. So no link between components is
+lost, and a large group of near copies costs its size, not its square. All
+comparisons past the first are of pairs whose signatures agree to some degree: one bit
+of each coordinate is kept, and two texts at the threshold fail by chance once in
+10^9 times.
 """
 
 from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from boxwise.llm.common import checkpointed, mix64, shingle_hashes, shingle_sets, text_table, utf8_steps, word_hashes
 
 SHINGLE = 5
-#: A link at similarity 0.75 is missed with probability (1 - 0.75^ROWS)^(COORDINATES / ROWS), 5e-6.
-COORDINATES, ROWS = 128, 4
+#: A link at similarity 0.75 is missed with probability (1 - 0.75^ROWS)^(BANDED / ROWS), 5e-6.
+BANDED, ROWS = 128, 4
+#: Coordinates in all; a bit of each is in the sketch. Of two texts at the threshold 7/8 of the
+#: bits agree on average (224, standard deviation 5.3); at FAR_BITS or fewer that differ a pair is compared.
+COORDINATES, FAR_BITS = 256, 64
+#: Rounds of comparing with a bucket's largest component, and its members taken in each.
+HUB_ROUNDS, HUBS = 2, 4
 DOMAIN = 1 << 20
 #: Shingles whose windows are in memory at once: times 4 COORDINATES bytes.
-CHUNK = 1 << 15
+CHUNK = 1 << 14
+SKETCH = [f"s{k}" for k in range(COORDINATES // 64)]
 
 _tables: list[np.ndarray] = []
 
@@ -62,7 +71,7 @@ def signatures(hashes: np.ndarray, text: np.ndarray, n_texts: int) -> np.ndarray
 
 def bands(signature: np.ndarray) -> np.ndarray:
     """One 64-bit bucket number for each band of each signature; bands have no bucket in common."""
-    parts = signature.reshape(len(signature), -1, ROWS).astype(np.uint64)
+    parts = signature[:, :BANDED].reshape(len(signature), -1, ROWS).astype(np.uint64)
     total = np.broadcast_to(np.arange(parts.shape[1], dtype=np.uint64), parts.shape[:2])
     for k in range(ROWS):
         total = mix64(total ^ mix64(parts[:, :, k]))
@@ -78,15 +87,18 @@ def _describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             n = len(offsets) - 1
             raw = data.tobytes()
             keys = [hashlib.blake2b(b" ".join(raw[a:b].lower().split()), digest_size=16).digest() for a, b in zip(offsets[:-1], offsets[1:], strict=True)]
-            numbers = bands(signatures(hashes, text, n))
+            signature = signatures(hashes, text, n)
+            numbers = bands(signature)
+            sketch = np.packbits((signature & 1).astype(bool), axis=1).view(np.int64)
             yield pa.record_batch(
                 [
                     batch["doc_id"].slice(first, n),
                     pa.array(np.diff(before), pa.int64()),
                     pa.array(keys, pa.binary()),
                     pa.ListArray.from_arrays(pa.array(np.arange(n + 1) * numbers.shape[1], pa.int32()), pa.array(numbers.ravel())),
+                    *(pa.array(np.ascontiguousarray(s)) for s in sketch.T),
                 ],
-                ["doc_id", "n_shingles", "key", "bands"],
+                ["doc_id", "n_shingles", "key", "bands", *SKETCH],
             )
 
 
@@ -142,6 +154,26 @@ def components(edges: DataFrame) -> DataFrame:
         total = now
 
 
+def _edges(names: DataFrame) -> DataFrame:
+    return names.select(F.col("node").alias("a"), F.col("component").alias("b"))
+
+
+def _mixed(buckets: DataFrame, names: DataFrame, sketches: DataFrame) -> DataFrame:
+    """The rows (bucket, node) of buckets with several components, with component, the bucket's largest one (major) and sketch."""
+    placed = buckets.join(names, "node", "left").select("bucket", "node", F.coalesce("component", "node").alias("component"))
+    sizes = placed.groupBy("bucket", "component").count().groupBy("bucket").agg(F.max_by("component", F.struct("count", "component")).alias("major"), F.count(F.lit(1)).alias("several"))
+    return placed.join(sizes.where("several > 1"), "bucket").join(sketches, "node").select("bucket", "node", "component", "major", "n", *SKETCH)
+
+
+def _pairs(mixed: DataFrame, others: DataFrame) -> DataFrame:
+    """Pairs (a, b) of one bucket and different components, one of them outside of the largest, that may be linked by size and sketch."""
+    left = mixed.where("component <> major").select("bucket", *(F.col(c).alias(f"{c}_a") for c in ("node", "component", "n", *SKETCH)))
+    right = others.select("bucket", *(F.col(c).alias(f"{c}_b") for c in ("node", "component", "n", *SKETCH)))
+    differ = " + ".join(f"bit_count({s}_a ^ {s}_b)" for s in SKETCH)
+    near = F.expr(f"component_a <> component_b and 100 * least(n_a, n_b) >= 75 * greatest(n_a, n_b) and {differ} <= {FAR_BITS}")
+    return left.join(right, "bucket").where(near).select(F.least("node_a", "node_b").alias("a"), F.greatest("node_a", "node_b").alias("b")).distinct()
+
+
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """One row a document: doc_id, n_shingles, component_id, kept.
 
@@ -154,30 +186,29 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     one document. An empty table gives an empty result.
     """
     rows = text_table(docs)
-    slim = checkpointed(rows.mapInArrow(_describe, "doc_id long, n_shingles long, key binary, bands array<long>"))
+    slim = checkpointed(rows.mapInArrow(_describe, f"doc_id long, n_shingles long, key binary, bands array<long>, {', '.join(f'{s} long' for s in SKETCH)}"))
     real = slim.where("n_shingles > 0 and doc_id is not null")
     classes = real.groupBy("key").agg(F.min("doc_id").alias("node"))
-    members = real.select("doc_id", "key", "n_shingles", "bands").join(classes.withColumnRenamed("key", "key_"), (F.col("doc_id") == F.col("node")) & (F.col("key") == F.col("key_"))).dropDuplicates(["key"])
-    dealt = members.select("node", F.col("n_shingles").alias("n"), F.explode("bands").alias("bucket"))
+    least = classes.select(F.col("node").alias("doc_id"), "key")
+    members = real.join(least, ["doc_id", "key"]).dropDuplicates(["key"]).withColumnRenamed("doc_id", "node").withColumnRenamed("n_shingles", "n")
+    dealt = members.select("node", F.explode("bands").alias("bucket"))
     full = dealt.groupBy("bucket").agg(F.min("node").alias("first"), F.count(F.lit(1)).alias("size")).where("size > 1")
-    shared = checkpointed(dealt.join(full, "bucket").select("bucket", "first", "node", "n"))
-
-    stars = shared.where("first <> node").select(F.col("first").alias("a"), F.col("node").alias("b")).distinct()
+    shared = checkpointed(dealt.join(full, "bucket").select("bucket", "first", "node"))
     wanted = shared.select(F.col("node").alias("doc_id")).distinct()
+    sketches = checkpointed(members.join(wanted.withColumnRenamed("doc_id", "node"), "node", "left_semi").dropDuplicates(["node"]).select("node", "n", *SKETCH))
     texts = checkpointed(rows.join(wanted, "doc_id"))
-    near = checkpointed(links(stars, texts))
-    names = components(near)
-
-    placed = shared.join(names.withColumnRenamed("component", "c"), "node", "left").select("bucket", "node", "n", F.coalesce("c", "node").alias("component"))
-    mixed = placed.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("bucket")
-    open_ = checkpointed(placed.join(mixed, "bucket"))
-    major = open_.groupBy("bucket", "component").count().groupBy("bucket").agg(F.max_by("component", F.struct("count", "component")).alias("major"))
-    minor = open_.join(major, "bucket").where("component <> major").select("bucket", F.col("node").alias("a"), F.col("n").alias("n_a"), F.col("component").alias("c_a"))
-    others = open_.select("bucket", F.col("node").alias("b"), F.col("n").alias("n_b"), F.col("component").alias("c_b"))
-    # Sets whose sizes differ by more than the threshold cannot be linked.
-    across = minor.join(others, "bucket").where("c_a <> c_b and 100 * least(n_a, n_b) >= 75 * greatest(n_a, n_b)").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    more = links(across.join(stars, ["a", "b"], "left_anti"), texts)
-    final = components(reduce(DataFrame.unionByName, [names.select(F.col("node").alias("a"), F.col("component").alias("b")), more]))
+
+    stars = shared.where("first <> node").select(F.col("first").alias("a"), F.col("node").alias("b")).distinct()
+    names = components(links(stars, texts))
+    for _ in range(HUB_ROUNDS):
+        mixed = checkpointed(_mixed(shared.select("bucket", "node"), names, sketches))
+        if mixed.isEmpty():
+            break
+        one = Window.partitionBy("bucket").orderBy(F.xxhash64("node"), "node")
+        hubs = mixed.where("component = major").withColumn("k", F.row_number().over(one)).where(F.col("k") <= HUBS)
+        names = components(_edges(names).unionByName(links(_pairs(mixed, hubs), texts)))
+    mixed = checkpointed(_mixed(shared.select("bucket", "node"), names, sketches))
+    final = components(_edges(names).unionByName(links(_pairs(mixed, mixed), texts)))
 
     named = classes.join(final, "node", "left").select("key", F.coalesce("component", "node").alias("component"))
     joined = slim.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull() & (F.col("n_shingles") > 0), F.col("key")).alias("key")).join(named, "key", "left")

@@ -10,6 +10,9 @@ from pyspark.sql import DataFrame, SparkSession
 from boxwise.llm.ann import nearest
 from boxwise.llm.bpe import round_trip
 from boxwise.llm.exact_dedup import exact_duplicates
+from boxwise.llm.licenses import license_matches
+from boxwise.llm.licenses import oracle_sql as license_sql
+from boxwise.llm.lm_score import pseudo_likelihood
 from boxwise.llm.near_dedup import near_duplicates
 from boxwise.llm.packing import pack
 from boxwise.llm.pii import personal_data
@@ -44,6 +47,10 @@ def op2_skip_chain_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
     return personal_data(_table(spark, sf_dir, "documents"))
 
 
+def op3_license_dice(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_matches(_table(spark, sf_dir, "documents"))
+
+
 def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return round_trip(_table(spark, sf_dir, "documents"), tokenizer_file("byte_bpe_50k.tiktoken"))
 
@@ -56,6 +63,10 @@ def op6_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_table(spark, sf_dir, "documents"))
 
 
+def op7_pseudo_likelihood(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pseudo_likelihood(_table(spark, sf_dir, "documents"))
+
+
 def op8_multi_index_hashing(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = _table(spark, sf_dir, "embeddings")
     return nearest(vectors, vectors.where("vec_id % 50 = 0"))
@@ -72,15 +83,18 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_best_fit_packing": op1_best_fit_packing,
     "op2_skip_chain_crf": op2_skip_chain_crf,
+    "op3_license_dice": op3_license_dice,
     "op4_byte_bpe": op4_byte_bpe,
     "op5_linked_secrets": op5_linked_secrets,
     "op6_minhash_near_dedup": op6_minhash_near_dedup,
+    "op7_pseudo_likelihood": op7_pseudo_likelihood,
     "op8_multi_index_hashing": op8_multi_index_hashing,
     "op9_fm_toxicity": op9_fm_toxicity,
     "op10_exact_dedup": op10_exact_dedup,
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op3_license_dice": license_sql(),
     "op10_exact_dedup": """
         WITH t AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '[ \\t\\n\\x0B\\f\\r]+', ' ', 'g') AS norm FROM documents)
         SELECT doc_id, min(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size, doc_id = min(doc_id) OVER w AS kept, sha256(norm) AS text_sha256
