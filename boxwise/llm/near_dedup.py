@@ -12,9 +12,9 @@ bucket's smallest member, then, where a bucket still holds several components, w
 a few members of its largest one. Buckets that are still mixed compare the members
 outside their largest component with every member. So no link between components is
 lost, and a large group of near copies costs its size, not its square. All
-comparisons past the first are of pairs whose signatures agree to some degree: one bit
-of each coordinate is kept, and two texts at the threshold fail by chance once in
-10^9 times.
+comparisons past the first are of pairs whose sketches, longer signatures made for the
+members of such buckets alone, agree to some degree; two texts at the threshold
+fail by chance about as rarely as they share no band.
 """
 
 from __future__ import annotations
@@ -32,15 +32,16 @@ from boxwise.llm.common import checkpointed, mix64, shingle_hashes, shingle_sets
 SHINGLE = 5
 #: A link at similarity 0.75 is missed with probability (1 - 0.75^ROWS)^(BANDED / ROWS), 5e-6.
 BANDED, ROWS = 128, 4
-#: Coordinates in all; a bit of each is in the sketch. Of two texts at the threshold 7/8 of the
-#: bits agree on average (224, standard deviation 5.3); at FAR_BITS or fewer that differ a pair is compared.
-COORDINATES, FAR_BITS = 256, 64
-#: Rounds of comparing with a bucket's largest component, and its members taken in each.
-HUB_ROUNDS, HUBS = 2, 4
+#: Coordinates of a sketch, which keeps two bits of each. Of two texts at the threshold 13/16 of
+#: them agree on average (832, standard deviation 12.5); with FAR differing or fewer a pair is compared.
+SKETCHED, FAR = 1024, 248
+#: Members of a bucket's largest component that the others are compared with first.
+HUBS = 4
 DOMAIN = 1 << 20
-#: Shingles whose windows are in memory at once: times 4 COORDINATES bytes.
-CHUNK = 1 << 14
-SKETCH = [f"s{k}" for k in range(COORDINATES // 64)]
+#: Numbers in memory at once while signatures are made.
+CHUNK = 1 << 22
+PLANES = [[f"s{bit}_{k}" for k in range(SKETCHED // 64)] for bit in range(2)]
+SKETCH = PLANES[0] + PLANES[1]
 
 _tables: list[np.ndarray] = []
 
@@ -51,27 +52,28 @@ def permutations() -> tuple[np.ndarray, np.ndarray]:
         slots = np.arange(DOMAIN, dtype=np.uint64)
         scatter = np.argsort(mix64(slots), kind="stable").astype(np.int32)
         turn = np.argsort(mix64(slots + np.uint64(DOMAIN)), kind="stable").astype(np.uint32)
-        _tables[:] = [scatter, np.concatenate([turn, turn[:COORDINATES]])]
+        _tables[:] = [scatter, np.concatenate([turn, turn[:SKETCHED]])]
     return _tables[0], _tables[1]
 
 
-def signatures(hashes: np.ndarray, text: np.ndarray, n_texts: int) -> np.ndarray:
+def signatures(hashes: np.ndarray, text: np.ndarray, n_texts: int, coordinates: int) -> np.ndarray:
     """The circulant MinHash of each text, given its shingles (text ascending); all ones for a text without."""
     scatter, turn = permutations()
-    windows = np.lib.stride_tricks.sliding_window_view(turn, COORDINATES)
-    out = np.full((n_texts, COORDINATES), np.iinfo(np.uint32).max, dtype=np.uint32)
+    windows = np.lib.stride_tricks.sliding_window_view(turn, coordinates)
+    out = np.full((n_texts, coordinates), np.iinfo(np.uint32).max, dtype=np.uint32)
     slots = scatter[(hashes % np.uint64(DOMAIN)).astype(np.int64)]
-    for at in range(0, len(slots), CHUNK):
-        own = text[at : at + CHUNK]
+    size = CHUNK // coordinates
+    for at in range(0, len(slots), size):
+        own = text[at : at + size]
         first = np.flatnonzero(np.concatenate([[True], own[1:] != own[:-1]]))
-        least = np.minimum.reduceat(windows[slots[at : at + CHUNK]], first, axis=0)
+        least = np.minimum.reduceat(windows[slots[at : at + size]], first, axis=0)
         out[own[first]] = np.minimum(out[own[first]], least)
     return out
 
 
 def bands(signature: np.ndarray) -> np.ndarray:
     """One 64-bit bucket number for each band of each signature; bands have no bucket in common."""
-    parts = signature[:, :BANDED].reshape(len(signature), -1, ROWS).astype(np.uint64)
+    parts = signature.reshape(len(signature), -1, ROWS).astype(np.uint64)
     total = np.broadcast_to(np.arange(parts.shape[1], dtype=np.uint64), parts.shape[:2])
     for k in range(ROWS):
         total = mix64(total ^ mix64(parts[:, :, k]))
@@ -87,21 +89,29 @@ def _describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             n = len(offsets) - 1
             raw = data.tobytes()
             keys = [hashlib.blake2b(b" ".join(raw[a:b].lower().split()), digest_size=16).digest() for a, b in zip(offsets[:-1], offsets[1:], strict=True)]
-            signature = signatures(hashes, text, n)
-            numbers = bands(signature)
-            sketch = np.packbits((signature & 1).astype(bool), axis=1).view(np.int64)
+            numbers = bands(signatures(hashes, text, n, BANDED))
             yield pa.record_batch(
                 [
                     batch["doc_id"].slice(first, n),
                     pa.array(np.diff(before), pa.int64()),
                     pa.array(keys, pa.binary()),
                     pa.ListArray.from_arrays(pa.array(np.arange(n + 1) * numbers.shape[1], pa.int32()), pa.array(numbers.ravel())),
-                    *(pa.array(np.ascontiguousarray(s)) for s in sketch.T),
                 ],
-                ["doc_id", "n_shingles", "key", "bands", *SKETCH],
+                ["doc_id", "n_shingles", "key", "bands"],
             )
 
 
+def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for first, data, offsets in utf8_steps(batch["text"]):
+            words, bounds = word_hashes(data, offsets)
+            hashes, before = shingle_sets(words, bounds, SHINGLE)
+            n = len(offsets) - 1
+            signature = signatures(hashes, np.repeat(np.arange(n), np.diff(before)), n, SKETCHED)
+            planes = np.concatenate([np.packbits(((signature >> bit) & 1).astype(bool), axis=1).view(np.int64) for bit in range(2)], axis=1)
+            yield pa.record_batch([batch["doc_id"].slice(first, n), pa.array(np.diff(before), pa.int64()), *(pa.array(np.ascontiguousarray(s)) for s in planes.T)], ["node", "n", *SKETCH])
+
+
 def _linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The pairs with 100 * intersection >= 75 * union of the two texts' shingle sets."""
 
@@ -158,20 +168,22 @@ def _edges(names: DataFrame) -> DataFrame:
     return names.select(F.col("node").alias("a"), F.col("component").alias("b"))
 
 
-def _mixed(buckets: DataFrame, names: DataFrame, sketches: DataFrame) -> DataFrame:
-    """The rows (bucket, node) of buckets with several components, with component, the bucket's largest one (major) and sketch."""
+def _mixed(buckets: DataFrame, names: DataFrame) -> DataFrame:
+    """The rows (bucket, node) of buckets with several components, with component and the bucket's largest one, major."""
     placed = buckets.join(names, "node", "left").select("bucket", "node", F.coalesce("component", "node").alias("component"))
     sizes = placed.groupBy("bucket", "component").count().groupBy("bucket").agg(F.max_by("component", F.struct("count", "component")).alias("major"), F.count(F.lit(1)).alias("several"))
-    return placed.join(sizes.where("several > 1"), "bucket").join(sketches, "node").select("bucket", "node", "component", "major", "n", *SKETCH)
+    return placed.join(sizes.where("several > 1"), "bucket").select("bucket", "node", "component", "major")
 
 
-def _pairs(mixed: DataFrame, others: DataFrame) -> DataFrame:
+def _pairs(mixed: DataFrame, others: DataFrame, sketches: DataFrame) -> DataFrame:
     """Pairs (a, b) of one bucket and different components, one of them outside of the largest, that may be linked by size and sketch."""
-    left = mixed.where("component <> major").select("bucket", *(F.col(c).alias(f"{c}_a") for c in ("node", "component", "n", *SKETCH)))
-    right = others.select("bucket", *(F.col(c).alias(f"{c}_b") for c in ("node", "component", "n", *SKETCH)))
-    differ = " + ".join(f"bit_count({s}_a ^ {s}_b)" for s in SKETCH)
-    near = F.expr(f"component_a <> component_b and 100 * least(n_a, n_b) >= 75 * greatest(n_a, n_b) and {differ} <= {FAR_BITS}")
-    return left.join(right, "bucket").where(near).select(F.least("node_a", "node_b").alias("a"), F.greatest("node_a", "node_b").alias("b")).distinct()
+
+    def side(rows: DataFrame, end: str) -> DataFrame:
+        return rows.join(sketches, "node").select("bucket", *(F.col(c).alias(f"{c}_{end}") for c in ("node", "component", "n", *SKETCH)))
+
+    differ = " + ".join(f"bit_count(({x}_a ^ {x}_b) | ({y}_a ^ {y}_b))" for x, y in zip(*PLANES, strict=True))
+    near = F.expr(f"component_a <> component_b and 100 * least(n_a, n_b) >= 75 * greatest(n_a, n_b) and {differ} <= {FAR}")
+    return side(mixed.where("component <> major"), "a").join(side(others, "b"), "bucket").where(near).select(F.least("node_a", "node_b").alias("a"), F.greatest("node_a", "node_b").alias("b")).distinct()
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -186,29 +198,25 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     one document. An empty table gives an empty result.
     """
     rows = text_table(docs)
-    slim = checkpointed(rows.mapInArrow(_describe, f"doc_id long, n_shingles long, key binary, bands array<long>, {', '.join(f'{s} long' for s in SKETCH)}"))
+    slim = checkpointed(rows.mapInArrow(_describe, "doc_id long, n_shingles long, key binary, bands array<long>"))
     real = slim.where("n_shingles > 0 and doc_id is not null")
     classes = real.groupBy("key").agg(F.min("doc_id").alias("node"))
     least = classes.select(F.col("node").alias("doc_id"), "key")
-    members = real.join(least, ["doc_id", "key"]).dropDuplicates(["key"]).withColumnRenamed("doc_id", "node").withColumnRenamed("n_shingles", "n")
-    dealt = members.select("node", F.explode("bands").alias("bucket"))
+    dealt = real.join(least, ["doc_id", "key"]).dropDuplicates(["key"]).select(F.col("doc_id").alias("node"), F.explode("bands").alias("bucket"))
     full = dealt.groupBy("bucket").agg(F.min("node").alias("first"), F.count(F.lit(1)).alias("size")).where("size > 1")
     shared = checkpointed(dealt.join(full, "bucket").select("bucket", "first", "node"))
-    wanted = shared.select(F.col("node").alias("doc_id")).distinct()
-    sketches = checkpointed(members.join(wanted.withColumnRenamed("doc_id", "node"), "node", "left_semi").dropDuplicates(["node"]).select("node", "n", *SKETCH))
-    texts = checkpointed(rows.join(wanted, "doc_id"))
+    texts = checkpointed(rows.join(shared.select(F.col("node").alias("doc_id")).distinct(), "doc_id"))
 
     stars = shared.where("first <> node").select(F.col("first").alias("a"), F.col("node").alias("b")).distinct()
     names = components(links(stars, texts))
-    for _ in range(HUB_ROUNDS):
-        mixed = checkpointed(_mixed(shared.select("bucket", "node"), names, sketches))
-        if mixed.isEmpty():
-            break
-        one = Window.partitionBy("bucket").orderBy(F.xxhash64("node"), "node")
-        hubs = mixed.where("component = major").withColumn("k", F.row_number().over(one)).where(F.col("k") <= HUBS)
-        names = components(_edges(names).unionByName(links(_pairs(mixed, hubs), texts)))
-    mixed = checkpointed(_mixed(shared.select("bucket", "node"), names, sketches))
-    final = components(_edges(names).unionByName(links(_pairs(mixed, mixed), texts)))
+    mixed = checkpointed(_mixed(shared.select("bucket", "node"), names))
+    sketched = texts.join(mixed.select(F.col("node").alias("doc_id")).distinct(), "doc_id").mapInArrow(_sketch, f"node long, n long, {', '.join(f'{s} long' for s in SKETCH)}")
+    sketches = checkpointed(sketched)  # several rows of one doc_id have a sketch each
+    one = Window.partitionBy("bucket").orderBy(F.xxhash64("node"), "node")
+    hubs = mixed.where("component = major").withColumn("k", F.row_number().over(one)).where(F.col("k") <= HUBS).drop("k")
+    names = components(_edges(names).unionByName(links(_pairs(mixed, hubs, sketches), texts)))
+    mixed = checkpointed(_mixed(mixed.select("bucket", "node"), names))
+    final = components(_edges(names).unionByName(links(_pairs(mixed, mixed, sketches), texts)))
 
     named = classes.join(final, "node", "left").select("key", F.coalesce("component", "node").alias("component"))
     joined = slim.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull() & (F.col("n_shingles") > 0), F.col("key")).alias("key")).join(named, "key", "left")

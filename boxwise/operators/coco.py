@@ -37,22 +37,30 @@ def match_image(d: pd.DataFrame, g: pd.DataFrame, thresholds: list[float], areas
     inside = np.prod(np.clip(high - low, 0, None), axis=2)
     whole = np.where(crowd[None], area_d[:, None], area_d[:, None] + area_g[None] - inside)
     iou = np.divide(inside, whole, out=np.zeros_like(inside), where=whole > 0)
-    ids, out = g["gt_id"].to_numpy(), []
-    for name, (least, largest) in areas.items():
-        ignored = crowd | (g["area"].to_numpy() < least) | (g["area"].to_numpy() > largest)
-        outside = (area_d < least) | (area_d > largest)
-        for t in thresholds:
-            free = np.ones(len(g), dtype=bool)
-            for k in range(len(d)):
-                able = (free | crowd) & (iou[k] >= min(t, 1 - 1e-10))
-                pick = np.flatnonzero(able & ~ignored)
-                if not len(pick):
-                    pick = np.flatnonzero(able)
-                m = pick[len(pick) - 1 - int(np.argmax(iou[k][pick][::-1]))] if len(pick) else -1
-                if m >= 0:
-                    free[m] = False
-                out.append((name, t, d["det_id"].iat[k], k + 1, d["score"].iat[k], ids[m] if m >= 0 else None, bool(ignored[m]) if m >= 0 else bool(outside[k])))
-    return pd.DataFrame(out, columns=["area_range", "iou_thr", "det_id", "det_rank", "score", "gt_id", "ignored"])
+    # One row of state for each (area, threshold): all of them take each detection together.
+    names = np.repeat(list(areas), len(thresholds))
+    least, largest = (np.repeat([r[k] for r in areas.values()], len(thresholds))[:, None] for k in range(2))
+    floor = np.minimum(np.tile(thresholds, len(areas)), 1 - 1e-10)[:, None]
+    ignored = crowd | (g["area"].to_numpy(float) < least) | (g["area"].to_numpy(float) > largest)
+    cells, n_gt = len(names), len(g)
+    free = np.ones((cells, n_gt), dtype=bool)
+    taken = np.full((len(d), cells), -1)
+    void = ((area_d < least) | (area_d > largest)).T
+    each = np.arange(cells)
+    for k in range(len(d) if n_gt else 0):
+        able = (free | crowd) & (iou[k] >= floor)
+        regular = able & ~ignored
+        usable = np.where(regular.any(axis=1, keepdims=True), regular, able)
+        pick = n_gt - 1 - np.where(usable, iou[k], -1.0)[:, ::-1].argmax(axis=1)
+        hit = usable.any(axis=1)
+        free[each[hit], pick[hit]] = False
+        taken[k, hit] = pick[hit]
+        void[k, hit] = ignored[each[hit], pick[hit]]
+    ids = np.append(g["gt_id"].to_numpy(), 0)
+    frame = pd.DataFrame({"area_range": np.tile(names, len(d)), "iou_thr": np.tile(thresholds, len(areas) * len(d)), "det_id": np.repeat(d["det_id"].to_numpy(), cells), "det_rank": np.repeat(np.arange(1, len(d) + 1), cells), "score": np.repeat(d["score"].to_numpy(), cells)})
+    frame["gt_id"] = pd.Series(ids[taken.ravel()], dtype="Int64").where(taken.ravel() >= 0)
+    frame["ignored"] = void.ravel()
+    return frame
 
 
 def match(det: DataFrame, gt: DataFrame, thresholds: list[float] | None = None, areas: dict[str, tuple[float, float]] | None = None, most: int = 100) -> DataFrame:
@@ -67,7 +75,6 @@ def match(det: DataFrame, gt: DataFrame, thresholds: list[float] | None = None,
         out = match_image(d, g, thresholds, areas, most)
         out.insert(0, "image_id", key[0])
         out.insert(1, "category_id", key[1])
-        out["gt_id"] = out["gt_id"].astype("Int64")
         return out
 
     # What lies beyond the largest number of detections never moves.

@@ -26,3 +26,9 @@ def ship_package(spark: SparkSession) -> None:
                     z.write(path, os.path.relpath(path, os.path.dirname(top)))
     spark.sparkContext.addPyFile(archive)
     _shipped.add(application)
+
+
+def shared_checkpoints(spark: SparkSession) -> None:
+    """Sees to it that checkpoint() has a folder: the configured one, or where none is (tests), a new local one."""
+    if not spark.conf.get("spark.checkpoint.dir", None) and not spark.sparkContext.getCheckpointDir():
+        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="boxwise-"))
