@@ -176,14 +176,21 @@ def _mixed(buckets: DataFrame, names: DataFrame) -> DataFrame:
 
 
 def _pairs(mixed: DataFrame, others: DataFrame, sketches: DataFrame) -> DataFrame:
-    """Pairs (a, b) of one bucket and different components, one of them outside of the largest, that may be linked by size and sketch."""
+    """Pairs (a, b) of one bucket and different components, one of them outside of the largest, that may be linked by size and sketch.
 
-    def side(rows: DataFrame, end: str) -> DataFrame:
-        return rows.join(sketches, "node").select("bucket", *(F.col(c).alias(f"{c}_{end}") for c in ("node", "component", "n", *SKETCH)))
+    others: rows of mixed, all or those of hubs. A pair comes from the first of its
+    common buckets alone, however many there are, and once where both are outside.
+    """
+
+    def side(rows: DataFrame, known: DataFrame, end: str) -> DataFrame:
+        own = known.groupBy("node").agg(F.collect_set("bucket").alias("own"))
+        return rows.join(own, "node").join(sketches, "node").select("bucket", *(F.col(c).alias(f"{c}_{end}") for c in ("node", "component", "major", "own", "n", *SKETCH)))
 
     differ = " + ".join(f"bit_count(({x}_a ^ {x}_b) | ({y}_a ^ {y}_b))" for x, y in zip(*PLANES, strict=True))
-    near = F.expr(f"component_a <> component_b and 100 * least(n_a, n_b) >= 75 * greatest(n_a, n_b) and {differ} <= {FAR}")
-    return side(mixed.where("component <> major"), "a").join(side(others, "b"), "bucket").where(near).select(F.least("node_a", "node_b").alias("a"), F.greatest("node_a", "node_b").alias("b")).distinct()
+    once = "(component_b = major_b or node_a < node_b) and array_min(array_intersect(own_a, own_b)) = bucket"
+    near = F.expr(f"component_a <> component_b and 100 * least(n_a, n_b) >= 75 * greatest(n_a, n_b) and {differ} <= {FAR} and {once}")
+    found = side(mixed.where("component <> major"), mixed, "a").join(side(others, others, "b"), "bucket").where(near)
+    return found.select(F.least("node_a", "node_b").alias("a"), F.greatest("node_a", "node_b").alias("b")).distinct()
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
