@@ -6,10 +6,10 @@ documents, and every pool is packed for itself. Pieces of the full length are
 sequences of their own, so a pool holds one shorter piece for each document at most.
 
 In a pool, pieces first go, largest first, where the least room remains. Then the
-emptiest bins give pieces away: a piece moves, or is exchanged for a smaller one, or
-two pieces for one that is smaller than both together, always to a fuller bin,
-so that the sum of squared fills grows with each step, until a bin is empty or
-no such step is left.
+emptiest bins, one after the other, give pieces away: a piece moves, or is exchanged
+for a smaller one, or two pieces for one that is smaller than both together, always to
+a fuller bin, so that the sum of squared fills grows with each step. This ends when
+no bin can be saved by the total of the lengths, no such step is left, or after PASSES.
 """
 
 from __future__ import annotations
@@ -30,6 +30,8 @@ from boxwise.llm.common import text_table
 
 #: Documents to a pool.
 POOL = 8_000
+#: Passes of the local search at most, bins that each takes from, and items of a bin, the largest, that are tried in pairs.
+PASSES, EMPTIEST, PAIRED = 20, 64, 16
 
 
 @lru_cache(maxsize=2)
@@ -95,7 +97,7 @@ def local_search(sizes: np.ndarray, bins: list[list[int]], capacity: int) -> lis
         # An exchange of `given` tokens for an item of y leaves its bin room + y - given.
         open_ = room[place] > 0
         reach, fuller = room[place] + sizes, fill[place] >= fill[d]
-        pairs = [(int(sizes[i] + sizes[j]), (i, j)) for a, i in enumerate(own[:64]) for j in own[a + 1 : 64]]
+        pairs = [(int(sizes[i] + sizes[j]), (i, j)) for a, i in enumerate(own[:PAIRED]) for j in own[a + 1 : PAIRED]]
         for given, items in [*((int(sizes[i]), (i,)) for i in own), *pairs]:
             rest = np.where(open_ & fuller & (sizes < given) & (reach >= given), reach - given, far)
             if rest[y := int(rest.argmin())] < far:
@@ -106,16 +108,15 @@ def local_search(sizes: np.ndarray, bins: list[list[int]], capacity: int) -> lis
                 return True
         return False
 
-    emptied = True
-    while emptied and left > least:
-        emptied = False
-        for d in np.argsort(fill, kind="stable").tolist():
-            if left <= least or 2 * fill[d] > capacity:
-                break
-            while bins[d] and step(d):
-                pass
-            if not bins[d] and fill[d] == 0:
-                emptied, left = True, sum(1 for own in bins if own)
+    for _ in range(PASSES):
+        moved = False
+        order = np.argsort(fill, kind="stable")
+        for d in order[fill[order] > 0][:EMPTIEST].tolist():
+            while left > least and bins[d] and step(d):
+                moved = True
+                left -= not bins[d]
+        if not moved or left <= least:
+            break
     return [sorted(own) for own in bins if own]
 
 
