@@ -114,7 +114,7 @@ def test_local_search_empties_bins_that_best_fit_leaves() -> None:
 
 
 def test_toxicity_on_the_held_out_fold(spark: SparkSession) -> None:
-    sf_dir = "/root/testdata/sf0.01"
+    sf_dir = "/root/testdata/sf0.1"  # smaller tables hold out six toxic documents or fewer
     labels = {r["doc_id"]: r["toxic"] for r in spark.read.parquet(f"{sf_dir}/labels.parquet").collect()}
     rows = op9_fm_toxicity(spark, sf_dir).collect()
     for r in rows:
