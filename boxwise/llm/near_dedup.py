@@ -151,17 +151,18 @@ def components(edges: DataFrame) -> DataFrame:
         least = pairs.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("least"))
         moved = pairs.join(least, "a")
         if whole:
-            return moved.where("b > a").select(F.col("b").alias("a"), F.col("least").alias("b")).distinct()
+            return moved.where("b > a").select(F.col("b").alias("a"), F.col("least").alias("b"))
         return moved.select(F.col("b").alias("a"), F.col("least").alias("b")).unionByName(least.select("a", F.col("least").alias("b"))).where("a > b").distinct()
 
+    def settled(edges: DataFrame) -> bool:
+        """Whether every node that hangs on another has nothing on it, and hangs on one only."""
+        ends = edges.select(F.col("a").alias("node"), F.lit(1).alias("up"), F.lit(0).alias("down")).unionByName(edges.select("b", F.lit(0), F.lit(1)).toDF("node", "up", "down"))
+        return ends.groupBy("node").agg(F.sum("up").alias("up"), F.sum("down").alias("down")).where("up > 1 or up = 1 and down > 0").isEmpty()
+
     edges = checkpointed(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a > b").distinct())
-    total = None
-    while True:
+    while not settled(edges):
         edges = checkpointed(stars(stars(edges, True), False))
-        now = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        if now == total:
-            return edges.select(F.col("a").alias("node"), F.col("b").alias("component"))
-        total = now
+    return edges.select(F.col("a").alias("node"), F.col("b").alias("component"))
 
 
 def _edges(names: DataFrame) -> DataFrame:
