@@ -6,10 +6,12 @@ times a softmax within the class gives the token's probability. A document's sco
 sum of the log probabilities of all its tokens.
 
 Tokens are words: the most frequent of the whole corpus have a number of their own,
-others share hashed numbers. Spark counts all words of all documents. The network is
-trained by averaging: in each round every task takes steps over its own documents, from
-the weights of the round before, and Spark averages the tasks' weights, in chunks. What
-is gathered grows with the corpus; the network itself has a fixed size.
+others share hashed numbers, and have the probability of their number times their part
+of its occurrences, by a join with Spark's counts of all words of all documents. The
+network is trained by averaging: in each round every task takes steps over its own
+documents, from the weights of the round before, and Spark averages the tasks' weights,
+in chunks. The rounds share the tokens out, so that each is trained on once. The counts
+grow with the corpus; the network itself has a fixed size.
 """
 
 from __future__ import annotations
@@ -26,11 +28,9 @@ from boxwise.llm.common import checkpointed, text_table, utf8_steps, word_hashes
 
 WINDOW, WIDTH, CLASSES = 2, 32, 32
 VOCABULARY = CLASSES * CLASSES
-#: Numbers shared by rarer words, and the one of places outside of the text.
+#: Numbers shared by rarer words (a power of two), and the one of places outside of the text.
 SHARED, OUTSIDE = 256, VOCABULARY - 1
 FREQUENT = VOCABULARY - SHARED - 1
-#: Of every so many tokens of a document, one is trained on in a round, another each round.
-STRIDE = 16
 #: Tokens to a step of training and to one of scoring; weights to a chunk.
 STEP, SCORED, CHUNK = 512, 16_384, 4096
 
@@ -105,7 +105,9 @@ class Network:
             self.inner_bias[c] -= rate * slope.sum(axis=0) / n
         back *= (1 - h * h) * (rate / n)
         for k in range(2 * WINDOW):
-            np.subtract.at(self.embed[k], around[:, k], back)
+            order = np.argsort(around[:, k], kind="stable")
+            token, first = np.unique(around[order, k], return_index=True)
+            self.embed[k][token] -= np.add.reduceat(back[order], first)
 
 
 @dataclass(frozen=True)
@@ -115,15 +117,21 @@ class Vocabulary:
     hashes: np.ndarray
     numbers: np.ndarray
 
-    def tokens(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """The numbers of all words of some texts, and of words before each text."""
+    def tokens(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The numbers and hashes of all words of some texts, and the number of words before each text."""
         words, bounds = word_hashes(data, offsets)
         out = (FREQUENT + words % np.uint64(SHARED)).astype(np.int64)
         if len(self.hashes):
             at = np.minimum(np.searchsorted(self.hashes, words), len(self.hashes) - 1)
             known = self.hashes[at] == words
             out[known] = self.numbers[at[known]]
-        return out, bounds
+        return out, words, bounds
+
+
+def targets(bounds: np.ndarray, number: int, rounds: int) -> np.ndarray:
+    """The tokens of some texts that a round trains on; the rounds together take each token once."""
+    place = np.arange(bounds[-1]) - np.repeat(bounds[:-1], np.diff(bounds))
+    return np.flatnonzero(place % rounds == number)
 
 
 def windows(tokens: np.ndarray, bounds: np.ndarray) -> np.ndarray:
@@ -137,8 +145,8 @@ def windows(tokens: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     return out
 
 
-def vocabulary(docs: DataFrame) -> tuple[Vocabulary, np.ndarray]:
-    """The vocabulary of all words of docs, and how often each number occurs."""
+def vocabulary(docs: DataFrame) -> tuple[Vocabulary, np.ndarray, DataFrame]:
+    """The vocabulary of all words of docs, how often each number occurs, and how often each word (word, n)."""
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -147,18 +155,20 @@ def vocabulary(docs: DataFrame) -> tuple[Vocabulary, np.ndarray]:
             yield pa.record_batch([pa.array(hashes.view(np.int64)), pa.array(n)], ["word", "n"])
 
     counts = checkpointed(text_table(docs).select("text").mapInArrow(counted, "word long, n long").groupBy("word").agg(F.sum("n").alias("n")))
-    total = counts.agg(F.sum("n")).first()[0] or 0
     best = counts.orderBy(F.desc("n"), "word").limit(FREQUENT).collect()
     n = np.zeros(VOCABULARY)
     n[: len(best)] = [r["n"] for r in best]
-    n[FREQUENT:OUTSIDE] = (total - n.sum()) / SHARED
+    for r in counts.groupBy(F.col("word").bitwiseAND(F.lit(SHARED - 1)).alias("part")).agg(F.sum("n").alias("n")).collect():
+        n[FREQUENT + r["part"]] = r["n"]
+    for r in best:
+        n[FREQUENT + (r["word"] & SHARED - 1)] -= r["n"]
     hashes = np.array([r["word"] for r in best], dtype=np.int64).view(np.uint64)
     order = np.argsort(hashes)
-    return Vocabulary(hashes[order], order), n
+    return Vocabulary(hashes[order], order), n, counts
 
 
 def train(docs: DataFrame, known: Vocabulary, counts: np.ndarray, rounds: int = 2, rate: float = 4.0) -> Network:
-    """The network after `rounds` passes, each the average of all tasks' weights, by the tokens that each saw."""
+    """The network after `rounds` rounds, each the average of all tasks' weights, by the tokens that each saw."""
     flat = Network.start(counts).flat()
     chunks = -(-len(flat) // CHUNK)
     for number in range(rounds):
@@ -167,9 +177,8 @@ def train(docs: DataFrame, known: Vocabulary, counts: np.ndarray, rounds: int =
             own, seen = Network.of(flat.copy()), 0
             for batch in batches:
                 for _, data, offsets in utf8_steps(batch["text"]):
-                    tokens, bounds = known.tokens(data, offsets)
-                    place = np.arange(len(tokens)) - np.repeat(bounds[:-1], np.diff(bounds))
-                    chosen = np.flatnonzero(place % STRIDE == number % STRIDE)
+                    tokens, _, bounds = known.tokens(data, offsets)
+                    chosen = targets(bounds, number, rounds)
                     around = windows(tokens, bounds)[chosen]
                     for at in range(0, len(chosen), STEP):
                         own.learn(around[at : at + STEP], tokens[chosen[at : at + STEP]], rate)
@@ -202,18 +211,24 @@ def pseudo_likelihood(docs: DataFrame, rounds: int = 2) -> DataFrame:
     Null, empty and blank texts have no tokens and a sum of 0. Rows that repeat are
     scored alike; a null doc_id stays null; an empty table gives an empty result.
     """
-    known, counts = vocabulary(docs)
+    known, counts, words = vocabulary(docs)
     network = train(docs, known, counts, rounds)
+    shared = np.zeros(VOCABULARY)
+    shared[FREQUENT:OUTSIDE] = np.log(np.maximum(counts[FREQUENT:OUTSIDE], 1))
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for first, data, offsets in utf8_steps(batch["text"]):
-                tokens, bounds = known.tokens(data, offsets)
+                tokens, hashes, bounds = known.tokens(data, offsets)
                 around = windows(tokens, bounds)
                 each = [network.log_probability(around[at : at + SCORED], tokens[at : at + SCORED]) for at in range(0, len(tokens), SCORED)]
-                sums = np.concatenate([[0.0], np.cumsum(np.concatenate(each).astype(np.float64))]) if each else np.zeros(1)
+                sums = np.concatenate([[0.0], np.cumsum(np.concatenate(each) - shared[tokens])]) if each else np.zeros(1)
                 n = np.diff(bounds)
-                yield pa.record_batch([batch["doc_id"].slice(first, len(n)), pa.array(n.astype(np.int64)), pa.array(sums[bounds[1:]] - sums[bounds[:-1]])], ["doc_id", "n_tokens", "log_likelihood"])
+                is_rare = tokens >= FREQUENT
+                rare = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(is_rare)])[bounds], pa.int32()), pa.array(hashes[is_rare].view(np.int64)))
+                yield pa.record_batch([batch["doc_id"].slice(first, len(n)), pa.array(n.astype(np.int64)), pa.array(sums[bounds[1:]] - sums[bounds[:-1]]), rare], ["doc_id", "n_tokens", "by_number", "rare"])
 
-    out = text_table(docs).mapInArrow(scored, "doc_id long, n_tokens long, log_likelihood double")
+    rows = checkpointed(text_table(docs).mapInArrow(scored, "doc_id long, n_tokens long, by_number double, rare array<long>")).withColumn("row", F.monotonically_increasing_id())
+    own = rows.select("row", F.explode("rare").alias("word")).join(words, "word").groupBy("row").agg(F.sum(F.log("n")).alias("own"))
+    out = rows.join(own, "row", "left").select("doc_id", "n_tokens", (F.col("by_number") + F.coalesce("own", F.lit(0.0))).alias("log_likelihood"))
     return out.withColumn("mean_log_likelihood", F.try_divide("log_likelihood", "n_tokens"))

@@ -14,7 +14,7 @@ from pyspark.sql import SparkSession
 
 from boxwise.llm.ann import nearest
 from boxwise.llm.bpe import decode, encode, round_trip
-from boxwise.llm.lm_score import pseudo_likelihood
+from boxwise.llm.lm_score import pseudo_likelihood, targets
 from boxwise.llm.packing import best_fit, encoder, local_search, pack
 from boxwise.llm.queries import op1_best_fit_packing, op4_byte_bpe, op7_pseudo_likelihood, op8_multi_index_hashing, op9_fm_toxicity, token_pattern, tokenizer_file
 from boxwise.llm.toxicity import drop_toxic, toxicity
@@ -168,6 +168,19 @@ def test_pseudo_likelihood_prefers_usual_order(spark: SparkSession) -> None:
     assert np.mean([scores[d] for d in range(20)]) > np.mean([scores[1000 + d] for d in range(20)]) + 0.1
 
 
+def test_pseudo_likelihood_trains_on_every_token_once() -> None:
+    bounds = np.array([0, 5, 5, 40, 41])
+    for rounds in (1, 2, 7):
+        assert sorted(np.concatenate([targets(bounds, k, rounds) for k in range(rounds)])) == list(range(41))
+
+
+def test_pseudo_likelihood_tells_rare_words_apart(spark: SparkSession) -> None:
+    """In one context, the probabilities of all words, rare ones too, add up to no more than 1."""
+    docs = spark.createDataFrame([(d, f"w{d % 3000}") for d in range(3500)], SCHEMA)
+    rows = {r["doc_id"]: np.exp(r["log_likelihood"]) for r in pseudo_likelihood(docs).collect()}
+    assert 0.9 < sum(rows[d] for d in range(3000)) <= 1 + 1e-6
+
+
 def brute(ids: np.ndarray, x: np.ndarray, asked: list[int], k: int) -> dict[int, list[int]]:
     unit = x / np.sqrt((x * x).sum(axis=1, keepdims=True))
     out = {}
