@@ -6,6 +6,9 @@ have Dice 2 |A and B| / (|A| + |B|) over their sets of bigrams; at least THRESHO
 be reached only if |A| is within bounds that |B| gives, so templates of other sizes
 are passed over, and units with no bigram of any template before that. Templates are
 literals of the plan: no join and no shuffle.
+
+license_notices looks at runs of words instead of lines, so that it finds a notice
+wherever lines break and whatever stands around it, against more templates.
 """
 
 from __future__ import annotations
@@ -36,10 +39,28 @@ TEMPLATES = {
 }
 
 
-def template_bigrams() -> dict[str, list[str]]:
+_DISCLAIMER = 'THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE.'
+_CLAUSES = " 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution. "
+_THIRD = "3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission. "
+_MEANT = {"by": "Attribution", "by_nc": "Attribution-NonCommercial", "by_sa": "Attribution-ShareAlike", "by_nd": "Attribution-NoDerivatives", "by_nc_sa": "Attribution-NonCommercial-ShareAlike", "by_nc_nd": "Attribution-NonCommercial-NoDerivatives"}
+
+#: Templates of license_notices: also whole texts, and the Creative Commons family.
+NOTICES = (
+    TEMPLATES
+    | {
+        "mit_text": TEMPLATES["mit"] + ' The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software. THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.',
+        "bsd_2_text": TEMPLATES["bsd_3"] + _CLAUSES + _DISCLAIMER,
+        "bsd_3_text": TEMPLATES["bsd_3"] + _CLAUSES + _THIRD + _DISCLAIMER,
+    }
+    | {f"cc_{k}_line": f"Licensed under CC {k.replace('_', '-').upper()} 4.0." for k in _MEANT}
+    | {f"cc_{k}_4": f"This work is licensed under a Creative Commons {v} 4.0 International License." for k, v in _MEANT.items()}
+)
+
+
+def template_bigrams(templates: dict[str, str] = TEMPLATES) -> dict[str, list[str]]:
     """The distinct word bigrams of each template, in order."""
     found = {}
-    for name, text in TEMPLATES.items():
+    for name, text in templates.items():
         words = re.sub("[^a-z0-9]+", " ", text.lower()).split()
         found[name] = list(dict.fromkeys(f"{a} {b}" for a, b in zip(words, words[1:], strict=False)))
     return found
@@ -77,6 +98,42 @@ def license_matches(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     return found.where(F.col("dice") >= threshold)
 
 
+def license_notices(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """One row for each run of words that matches a template: doc_id, first_word (from 0), n_words, template, n_bigrams, dice.
+
+    All runs that begin and end with a bigram of the template, and have no more bigrams,
+    repeats counted, than its size bound, are compared; of those that overlap, the one of
+    the highest Dice stays, the first and then the shortest of equal ones. Only texts with
+    the share of a template's bigrams that the threshold asks for are looked at in this
+    way. Odd rows are as in license_matches.
+    """
+    templates = template_bigrams(NOTICES)
+    words = F.split(F.trim(F.regexp_replace(F.translate("text", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"), "[^a-z0-9]+", " ")), " ")
+    pairs = F.zip_with(F.slice("words", F.lit(1), F.size("words") - 1), F.slice("words", F.lit(2), F.size("words")), lambda a, b: F.concat_ws(" ", a, b))
+    every = _array(sorted({b for own in templates.values() for b in own}))
+    split = text_table(docs).select("doc_id", words.alias("words")).where(F.size("words") > 1).select("doc_id", pairs.alias("pairs"))
+    shared = split.withColumn("shared", F.array_intersect("pairs", every)).where(F.size("shared") > 0)
+    # Dice is at least the threshold only if so large a part of the template is in the text.
+    asked = [F.when(F.size(F.array_intersect("shared", _array(own))) >= len(own) * threshold / (2 - threshold), F.struct(F.lit(name).alias("template"), _array(own).alias("own"))) for name, own in templates.items()]
+    likely = shared.select("doc_id", "pairs", F.inline(F.filter(F.array(*asked), lambda x: x.isNotNull())))
+    most = F.size("own") * ((2 - threshold) / threshold)
+    ends = F.filter(F.transform("pairs", lambda b, i: F.when(F.array_contains("own", b), i)), lambda i: i.isNotNull())
+    placed = likely.withColumn("ends", ends)
+
+    def compared(a: Column, b: Column) -> Column:
+        run = F.array_distinct(F.slice("pairs", a + 1, b - a + 1))
+        dice = 2 * F.size(F.array_intersect(run, F.col("own"))) / (F.size(run) + F.size("own"))
+        return F.struct((-dice).alias("least"), a.alias("first"), b.alias("last"), F.size(run).alias("n"))
+
+    runs = F.flatten(F.transform("ends", lambda a: F.transform(F.filter("ends", lambda b: (b >= a) & (b - a < most)), lambda b: compared(a, b))))
+    best = placed.select("doc_id", "template", F.array_sort(F.filter(runs, lambda r: -r["least"] >= threshold)).alias("runs")).where(F.size("runs") > 0)
+    none = F.array().cast("array<struct<least:double,first:int,last:int,n:int>>")
+    # Words, not bigrams, must be apart: a run's last bigram begins one word before its last word.
+    kept = F.aggregate("runs", none, lambda kept, r: F.when(F.exists(kept, lambda k: (r["first"] <= k["last"] + 1) & (k["first"] <= r["last"] + 1)), kept).otherwise(F.concat(kept, F.array(r))))
+    rows = best.select("doc_id", "template", F.explode(kept).alias("r"))
+    return rows.select("doc_id", F.col("r.first").alias("first_word"), (F.col("r.last") - F.col("r.first") + 2).alias("n_words"), "template", F.col("r.n").alias("n_bigrams"), (-F.col("r.least")).alias("dice"))
+
+
 def oracle_sql(threshold: float = THRESHOLD) -> str:
     """DuckDB SQL for license_matches over documents."""
     templates = ", ".join(f"('{name}', [{', '.join(repr(b) for b in own)}])" for name, own in template_bigrams().items())

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from boxwise.llm.ann import nearest
 from boxwise.llm.bpe import round_trip
 from boxwise.llm.exact_dedup import exact_duplicates
-from boxwise.llm.licenses import license_matches
+from boxwise.llm.licenses import license_matches, license_notices
 from boxwise.llm.licenses import oracle_sql as license_sql
 from boxwise.llm.lm_score import pseudo_likelihood
 from boxwise.llm.near_dedup import near_duplicates
@@ -51,6 +51,10 @@ def op3_license_dice(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_matches(_table(spark, sf_dir, "documents"))
 
 
+def op3_license_notices(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_notices(_table(spark, sf_dir, "documents"))
+
+
 def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return round_trip(_table(spark, sf_dir, "documents"), tokenizer_file("byte_bpe_50k.tiktoken"))
 
@@ -84,6 +88,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_best_fit_packing": op1_best_fit_packing,
     "op2_skip_chain_crf": op2_skip_chain_crf,
     "op3_license_dice": op3_license_dice,
+    "op3_license_notices": op3_license_notices,
     "op4_byte_bpe": op4_byte_bpe,
     "op5_linked_secrets": op5_linked_secrets,
     "op6_minhash_near_dedup": op6_minhash_near_dedup,
