@@ -95,6 +95,19 @@ def f2_iou_guards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return view(spark, sf_dir, "boxes").where("box_id <= 3").select("box_id", "image_id", B.iou(point, point).alias("zero"), B.iou(point, point, "floor").alias("floor"), B.iou(point, point, "null").alias("none"))
 
 
+@query(
+    "f2_iou_guards_pairs",
+    f"""WITH {PAIRS} SELECT image_id, gt_id, det_id, round(i / (s - i), 6) AS zero, round(i / (s - i), 6) AS floor, round(i / (s - i), 6) AS none FROM pairs
+        UNION ALL SELECT image_id, box_id, box_id, 0, 0, NULL FROM boxes""",
+)
+def f2_iou_guards_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each guard on all pairs, and on every box collapsed to a point."""
+    b, point = view(spark, sf_dir, "boxes"), B.columns("x0", "y0", "x0", "y0")
+    guarded = lambda x, y: [r6(B.iou(x, y)).alias("zero"), r6(B.iou(x, y, "floor")).alias("floor"), r6(B.iou(x, y, "null")).alias("none")]
+    points = b.select("image_id", F.col("box_id").alias("gt_id"), F.col("box_id").alias("det_id"), *guarded(point, point))
+    return pairs(b).select("image_id", "gt_id", "det_id", *guarded(gt_box(), det_box())).unionByName(points)
+
+
 @query(
     "p15_points_in_boxes",
     f"""WITH {PAIRS}, q AS (SELECT *, (dx0 + dx1) / 2 AS px, (dy0 + dy1) / 2 AS py FROM pairs)

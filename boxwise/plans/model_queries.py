@@ -135,6 +135,17 @@ CELLS = """d AS (SELECT image_id, box_id, label, CAST(dataset AS INT) AS layer,
           WHERE q.kind = 'DET' AND q.image_id % 10 = 0 GROUP BY q.image_id, q.box_id, q.label, q.layer)"""
 
 
+#: The same for all detections, by running counts.
+ALL_CELLS = """d AS (SELECT image_id, box_id, label, CAST(dataset AS INT) AS layer, round(score, 3) AS distance, kind FROM boxes),
+    w AS (SELECT *, count(*) FILTER (kind = 'GT') OVER (PARTITION BY layer, label ORDER BY distance RANGE UNBOUNDED PRECEDING) AS below, count(*) FILTER (kind = 'GT') OVER (PARTITION BY layer, label) AS n FROM d),
+    p AS (SELECT image_id, box_id, label, layer, distance, below / CAST(n AS DOUBLE) AS percentile FROM w WHERE kind = 'DET' AND n >= 10)"""
+
+
+def _all_cells(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    d = view(spark, sf_dir, "boxes").selectExpr("image_id", "box_id", "label", "dataset AS layer", "round(score, 3) AS distance", "kind")
+    return d.where("kind = 'DET'").drop("kind"), d.where("kind = 'GT'").select("label", "layer", "distance")
+
+
 def _cells(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     d = view(spark, sf_dir, "boxes").selectExpr("image_id", "box_id", "label", "dataset AS layer", "round(score, 3) AS distance", "kind")
     return d.where("kind = 'DET' and image_id % 10 = 0").drop("kind"), d.where("kind = 'GT'").select("label", "layer", "distance")
@@ -157,6 +168,25 @@ def u11_conformal_auroc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.auroc(R.variants(scored, ["label", "y"], {"percentile": "percentile", "raw": "distance"}), ["label", "variant"], "y", "score").select("label", "variant", r6(F.col("auroc")).alias("auroc"))
 
 
+@query("f13_conformal_percentiles_all", f"WITH {ALL_CELLS} SELECT image_id, box_id, label, layer, round(percentile, 6) AS percentile FROM p")
+def f13_conformal_percentiles_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows, reference = _all_cells(spark, sf_dir)
+    return U.percentiles(rows, reference, ["layer", "label"], "distance").select("image_id", "box_id", "label", "layer", r6(F.col("percentile")).alias("percentile"))
+
+
+@query(
+    "u11_conformal_auroc_all",
+    f"""WITH {ALL_CELLS}, v AS (SELECT label, box_id % 2 AS y, 'percentile' AS variant, percentile AS s FROM p UNION ALL SELECT label, box_id % 2, 'raw', distance FROM p),
+        r AS (SELECT label, variant, y, rank() OVER (PARTITION BY label, variant ORDER BY s) + (count(*) OVER (PARTITION BY label, variant, s) - 1) / 2.0::DOUBLE AS k FROM v),
+        g AS (SELECT label, variant, sum(CASE WHEN y = 1 THEN k ELSE 0 END) AS k, CAST(sum(y) AS DOUBLE) AS pos, CAST(sum(1 - y) AS DOUBLE) AS neg FROM r GROUP BY label, variant)
+        SELECT label, variant, round((k - pos * (pos + 1) / 2) / (pos * neg), 6) AS auroc FROM g WHERE pos > 0 AND neg > 0""",
+)
+def u11_conformal_auroc_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows, reference = _all_cells(spark, sf_dir)
+    scored = U.percentiles(rows, reference, ["layer", "label"], "distance").withColumn("y", F.col("box_id") % 2)
+    return R.auroc(R.variants(scored, ["label", "y"], {"percentile": "percentile", "raw": "distance"}), ["label", "variant"], "y", "score").select("label", "variant", r6(F.col("auroc")).alias("auroc"))
+
+
 @query(
     "a7_distance_buckets",
     "SELECT dataset AS layer, label, count(*) AS n, round(list_sort(list(score))[1], 6) AS least, round(list_sort(list(score))[count(*)], 6) AS largest FROM boxes GROUP BY dataset, label",
