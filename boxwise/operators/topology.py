@@ -76,26 +76,37 @@ def uncertainty(distances: DataFrame, keys: list[str], layers: int | None = None
     return distances.groupBy(*keys).agg((total / (F.count(F.lit(1)) if layers is None else F.lit(layers))).alias("tu"))
 
 
-def clusters(vectors: DataFrame, group: list[str], key: str, x: str, k: int = 4, rounds: int = 5) -> DataFrame:
+def clusters(vectors: DataFrame, group: list[str], key: str, x: str, k: int = 4, rounds: int = 3000) -> DataFrame:
     """group..., cluster_id, n and m of up to k prototypes of each group (A5).
 
-    Lloyd's rounds as aggregates: the start is the k rows whose keys mix lowest; every
-    row goes to its nearest centre, the first of equal ones; centres are exact means, and
-    empty ones vanish. One row is its own prototype. Any group size spreads over tasks.
+    The start is the row whose key mixes lowest, then k - 1 times the row farthest from
+    the centres so far, while one differs from them all. Lloyd's rounds are aggregates,
+    until no centre moves, or for as many rounds as the reference's: every row goes to its nearest centre, the first of equal ones;
+    centres are exact means, and empty ones vanish. One row is its own prototype. Any
+    group size spreads over tasks.
     """
-    order = Window.partitionBy(*group).orderBy(T.mixed(F.col(key), 5), key)
-    start = vectors.withColumn("_k", F.row_number().over(order)).where(F.col("_k") <= k)
-    centres = start.groupBy(*group).agg(F.array_sort(F.collect_list(F.struct((F.col("_k") - 1).alias("c"), F.col(x).alias("m")))).alias("centres"))
-
-    def nearest(v: Column, cs: Column) -> Column:
-        each = F.transform(cs, lambda c: F.struct(S.rms_distance(v, c["m"]).alias("d"), c["c"].alias("c")))
-        return F.array_min(each)["c"]
-
-    means = None
+    rows = vectors.where(F.col(x).isNotNull()).select(*group, F.col(key).alias("_key"), F.col(x).alias("_x"))
+
+    def each(v: Column, cs: Column) -> Column:
+        return F.array_min(F.transform(cs, lambda c: F.struct(S.rms_distance(v, c["m"]).alias("d"), c["c"].alias("c"))))
+
+    first = F.min_by("_x", F.struct(T.mixed(F.col("_key"), 5).alias("h"), F.col("_key").alias("key")))
+    centres = rows.groupBy(*group).agg(F.array(F.struct(F.lit(0).alias("c"), first.alias("m"))).alias("centres")).checkpoint()
+    for c in range(1, k):
+        far = rows.join(centres, group).withColumn("_d", each(F.col("_x"), F.col("centres"))["d"]).where(F.col("_d") > 0)
+        more = far.groupBy(*group).agg(F.min_by("_x", F.struct((-F.col("_d")).alias("d"), F.col("_key").alias("key"))).alias("_m"))
+        joined = centres.join(more, group, "left")
+        centres = joined.select(*group, F.when(F.col("_m").isNull(), F.col("centres")).otherwise(F.concat("centres", F.array(F.struct(F.lit(c).alias("c"), F.col("_m").alias("m"))))).alias("centres")).checkpoint()
     for _ in range(rounds):
-        placed = vectors.select(*group, x).join(centres, group).withColumn("cluster_id", nearest(F.col(x), F.col("centres")))
+        placed = rows.join(centres, group).select(*group, F.col("_x").alias(x), each(F.col("_x"), F.col("centres"))["c"].alias("cluster_id"))
         means = T.vector_mean(placed, [*group, "cluster_id"], x).checkpoint()
-        centres = means.groupBy(*group).agg(F.array_sort(F.collect_list(F.struct(F.col("cluster_id").alias("c"), "m"))).alias("centres"))
+        moved = means.groupBy(*group).agg(F.array_sort(F.collect_list(F.struct(F.col("cluster_id").alias("c"), "m"))).alias("centres")).checkpoint()
+        same = centres.select(*group, F.col("centres").alias("_old")).join(moved, group)
+        # Sums in another order may differ in the last digits.
+        gone = F.exists(F.zip_with("centres", "_old", lambda a, b: (a["c"] != b["c"]) | (F.nanvl(S.rms_distance(a["m"], b["m"]), F.lit(0.0)) > 1e-12)), lambda y: y)
+        if same.where((F.size("centres") != F.size("_old")) | gone).isEmpty():
+            break
+        centres = moved
     return means
 
 
