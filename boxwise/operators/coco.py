@@ -7,11 +7,17 @@ and sampled at 101 recalls.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from boxwise.operators import matching as M
+from boxwise.operators import ranking as R
+from boxwise.session import checkpointed
+
 #: The protocol's IoU thresholds, areas and numbers of detections.
 THRESHOLDS = [round(0.5 + 0.05 * k, 2) for k in range(10)]
 AREAS = {"all": (0.0, 1e10), "small": (0.0, 1024.0), "medium": (1024.0, 9216.0), "large": (9216.0, 1e10)}
@@ -20,34 +26,33 @@ MAX_DETS = (1, 10, 100)
 MATCH_SCHEMA = "image_id long, category_id int, area_range string, iou_thr double, det_id long, det_rank int, score double, gt_id long, ignored boolean"
 
 
-def match_image(d: pd.DataFrame, g: pd.DataFrame, thresholds: list[float], areas: dict[str, tuple[float, float]], most: int) -> pd.DataFrame:
-    """The matches of one image and category.
+def match_image(d: dict[str, np.ndarray], g: dict[str, np.ndarray], thresholds: list[float], areas: dict[str, tuple[float, float]]) -> tuple[np.ndarray, np.ndarray]:
+    """For the detections of one image and category, highest score first, the place of the ground truth taken (-1: none) and whether it is ignored, by (area, threshold).
 
-    Detections in the order (score descending, det_id), the first `most`. Ground truth is
-    ignored if it is a crowd or outside of the area. A detection takes the regular one of
-    highest IoU that is free, the later of equal ones; only without one an ignored one, and
-    crowds may be taken again. The IoU with a crowd is over the detection's own area. A
-    detection is ignored if what it took is, or if it took nothing and is outside of the area.
+    Ground truth is ignored if it is a crowd or outside of the area. A detection takes the
+    regular one of highest IoU that is free, the later of equal ones; only without one an
+    ignored one, and crowds may be taken again. The IoU with a crowd is over the detection's
+    own area. A detection is ignored if what it took is, or if it took nothing and is
+    outside of the area.
     """
-    d = d.sort_values(["score", "det_id"], ascending=[False, True]).head(most)
-    a, b = d[["x0", "y0", "x1", "y1"]].to_numpy(float), g[["x0", "y0", "x1", "y1"]].to_numpy(float)
-    crowd = g["iscrowd"].to_numpy(bool)
+    a, b = M.corners(d, ("x0", "y0", "x1", "y1")), M.corners(g, ("x0", "y0", "x1", "y1"))
+    crowd = g["iscrowd"].astype(bool)
     area_d, area_g = (np.prod(x[:, 2:] - x[:, :2], axis=1) for x in (a, b))
     low, high = np.maximum(a[:, None, :2], b[None, :, :2]), np.minimum(a[:, None, 2:], b[None, :, 2:])
     inside = np.prod(np.clip(high - low, 0, None), axis=2)
     whole = np.where(crowd[None], area_d[:, None], area_d[:, None] + area_g[None] - inside)
     iou = np.divide(inside, whole, out=np.zeros_like(inside), where=whole > 0)
     # One row of state for each (area, threshold): all of them take each detection together.
-    names = np.repeat(list(areas), len(thresholds))
     least, largest = (np.repeat([r[k] for r in areas.values()], len(thresholds))[:, None] for k in range(2))
     floor = np.minimum(np.tile(thresholds, len(areas)), 1 - 1e-10)[:, None]
-    ignored = crowd | (g["area"].to_numpy(float) < least) | (g["area"].to_numpy(float) > largest)
-    cells, n_gt = len(names), len(g)
+    own = g["area"].astype(float)
+    ignored = crowd | (own < least) | (own > largest)
+    cells, n_gt = len(floor), len(own)
     free = np.ones((cells, n_gt), dtype=bool)
-    taken = np.full((len(d), cells), -1)
+    taken = np.full((len(a), cells), -1)
     void = ((area_d < least) | (area_d > largest)).T
     each = np.arange(cells)
-    for k in range(len(d) if n_gt else 0):
+    for k in range(len(a) if n_gt else 0):
         able = (free | crowd) & (iou[k] >= floor)
         regular = able & ~ignored
         usable = np.where(regular.any(axis=1, keepdims=True), regular, able)
@@ -56,31 +61,55 @@ def match_image(d: pd.DataFrame, g: pd.DataFrame, thresholds: list[float], areas
         free[each[hit], pick[hit]] = False
         taken[k, hit] = pick[hit]
         void[k, hit] = ignored[each[hit], pick[hit]]
-    ids = np.append(g["gt_id"].to_numpy(), 0)
-    frame = pd.DataFrame({"area_range": np.tile(names, len(d)), "iou_thr": np.tile(thresholds, len(areas) * len(d)), "det_id": np.repeat(d["det_id"].to_numpy(), cells), "det_rank": np.repeat(np.arange(1, len(d) + 1), cells), "score": np.repeat(d["score"].to_numpy(), cells)})
-    frame["gt_id"] = pd.Series(ids[taken.ravel()], dtype="Int64").where(taken.ravel() >= 0)
-    frame["ignored"] = void.ravel()
-    return frame
+    return taken, void
 
 
 def match(det: DataFrame, gt: DataFrame, thresholds: list[float] | None = None, areas: dict[str, tuple[float, float]] | None = None, most: int = 100) -> DataFrame:
     """A row of MATCH_SCHEMA for each detection, threshold and area.
 
     det: image_id, category_id, det_id, score, x0, y0, x1, y1; gt: image_id, category_id, gt_id,
-    x0, y0, x1, y1, area, iscrowd.
+    x0, y0, x1, y1, area, iscrowd. Detections of an image and category are taken in the
+    order (score descending, det_id), the first `most`. An image without detections has
+    no rows; detections without ground truth match nothing.
     """
     thresholds, areas = thresholds or THRESHOLDS, areas or AREAS
-
-    def both(key: tuple, d: pd.DataFrame, g: pd.DataFrame) -> pd.DataFrame:
-        out = match_image(d, g, thresholds, areas, most)
-        out.insert(0, "image_id", key[0])
-        out.insert(1, "category_id", key[1])
-        return out
+    names = list(areas)
+    cells = len(names) * len(thresholds)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found: list[tuple[np.ndarray, ...]] = []
+            for row, d, g in M.sides(batch):
+                n = len(d["det_id"])
+                if not n:
+                    continue
+                taken, void = match_image(d, g, thresholds, areas)
+                ids = np.append(g["gt_id"].astype(np.int64), 0)
+                found.append((np.full(n, row), d["det_id"].astype(np.int64), np.arange(1, n + 1), -d["order"], ids[taken], taken >= 0, void))
+            if not found:
+                continue
+            row, det_id, rank, score, gt_id, hit, void = (np.concatenate(x) for x in zip(*found, strict=True))
+            each = np.repeat(row, cells)
+            yield pa.record_batch(
+                [
+                    *(batch[c].take(pa.array(each)) for c in ("image_id", "category_id")),
+                    pa.array(np.tile(np.repeat(names, len(thresholds)), len(row))),
+                    pa.array(np.tile(np.array(thresholds, dtype=float), len(row) * len(names))),
+                    pa.array(np.repeat(det_id, cells)),
+                    pa.array(np.repeat(rank, cells), pa.int32()),
+                    pa.array(np.repeat(score.astype(float), cells)),
+                    pa.array(gt_id.ravel(), mask=~hit.ravel()),
+                    pa.array(void.ravel()),
+                ],
+                ["image_id", "category_id", "area_range", "iou_thr", "det_id", "det_rank", "score", "gt_id", "ignored"],
+            )
 
     # What lies beyond the largest number of detections never moves.
-    top = det.withColumn("_r", F.row_number().over(Window.partitionBy("image_id", "category_id").orderBy(F.desc("score"), "det_id"))).where(F.col("_r") <= most).drop("_r")
-    keys = ["image_id", "category_id"]
-    return top.groupBy(*keys).cogroup(gt.groupBy(*keys)).applyInPandas(both, MATCH_SCHEMA)
+    top = M.top_per_group(det, ["image_id", "category_id"], [F.desc("score"), F.asc("det_id")], most).withColumn("order", -F.col("score").cast("double"))
+    xyxy = ["x0", "y0", "x1", "y1"]
+    typed = [f.select(F.col("image_id").cast("long").alias("image_id"), F.col("category_id").cast("int").alias("category_id"), *cols) for f, cols in ((top, ["order", "det_id", *xyxy]), (gt, ["gt_id", *xyxy, "area", "iscrowd"]))]
+    rows = M.by_image(*typed, ["image_id", "category_id"], ["order", "det_id", *xyxy], ["gt_id", *xyxy, "area", "iscrowd"], "left")
+    return rows.mapInArrow(run, MATCH_SCHEMA)
 
 
 def positives(gt: DataFrame, areas: dict[str, tuple[float, float]] | None = None) -> DataFrame:
@@ -90,16 +119,30 @@ def positives(gt: DataFrame, areas: dict[str, tuple[float, float]] | None = None
     return rows.where("iscrowd = 0 and area >= low and area <= high").groupBy("category_id", "area_range").agg(F.count(F.lit(1)).alias("npos"))
 
 
-def precision_recall(matches: DataFrame, npos: DataFrame, max_dets: tuple[int, ...] = MAX_DETS) -> DataFrame:
-    """For each key (category_id, area_range, max_det, iou_thr) and detection that counts, by score: rank, recall, precision and envelope (the highest precision from there on)."""
-    keys = ["category_id", "area_range", "max_det", "iou_thr"]
-    rows = matches.where(~F.col("ignored")).select("*", F.explode(F.array(*map(F.lit, max_dets))).alias("max_det")).where(F.col("det_rank") <= F.col("max_det"))
-    order = Window.partitionBy(*keys).orderBy(F.desc("score"), "image_id", "det_id")
-    up = order.rowsBetween(Window.unboundedPreceding, 0)
-    counted = rows.withColumn("rank", F.row_number().over(order)).withColumn("tp", F.sum(F.col("gt_id").isNotNull().cast("int")).over(up)).join(npos.where("npos > 0"), ["category_id", "area_range"])
-    curve = counted.withColumn("precision", F.col("tp") / F.col("rank")).withColumn("recall", F.col("tp") / F.col("npos"))
-    ahead = Window.partitionBy(*keys).orderBy("rank").rowsBetween(0, Window.unboundedFollowing)
-    return curve.select(*keys, "rank", "score", "precision", "recall", F.max("precision").over(ahead).alias("envelope"))
+def precision_recall(matches: DataFrame, npos: DataFrame, max_dets: tuple[int, ...] = MAX_DETS, hits_only: bool = False) -> DataFrame:
+    """For each key (category_id, area_range, max_det, iou_thr) and detection that counts, by score: rank, hit, recall, precision and envelope (the highest precision from there on).
+
+    Detections are dealt into ranges of scores by category, and ranges add up, so that a
+    frequent category is no single task; all of max_dets share one pass, as a lower
+    number only leaves rows out. Both steps read their input more than once and find it in
+    the shared folder. hits_only: leaves out detections that took nothing, which neither
+    the envelope nor the average precision depends on once ranks are counted.
+    """
+    matches = checkpointed(matches)
+    keys = ["category_id", "area_range", "iou_thr"]
+    down = [F.desc("score"), F.asc("image_id"), F.asc("det_id")]
+    up = [F.asc("score"), F.desc("image_id"), F.desc("det_id")]
+    counts = {m: F.col("det_rank") <= m for m in max_dets}
+    flags = {f"n_{m}": w.cast("int") for m, w in counts.items()} | {f"tp_{m}": (w & F.col("gt_id").isNotNull()).cast("int") for m, w in counts.items()}
+    rows = matches.where(~F.col("ignored") & (F.col("det_rank") <= max(max_dets))).select(*keys, "image_id", "det_id", "score", *(v.alias(k) for k, v in flags.items()))
+    bounds = R.band_bounds(rows, ["category_id"], "score")
+    cum = R.cumulated(R.banded(rows, bounds, ["category_id"], "score"), keys, down, list(flags), descending=True)
+    curve = cum.withColumns({f"p_{m}": F.when(F.col(f"n_{m}") > 0, F.col(f"cum_tp_{m}") / F.col(f"cum_n_{m}")) for m in max_dets})
+    if hits_only:
+        curve = curve.where(" or ".join(f"tp_{m} > 0" for m in max_dets))
+    tops = R.highest_after(checkpointed(curve), keys, up, [f"p_{m}" for m in max_dets], descending=True).join(npos.where("npos > 0"), ["category_id", "area_range"])
+    each = F.array(*(F.struct(F.lit(m).alias("max_det"), F.col(f"n_{m}").alias("n"), F.col(f"tp_{m}").alias("hit"), F.col(f"cum_n_{m}").alias("rank"), F.col(f"cum_tp_{m}").alias("tp"), F.col(f"p_{m}").alias("precision"), F.col(f"max_p_{m}").alias("envelope")) for m in max_dets))
+    return tops.select(*keys, "score", "npos", F.inline(each)).where("hit > 0" if hits_only else "n > 0").select("category_id", "area_range", "max_det", "iou_thr", "rank", "score", "hit", "precision", (F.col("tp") / F.col("npos")).alias("recall"), "envelope", "tp", "npos")
 
 
 def average_precision(curve: DataFrame, npos: DataFrame, thresholds: list[float] | None = None, max_dets: tuple[int, ...] = MAX_DETS) -> DataFrame:
@@ -109,11 +152,10 @@ def average_precision(curve: DataFrame, npos: DataFrame, thresholds: list[float]
     number of samples that a step of recall covers is counted, so no join on ranges is needed.
     """
     keys = ["category_id", "area_range", "max_det", "iou_thr"]
-    # Sample k is taken at the first rank whose recall reaches k / 100.
-    done = F.floor(F.col("recall") * 100 + 1e-9)
-    before = F.coalesce(F.lag("_done").over(Window.partitionBy(*keys).orderBy("rank")), F.lit(-1))
-    steps = curve.withColumn("_done", done).withColumn("_n", F.col("_done") - before)
-    found = steps.groupBy(*keys).agg((F.sum(F.col("_n") * F.col("envelope")) / 101).alias("ap"), F.max("recall").alias("recall"))
+    # Sample k is taken at the first hit whose recall reaches k / 100, and sample 0 at the first hit: nothing before it has a higher envelope.
+    samples = lambda tp: F.floor(tp / F.col("npos") * 100 + 1e-9)
+    taken = samples(F.col("tp")) - F.when(F.col("tp") == 1, F.lit(-1)).otherwise(samples(F.col("tp") - 1))
+    found = curve.groupBy(*keys).agg((F.sum(F.when(F.col("hit") > 0, taken * F.col("envelope")).otherwise(0.0)) / 101).alias("ap"), F.max("recall").alias("recall"))
     every = npos.where("npos > 0").select("category_id", "area_range", F.explode(F.array(*map(F.lit, max_dets))).alias("max_det")).select("*", F.explode(F.array(*map(F.lit, thresholds or THRESHOLDS))).alias("iou_thr"))
     return every.join(found, keys, "left").select(*keys, F.coalesce("ap", F.lit(0.0)).alias("ap"), F.coalesce("recall", F.lit(0.0)).alias("recall"))
 

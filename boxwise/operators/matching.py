@@ -7,8 +7,11 @@ sequential runs inside one such group.
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -56,20 +59,27 @@ def nms(boxes: DataFrame, threshold: float = 0.7, keep: int = 300, floor: float
     """
     schema = "image_id long, label int, box_id long, score double, x0 double, y0 double, x1 double, y1 double"
 
-    def survivors(g: pd.DataFrame) -> pd.DataFrame:
-        g = g.sort_values(["score", "box_id"], ascending=[False, True])
-        xy = g[["x0", "y0", "x1", "y1"]].to_numpy(dtype=float)
-        over = _iou_matrix(xy, xy) > threshold
-        alive = np.ones(len(g), dtype=bool)
-        for i in range(len(g)):
-            if alive[i]:
-                alive[i + 1 :] &= ~over[i, i + 1 :]
-        return g[alive]
+    def survivors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ends = np.concatenate([[0], np.cumsum(pc.list_value_length(batch["boxes"]).to_numpy())])
+            flat = pa.RecordBatch.from_struct_array(batch["boxes"].flatten())
+            xy = np.stack([flat[c].to_numpy() for c in ("x0", "y0", "x1", "y1")], axis=1)
+            alive = np.ones(len(flat), dtype=bool)
+            for a, b in zip(ends[:-1], ends[1:], strict=True):
+                over = _iou_matrix(xy[a:b], xy[a:b]) > threshold
+                own = alive[a:b]
+                for i in range(b - a):
+                    if own[i]:
+                        own[i + 1 :] &= ~over[i, i + 1 :]
+            group = pa.array(np.repeat(np.arange(len(batch)), np.diff(ends))[alive])
+            left = flat.filter(pa.array(alive))
+            yield pa.record_batch([batch["image_id"].take(group), batch["label"].take(group), left["box_id"], pc.negate(left["order"]), *(left[c] for c in ("x0", "y0", "x1", "y1"))], ["image_id", "label", "box_id", "score", "x0", "y0", "x1", "y1"])
 
     rows = boxes.select("image_id", F.col("label").cast("int").alias("label"), "box_id", "score", "x0", "y0", "x1", "y1")
     if floor is not None:
         rows = rows.where(F.col("score") > floor)
-    kept = rows.groupBy("image_id", "label").applyInPandas(survivors, schema)
+    first = F.struct((-F.col("score").cast("double")).alias("order"), "box_id", *(F.col(c).cast("double").alias(c) for c in ("x0", "y0", "x1", "y1")))
+    kept = rows.groupBy("image_id", "label").agg(F.array_sort(F.collect_list(first)).alias("boxes")).mapInArrow(survivors, schema)
     return top_per_group(kept, ["image_id"], [F.desc("score"), F.asc("box_id")], keep).drop("rank")
 
 
@@ -131,50 +141,103 @@ def _giou_matrix(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return iou - (hull - (np.add.outer(*areas) - inside)) / hull
 
 
-def hungarian_match(det: DataFrame, gt: DataFrame, class_weight: float = 2.0, box_weight: float = 5.0, giou_weight: float = 2.0, alpha: float = 0.25, gamma: float = 2.0) -> DataFrame:
+def by_image(det: DataFrame, gt: DataFrame, keys: list[str], det_values: list[str], gt_values: list[str], how: str = "inner") -> DataFrame:
+    """keys..., d and g: the detections and the ground truth of each group as sorted arrays of structs, which are as large as an image."""
+    d = det.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(*det_values))).alias("d"))
+    g = gt.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(*gt_values))).alias("g"))
+    return d.join(g, keys, how)
+
+
+def sides(batch: pa.RecordBatch) -> Iterator[tuple[int, dict[str, np.ndarray], dict[str, np.ndarray]]]:
+    """Row number, detections and ground truth, by column, of each row of by_image(); a missing side is empty."""
+
+    def columns(name: str) -> tuple[np.ndarray, dict[str, np.ndarray]]:
+        column = batch[name]
+        ends = np.concatenate([[0], np.cumsum(pc.fill_null(pc.list_value_length(column), 0).to_numpy(zero_copy_only=False))]).astype(np.int64)
+        flat = column.flatten()
+        return ends, {f.name: part.to_numpy(zero_copy_only=False) for f, part in zip(flat.type, flat.flatten(), strict=True)}
+
+    (d_ends, d), (g_ends, g) = columns("d"), columns("g")
+    for row in range(len(batch)):
+        yield row, {k: v[d_ends[row] : d_ends[row + 1]] for k, v in d.items()}, {k: v[g_ends[row] : g_ends[row + 1]] for k, v in g.items()}
+
+
+def corners(g: dict[str, np.ndarray], names: tuple[str, str, str, str]) -> np.ndarray:
+    return np.stack([g[c].astype(float) for c in names], axis=1)
+
+
+def _assigned(rows: DataFrame, value: str, solve: Callable[[dict, dict], tuple[np.ndarray, np.ndarray, np.ndarray]]) -> DataFrame:
+    """image_id, det_id, gt_id and the value of the pairs that solve() returns as places and values."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            image, det, gt, values = [], [], [], []
+            for row, d, g in sides(batch):
+                i, j, v = solve(d, g)
+                image.append(np.full(len(i), row))
+                det.append(d["det_id"][i])
+                gt.append(g["gt_id"][j])
+                values.append(v)
+            if image:
+                own = batch["image_id"].take(pa.array(np.concatenate(image)))
+                yield pa.record_batch([own, *(pa.array(np.concatenate(x).astype(t)) for x, t in ((det, np.int64), (gt, np.int64), (values, np.float64)))], ["image_id", "det_id", "gt_id", value])
+
+    return rows.mapInArrow(run, f"image_id long, det_id long, gt_id long, {value} double")
+
+
+def hungarian_match(det: DataFrame, gt: DataFrame, class_weight: float = 2.0, box_weight: float = 5.0, giou_weight: float = 2.0, alpha: float = 0.25, gamma: float = 2.0, focal: bool = True) -> DataFrame:
     """image_id, det_id, gt_id, cost of the assignment of least cost in each image.
 
-    det: image_id, det_id, p (probability of the class that the box is compared for), cx, cy,
-    w, h, label; gt: image_id, gt_id, label, cx, cy, w, h. The class cost is the focal one, of
-    the detection's p where its label is the target's and of 1 - p elsewhere; the
-    others are the L1 distance and the negative GIoU of the boxes.
+    det: image_id, det_id, logits (one for each class), cx, cy, w, h; gt: image_id, gt_id, label,
+    cx, cy, w, h. The class cost of a pair is of the detection's probability for the target's
+    class: the focal cost of its sigmoid (F17), or, without focal, its negative softmax; the
+    others are the L1 distance and the negative GIoU of the boxes. Images without either
+    side have no rows.
     """
-
-    def corners(g: pd.DataFrame) -> np.ndarray:
-        c = g[["cx", "cy", "w", "h"]].to_numpy(dtype=float)
-        return np.concatenate([c[:, :2] - c[:, 2:] / 2, c[:, :2] + c[:, 2:] / 2], axis=1)
-
-    def match(d: pd.DataFrame, g: pd.DataFrame) -> pd.DataFrame:
-        if d.empty or g.empty:
-            return pd.DataFrame({"image_id": [], "det_id": [], "gt_id": [], "cost": []})
-        d, g = d.sort_values("det_id"), g.sort_values("gt_id")
-        p = np.where(d["label"].to_numpy()[:, None] == g["label"].to_numpy()[None], d["p"].to_numpy()[:, None], 1 - d["p"].to_numpy()[:, None])
-        positive = alpha * (1 - p) ** gamma * -np.log(p + 1e-8)
-        negative = (1 - alpha) * p**gamma * -np.log(1 - p + 1e-8)
-        names = ["cx", "cy", "w", "h"]
-        far = np.abs(d[names].to_numpy()[:, None] - g[names].to_numpy()[None]).sum(axis=2)
-        cost = class_weight * (positive - negative) + box_weight * far - giou_weight * _giou_matrix(corners(d), corners(g))
+    shape = ("cx", "cy", "w", "h")
+
+    def solve(d: dict, g: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        x = np.stack(list(d["logits"])).astype(float)
+        a, b = corners(d, shape), corners(g, shape)
+        if focal:
+            p = (1 / (1 + np.exp(-x)))[:, g["label"]]
+            kind = alpha * (1 - p) ** gamma * -np.log(p + 1e-8) - (1 - alpha) * p**gamma * -np.log(1 - p + 1e-8)
+        else:
+            e = np.exp(x - x.max(axis=1, keepdims=True))
+            kind = -(e / e.sum(axis=1, keepdims=True))[:, g["label"]]
+        far = np.abs(a[:, None] - b[None]).sum(axis=2)
+        ends = [np.concatenate([c[:, :2] - c[:, 2:] / 2, c[:, :2] + c[:, 2:] / 2], axis=1) for c in (a, b)]
+        cost = class_weight * kind + box_weight * far - giou_weight * _giou_matrix(*ends)
         i, j = assign(cost)
-        return pd.DataFrame({"image_id": d["image_id"].iloc[0], "det_id": d["det_id"].to_numpy()[i], "gt_id": g["gt_id"].to_numpy()[j], "cost": cost[i, j]})
+        return i, j, cost[i, j]
 
-    return det.groupBy("image_id").cogroup(gt.groupBy("image_id")).applyInPandas(match, "image_id long, det_id long, gt_id long, cost double")
+    return _assigned(by_image(det, gt, ["image_id"], ["det_id", "logits", *shape], ["gt_id", "label", *shape]), "cost", solve)
 
 
 def overlap_assignment(det: DataFrame, gt: DataFrame, least: float = 0.1) -> DataFrame:
     """image_id, det_id, gt_id, iou: the assignment of least total 1 - IoU, plus 1000 where labels differ; only pairs of one label and at least `least` IoU are kept."""
+    a, b = ("dx0", "dy0", "dx1", "dy1"), ("gx0", "gy0", "gx1", "gy1")
 
-    def match(d: pd.DataFrame, g: pd.DataFrame) -> pd.DataFrame:
-        if d.empty or g.empty:
-            return pd.DataFrame({"image_id": [], "det_id": [], "gt_id": [], "iou": []})
-        d, g = d.sort_values("det_id"), g.sort_values("gt_id")
-        iou = _iou_matrix(d[["dx0", "dy0", "dx1", "dy1"]].to_numpy(dtype=float), g[["gx0", "gy0", "gx1", "gy1"]].to_numpy(dtype=float))
-        same = d["label"].to_numpy()[:, None] == g["label"].to_numpy()[None]
+    def solve(d: dict, g: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        iou = _iou_matrix(corners(d, a), corners(g, b))
+        same = d["label"][:, None] == g["label"][None]
         i, j = assign(1 - iou + 1000.0 * ~same)
         ok = same[i, j] & (iou[i, j] >= least)
-        i, j = i[ok], j[ok]
-        return pd.DataFrame({"image_id": d["image_id"].iloc[0], "det_id": d["det_id"].to_numpy()[i], "gt_id": g["gt_id"].to_numpy()[j], "iou": iou[i, j]})
+        return i[ok], j[ok], iou[i[ok], j[ok]]
 
-    return det.groupBy("image_id").cogroup(gt.groupBy("image_id")).applyInPandas(match, "image_id long, det_id long, gt_id long, iou double")
+    return _assigned(by_image(det, gt, ["image_id"], ["det_id", "label", *a], ["gt_id", "label", *b]), "iou", solve)
+
+
+def with_errors(det: DataFrame, gt: DataFrame, matches: DataFrame) -> DataFrame:
+    """image_id, outcome ('match', 'false_positive' or 'missed'), det_id, gt_id, iou: every detection and ground truth once.
+
+    Images with one side only have rows too.
+    """
+    found = matches.select("image_id", F.lit("match").alias("outcome"), "det_id", "gt_id", "iou")
+    false = det.select("image_id", "det_id").join(matches.select("image_id", "det_id"), ["image_id", "det_id"], "left_anti")
+    lost = gt.select("image_id", "gt_id").join(matches.select("image_id", "gt_id"), ["image_id", "gt_id"], "left_anti")
+    none, no_iou = F.lit(None).cast("long"), F.lit(None).cast("double").alias("iou")
+    return found.unionByName(false.select("image_id", F.lit("false_positive").alias("outcome"), "det_id", none.alias("gt_id"), no_iou)).unionByName(lost.select("image_id", F.lit("missed").alias("outcome"), none.alias("det_id"), "gt_id", no_iou))
 
 
 def state_match(state: DataFrame, wanted: DataFrame, key: str, shape: str) -> DataFrame:

@@ -15,17 +15,57 @@ from pyspark.sql import functions as F
 BANDS = 64
 
 
-def running(df: DataFrame, group: list[str], by: str, sums: list[str], descending: bool = False) -> DataFrame:
-    """df, unique in (group, by), with cum_<s> for each sum: the total up to and with the row's own `by`."""
-    low = df.groupBy(*group).agg(F.percentile_approx(by, [k / BANDS for k in range(1, BANDS)], 10_000).alias("_bounds"))
-    banded = df.join(low, group).withColumn("_band", F.size(F.filter("_bounds", lambda b: b < F.col(by)))).drop("_bounds")
-    order = F.desc(by) if descending else F.asc(by)
-    within = Window.partitionBy(*group, "_band").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
-    totals = banded.groupBy(*group, "_band").agg(*(F.sum(s).alias(f"_t_{s}") for s in sums))
+def band_bounds(df: DataFrame, group: list[str], by: str) -> DataFrame:
+    """group..., _bounds: the approximate quantiles of `by` that part a group into BANDS ranges."""
+    return df.groupBy(*group).agg(F.percentile_approx(by, [k / BANDS for k in range(1, BANDS)], 10_000).alias("_bounds"))
+
+
+def banded(df: DataFrame, bounds: DataFrame, group: list[str], by: str) -> DataFrame:
+    """df with _band: the range that `by` falls in; equal values fall in one."""
+    return df.join(bounds, group).withColumn("_band", F.size(F.filter("_bounds", lambda b: b < F.col(by)))).drop("_bounds")
+
+
+def cumulated(rows: DataFrame, group: list[str], order: list[Column], sums: list[str], descending: bool = False) -> DataFrame:
+    """rows, which have _band, with cum_<s> for each sum: the total up to and with each row in the given order, which begins with the score."""
+    within = Window.partitionBy(*group, "_band").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    totals = rows.groupBy(*group, "_band").agg(*(F.sum(s).alias(f"_t_{s}") for s in sums))
     before = Window.partitionBy(*group).orderBy(F.desc("_band") if descending else F.asc("_band")).rowsBetween(Window.unboundedPreceding, -1)
     offsets = totals.select(*group, "_band", *(F.coalesce(F.sum(f"_t_{s}").over(before), F.lit(0)).alias(f"_o_{s}") for s in sums))
-    joined = banded.withColumns({f"cum_{s}": F.sum(s).over(within) for s in sums}).join(offsets, [*group, "_band"])
-    return joined.withColumns({f"cum_{s}": F.col(f"cum_{s}") + F.col(f"_o_{s}") for s in sums}).drop("_band", *(f"_o_{s}" for s in sums))
+    joined = rows.withColumns({f"cum_{s}": F.sum(s).over(within) for s in sums}).join(offsets, [*group, "_band"])
+    return joined.withColumns({f"cum_{s}": F.col(f"cum_{s}") + F.col(f"_o_{s}") for s in sums}).drop(*(f"_o_{s}" for s in sums))
+
+
+def highest_after(rows: DataFrame, group: list[str], order: list[Column], values: list[str], descending: bool = False) -> DataFrame:
+    """rows, which have _band, with max_<v> for each value: the largest of each row and of those after it.
+
+    order: the reverse of the rows' order, so that the frame grows from its start and
+    each row is added once; descending says whether the rows themselves go down.
+    """
+    within = Window.partitionBy(*group, "_band").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    tops = rows.groupBy(*group, "_band").agg(*(F.max(v).alias(f"_t_{v}") for v in values))
+    later = Window.partitionBy(*group).orderBy(F.asc("_band") if descending else F.desc("_band")).rowsBetween(Window.unboundedPreceding, -1)
+    offsets = tops.select(*group, "_band", *(F.max(f"_t_{v}").over(later).alias(f"_o_{v}") for v in values))
+    joined = rows.withColumns({f"max_{v}": F.max(v).over(within) for v in values}).join(offsets, [*group, "_band"])
+    return joined.withColumns({f"max_{v}": F.greatest(f"max_{v}", f"_o_{v}") for v in values}).drop(*(f"_o_{v}" for v in values))
+
+
+def running(df: DataFrame, group: list[str], by: str, sums: list[str], descending: bool = False) -> DataFrame:
+    """df, unique in (group, by), with cum_<s> for each sum: the total up to and with the row's own `by`."""
+    rows = banded(df, band_bounds(df, group, by), group, by)
+    return cumulated(rows, group, [F.desc(by) if descending else F.asc(by)], sums, descending).drop("_band")
+
+
+def quantiles(df: DataFrame, group: list[str], x: str, wanted: dict[str, float]) -> DataFrame:
+    """group..., n and a column for each wanted quantile, between the two nearest values in proportion; NULLs are left out.
+
+    Ranks are read off running counts of distinct values, so no group is gathered.
+    """
+    counts = df.where(F.col(x).isNotNull()).groupBy(*group, F.col(x).cast("double").alias("v")).agg(F.count(F.lit(1)).alias("c"))
+    cum = running(counts, group, "v", ["c"])
+    n = F.col("_n")
+    at = {name: q * (n - 1) for name, q in wanted.items()}
+    found = cum.join(counts.groupBy(*group).agg(F.sum("c").alias("_n")), group).groupBy(*group, "_n").agg(*(F.min(F.when(F.col("cum_c") > edge(p), F.col("v"))).alias(f"_{side}_{name}") for name, p in at.items() for side, edge in (("low", F.floor), ("high", F.ceil))))
+    return found.select(*group, n.alias("n"), *((F.col(f"_low_{k}") + (F.col(f"_high_{k}") - F.col(f"_low_{k}")) * (p - F.floor(p))).alias(k) for k, p in at.items()))
 
 
 def histogram(df: DataFrame, group: list[str], y: str, score: str) -> DataFrame:
@@ -64,16 +104,9 @@ def ranked(df: DataFrame, group: list[str], score: str, key: str, values: list[s
     score stand in one range.
     """
     x = df.select(*group, F.col(score).cast("double").alias("_score"), F.col(key).alias("_key"), *values, F.lit(1).alias("one"))
-    low = x.groupBy(*group).agg(F.percentile_approx("_score", [k / BANDS for k in range(1, BANDS)], 10_000).alias("_bounds"))
-    banded = x.join(low, group).withColumn("_band", F.size(F.filter("_bounds", lambda b: b < F.col("_score")))).drop("_bounds")
-    order = [F.desc("_score") if descending else F.asc("_score"), F.asc("_key")]
-    sums = [*values, "one"]
-    within = Window.partitionBy(*group, "_band").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    totals = banded.groupBy(*group, "_band").agg(*(F.sum(s).alias(f"_t_{s}") for s in sums))
-    before = Window.partitionBy(*group).orderBy(F.desc("_band") if descending else F.asc("_band")).rowsBetween(Window.unboundedPreceding, -1)
-    offsets = totals.select(*group, "_band", *(F.coalesce(F.sum(f"_t_{s}").over(before), F.lit(0)).alias(f"_o_{s}") for s in sums))
-    out = banded.withColumns({f"_c_{s}": F.sum(s).over(within) for s in sums}).join(offsets, [*group, "_band"])
-    return out.select(*group, F.col("_score").alias("score"), F.col("_key").alias("key"), *values, *((F.col(f"_c_{v}") + F.col(f"_o_{v}")).alias(f"cum_{v}") for v in values), (F.col("_c_one") + F.col("_o_one")).alias("rank"))
+    rows = banded(x, band_bounds(x, group, "_score"), group, "_score")
+    out = cumulated(rows, group, [F.desc("_score") if descending else F.asc("_score"), F.asc("_key")], [*values, "one"], descending)
+    return out.select(*group, F.col("_score").alias("score"), F.col("_key").alias("key"), *values, *(f"cum_{v}" for v in values), F.col("cum_one").alias("rank"))
 
 
 def average_precision_ordered(df: DataFrame, group: list[str], y: str, score: str, key: str) -> DataFrame:

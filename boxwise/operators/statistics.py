@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from boxwise.operators import ranking as R
+
 
 def vector_mean(df: DataFrame, group: list[str], x: str, divide_by: int = 1) -> DataFrame:
     """group..., n and m: the mean of array x by element (A2). Both levels are partial aggregates, so a hot class costs a row a task and element.
@@ -38,6 +40,16 @@ def equal_bins(df: DataFrame, group: list[str], order: list[Column], bins: int)
     return df.withColumn("bin", F.ntile(bins).over(Window.partitionBy(*group).orderBy(*order)))
 
 
+def ranked_bins(df: DataFrame, group: list[str], x: str, key: str, values: list[str], bins: int) -> DataFrame:
+    """group..., score (x), key, values... and bin, the same bins as equal_bins() in the order (x, key), for groups of any size."""
+    r = R.ranked(df, group, x, key, values)
+    joined = r.join(r.groupBy(*group).agg(F.count(F.lit(1)).alias("_n")), group)
+    size, larger = F.floor(F.col("_n") / bins), F.col("_n") % bins
+    place = F.col("rank") - 1
+    bin_ = F.when(place < larger * (size + 1), F.floor(place / (size + 1))).otherwise(larger + F.floor((place - larger * (size + 1)) / size))
+    return joined.select(*group, "score", "key", *values, (bin_ + 1).cast("int").alias("bin"))
+
+
 def histogram(df: DataFrame, group: list[str], x: str, low: float, high: float, bins: int, kind: str = "count") -> DataFrame:
     """group..., bin (from 0), n and value: 'share' n over the total, 'density' that over the bin's width, 'count' n.
 

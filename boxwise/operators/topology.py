@@ -13,6 +13,7 @@ from pyspark.sql import types as T_
 from boxwise.functions import scalars as S
 from boxwise.operators import ranking as R
 from boxwise.operators import statistics as T
+from boxwise.session import checkpointed
 
 
 def spanning_tree(x: np.ndarray, w: np.ndarray) -> np.ndarray:
@@ -91,16 +92,16 @@ def clusters(vectors: DataFrame, group: list[str], key: str, x: str, k: int = 4,
         return F.array_min(F.transform(cs, lambda c: F.struct(S.rms_distance(v, c["m"]).alias("d"), c["c"].alias("c"))))
 
     first = F.min_by("_x", F.struct(T.mixed(F.col("_key"), 5).alias("h"), F.col("_key").alias("key")))
-    centres = rows.groupBy(*group).agg(F.array(F.struct(F.lit(0).alias("c"), first.alias("m"))).alias("centres")).checkpoint()
+    centres = checkpointed(rows.groupBy(*group).agg(F.array(F.struct(F.lit(0).alias("c"), first.alias("m"))).alias("centres")))
     for c in range(1, k):
         far = rows.join(centres, group).withColumn("_d", each(F.col("_x"), F.col("centres"))["d"]).where(F.col("_d") > 0)
         more = far.groupBy(*group).agg(F.min_by("_x", F.struct((-F.col("_d")).alias("d"), F.col("_key").alias("key"))).alias("_m"))
         joined = centres.join(more, group, "left")
-        centres = joined.select(*group, F.when(F.col("_m").isNull(), F.col("centres")).otherwise(F.concat("centres", F.array(F.struct(F.lit(c).alias("c"), F.col("_m").alias("m"))))).alias("centres")).checkpoint()
+        centres = checkpointed(joined.select(*group, F.when(F.col("_m").isNull(), F.col("centres")).otherwise(F.concat("centres", F.array(F.struct(F.lit(c).alias("c"), F.col("_m").alias("m"))))).alias("centres")))
     for _ in range(rounds):
         placed = rows.join(centres, group).select(*group, F.col("_x").alias(x), each(F.col("_x"), F.col("centres"))["c"].alias("cluster_id"))
-        means = T.vector_mean(placed, [*group, "cluster_id"], x).checkpoint()
-        moved = means.groupBy(*group).agg(F.array_sort(F.collect_list(F.struct(F.col("cluster_id").alias("c"), "m"))).alias("centres")).checkpoint()
+        means = checkpointed(T.vector_mean(placed, [*group, "cluster_id"], x))
+        moved = checkpointed(means.groupBy(*group).agg(F.array_sort(F.collect_list(F.struct(F.col("cluster_id").alias("c"), "m"))).alias("centres")))
         same = centres.select(*group, F.col("centres").alias("_old")).join(moved, group)
         # Sums in another order may differ in the last digits.
         gone = F.exists(F.zip_with("centres", "_old", lambda a, b: (a["c"] != b["c"]) | (F.nanvl(S.rms_distance(a["m"], b["m"]), F.lit(0.0)) > 1e-12)), lambda y: y)

@@ -16,7 +16,6 @@ from boxwise.plans.boxes_queries import PAIRS, det_box, gt_box, pairs, r6
 from boxwise.plans.registry import query
 from boxwise.plans.table_queries import EMB, vectors
 from boxwise.plans.views import table, view
-from boxwise.session import shared_checkpoints
 
 
 def coco_tables(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
@@ -36,7 +35,7 @@ def j9_coco_match(spark: SparkSession, sf_dir: str) -> DataFrame:
 def a25_a26_coco_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     det, gt = coco_tables(spark, sf_dir)
     npos = C.positives(gt)
-    return C.summary(C.average_precision(C.precision_recall(C.match(det, gt), npos), npos))
+    return C.summary(C.average_precision(C.precision_recall(C.match(det, gt), npos, hits_only=True), npos))
 
 
 def _flagged(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
@@ -65,7 +64,7 @@ def w6_w7_precision_envelope(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def w8_interpolated_ap(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows, npos = _flagged(spark, sf_dir)
-    ap = C.average_precision(C.precision_recall(rows, npos, (100,)), npos, [0.5], (100,))
+    ap = C.average_precision(C.precision_recall(rows, npos, (100,), hits_only=True), npos, [0.5], (100,))
     return ap.select(F.col("category_id").alias("label"), r6(F.col("ap")).alias("ap"))
 
 
@@ -103,7 +102,6 @@ def u2_topological_uncertainty(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("u3_clustered_uncertainty", None)
 def u3_clustered_uncertainty(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same against up to four prototypes of each class and layer."""
-    shared_checkpoints(spark)
     d = tree_diagrams(spark, sf_dir)
     prototypes = U.clusters(d.where("vec_id % 5 <> 0"), ["label", "layer"], "vec_id", "diagram")
     held = d.where("vec_id % 5 = 0").select("vec_id", "label", "layer", "diagram")
@@ -112,7 +110,6 @@ def u3_clustered_uncertainty(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("a5_cluster_prototypes", None)
 def a5_cluster_prototypes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    shared_checkpoints(spark)
     v = vectors(spark, sf_dir)
     return U.clusters(v, ["label", "layer"], "vec_id", "x").select("label", "layer", "cluster_id", "n", r6(F.col("m")[0]).alias("m0"))
 
@@ -128,27 +125,15 @@ def f12_j13_prototype_distance(spark: SparkSession, sf_dir: str) -> DataFrame:
     return U.prototype_distances(v.where("vec_id % 5 = 0").select("vec_id", "label", "x"), means, ["label"], "x").withColumn("distance", r6(F.col("distance")))
 
 
+#: Percentiles by running counts, for all detections.
 CELLS = """d AS (SELECT image_id, box_id, label, CAST(dataset AS INT) AS layer, round(score, 3) AS distance, kind FROM boxes),
-    n AS (SELECT layer, label, count(*) AS n FROM d WHERE kind = 'GT' GROUP BY layer, label HAVING count(*) >= 10),
-    p AS (SELECT q.image_id, q.box_id, q.label, q.layer, count(r.distance) / CAST(any_value(n.n) AS DOUBLE) AS percentile
-          FROM d q JOIN n ON q.layer = n.layer AND q.label = n.label LEFT JOIN d r ON r.kind = 'GT' AND r.layer = q.layer AND r.label = q.label AND r.distance <= q.distance
-          WHERE q.kind = 'DET' AND q.image_id % 10 = 0 GROUP BY q.image_id, q.box_id, q.label, q.layer)"""
-
-
-#: The same for all detections, by running counts.
-ALL_CELLS = """d AS (SELECT image_id, box_id, label, CAST(dataset AS INT) AS layer, round(score, 3) AS distance, kind FROM boxes),
     w AS (SELECT *, count(*) FILTER (kind = 'GT') OVER (PARTITION BY layer, label ORDER BY distance RANGE UNBOUNDED PRECEDING) AS below, count(*) FILTER (kind = 'GT') OVER (PARTITION BY layer, label) AS n FROM d),
     p AS (SELECT image_id, box_id, label, layer, distance, below / CAST(n AS DOUBLE) AS percentile FROM w WHERE kind = 'DET' AND n >= 10)"""
 
 
-def _all_cells(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    d = view(spark, sf_dir, "boxes").selectExpr("image_id", "box_id", "label", "dataset AS layer", "round(score, 3) AS distance", "kind")
-    return d.where("kind = 'DET'").drop("kind"), d.where("kind = 'GT'").select("label", "layer", "distance")
-
-
 def _cells(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     d = view(spark, sf_dir, "boxes").selectExpr("image_id", "box_id", "label", "dataset AS layer", "round(score, 3) AS distance", "kind")
-    return d.where("kind = 'DET' and image_id % 10 = 0").drop("kind"), d.where("kind = 'GT'").select("label", "layer", "distance")
+    return d.where("kind = 'DET'").drop("kind"), d.where("kind = 'GT'").select("label", "layer", "distance")
 
 
 @query("f13_conformal_percentiles", f"WITH {CELLS} SELECT image_id, box_id, label, layer, round(percentile, 6) AS percentile FROM p")
@@ -159,30 +144,13 @@ def f13_conformal_percentiles(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "u11_conformal_auroc",
-    f"""WITH {CELLS}, s AS (SELECT p.label, p.box_id % 2 AS y, p.percentile, d.distance FROM p JOIN d ON d.image_id = p.image_id AND d.box_id = p.box_id), v AS (SELECT label, y, 'percentile' AS variant, percentile AS s FROM s UNION ALL SELECT label, y, 'raw', distance FROM s)
-        SELECT a.label, a.variant, round(sum(CASE WHEN a.s > b.s THEN 1.0::DOUBLE WHEN a.s = b.s THEN 0.5 ELSE 0 END) / count(*), 6) AS auroc FROM v a JOIN v b ON a.label = b.label AND a.variant = b.variant AND a.y = 1 AND b.y = 0 GROUP BY a.label, a.variant""",
-)
-def u11_conformal_auroc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows, reference = _cells(spark, sf_dir)
-    scored = U.percentiles(rows, reference, ["layer", "label"], "distance").withColumn("y", F.col("box_id") % 2)
-    return R.auroc(R.variants(scored, ["label", "y"], {"percentile": "percentile", "raw": "distance"}), ["label", "variant"], "y", "score").select("label", "variant", r6(F.col("auroc")).alias("auroc"))
-
-
-@query("f13_conformal_percentiles_all", f"WITH {ALL_CELLS} SELECT image_id, box_id, label, layer, round(percentile, 6) AS percentile FROM p")
-def f13_conformal_percentiles_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows, reference = _all_cells(spark, sf_dir)
-    return U.percentiles(rows, reference, ["layer", "label"], "distance").select("image_id", "box_id", "label", "layer", r6(F.col("percentile")).alias("percentile"))
-
-
-@query(
-    "u11_conformal_auroc_all",
-    f"""WITH {ALL_CELLS}, v AS (SELECT label, box_id % 2 AS y, 'percentile' AS variant, percentile AS s FROM p UNION ALL SELECT label, box_id % 2, 'raw', distance FROM p),
+    f"""WITH {CELLS}, v AS (SELECT label, box_id % 2 AS y, 'percentile' AS variant, percentile AS s FROM p UNION ALL SELECT label, box_id % 2, 'raw', distance FROM p),
         r AS (SELECT label, variant, y, rank() OVER (PARTITION BY label, variant ORDER BY s) + (count(*) OVER (PARTITION BY label, variant, s) - 1) / 2.0::DOUBLE AS k FROM v),
         g AS (SELECT label, variant, sum(CASE WHEN y = 1 THEN k ELSE 0 END) AS k, CAST(sum(y) AS DOUBLE) AS pos, CAST(sum(1 - y) AS DOUBLE) AS neg FROM r GROUP BY label, variant)
         SELECT label, variant, round((k - pos * (pos + 1) / 2) / (pos * neg), 6) AS auroc FROM g WHERE pos > 0 AND neg > 0""",
 )
-def u11_conformal_auroc_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows, reference = _all_cells(spark, sf_dir)
+def u11_conformal_auroc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows, reference = _cells(spark, sf_dir)
     scored = U.percentiles(rows, reference, ["layer", "label"], "distance").withColumn("y", F.col("box_id") % 2)
     return R.auroc(R.variants(scored, ["label", "y"], {"percentile": "percentile", "raw": "distance"}), ["label", "variant"], "y", "score").select("label", "variant", r6(F.col("auroc")).alias("auroc"))
 

@@ -82,7 +82,9 @@ def j12_nms(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("j10_hungarian_match", None)
 def j10_hungarian_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     n = [x / 200 for x in B.xyxy_to_cxcywh(xyxy())]
-    rows = view(spark, sf_dir, "boxes").select("image_id", "label", "box_id", "kind", F.col("score").alias("p"), *(x.alias(k) for x, k in zip(n, ("cx", "cy", "w", "h"), strict=True)))
+    # A logit for each of the three labels: the box's own and, lower, those of the others.
+    logits = F.transform(F.array(*map(F.lit, range(3))), lambda c: F.when(c == F.col("label"), 6 * F.col("score") - 3).otherwise(-3 * F.col("score") - c))
+    rows = view(spark, sf_dir, "boxes").select("image_id", "label", "box_id", "kind", logits.alias("logits"), *(x.alias(k) for x, k in zip(n, ("cx", "cy", "w", "h"), strict=True)))
     return M.hungarian_match(rows.where("kind = 'DET'").withColumnRenamed("box_id", "det_id"), rows.where("kind = 'GT'").withColumnRenamed("box_id", "gt_id"))
 
 
@@ -92,6 +94,13 @@ def j11_overlap_assignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return M.overlap_assignment(det, gt)
 
 
+@query("j11_false_and_missed", None)
+def j11_false_and_missed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every detection and ground truth once: matched, false or missed."""
+    gt, det = sides(view(spark, sf_dir, "boxes"))
+    return M.with_errors(det, gt, M.overlap_assignment(det, gt))
+
+
 @query(
     "j14_match_label_scatter",
     """SELECT d.image_id, d.box_id, coalesce(g.label, -1) AS target FROM boxes d LEFT JOIN boxes g ON g.image_id = d.image_id AND g.box_id = d.box_id + 1 AND g.kind = 'GT' WHERE d.kind = 'DET'""",
@@ -225,7 +234,7 @@ def a20_a21_interval_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
        SELECT grp, bin, count(*) AS n, round(sqrt(avg(u * u)), 6) AS predicted, round(sqrt(avg(toxic * toxic)), 6) AS empirical FROM b GROUP BY grp, bin""",
 )
 def a23_quantile_calibration(spark: SparkSession, sf_dir: str) -> DataFrame:
-    b = T.equal_bins(view(spark, sf_dir, "scores"), ["grp"], [F.asc("u"), F.asc("id")], 10)
+    b = T.ranked_bins(view(spark, sf_dir, "scores"), ["grp"], "u", "id", ["toxic"], 10).withColumnRenamed("score", "u")
     square = lambda c: r6(F.sqrt(F.avg(F.col(c) * F.col(c))))
     return b.groupBy("grp", F.col("bin").cast("long").alias("bin")).agg(F.count(F.lit(1)).alias("n"), square("u").alias("predicted"), square("toxic").alias("empirical"))
 
@@ -260,7 +269,8 @@ def a36_a37_histograms(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("a39_exact_quantiles", "SELECT label, round(quantile_cont(score, 0.05), 6) AS q05, round(quantile_cont(score, 0.95), 6) AS q95 FROM boxes GROUP BY label")
 def a39_exact_quantiles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return view(spark, sf_dir, "boxes").groupBy("label").agg(r6(F.percentile("score", 0.05)).alias("q05"), r6(F.percentile("score", 0.95)).alias("q95"))
+    q = R.quantiles(view(spark, sf_dir, "boxes"), ["label"], "score", {"q05": 0.05, "q95": 0.95})
+    return q.select("label", r6(F.col("q05")).alias("q05"), r6(F.col("q95")).alias("q95"))
 
 
 @query(
@@ -269,7 +279,8 @@ def a39_exact_quantiles(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def a44_error_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = view(spark, sf_dir, "boxes").withColumn("e", F.abs(F.col("x1") - F.col("x0") - 28) / 28)
-    return e.groupBy("label").agg(r6(F.avg("e")).alias("mean"), r6(F.percentile("e", 0.95)).alias("p95"), r6(F.max("e")).alias("max"))
+    means = e.groupBy("label").agg(r6(F.avg("e")).alias("mean"), r6(F.max("e")).alias("max"))
+    return means.join(R.quantiles(e, ["label"], "e", {"p95": 0.95}), "label").select("label", "mean", r6(F.col("p95")).alias("p95"), "max")
 
 
 @query(

@@ -6,7 +6,7 @@ import os
 import tempfile
 import zipfile
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 _shipped: set[str] = set()
 
@@ -28,7 +28,17 @@ def ship_package(spark: SparkSession) -> None:
     _shipped.add(application)
 
 
-def shared_checkpoints(spark: SparkSession) -> None:
-    """Sees to it that checkpoint() has a folder: the configured one, or where none is (tests), a new local one."""
-    if not spark.conf.get("spark.checkpoint.dir", None) and not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="boxwise-"))
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share. Where none is configured, a new local one, on a local master only."""
+    if folder := spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir():
+        return folder
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+    spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="boxwise-"))
+    return spark.sparkContext.getCheckpointDir()
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """Writes the rows to the shared folder and cuts the lineage there."""
+    shared_folder(df.sparkSession)
+    return df.checkpoint()
