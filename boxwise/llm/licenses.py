@@ -4,8 +4,9 @@ Units are the lines of a text, and the whole text where it has several lines. A
 lower-cased, and whatever is no letter or digit parts words. A unit and a template
 have Dice 2 |A and B| / (|A| + |B|) over their sets of bigrams; at least THRESHOLD can
 be reached only if |A| is within bounds that |B| gives, so templates of other sizes
-are passed over, and units with no bigram of any template before that. Templates are
-literals of the plan: no join and no shuffle.
+are passed over. The same bounds say how many of a template's bigrams, and so how many
+of its words, a match must have: texts, and then units, without them are left out before
+any bigram is made. Templates are literals of the plan: no join and no shuffle.
 
 license_notices looks at runs of words instead of lines, so that it finds a notice
 wherever lines break and whatever stands around it, against more templates.
@@ -14,6 +15,9 @@ wherever lines break and whatever stands around it, against more templates.
 from __future__ import annotations
 
 import re
+from collections import Counter
+from itertools import accumulate
+from math import ceil
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -37,24 +41,20 @@ TEMPLATES = {
     "isc": "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.",
     "unlicense": "This is free and unencumbered software released into the public domain.",
 }
-
+_MEANT = {"by": "Attribution", "by_nc": "Attribution-NonCommercial", "by_sa": "Attribution-ShareAlike", "by_nd": "Attribution-NoDerivatives", "by_nc_sa": "Attribution-NonCommercial-ShareAlike", "by_nc_nd": "Attribution-NonCommercial-NoDerivatives"}
+TEMPLATES |= {f"cc_{k}_line": f"Licensed under CC {k.replace('_', '-').upper()} 4.0." for k in _MEANT}
+TEMPLATES |= {f"cc_{k}_4": f"This work is licensed under a Creative Commons {v} 4.0 International License." for k, v in _MEANT.items()}
 
 _DISCLAIMER = 'THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE.'
 _CLAUSES = " 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution. "
 _THIRD = "3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission. "
-_MEANT = {"by": "Attribution", "by_nc": "Attribution-NonCommercial", "by_sa": "Attribution-ShareAlike", "by_nd": "Attribution-NoDerivatives", "by_nc_sa": "Attribution-NonCommercial-ShareAlike", "by_nc_nd": "Attribution-NonCommercial-NoDerivatives"}
 
-#: Templates of license_notices: also whole texts, and the Creative Commons family.
-NOTICES = (
-    TEMPLATES
-    | {
-        "mit_text": TEMPLATES["mit"] + ' The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software. THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.',
-        "bsd_2_text": TEMPLATES["bsd_3"] + _CLAUSES + _DISCLAIMER,
-        "bsd_3_text": TEMPLATES["bsd_3"] + _CLAUSES + _THIRD + _DISCLAIMER,
-    }
-    | {f"cc_{k}_line": f"Licensed under CC {k.replace('_', '-').upper()} 4.0." for k in _MEANT}
-    | {f"cc_{k}_4": f"This work is licensed under a Creative Commons {v} 4.0 International License." for k, v in _MEANT.items()}
-)
+#: Templates of license_notices: also whole texts.
+NOTICES = TEMPLATES | {
+    "mit_text": TEMPLATES["mit"] + ' The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software. THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.',
+    "bsd_2_text": TEMPLATES["bsd_3"] + _CLAUSES + _DISCLAIMER,
+    "bsd_3_text": TEMPLATES["bsd_3"] + _CLAUSES + _THIRD + _DISCLAIMER,
+}
 
 
 def template_bigrams(templates: dict[str, str] = TEMPLATES) -> dict[str, list[str]]:
@@ -67,7 +67,45 @@ def template_bigrams(templates: dict[str, str] = TEMPLATES) -> dict[str, list[st
 
 
 def _array(values: list[str]) -> Column:
-    return F.array(*map(F.lit, values))
+    """A literal array of bigrams, which hold letters, digits and a space alone."""
+    return F.expr(f"array({', '.join(map(repr, values))})")
+
+
+def asked_for(own: list[str], threshold: float) -> int:
+    """How many of a template's bigrams a unit must have at least: with c common ones the unit has c bigrams or more, so Dice is at most 2 c / (c + |own|)."""
+    return ceil(len(own) * threshold / (2 - threshold) - 1e-9)
+
+
+def words_of(text: str) -> str:
+    """SQL for the words of a text column: runs of ASCII letters and digits, A-Z lowered.
+
+    The Kelvin sign and the dotted capital I are the only others whose lower case has ASCII
+    letters, so they go first; then lower() does for A-Z, much faster than translate().
+    """
+    plain = f"replace(replace({text}, '\u212a', ' '), '\u0130', ' ')"
+    return f"split(trim(regexp_replace(lower({plain}), '[^a-z0-9]+', ' ')), ' ')"
+
+
+def words_asked_for(own: list[str], threshold: float) -> tuple[list[str], int]:
+    """The words of a template, and how many of them a match must have.
+
+    A word is at one end or the other of so many bigrams; so many words are needed to be
+    at both ends of all that a match must have.
+    """
+    degree = Counter(w for b in own for w in b.split())
+    ends = accumulate(sorted(degree.values(), reverse=True))
+    return list(degree), next(k for k, n in enumerate(ends, 1) if n >= 2 * asked_for(own, threshold))
+
+
+def may_match(words: str, templates: dict[str, list[str]], threshold: float) -> Column:
+    """Whether an array of words may match one of the templates: false only if it does not. Two lookups for each word, and small sets after them."""
+    asked = [words_asked_for(own, threshold) for own in templates.values()]
+    literal = lambda ws: f"array({', '.join(map(repr, ws))})"
+    each = " or ".join(f"size(array_intersect(w, {literal(ws)})) >= {n}" for ws, n in asked)
+    every = literal(sorted({w for ws, _ in asked for w in ws}))
+    least = min(n for _, n in asked)
+    # Inside of exists() the common words are found once.
+    return F.expr(f"exists(array(array_intersect({words}, {every})), w -> size(w) >= {least} and ({each}))")
 
 
 def license_matches(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
@@ -78,13 +116,11 @@ def license_matches(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     past ASCII part words.
     """
     templates = template_bigrams()
+    likely = text_table(docs).where(may_match(words_of("text"), templates, threshold))
     lines = F.split("text", "\n")
     units = F.when(F.size(lines) > 1, F.concat(F.array(F.col("text")), lines)).otherwise(F.concat(F.array(F.lit("")), lines))
-    rows = text_table(docs).select("doc_id", F.posexplode(units).alias("line", "unit"))
-    words = F.split(F.trim(F.regexp_replace(F.translate("unit", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"), "[^a-z0-9]+", " ")), " ")
-    # A unit with fewer words than the smallest template's bound takes no further part.
-    least = min(map(len, templates.values())) * threshold / (2 - threshold)
-    split = rows.select("doc_id", (F.col("line") - 1).alias("line"), words.alias("words")).where(F.size("words") > least)
+    rows = likely.select("doc_id", F.posexplode(units).alias("line", "unit")).select("doc_id", (F.col("line") - 1).alias("line"), F.expr(words_of("unit")).alias("words"))
+    split = rows.where(may_match("words", templates, threshold)).where(F.size("words") > 1)
     bigrams = F.array_distinct(F.zip_with(F.slice("words", F.lit(1), F.size("words") - 1), F.slice("words", F.lit(2), F.size("words")), lambda a, b: F.concat_ws(" ", a, b)))
     every = _array(sorted({b for own in templates.values() for b in own}))
     some = split.select("doc_id", "line", bigrams.alias("bigrams")).where(F.arrays_overlap("bigrams", every))
@@ -108,13 +144,13 @@ def license_notices(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     way. Odd rows are as in license_matches.
     """
     templates = template_bigrams(NOTICES)
-    words = F.split(F.trim(F.regexp_replace(F.translate("text", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"), "[^a-z0-9]+", " ")), " ")
     pairs = F.zip_with(F.slice("words", F.lit(1), F.size("words") - 1), F.slice("words", F.lit(2), F.size("words")), lambda a, b: F.concat_ws(" ", a, b))
     every = _array(sorted({b for own in templates.values() for b in own}))
-    split = text_table(docs).select("doc_id", words.alias("words")).where(F.size("words") > 1).select("doc_id", pairs.alias("pairs"))
+    likely = text_table(docs).where(may_match(words_of("text"), templates, threshold))
+    split = likely.select("doc_id", F.expr(words_of("text")).alias("words")).where(F.size("words") > 1).select("doc_id", pairs.alias("pairs"))
     shared = split.withColumn("shared", F.array_intersect("pairs", every)).where(F.size("shared") > 0)
     # Dice is at least the threshold only if so large a part of the template is in the text.
-    asked = [F.when(F.size(F.array_intersect("shared", _array(own))) >= len(own) * threshold / (2 - threshold), F.struct(F.lit(name).alias("template"), _array(own).alias("own"))) for name, own in templates.items()]
+    asked = [F.when(F.size(F.array_intersect("shared", _array(own))) >= asked_for(own, threshold), F.struct(F.lit(name).alias("template"), _array(own).alias("own"))) for name, own in templates.items()]
     likely = shared.select("doc_id", "pairs", F.inline(F.filter(F.array(*asked), lambda x: x.isNotNull())))
     most = F.size("own") * ((2 - threshold) / threshold)
     ends = F.filter(F.transform("pairs", lambda b, i: F.when(F.array_contains("own", b), i)), lambda i: i.isNotNull())

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import re
 import textwrap
 from collections import defaultdict
 
 import numpy as np
 from pyspark.sql import SparkSession
 
-from boxwise.llm.licenses import NOTICES, TEMPLATES, license_notices
+from boxwise.llm.licenses import NOTICES, TEMPLATES, license_matches, license_notices, template_bigrams
 from boxwise.llm.queries import op3_license_notices
 
 
@@ -26,6 +27,38 @@ def test_notices_wrapped_in_longer_texts(spark: SparkSession) -> None:
     assert len(found[1004, "mit"]) == 2 and not any(d in (1000, 1001, 1002, 1003) for d, _ in found)
 
 
+def plain_matches(texts: list[tuple[int | None, str | None]]) -> list[tuple]:
+    """Every unit against every template, by sets."""
+    out = []
+    for d, text in texts:
+        lines = (text or "").split("\n")
+        for line, unit in [*([(-1, text)] if len(lines) > 1 else []), *enumerate(lines)]:
+            words = re.sub("[^a-z0-9]+", " ", unit.translate(str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"))).split()
+            own = set(zip(words, words[1:], strict=False))
+            for name, bigrams in template_bigrams().items():
+                dice = 2 * len(own & {tuple(b.split()) for b in bigrams}) / (len(own) + len(bigrams))
+                if dice >= 0.75:
+                    out.append((d, line, name, len(own), round(dice, 9)))
+    return sorted(out, key=repr)
+
+
+def test_matches_equal_plain_sets_on_odd_rows(spark: SparkSession) -> None:
+    """No match is lost to the filters before the bigrams; nulls, empty, blank, long and repeated texts, clashing columns."""
+    rng = np.random.default_rng(4)
+    docs: list[tuple[int | None, str | None]] = [(1, None), (2, ""), (3, " \n \n"), (None, TEMPLATES["isc"]), (4, "license"), (5, "MIT"), (6, "x" * 300_000 + "\n" + TEMPLATES["mit"].upper()), (7, "l\u0130cense\u212a")]
+    docs += [(8, f"{TEMPLATES['mit_line']}\n" * 3)] * 2
+    for name, text in TEMPLATES.items():  # words taken away, one after the other, from both sides of the threshold
+        words = text.split()
+        for k in range(0, len(words) // 2 + 1, max(1, len(words) // 8)):
+            gone = set(rng.choice(len(words), k, replace=False).tolist())
+            docs.append((len(docs) + 100, f"head\n{' '.join(w for i, w in enumerate(words) if i not in gone)}, {name}\ntail"))
+    rows = [(d, t, "x", 1, "y") for d, t in docs]
+    got = license_matches(spark.createDataFrame(rows, "doc_id long, text string, line string, dice int, words string"))
+    assert sorted(((r["doc_id"], r["line"], r["template"], r["n_bigrams"], round(r["dice"], 9)) for r in got.collect()), key=repr) == plain_matches(docs)
+    assert license_matches(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+    assert license_notices(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
 def test_every_licence_line_is_found(spark: SparkSession) -> None:
     sf_dir = "/root/testdata/sf0.01"
     texts = {r["doc_id"]: r["text"] or "" for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()}
