@@ -32,7 +32,7 @@ VOCABULARY = CLASSES * CLASSES
 SHARED, OUTSIDE = 256, VOCABULARY - 1
 FREQUENT = VOCABULARY - SHARED - 1
 #: Tokens to a step of training and to one of scoring; weights to a chunk.
-STEP, SCORED, CHUNK = 512, 16_384, 4096
+STEP, SCORED, CHUNK = 2048, 16_384, 4096
 
 
 @dataclass
@@ -90,24 +90,28 @@ class Network:
     def learn(self, around: np.ndarray, token: np.ndarray, rate: float) -> None:
         """One step of gradient descent on the mean log probability."""
         n = len(token)
+        order = np.argsort(token, kind="stable")  # so that a class is a slice
+        around, token = around[order], token[order]
         h, kind, member = self.hidden(around), token // CLASSES, token % CLASSES
         slope = np.exp(self._log_softmax(h @ self.outer + self.outer_bias))
         slope[np.arange(n), kind] -= 1
         back = slope @ self.outer.T
         self.outer -= rate * (h.T @ slope) / n
         self.outer_bias -= rate * slope.mean(axis=0)
-        for c in np.unique(kind):
-            own = np.flatnonzero(kind == c)
+        bounds = np.searchsorted(kind, np.arange(CLASSES + 1))
+        for c in np.flatnonzero(np.diff(bounds)):
+            own = slice(bounds[c], bounds[c + 1])
             slope = np.exp(self._log_softmax(h[own] @ self.inner[c] + self.inner_bias[c]))
-            slope[np.arange(len(own)), member[own]] -= 1
+            slope[np.arange(len(slope)), member[own]] -= 1
             back[own] += slope @ self.inner[c].T
             self.inner[c] -= rate * (h[own].T @ slope) / n
             self.inner_bias[c] -= rate * slope.sum(axis=0) / n
         back *= (1 - h * h) * (rate / n)
         for k in range(2 * WINDOW):
             order = np.argsort(around[:, k], kind="stable")
-            token, first = np.unique(around[order, k], return_index=True)
-            self.embed[k][token] -= np.add.reduceat(back[order], first)
+            token = around[order, k]
+            first = np.flatnonzero(np.concatenate([[True], token[1:] != token[:-1]]))
+            self.embed[k][token[first]] -= np.add.reduceat(back[order], first)
 
 
 @dataclass(frozen=True)
