@@ -6,7 +6,7 @@ left out. Each node's potential comes from its shape; neighbours a few code poin
 apart share a chain potential; and words of one document that are repeated or similar
 (the same letters and digits, the same last seven digits, or the same name before
 an @) share a skip potential, from each occurrence to the next, wherever they stand.
-Loopy max-sum messages over these edges make labels agree: a number that follows no
+Loopy sum-product messages over these edges make labels agree: a number that follows no
 pattern where it stands is found if its like elsewhere does.
 
 The potentials are fitted piece by piece on a sample of at most `sample` documents,
@@ -35,7 +35,9 @@ OTHER = len(KINDS)
 LABELS = OTHER + 1
 #: Code points between words that share a chain potential, at most.
 CHAIN_GAP = 3
-ROUNDS = 10
+ROUNDS = 100
+#: Change of a log message from which another round is worth it.
+SETTLED = 1e-3
 #: Probability from which a label counts.
 SURE = 0.8
 
@@ -157,7 +159,12 @@ class Field:
     skip: np.ndarray
 
     def beliefs(self, g: Graph) -> np.ndarray:
-        """Probability of each label at each node, after ROUNDS of loopy messages; what a pattern labelled stays certain."""
+        """Probability of each label at each node, by loopy sum-product messages until they settle; what a pattern labelled stays certain.
+
+        Without a cycle these are the exact marginals. Each round passes every message
+        on by one edge, so it takes as many rounds as the longest way at most, and
+        where a cycle keeps them moving, ROUNDS more.
+        """
         n = len(g.places)
         bits = (np.array(g.shapes)[:, None] >> np.arange(SHAPE_BITS)) & 1
         own = bits @ self.node[:-1] + self.node[-1]
@@ -173,11 +180,15 @@ class Field:
             tables = np.concatenate([tables, tables.transpose(0, 2, 1)])
             back = np.roll(np.arange(len(source)), len(edges))
             message = np.zeros((len(source), LABELS))
-            for _ in range(ROUNDS):
+            for _ in range(n + ROUNDS):
                 total = own.copy()
                 np.add.at(total, target, message)
-                new = ((total[source] - message[back])[:, :, None] + tables).max(axis=1)
+                whole = (total[source] - message[back])[:, :, None] + tables
+                top = whole.max(axis=1)
+                new = top + np.log(np.exp(whole - top[:, None]).sum(axis=1))
                 new -= new.max(axis=1, keepdims=True)
+                if np.abs(new - message).max() < SETTLED:
+                    break
                 message = (message + new) / 2
             np.add.at(own, target, message)
         odds = np.exp(own - own.max(axis=1, keepdims=True))

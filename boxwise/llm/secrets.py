@@ -90,7 +90,8 @@ def scan(docs: DataFrame) -> DataFrame:
 
     strong and linked are arrays of (start, kind, end), sorted; kind is a place in
     ALL_KINDS. A null or empty text has no spans. Rows that repeat are scanned each,
-    and a null doc_id stays null. Weak parts that overlap a strong find are no parts.
+    and a null doc_id stays null; an empty table gives no rows. Columns other than
+    doc_id and text are not read. Weak parts that overlap a strong find are no parts.
     """
     text = F.col("text")
     patterns = {"assign": ASSIGN, "access": ACCESS, "hex": HEX} | {kind: pattern for kind, _, pattern in WEAK}
@@ -100,11 +101,12 @@ def scan(docs: DataFrame) -> DataFrame:
 
     role = F.element_at(F.array(*(F.lit(ROLES[k]) for k in ALL_KINDS)), F.col("kind") + 1)
     parts = rows.where("size(weak) > 0").select("row", F.inline(F.concat("strong", "weak"))).withColumn("role", role).withColumn("weak", F.col("kind") >= len(KINDS))
-    by_place = Window.partitionBy("row").orderBy("start", "end", "kind")
-    before, after = by_place.rowsBetween(Window.unboundedPreceding, -1), by_place.rowsBetween(1, Window.unboundedFollowing)
+    # Both frames grow from their start, so that every part is added once: what lies after is what lies before in the reverse order.
+    before = Window.partitionBy("row").orderBy("start", "end", "kind").rowsBetween(Window.unboundedPreceding, -1)
+    after = Window.partitionBy("row").orderBy(F.desc("start"), F.desc("end"), F.desc("kind")).rowsBetween(Window.unboundedPreceding, -1)
     strong_end = F.max(F.when(~F.col("weak"), F.col("end")))
     strong_start = F.min(F.when(~F.col("weak"), F.col("start")))
-    free = parts.where("true").withColumn("covered", F.col("weak") & (F.coalesce(strong_end.over(before) > F.col("start"), F.lit(False)) | F.coalesce(strong_start.over(after) < F.col("end"), F.lit(False)))).where("not covered")
+    free = parts.withColumn("covered", F.col("weak") & (F.coalesce(strong_end.over(before) > F.col("start"), F.lit(False)) | F.coalesce(strong_start.over(after) < F.col("end"), F.lit(False)))).where("not covered")
     near = free
     for r in COMPLETES:
         own = F.col("role") == r

@@ -3,13 +3,15 @@
 from __future__ import annotations
 
 import hashlib
+import itertools
 import re
 
+import numpy as np
 from pyspark.sql import SparkSession
 
-from boxwise.llm.pii import base_spans, luhn, redact
+from boxwise.llm.pii import LABELS, OTHER, SHAPE_BITS, Field, Graph, base_spans, luhn, personal_data, redact
 from boxwise.llm.queries import op2_skip_chain_crf, op5_linked_secrets
-from boxwise.llm.secrets import digests, scan
+from boxwise.llm.secrets import ALL_KINDS, COMPLETES, ROLES, SCOPE, WEAK, digests, scan
 
 SCHEMA = "doc_id long, text string"
 
@@ -100,3 +102,62 @@ def test_weak_parts_count_together_only(spark: SparkSession) -> None:
     docs = spark.createDataFrame([(1, f"client_id=abcdefgh and {part}"), (2, "client_id=abcdefgh alone"), (3, part), (4, "client_id=abcdefgh " + "word " * 100 + part)], SCHEMA)
     linked = {r["doc_id"]: len(r["linked"]) for r in scan(docs).collect()}
     assert linked == {1: 2, 2: 0, 3: 0, 4: 0}
+
+
+def test_beliefs_are_the_marginals_of_small_graphs() -> None:
+    """Without cycles exactly, by enumeration of all labellings."""
+    rng = np.random.default_rng(2)
+    field = Field(rng.normal(0, 1, (SHAPE_BITS + 1, LABELS)), rng.normal(0, 1, (LABELS, LABELS)), np.where(np.eye(LABELS, dtype=bool), 1.5, -1.5))
+    for chain, skip in (([(0, 1), (1, 2)], []), ([(0, 1)], [(1, 3)]), ([], [(0, 3), (1, 3)]), ([], [])):
+        g = Graph([(k, k + 1) for k in range(4)], rng.integers(0, 1 << SHAPE_BITS, 4).tolist(), [OTHER, OTHER, 1, OTHER], chain, skip)
+        bits = (np.array(g.shapes)[:, None] >> np.arange(SHAPE_BITS)) & 1
+        own = bits @ field.node[:-1] + field.node[-1]
+        weights = np.zeros((4, LABELS))
+        for labels in itertools.product(range(LABELS), repeat=4):
+            if labels[2] != 1:
+                continue
+            total = sum(own[i, k] for i, k in enumerate(labels)) + sum(field.chain[labels[a], labels[b]] for a, b in chain) + sum(field.skip[labels[a], labels[b]] for a, b in skip)
+            for i, k in enumerate(labels):
+                weights[i, k] += np.exp(total)
+        assert np.abs(field.beliefs(g) - weights / weights.sum(axis=1, keepdims=True)).max() < 0.01
+
+
+def test_labels_spread_to_distant_repeats() -> None:
+    """A number that follows no pattern is found by its like far away, over many repeats too; one without is not."""
+    node = np.zeros((SHAPE_BITS + 1, LABELS))
+    node[-1, OTHER] = 0.1
+    field = Field(node, np.zeros((LABELS, LABELS)), np.where(np.eye(LABELS, dtype=bool), 3.0, -3.0))
+    gap = " word" * 300 + " "
+    text = "call +15550100234 now" + gap + gap.join(["again 15550100234 or"] * 12) + gap + "order 98765432101 or 98765432101"
+    added = field.added(text, base_spans(text))
+    assert [text[a:b] for _, a, b in added] == ["15550100234"] * 12 and {k for k, _, _ in added} == {3}
+    assert field.added("order 98765432101 or 98765432101", []) == [] == field.added("", []) == field.added("no number", [])
+
+
+def test_linked_secrets_equal_a_quadratic_join(spark: SparkSession) -> None:
+    """Weak parts are linked just where a part that completes them lies within SCOPE, by comparing all pairs."""
+    rng = np.random.default_rng(8)
+    pieces = ["client_id=abcdefgh1", "aB3" * 8, "https://api.example.org/v1", "AKIA" + "Q" * 16, "token=abcdef12"]
+    docs = [(d, "".join(str(rng.choice([f" {rng.choice(pieces)} ", "word " * int(rng.integers(1, 50))])) for _ in range(14))) for d in range(60)]
+    docs += [(None, docs[0][1]), (0, docs[0][1]), (61, ("client_id=abcdefgh1 " + "aB3" * 8 + " ") * 400)]
+    frame = spark.createDataFrame([(d, t, 0, 0) for d, t in docs], "doc_id long, text string, row int, linked int")
+    got = sorted(((r["doc_id"], [tuple(x) for x in r["linked"]]) for r in scan(frame).collect()), key=repr)
+    expected = []
+    for d, text in docs:
+        strong = [(a, b, ALL_KINDS.index(k)) for a, _, k, b in secret(text)]
+        weak = [(m.start(), m.end(), ALL_KINDS.index(k)) for k, _, p in WEAK for m in re.finditer(p.replace("(?i)", ""), text, re.IGNORECASE if p.startswith("(?i)") else 0)]
+        weak = [w for w in weak if not any(s[0] < w[1] and w[0] < s[1] for s in strong)]
+        role = lambda x: ROLES[ALL_KINDS[x[2]]]
+        near = lambda x, y: max(y[0] - x[1], x[0] - y[1]) <= SCOPE
+        linked = [w for w in weak if any(near(w, o) and role(o) in COMPLETES.get(role(w), ()) for o in strong + weak if o != w)]
+        expected.append((d, sorted((a, k, b) for a, b, k in linked)))
+    assert got == sorted(expected, key=repr)
+    assert any(x for _, x in got)
+
+
+def test_personal_data_of_odd_tables(spark: SparkSession) -> None:
+    """Null ids, repeated rows, clashing column names, an empty table."""
+    docs = spark.createDataFrame([(None, "a@b.co", 1, "s"), (1, "a@b.co", 2, "s"), (1, "a@b.co", 3, "s"), (2, None, 4, "s"), (3, "x" * 400_000 + " +1 555 0100 22", 5, "s")], "doc_id long, text string, n_email int, spans string")
+    rows = sorted(((r["doc_id"] or 0, r["n_email"], r["n_phone"], r["spans"]) for r in personal_data(docs).collect()))
+    assert rows == [(0, 1, 0, "email:0:6"), (1, 1, 0, "email:0:6"), (1, 1, 0, "email:0:6"), (2, 0, 0, ""), (3, 0, 1, "phone:400001:400015")]
+    assert personal_data(docs.where("false")).count() == 0
