@@ -10,7 +10,7 @@ from collections import defaultdict
 from pyspark.sql import SparkSession
 
 import corpus_pipeline
-from boxwise.llm.exact_dedup import MAX_DEPTH, drop_exact_duplicates, exact_duplicates, split_directory
+from boxwise.llm.exact_dedup import SLACK, build_index, directory, drop_exact_duplicates, exact_duplicates
 from boxwise.llm.near_dedup import drop_near_duplicates, near_duplicates
 from boxwise.llm.queries import ORACLE_SQL, op3_license_dice, op6_minhash_near_dedup, op10_exact_dedup
 from tests.comparing import rows_of, sql_rows
@@ -110,16 +110,26 @@ def test_exact_duplicates_of_odd_rows(spark: SparkSession) -> None:
 
 
 def test_buckets_split_until_they_hold(spark: SparkSession, sf_dir: str) -> None:
-    counts = {0: 50, 1: 50, 2048: 10}
-    depth, slots = split_directory(counts, 60)
-    owner = dict(slots)
-    assert len(owner) == 1 << MAX_DEPTH and owner[0] != owner[1] and depth == MAX_DEPTH
-    held = defaultdict(int)
-    for slot, n in counts.items():
-        held[owner[slot]] += n
-    assert max(held.values()) <= 60
+    rng = random.Random(1)
+    uneven = [rng.getrandbits(60) - (1 << 59) for _ in range(300)] + [rng.getrandbits(40) for _ in range(100)] * 2 + [5] * 50
+    for hashes, capacity in ((uneven, 10), (uneven, 1000), ([7], 1), ([], 4)):
+        slots, bits = directory(spark.createDataFrame([(h,) for h in hashes], "h long"), capacity)
+        owner = {r["slot"]: (r["bucket"], r["depth"]) for r in slots.collect()}
+        held = defaultdict(set)
+        for h in hashes:
+            bucket, depth = owner[(h % (1 << 64)) >> (64 - bits)]
+            assert bucket == (1 << depth) | (h % (1 << 64)) >> (64 - depth)
+            held[bucket, depth].add(h)
+        assert all(len(own) <= capacity or depth == bits for (_, depth), own in held.items())
+        for (bucket, depth), _ in held.items():  # no bucket lies below a prefix that would have held its keys
+            parent = {h for h in hashes if depth and (h % (1 << 64)) >> (64 - depth + 1) == (bucket ^ (1 << depth)) >> 1}
+            assert not depth or len(parent) > capacity
+    few, many = (directory(spark.range(n).selectExpr("xxhash64(id) AS h"), 10)[1] for n in (10, 5000))
+    assert (few, many) == (SLACK, 9 + SLACK)
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     assert rows_of(exact_duplicates(docs, capacity=3)) == rows_of(exact_duplicates(docs))
+    index, _, _ = build_index(docs, 3)
+    assert index.groupBy("bucket").count().where("count > 3").isEmpty() and index.select("bucket").distinct().count() > 20
 
 
 def test_pipeline(spark: SparkSession, sf_dir: str) -> None:
