@@ -7,7 +7,8 @@ sum of the log probabilities of all its tokens.
 
 Tokens are words: the most frequent of the whole corpus have a number of their own,
 others share hashed numbers, and have the probability of their number times their part
-of its occurrences, by a join with Spark's counts of all words of all documents. The
+of its occurrences. Spark counts all words of all documents; the counts of the COUNTED
+most frequent go with the tasks, and rarer words meet theirs in a join. The
 network is trained by averaging: in each round every task takes steps over its own
 documents, from the weights of the round before, and Spark averages the tasks' weights,
 in chunks. The rounds share the tokens out, so that each is trained on once. The counts
@@ -31,6 +32,8 @@ VOCABULARY = CLASSES * CLASSES
 #: Numbers shared by rarer words (a power of two), and the one of places outside of the text.
 SHARED, OUTSIDE = 256, VOCABULARY - 1
 FREQUENT = VOCABULARY - SHARED - 1
+#: Words, the most frequent, whose counts every task has at hand (16 bytes each); those of the others are joined.
+COUNTED = 1 << 17
 #: Tokens to a step of training and to one of scoring; weights to a chunk.
 STEP, SCORED, CHUNK = 2048, 16_384, 4096
 
@@ -71,29 +74,40 @@ class Network:
         return np.tanh(total)
 
     @staticmethod
-    def _log_softmax(x: np.ndarray) -> np.ndarray:
+    def _softmax(x: np.ndarray) -> np.ndarray:
+        e = np.exp(x - x.max(axis=1, keepdims=True))
+        e /= (e @ np.ones(e.shape[1], e.dtype))[:, None]
+        return e
+
+    @staticmethod
+    def _log_softmax_at(x: np.ndarray, column: np.ndarray) -> np.ndarray:
         x = x - x.max(axis=1, keepdims=True)
-        return x - np.log(np.exp(x).sum(axis=1, keepdims=True))
+        return x[np.arange(len(x)), column] - np.log(np.exp(x) @ np.ones(x.shape[1], x.dtype))
+
+    @staticmethod
+    def _order(tokens: np.ndarray) -> np.ndarray:
+        """The places of small numbers in ascending order; 16 bits are sorted by counting."""
+        return np.argsort(tokens.astype(np.int16), kind="stable")
 
     def log_probability(self, around: np.ndarray, token: np.ndarray) -> np.ndarray:
         """Of each token, given those around it."""
         h, kind, member = self.hidden(around), token // CLASSES, token % CLASSES
-        out = np.take_along_axis(self._log_softmax(h @ self.outer + self.outer_bias), kind[:, None], 1)[:, 0]
-        order = np.argsort(kind, kind="stable")
+        out = self._log_softmax_at(h @ self.outer + self.outer_bias, kind)
+        order = self._order(kind)
         bounds = np.searchsorted(kind[order], np.arange(CLASSES + 1))
         for c in range(CLASSES):
             own = order[bounds[c] : bounds[c + 1]]
             if len(own):
-                out[own] += np.take_along_axis(self._log_softmax(h[own] @ self.inner[c] + self.inner_bias[c]), member[own, None], 1)[:, 0]
+                out[own] += self._log_softmax_at(h[own] @ self.inner[c] + self.inner_bias[c], member[own])
         return out
 
     def learn(self, around: np.ndarray, token: np.ndarray, rate: float) -> None:
         """One step of gradient descent on the mean log probability."""
         n = len(token)
-        order = np.argsort(token, kind="stable")  # so that a class is a slice
+        order = self._order(token)  # so that a class is a slice
         around, token = around[order], token[order]
         h, kind, member = self.hidden(around), token // CLASSES, token % CLASSES
-        slope = np.exp(self._log_softmax(h @ self.outer + self.outer_bias))
+        slope = self._softmax(h @ self.outer + self.outer_bias)
         slope[np.arange(n), kind] -= 1
         back = slope @ self.outer.T
         self.outer -= rate * (h.T @ slope) / n
@@ -101,14 +115,14 @@ class Network:
         bounds = np.searchsorted(kind, np.arange(CLASSES + 1))
         for c in np.flatnonzero(np.diff(bounds)):
             own = slice(bounds[c], bounds[c + 1])
-            slope = np.exp(self._log_softmax(h[own] @ self.inner[c] + self.inner_bias[c]))
+            slope = self._softmax(h[own] @ self.inner[c] + self.inner_bias[c])
             slope[np.arange(len(slope)), member[own]] -= 1
             back[own] += slope @ self.inner[c].T
             self.inner[c] -= rate * (h[own].T @ slope) / n
             self.inner_bias[c] -= rate * slope.sum(axis=0) / n
         back *= (1 - h * h) * (rate / n)
         for k in range(2 * WINDOW):
-            order = np.argsort(around[:, k], kind="stable")
+            order = self._order(around[:, k])
             token = around[order, k]
             first = np.flatnonzero(np.concatenate([[True], token[1:] != token[:-1]]))
             self.embed[k][token[first]] -= np.add.reduceat(back[order], first)
@@ -116,10 +130,20 @@ class Network:
 
 @dataclass(frozen=True)
 class Vocabulary:
-    """hashes of the frequent words, ascending, and the number of each."""
+    """hashes of the frequent words, ascending, and the number of each; hashes of the COUNTED most frequent, ascending, and the log of each one's count."""
 
     hashes: np.ndarray
     numbers: np.ndarray
+    counted: np.ndarray
+    logs: np.ndarray
+
+    def log_counts(self, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The log of each word's count, 0 where it is not at hand; and where it is not."""
+        if not len(self.counted):
+            return np.zeros(len(words)), np.ones(len(words), dtype=bool)
+        at = np.minimum(np.searchsorted(self.counted, words), len(self.counted) - 1)
+        missing = self.counted[at] != words
+        return np.where(missing, 0.0, self.logs[at]), missing
 
     def tokens(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """The numbers and hashes of all words of some texts, and the number of words before each text."""
@@ -159,16 +183,16 @@ def vocabulary(docs: DataFrame) -> tuple[Vocabulary, np.ndarray, DataFrame]:
             yield pa.record_batch([pa.array(hashes.view(np.int64)), pa.array(n)], ["word", "n"])
 
     counts = checkpointed(text_table(docs).select("text").mapInArrow(counted, "word long, n long").groupBy("word").agg(F.sum("n").alias("n")))
-    best = counts.orderBy(F.desc("n"), "word").limit(FREQUENT).collect()
+    top = counts.orderBy(F.desc("n"), "word").limit(COUNTED).toArrow()
+    words, times = top["word"].to_numpy(), top["n"].to_numpy()
+    best = words[:FREQUENT]
     n = np.zeros(VOCABULARY)
-    n[: len(best)] = [r["n"] for r in best]
+    n[: len(best)] = times[:FREQUENT]
     for r in counts.groupBy(F.col("word").bitwiseAND(F.lit(SHARED - 1)).alias("part")).agg(F.sum("n").alias("n")).collect():
         n[FREQUENT + r["part"]] = r["n"]
-    for r in best:
-        n[FREQUENT + (r["word"] & SHARED - 1)] -= r["n"]
-    hashes = np.array([r["word"] for r in best], dtype=np.int64).view(np.uint64)
-    order = np.argsort(hashes)
-    return Vocabulary(hashes[order], order), n, counts
+    np.subtract.at(n, FREQUENT + (best & SHARED - 1), times[:FREQUENT])
+    order, every = np.argsort(best.view(np.uint64)), np.argsort(words.view(np.uint64))
+    return Vocabulary(best.view(np.uint64)[order], order, words.view(np.uint64)[every], np.log(times[every])), n, counts
 
 
 def train(docs: DataFrame, known: Vocabulary, counts: np.ndarray, rounds: int = 2, rate: float = 4.0) -> Network:
@@ -226,9 +250,14 @@ def pseudo_likelihood(docs: DataFrame, rounds: int = 2) -> DataFrame:
                 tokens, hashes, bounds = known.tokens(data, offsets)
                 around = windows(tokens, bounds)
                 each = [network.log_probability(around[at : at + SCORED], tokens[at : at + SCORED]) for at in range(0, len(tokens), SCORED)]
-                sums = np.concatenate([[0.0], np.cumsum(np.concatenate(each) - shared[tokens])]) if each else np.zeros(1)
                 n = np.diff(bounds)
-                is_rare = tokens >= FREQUENT
+                rare_at = np.flatnonzero(tokens >= FREQUENT)
+                logs, missing = known.log_counts(hashes[rare_at])
+                own = np.concatenate(each) - shared[tokens] if each else np.zeros(0)
+                own[rare_at] += logs
+                sums = np.concatenate([[0.0], np.cumsum(own)])
+                is_rare = np.zeros(len(tokens), dtype=bool)
+                is_rare[rare_at[missing]] = True
                 rare = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(is_rare)])[bounds], pa.int32()), pa.array(hashes[is_rare].view(np.int64)))
                 yield pa.record_batch([batch["doc_id"].slice(first, len(n)), pa.array(n.astype(np.int64)), pa.array(sums[bounds[1:]] - sums[bounds[:-1]]), rare], ["doc_id", "n_tokens", "by_number", "rare"])
 

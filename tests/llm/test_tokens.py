@@ -14,6 +14,7 @@ from pyspark.sql import SparkSession
 
 from boxwise.llm.ann import nearest
 from boxwise.llm.bpe import decode, encode, round_trip
+from boxwise.llm import lm_score
 from boxwise.llm.lm_score import pseudo_likelihood, targets
 from boxwise.llm.packing import best_fit, encoder, local_search, pack
 from boxwise.llm.queries import op1_best_fit_packing, op4_byte_bpe, op7_pseudo_likelihood, op8_multi_index_hashing, op9_fm_toxicity, token_pattern, tokenizer_file
@@ -174,13 +175,35 @@ def test_pseudo_likelihood_trains_on_every_token_once() -> None:
         assert sorted(np.concatenate([targets(bounds, k, rounds) for k in range(rounds)])) == list(range(41))
 
 
-def test_pseudo_likelihood_tells_rare_words_apart(spark: SparkSession) -> None:
-    """In one context, the probabilities of all words, rare ones too, add up to no more than 1."""
+@pytest.mark.parametrize("counted", [1 << 17, 1000])
+def test_pseudo_likelihood_tells_rare_words_apart(spark: SparkSession, monkeypatch: pytest.MonkeyPatch, counted: int) -> None:
+    """In one context, the probabilities of all words, rare ones too, add up to no more than 1, whether their counts are at hand or joined."""
+    monkeypatch.setattr(lm_score, "COUNTED", counted)
     docs = spark.createDataFrame([(d, f"w{d % 3000}") for d in range(3500)], SCHEMA)
     rows = {r["doc_id"]: np.exp(r["log_likelihood"]) for r in pseudo_likelihood(docs).collect()}
     assert 0.9 < sum(rows[d] for d in range(3000)) <= 1 + 1e-6
 
 
+def test_network_gradients_are_those_of_the_log_probability() -> None:
+    """A step moves each weight against the slope that small differences give."""
+    rng = np.random.default_rng(3)
+    net = lm_score.Network.of(rng.normal(0, 0.3, len(lm_score.Network.start(np.ones(lm_score.VOCABULARY)).flat())))
+    around, token = rng.integers(0, lm_score.VOCABULARY, (50, 2 * lm_score.WINDOW)), rng.integers(0, lm_score.VOCABULARY, 50)
+    before = net.flat()
+    net.learn(around, token, 1.0)
+    moved = net.flat() - before
+    chosen = rng.choice(np.flatnonzero(moved), 40, replace=False)
+    for i in chosen:
+        ends = []
+        for step in (1e-5, -1e-5):
+            flat = before.copy()
+            flat[i] += step
+            ends.append(lm_score.Network.of(flat).log_probability(around, token).mean())
+        assert moved[i] == pytest.approx((ends[0] - ends[1]) / 2e-5, rel=1e-3, abs=1e-7)
+    logs = np.array([lm_score.Network.of(before).log_probability(np.repeat(around[:1], lm_score.VOCABULARY, 0), np.arange(lm_score.VOCABULARY))])
+    assert np.exp(logs).sum() == pytest.approx(1)
+
+
 def brute(ids: np.ndarray, x: np.ndarray, asked: list[int], k: int) -> dict[int, list[int]]:
     unit = x / np.sqrt((x * x).sum(axis=1, keepdims=True))
     out = {}
