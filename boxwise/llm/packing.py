@@ -9,7 +9,7 @@ In a pool, pieces first go, largest first, where the least room remains. Then th
 emptiest bins, one after the other, give pieces away: a piece moves, or is exchanged
 for a smaller one, or two pieces for one that is smaller than both together, always to
 a fuller bin, so that the sum of squared fills grows with each step. This ends when
-no bin can be saved by the total of the lengths, no such step is left, or after PASSES.
+no bin can be saved by the total of the lengths, or no such step is left.
 """
 
 from __future__ import annotations
@@ -32,8 +32,6 @@ from boxwise.llm.common import text_table
 
 #: Documents to a pool.
 POOL = 8_000
-#: Passes of the local search at most, bins that each takes from, and items of a bin, the largest, that are tried in pairs.
-PASSES, EMPTIEST, PAIRED = 20, 64, 16
 
 
 @lru_cache(maxsize=2)
@@ -78,7 +76,10 @@ def best_fit(sizes: np.ndarray, capacity: int) -> list[list[int]]:
 
 
 def local_search(sizes: np.ndarray, bins: list[list[int]], capacity: int) -> list[list[int]]:
-    """Steps that increase the squared fill until bins empty; the bins left. Items and capacity stay as they are."""
+    """Steps that increase the squared fill until bins empty; the bins left. Items and capacity stay as they are.
+
+    It ends when the bins are as few as the total length allows, or no step is left in any bin.
+    """
     place = np.empty(len(sizes), dtype=np.int64)
     for k, own in enumerate(bins):
         place[own] = k
@@ -107,7 +108,7 @@ def local_search(sizes: np.ndarray, bins: list[list[int]], capacity: int) -> lis
         # An exchange of `given` tokens for an item of y leaves its bin room + y - given.
         open_ = room[place] > 0
         reach, fuller = room[place] + sizes, fill[place] >= fill[d]
-        pairs = [(int(sizes[i] + sizes[j]), (i, j)) for a, i in enumerate(own[:PAIRED]) for j in own[a + 1 : PAIRED]]
+        pairs = [(int(sizes[i] + sizes[j]), (i, j)) for a, i in enumerate(own) for j in own[a + 1 :]]
         for given, items in [*((int(sizes[i]), (i,)) for i in own), *pairs]:
             rest = np.where(open_ & fuller & (sizes < given) & (reach >= given), reach - given, far)
             if rest[y := int(rest.argmin())] < far:
@@ -118,15 +119,14 @@ def local_search(sizes: np.ndarray, bins: list[list[int]], capacity: int) -> lis
                 return True
         return False
 
-    for _ in range(PASSES):
+    moved = True
+    while moved and left > least:
         moved = False
         order = np.argsort(fill, kind="stable")
-        for d in order[fill[order] > 0][:EMPTIEST].tolist():
+        for d in order[(fill[order] > 0) & (fill[order] < capacity)].tolist():
             while left > least and bins[d] and step(d):
                 moved = True
                 left -= not bins[d]
-        if not moved or left <= least:
-            break
     return [sorted(own) for own in bins if own]
 
 
