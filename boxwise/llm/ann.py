@@ -5,30 +5,34 @@ rotation: principal axes, then the rotation that brings the coordinates closest
 their signs. Mean, rotation and search radius are fitted on a sample of at most
 `sample` vectors, chosen by a hash of vec_id; every vector is indexed.
 
-A code is split into SUBSTRINGS, each with an index of its own. If two codes differ
-in r bits at most, then with r = SUBSTRINGS * s + a, they differ in s bits at most in
-one of the first a + 1 substrings or in s - 1 at most in one of the others; probing
-these keys therefore retrieves every code within the radius. Those are then ranked
-by the cosine of the original vectors. Where a block holds fewer than k vectors
-within the radius, the radius grows until it has k, or all.
-
-The stated queries meet the rows block by block: each task indexes one block of
-vectors and answers one block of queries with at most k rows a query.
+A code is split into SUBSTRINGS, and one inverted index, a table keyed by (substring,
+key), holds every code under each of its keys. If two codes differ in r bits at most,
+then with r = SUBSTRINGS * s + a, they differ in s bits at most in one of the first a + 1
+substrings or in s - 1 at most in one of the others; so each query looks up the keys
+within so many flips, by an equi-join, and finds every code within the radius, which it
+takes from the first substring that it is found by. Those are ranked by the cosine of
+the original vectors. Queries with fewer than k vectors within the radius go on with
+a larger one until they have k, or all.
+
+Index and lookups are of distinct codes. Of equal vectors only the k + 1 smallest ids can
+be among the k nearest, so no others are indexed, however many copies there are.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
-from math import ceil
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-SUBSTRINGS = 4
-#: Vectors to a block at most on average, queries to a block, and the number of blocks for small tables.
-BLOCK, QUERIES, LEAST_BLOCKS = 65_536, 4_096, 16
+from boxwise.llm.common import checkpointed
+
+SUBSTRINGS, BITS = 4, 16
+#: Bits that the radius grows by for queries that have found too few.
+GROWTH = 2 * SUBSTRINGS
 
 _BITS = np.array([bin(k).count("1") for k in range(1 << 16)], dtype=np.uint8)
 
@@ -55,7 +59,7 @@ def _unit(x: np.ndarray) -> np.ndarray:
     return x / np.sqrt((x * x).sum(axis=1, keepdims=True))
 
 
-def learn(x: np.ndarray, k: int = 5, recall: float = 0.985, rounds: int = 40) -> Codes:
+def learn(x: np.ndarray, k: int = 5, recall: float = 0.97, rounds: int = 40) -> Codes:
     """Codes for vectors like the rows of x."""
     unit = _unit(x)
     mean = unit.mean(axis=0)
@@ -79,44 +83,57 @@ def learn(x: np.ndarray, k: int = 5, recall: float = 0.985, rounds: int = 40) ->
     return Codes(mean, codes.rotation, int(np.quantile(np.concatenate(found), recall, method="higher")) if len(x) > 1 else bits)
 
 
-class Index:
-    """The substring indexes of some vectors."""
-
-    def __init__(self, codes: Codes, ids: np.ndarray, x: np.ndarray) -> None:
-        self.codes, self.ids, self.x = codes, ids, x
-        self.norms = np.sqrt((x * x).sum(axis=1))
-        self.own = codes.of(x / self.norms[:, None])
-        self.keys, self.rows = [], []
-        for column in self.own.T:
-            order = np.argsort(column, kind="stable")
-            keys, first = np.unique(column[order], return_index=True)
-            self.keys.append((keys, np.append(first, len(order))))
-            self.rows.append(order)
-
-    def within(self, code: np.ndarray, radius: int) -> np.ndarray:
-        """Rows whose code differs from the given one in `radius` bits at most."""
-        each, more = divmod(radius, SUBSTRINGS)
-        hit = np.zeros(len(self.ids), dtype=bool)
-        for k, ((keys, first), rows) in enumerate(zip(self.keys, self.rows, strict=True)):
-            near = np.flatnonzero(_BITS[keys ^ code[k]] <= (each if k <= more else each - 1))
-            counts = first[near + 1] - first[near]
-            hit[rows[np.repeat(first[near] - np.cumsum(counts) + counts, counts) + np.arange(counts.sum())]] = True
-        rows = np.flatnonzero(hit)
-        return rows[_BITS[self.own[rows] ^ code].sum(axis=1) <= radius]
-
-    def nearest(self, own_id: int, q: np.ndarray, code: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-        """Ids and cosines of the k nearest found, ties by id; rows of the query's own id take no part."""
-        radius, bits = self.codes.radius, SUBSTRINGS * 16
-        while True:
-            rows = self.within(code, radius)
-            rows = rows[self.ids[rows] != own_id]
-            if len(rows) >= k or radius >= bits:
-                break
-            radius = min(bits, radius + SUBSTRINGS)
-        # Row by row alike, so that equal vectors have equal cosines.
-        cosine = (self.x[rows] * q).sum(axis=1) / (self.norms[rows] * np.sqrt((q * q).sum()))
-        best = np.lexsort((self.ids[rows], -cosine))[:k]
-        return self.ids[rows[best]], cosine[best]
+def flips(radius: int) -> list[int]:
+    """Bits that may differ in each substring (-1: none is looked up) for all codes within the radius to be found."""
+    each, more = divmod(radius, SUBSTRINGS)
+    return [each if k <= more else each - 1 for k in range(SUBSTRINGS)]
+
+
+def within(asked: DataFrame, index: DataFrame, radius: int) -> DataFrame:
+    """(ask, code) of all codes of the index within the radius of the codes `ask`.
+
+    asked: ask; index: code, substring, key. A pair comes from the first substring that
+    finds it alone, so nothing has to be made distinct.
+    """
+    spark = asked.sparkSession
+    allowed = flips(radius)
+    masks = [(k, int(m)) for k, n in enumerate(allowed) for m in np.flatnonzero(_BITS <= n)]  # at most SUBSTRINGS * 2^BITS small rows
+    table = spark.createDataFrame(pa.table({"substring": pa.array([k for k, _ in masks], pa.int32()), "mask": pa.array([m for _, m in masks], pa.int32())}))
+    probes = asked.select("ask", keys_of("ask")).join(F.broadcast(table), "substring").select("ask", "substring", F.col("key").bitwiseXOR(F.col("mask")).alias("key"))
+    found = probes.join(index, ["substring", "key"])
+    apart = lambda k: f"bit_count(shiftrightunsigned(ask ^ code, {BITS * k}) & {(1 << BITS) - 1})"
+    earlier = " and ".join(f"(substring <= {k} or {apart(k)} > {allowed[k]})" for k in range(SUBSTRINGS))
+    return found.where(f"bit_count(ask ^ code) <= {radius} and {earlier}").select("ask", "code")
+
+
+def keys_of(code: str) -> F.Column:
+    """(substring, key) of a code, as rows."""
+    return F.posexplode(F.array(*(F.expr(f"int(shiftrightunsigned({code}, {BITS * k}) & {(1 << BITS) - 1})") for k in range(SUBSTRINGS)))).alias("substring", "key")
+
+
+def coded(rows: DataFrame, codes: Codes, size: int) -> DataFrame:
+    """rows (vec_id, embedding) with the code, one 64-bit number."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if len(batch):
+                x = batch["embedding"].flatten().to_numpy().reshape(-1, size)
+                number = np.ascontiguousarray(codes.of(_unit(x)).astype("<u2")).view("<i8")[:, 0]
+                yield pa.record_batch([batch["vec_id"], batch["embedding"], pa.array(number)], ["vec_id", "embedding", "code"])
+
+    return rows.mapInArrow(run, "vec_id long, embedding array<double>, code long")
+
+
+def _cosines(size: int):  # noqa: ANN202
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if len(batch):
+                q, x = (batch[c].flatten().to_numpy().reshape(-1, size) for c in ("asked", "embedding"))
+                # Row by row alike, so that equal vectors have equal cosines.
+                cosine = (x * q).sum(axis=1) / (np.sqrt((x * x).sum(axis=1)) * np.sqrt((q * q).sum(axis=1)))
+                yield pa.record_batch([batch["query_id"], batch["vec_id"], pa.array(cosine)], ["query_id", "vec_id", "score"])
+
+    return run
 
 
 def usable(vectors: DataFrame) -> DataFrame:
@@ -137,11 +154,12 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 5, sample: int = 4_
     Both have vec_id and embedding. score is the cosine in double precision; ties
     go to the smaller vec_id. Vectors that are null, zero, or hold a null or a
     non-finite number take no part, nor do those of another length than most.
-    Rows that repeat a vec_id are candidates each. Empty tables give no rows.
+    Rows that repeat a vec_id are candidates each; queries that repeat one are answered
+    as one. Empty tables give no rows. Other columns are not read.
     """
     spark = vectors.sparkSession
     out = "query_id long, rank int, vec_id long, score double"
-    rows, asked = usable(vectors), usable(queries)
+    rows, asked = usable(vectors), usable(queries).dropDuplicates(["vec_id"])
     sizes = rows.groupBy(F.size("embedding").alias("size")).count().orderBy(F.desc("count"), "size").limit(1).collect()
     if not sizes:
         return spark.createDataFrame([], out)
@@ -152,29 +170,25 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 5, sample: int = 4_
     if not len(chosen):
         chosen = rows.limit(sample).toArrow()
     codes = learn(_matrix(chosen["embedding"], size), k)
-    blocks = max(ceil(total / BLOCK), min(LEAST_BLOCKS, ceil(total / 1024)))
-    asks = max(1, ceil(asked.count() / QUERIES))
-    each = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    left = rows.withColumn("block", F.pmod(F.xxhash64("vec_id"), F.lit(blocks)).cast("int")).withColumn("ask", each(asks))
-    right = asked.withColumn("ask", F.pmod(F.xxhash64("vec_id", F.lit(1)), F.lit(asks)).cast("int")).withColumn("block", each(blocks))
-
-    def search(own: pa.Table, asked: pa.Table) -> pa.Table:
-        found: list[tuple[int, np.ndarray, np.ndarray]] = []
-        if len(own) and len(asked):
-            index = Index(codes, own["vec_id"].to_numpy(), _matrix(own["embedding"], size))
-            q = _matrix(asked["embedding"], size)
-            for i, x, code in zip(asked["vec_id"].to_pylist(), q, codes.of(_unit(q)), strict=True):
-                found.append((i, *index.nearest(i, x, code, k)))
-        n = [len(ids) for _, ids, _ in found]
-        none = np.zeros(0)
-        return pa.table(
-            {
-                "query_id": pa.array(np.repeat(np.array([i for i, _, _ in found], dtype=np.int64), n)),
-                "vec_id": pa.array(np.concatenate([none.astype(np.int64), *(ids for _, ids, _ in found)])),
-                "score": pa.array(np.concatenate([none, *(s for _, _, s in found)])),
-            }
-        )
-
-    near = left.groupBy("block", "ask").cogroup(right.groupBy("block", "ask")).applyInArrow(search, "query_id long, vec_id long, score double")
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return near.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    # Of equal vectors: k + 1 ids, and of an id that repeats k rows.
+    alike, own = Window.partitionBy("embedding"), Window.partitionBy("embedding", "vec_id")
+    first = rows.withColumn("_id", F.dense_rank().over(alike.orderBy("vec_id"))).where(F.col("_id") <= k + 1)
+    first = first.withColumn("_n", F.row_number().over(own.orderBy("vec_id"))).where(F.col("_n") <= k).select("vec_id", "embedding")
+    held = checkpointed(coded(first, codes, size))
+    index = checkpointed(held.select("code").distinct().select("code", keys_of("code")))
+    left = checkpointed(coded(asked, codes, size).select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("asked"), F.col("code").alias("ask")))
+    radius, near = codes.radius, None
+    while True:
+        pairs = within(left.select("ask").distinct(), index, radius)
+        scored = left.join(pairs, "ask").join(held, "code").where("vec_id <> query_id").select("query_id", "asked", "vec_id", "embedding").mapInArrow(_cosines(size), "query_id long, vec_id long, score double")
+        best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+        found = checkpointed(scored.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score"))
+        counts = found.groupBy("query_id").agg(F.max("rank").alias("n"))
+        enough = counts.where(F.col("n") >= k) if radius < SUBSTRINGS * BITS else counts
+        done = found.join(enough.select("query_id"), "query_id", "left_semi")
+        near = done if near is None else near.unionByName(done)
+        left = left.join(enough.select("query_id"), "query_id", "left_anti")
+        if radius >= SUBSTRINGS * BITS or left.isEmpty():
+            return near.select("query_id", "rank", "vec_id", "score")
+        left = checkpointed(left)
+        radius = min(SUBSTRINGS * BITS, radius + GROWTH)

@@ -14,7 +14,7 @@ from pyspark.sql import SparkSession
 
 from boxwise.llm.ann import nearest
 from boxwise.llm.bpe import decode, encode, round_trip
-from boxwise.llm import lm_score
+from boxwise.llm import ann, lm_score
 from boxwise.llm.lm_score import pseudo_likelihood, targets
 from boxwise.llm.packing import best_fit, encoder, local_search, pack
 from boxwise.llm.queries import op1_best_fit_packing, op4_byte_bpe, op7_pseudo_likelihood, op8_multi_index_hashing, op9_fm_toxicity, token_pattern, tokenizer_file
@@ -236,3 +236,29 @@ def test_neighbours_of_odd_vectors(spark: SparkSession) -> None:
     assert got == [(0, 1, 1, half), (0, 2, 2, half), (0, 3, 50, 0.0), (50, 1, 1, half), (50, 2, 2, half), (50, 3, 0, 0.0)]
     assert nearest(vectors.where("false"), vectors).count() == 0
     assert nearest(vectors, vectors.where("false")).count() == 0
+
+
+def test_probing_finds_every_code_within_the_radius(spark: SparkSession) -> None:
+    """Against all pairs of codes; each pair once."""
+    rng = np.random.default_rng(11)
+    codes = rng.integers(-(1 << 63), 1 << 63, 60)
+    near = [int(c ^ sum(1 << int(b) for b in rng.choice(63, int(rng.integers(0, 12)), replace=False))) for c in codes for _ in range(4)]
+    held = spark.createDataFrame([(c,) for c in {*near, *map(int, codes)}], "code long")
+    index = held.select("code", ann.keys_of("code"))
+    asked = spark.createDataFrame([(int(c),) for c in codes[:20]], "ask long")
+    apart = lambda a, b: bin((a ^ b) & ((1 << 64) - 1)).count("1")
+    for radius in (0, 3, 7, 10):
+        expected = sorted((a, b) for a in map(int, codes[:20]) for b in {*near, *map(int, codes)} if apart(a, b) <= radius)
+        assert sorted(map(tuple, ann.within(asked, index, radius).collect())) == expected
+
+
+def test_neighbours_among_many_copies(spark: SparkSession) -> None:
+    """Of a large group of equal vectors the smallest ids are the neighbours, and rows of the query's own id never are."""
+    rng = np.random.default_rng(12)
+    other = rng.normal(size=(40, 8))
+    rows = [(i, [1.0] * 8) for i in range(300)] + [(50, [1.0] * 8)] * 3 + [(1000 + i, v.tolist()) for i, v in enumerate(other)]
+    vectors = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    found = defaultdict(list)
+    for r in sorted(nearest(vectors, vectors.where("vec_id in (0, 50, 1000)")).collect(), key=lambda r: (r["query_id"], r["rank"])):
+        found[r["query_id"]].append(r["vec_id"])
+    assert found[0] == [1, 2, 3, 4, 5] and found[50] == [0, 1, 2, 3, 4] and len(found[1000]) == 5
