@@ -96,7 +96,8 @@ def fit(docs: DataFrame, labels: DataFrame, max_rows: int = 20_000, max_terms: i
     """The machine learnt from labels (doc_id, toxic) outside of the held-out fold.
 
     Rows with a null id or label teach nothing. Without both labels the machine is
-    the constant rate of label 1, or a half where nothing is labelled.
+    the constant rate of label 1, or a quarter where nothing is labelled, so that then
+    nothing is rejected.
     """
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).where(F.col("doc_id").isNotNull() & F.col("toxic").isin(0, 1) & ~held_out(F.col("doc_id")))
     share = max_rows / max(max_rows, known.count())
@@ -106,7 +107,7 @@ def fit(docs: DataFrame, labels: DataFrame, max_rows: int = 20_000, max_terms: i
     shares = rows.groupBy("key").agg((1 / F.count(F.lit(1))).alias("weight"))
     rows = rows.join(shares, "key").select("toxic", "terms", "weight")
     n, positive = (x or 0 for x in rows.agg(F.sum("weight"), F.sum(F.col("weight") * F.col("toxic"))).first())
-    rate = (positive + 0.5) / (n + 1)
+    rate = (positive + 0.5) / (n + 1) if n else 0.25
     bias = float(np.log(rate / (1 - rate)))
     if not 0 < positive < n:
         return Machine(bias, np.zeros(0, np.int64), np.zeros(0), np.zeros((0, FACTORS)))
@@ -161,6 +162,8 @@ def toxicity(docs: DataFrame, labels: DataFrame, **how: float) -> DataFrame:
     """One row a document: doc_id, held_out, score, predicted (1 at a score of 0.5 or more).
 
     Rows that repeat are scored alike. A null doc_id is never held out, nor taught from.
+    A null or empty text has the score of the bias. An empty table gives no rows. Columns
+    other than doc_id and text, and of labels other than doc_id and toxic, are not read.
     """
     scored = score(docs, fit(docs, labels, **how))
     return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))

@@ -6,14 +6,21 @@ import hashlib
 import random
 import re
 from collections import defaultdict
+from pathlib import Path
 
+import public_tokenizers
 from pyspark.sql import SparkSession
+from tokenizers import Tokenizer
 
 import corpus_pipeline
 from boxwise.llm.exact_dedup import SLACK, build_index, directory, drop_exact_duplicates, exact_duplicates
 from boxwise.llm.near_dedup import drop_near_duplicates, near_duplicates
 from boxwise.llm.queries import ORACLE_SQL, op3_license_dice, op6_minhash_near_dedup, op10_exact_dedup
+from boxwise.llm.pii import personal_data
+from boxwise.llm.toxicity import toxicity
 from tests.comparing import rows_of, sql_rows
+from tests.llm.test_patterns import personal
+from tests.llm.test_tokens import check_packing
 
 SCHEMA = "doc_id long, text string"
 
@@ -132,6 +139,58 @@ def test_buckets_split_until_they_hold(spark: SparkSession, sf_dir: str) -> None
     assert index.groupBy("bucket").count().where("count > 3").isEmpty() and index.select("bucket").distinct().count() > 20
 
 
+def test_pipeline_stages_equal_plain_versions(spark: SparkSession, sf_dir: str) -> None:
+    """Each stage on what the one before it kept; all but the scores by brute force."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    stages = dict(corpus_pipeline.STAGES)
+    texts = lambda df: {r["doc_id"]: r["text"] for r in df.collect()}
+    held = texts(docs)
+
+    kept = stages["toxicity"](spark, docs, sf_dir)
+    clean = {r["doc_id"] for r in toxicity(docs, labels).where("predicted = 0").collect()}
+    assert texts(kept) == {d: held[d] for d in clean}
+    first: dict[str, int] = {}
+    for d in sorted(clean):
+        first.setdefault(re.sub("[ \\t-\\r]+", " ", held[d] or ""), d)
+    kept = spark.createDataFrame(kept.collect(), docs.schema)
+    kept = stages["exact_dedup"](spark, kept, sf_dir)
+    assert texts(kept) == {d: held[d] for d in first.values()}
+    expected = {d for d, _, _, stays in near(texts(kept)) if stays}
+    kept = spark.createDataFrame(kept.collect(), docs.schema)
+    kept = spark.createDataFrame(stages["near_dedup"](spark, kept, sf_dir).collect(), docs.schema)
+    assert texts(kept) == {d: held[d] for d in expected}
+    spans = {r["doc_id"]: r["spans"] for r in personal_data(kept).collect()}
+    kept = spark.createDataFrame(stages["personal_data"](spark, kept, sf_dir).collect(), docs.schema)
+    changed = 0
+    for d, text in texts(kept).items():
+        base = sorted((a, b, k) for k, a, b in personal(held[d] or ""))
+        if not spans[d]:
+            assert text == held[d]
+        elif "crf_" not in spans[d] and all(x[1] <= y[0] for x, y in zip(base, base[1:], strict=False)):
+            own, at = "", 0
+            for a, b, k in base:
+                own, at = own + held[d][at:a] + f"[{k.upper()}]", b
+            assert text == own + held[d][at:]
+            changed += 1
+    assert changed
+    tokenizer = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    ids_of = {d: [*tokenizer.encode(t or "", add_special_tokens=False).ids, 0] for d, t in texts(kept).items()}
+    check_packing(stages["packing"](spark, kept, sf_dir).collect(), ids_of, 2048)
+
+
+def test_pipeline_of_odd_tables(spark: SparkSession, tmp_path: Path) -> None:
+    """Null ids and texts, repeated rows, added columns with names of the stages' own, no labels, no rows."""
+    rows = [(1, None, 0, "x", 1.0, 7), (2, "", 0, "x", 1.0, 7), (2, "", 0, "x", 1.0, 7), (None, "a b c", 5, "y", 2.0, 8), (None, "a b c", 5, "y", 2.0, 8), (3, "write to ann@mail.example.org " + "w " * 3000, 6030, None, None, None), (4, "one two three", 13, "z", 0.0, 9), (5, "one two  three", 14, "z", 0.0, 9)]
+    schema = "doc_id long, text string, n_chars long, piece string, score double, bucket long"
+    for k, (docs, labels) in enumerate([(rows, [(1, 0), (4, None), (None, 1)]), (rows, []), ([], [])]):
+        spark.createDataFrame(docs, schema).write.parquet(f"{tmp_path}/{k}/documents.parquet")
+        spark.createDataFrame(labels, "doc_id long, toxic int").write.parquet(f"{tmp_path}/{k}/labels.parquet")
+        packed = corpus_pipeline.run(spark, f"{tmp_path}/{k}").collect()
+        assert sorted((r["doc_id"] or 0, r["piece"]) for r in packed if r["doc_id"] != 3) == ([(0, 0), (0, 0), (1, 0), (4, 0)] if docs else [])
+        assert sum(r["length"] for r in packed if r["doc_id"] == 3) > 3000 or not docs
+
+
 def test_pipeline(spark: SparkSession, sf_dir: str) -> None:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     packed = corpus_pipeline.run(spark, sf_dir)
