@@ -55,7 +55,16 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over the documents of sf_dir; the rows of the last."""
+    """All stages over the documents of sf_dir; the rows of the last.
+
+    Null and empty texts go through every stage as empty ones: they are copies of each
+    other, near no other text, hold no personal data, and are a piece of one id. Rows
+    with a null doc_id are never dropped as duplicates and keep it. Rows that repeat a
+    doc_id with the same text are left once by the exact stage. Columns other than
+    doc_id and text are carried to the last stage, whatever their names, but for n_chars, which
+    follows the text. Without labels nothing is rejected; an empty
+    table gives no rows. Each run writes to a new folder, which stays for a restart.
+    """
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     folder = f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}"
     for name, stage in STAGES:
