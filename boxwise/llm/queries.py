@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 from boxwise.llm.ann import nearest
 from boxwise.llm.bpe import round_trip
+from boxwise.llm.conversations import oracle_sql as conversation_sql
+from boxwise.llm.conversations import repair
 from boxwise.llm.exact_dedup import exact_duplicates
 from boxwise.llm.licenses import license_matches, license_notices
 from boxwise.llm.licenses import oracle_sql as license_sql
@@ -17,6 +19,9 @@ from boxwise.llm.near_dedup import near_duplicates
 from boxwise.llm.packing import pack
 from boxwise.llm.pii import personal_data
 from boxwise.llm.secrets import digests, scan
+from boxwise.llm.sharding import shard_digest
+from boxwise.llm.spelling import oracle_sql as spelling_sql
+from boxwise.llm.spelling import spelling_variants
 from boxwise.llm.toxicity import toxicity
 
 
@@ -84,6 +89,18 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_duplicates(_table(spark, sf_dir, "documents"))
 
 
+def op11_even_partition_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling_variants(_table(spark, sf_dir, "documents"))
+
+
+def op12_earley_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repair(_table(spark, sf_dir, "conversations"))
+
+
+def op13_hypergeometric_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shard_digest(_table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_best_fit_packing": op1_best_fit_packing,
     "op2_skip_chain_crf": op2_skip_chain_crf,
@@ -96,6 +113,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_multi_index_hashing": op8_multi_index_hashing,
     "op9_fm_toxicity": op9_fm_toxicity,
     "op10_exact_dedup": op10_exact_dedup,
+    "op11_even_partition_join": op11_even_partition_join,
+    "op12_earley_repair": op12_earley_repair,
+    "op13_hypergeometric_shards": op13_hypergeometric_shards,
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -104,4 +124,6 @@ ORACLE_SQL: dict[str, str] = {
         WITH t AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '[ \\t\\n\\x0B\\f\\r]+', ' ', 'g') AS norm FROM documents)
         SELECT doc_id, min(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size, doc_id = min(doc_id) OVER w AS kept, sha256(norm) AS text_sha256
         FROM t WINDOW w AS (PARTITION BY norm)""",
+    "op11_even_partition_join": spelling_sql(),
+    "op12_earley_repair": conversation_sql(),
 }
