@@ -17,9 +17,10 @@ from __future__ import annotations
 import base64
 import json
 import os
+import re
 import zlib
 from collections.abc import Iterator
-from functools import lru_cache, partial
+from functools import lru_cache
 from math import ceil
 
 import numpy as np
@@ -28,10 +29,14 @@ import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
+from boxwise.llm import bpe
 from boxwise.llm.common import text_table
 
 #: Documents to a pool.
 POOL = 8_000
+#: Characters past which a text is encoded by the scan of boxwise.llm.bpe, which gives the same ids: the
+#: regular expression of the faster encoder runs out of stack on about a million adjacent blanks.
+LONG = 100_000
 
 
 @lru_cache(maxsize=2)
@@ -52,6 +57,20 @@ def encoder(ranks_path: str, pattern: str):  # noqa: ANN201
     return tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks, special_tokens={t["content"]: t["id"] for t in added})
 
 
+def scanned(text: str, ranks_path: str, added: dict[str, int]) -> list[int]:
+    """The ids of a text of any length and kind, without a regular expression over it but for the added tokens, the longest first."""
+    own = bpe.encoder(ranks_path)
+    parts = re.split("(" + "|".join(map(re.escape, sorted(added, key=len, reverse=True))) + ")", text) if added else [text]
+    ids: list[int] = []
+    for part in parts:
+        if part in added:
+            ids.append(added[part])
+        elif part:
+            data = np.frombuffer(part.encode(), np.uint8)
+            ids += next(own.encode(data, np.array([0, len(data)])))
+    return ids
+
+
 def best_fit(sizes: np.ndarray, capacity: int) -> list[list[int]]:
     """Bins of item numbers: largest items first, each where the least room remains."""
     rooms: dict[int, list[int]] = {}
@@ -135,7 +154,11 @@ def pieces(docs: DataFrame, ranks_path: str, pattern: str, capacity: int = 2048,
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = encoder(ranks_path, pattern)
-        encode = partial(own.encode, allowed_special="all")
+        added = {t: own.encode_single_token(t) for t in own.special_tokens_set}
+
+        def encode(text: str) -> list[int]:
+            return own.encode(text, allowed_special="all") if len(text) <= LONG else scanned(text, ranks_path, added)
+
         for batch in batches:
             rows = []
             for doc, text in zip(batch["doc_id"].to_pylist(), batch["text"], strict=True):
