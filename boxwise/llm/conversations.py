@@ -21,6 +21,7 @@ from __future__ import annotations
 import hashlib
 import uuid
 from collections.abc import Iterable, Iterator
+from functools import partial
 from typing import ClassVar, NamedTuple
 
 import pyarrow as pa
@@ -291,7 +292,7 @@ class _Part:
         return (*self.key, *[None] * 8, number, bytes(self.kinds), [r for r, _ in self.rows], [x for _, x in self.rows], [t.first, t.last], [t.low, t.high], [t.turns, *t.counts.values()])
 
 
-def _parsed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _parsed(batches: Iterator[pa.RecordBatch], piece_rows: int) -> Iterator[pa.RecordBatch]:
     """Results of the conversations that lie within the task, and pieces of the first and the last and of long ones."""
     number = TaskContext.get().partitionId() << 32
     part, inside, out = None, False, []  # inside: whether the conversation began in this task and has not been cut
@@ -310,7 +311,7 @@ def _parsed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 inside = part is not None
                 part = _Part((null_id, id_))
             for k in range(copies):
-                if len(part.rows) >= PIECE_ROWS or part.rows and part.chars + len(text) > PIECE_CHARS:
+                if len(part.rows) >= piece_rows or part.rows and part.chars + len(text) > PIECE_CHARS:
                     cut()
                     part, inside = _Part(part.key), False
                 part.add(turn if has_turn else None, role, text, k > 0 or not first)
@@ -392,7 +393,7 @@ def _summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield result()
 
 
-def repair(turns: DataFrame, damage: bool = True) -> DataFrame:
+def repair(turns: DataFrame, damage: bool = True, piece_rows: int = PIECE_ROWS) -> DataFrame:
     """One row for each conv_id of turns: conv_id, gaps, blank, duplicate, truncated, illegal, cost, audit, repaired_sha256.
 
     turns has conv_id, turn, role and text; other columns are not read. A null role or
@@ -401,10 +402,11 @@ def repair(turns: DataFrame, damage: bool = True) -> DataFrame:
     text; rows that repeat are duplicates. A conversation without rows after the
     damage has zeros, an empty audit and the checksum of nothing; an empty table gives no rows.
     damage: whether rows are damaged first; without it all are taken as they are.
+    piece_rows: how many rows of a conversation a task holds before it makes a piece.
     """
     spark = turns.sparkSession
     folder = f"{shared_folder(spark)}/conversations-{uuid.uuid4().hex}"
-    ordered(read_rows(turns, damage)).mapInArrow(_parsed, f"{RESULT}, {PIECE}").write.parquet(f"{folder}/parsed")
+    ordered(read_rows(turns, damage)).mapInArrow(partial(_parsed, piece_rows=piece_rows), f"{RESULT}, {PIECE}").write.parquet(f"{folder}/parsed")
     parsed = spark.read.parquet(f"{folder}/parsed")
     pieces = parsed.where("piece is not null")
 

@@ -99,7 +99,7 @@ def _hashed(seed: int, at: str) -> Column:
     return F.xxhash64(F.lit(seed), F.col(at))
 
 
-def shuffled(docs: DataFrame, shards: int = SHARDS, seed: int = 0) -> DataFrame:
+def shuffled(docs: DataFrame, shards: int = SHARDS, seed: int = 0, block_bits: int = BLOCK_BITS, range_rows: int = RANGE) -> DataFrame:
     """The rows of docs with shard (int, from 0) and slot (long, gapless from 0 in each shard), in a uniformly random order.
 
     Shards have equal numbers of rows, the first ones one more where they do not
@@ -113,7 +113,7 @@ def shuffled(docs: DataFrame, shards: int = SHARDS, seed: int = 0) -> DataFrame:
     folder = f"{shared_folder(spark)}/sharding-{uuid.uuid4().hex}"
     own = [c for c in docs.columns if c.lower() not in ("shard", "slot")]
     docs.select(*(F.col(f"`{c}`") for c in own), F.monotonically_increasing_id().alias("__bx_at")).write.parquet(f"{folder}/rows")
-    rows = spark.read.parquet(f"{folder}/rows").withColumn("__bx_block", F.shiftright("__bx_at", BLOCK_BITS))
+    rows = spark.read.parquet(f"{folder}/rows").withColumn("__bx_block", F.shiftright("__bx_at", block_bits))
     counts = rows.groupBy(F.col("__bx_block").alias("block")).agg(F.count(F.lit(1)).alias("n"))
     n_blocks, n_rows = counts.agg(F.count(F.lit(1)), F.coalesce(F.sum("n"), F.lit(0))).first()
 
@@ -123,7 +123,7 @@ def shuffled(docs: DataFrame, shards: int = SHARDS, seed: int = 0) -> DataFrame:
     dealt = F.expr("aggregate(to, named_struct('s', 0L, 'c', 0), (a, x) -> named_struct('s', a.s + x, 'c', a.c + if(a.s + x <= __bx_k, 1, 0)), a -> a.c)")
     permuted.select(*(F.col(f"`{c}`") for c in own), "__bx_at", dealt.alias("shard")).write.parquet(f"{folder}/dealt")
 
-    bits = ceil(log2(max(1, n_rows / shards / RANGE)))
+    bits = ceil(log2(max(1, n_rows / shards / range_rows)))
     again = _hashed(seed + 2, "__bx_at")
     sent = spark.read.parquet(f"{folder}/dealt").withColumn("__bx_range", F.shiftrightunsigned(again, 64 - bits) if bits else F.lit(0).cast("long"))
     before = Window.partitionBy("shard").orderBy("__bx_range").rowsBetween(Window.unboundedPreceding, -1)
