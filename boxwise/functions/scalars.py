@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -24,9 +26,14 @@ def total(xs: Column) -> Column:
     return F.aggregate(xs, F.lit(0.0), lambda s, x: s + x)
 
 
+def bound(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body of a value that is worked out once for the row, however often the body, or a lambda in it, names it."""
+    return F.transform(F.array(value), body)[0]
+
+
 def softmax(xs: Column) -> Column:
-    exps = F.transform(xs, lambda x: F.exp(x - F.array_max(xs)))
-    return F.transform(exps, lambda e: e / total(exps))
+    exps = bound(F.array_max(xs), lambda most: F.transform(xs, lambda x: F.exp(x - most)))
+    return bound(exps, lambda es: bound(total(es), lambda whole: F.transform(es, lambda e: e / whole)))
 
 
 def argmax(xs: Column) -> Column:

@@ -11,12 +11,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from boxwise.operators import matching as M
-from boxwise.operators import ranking as R
-from boxwise.session import checkpointed
+from boxwise.operators import ordered as O
 
 #: The protocol's IoU thresholds, areas and numbers of detections.
 THRESHOLDS = [round(0.5 + 0.05 * k, 2) for k in range(10)]
@@ -65,7 +65,7 @@ def match_image(d: dict[str, np.ndarray], g: dict[str, np.ndarray], thresholds:
 
 
 def match(det: DataFrame, gt: DataFrame, thresholds: list[float] | None = None, areas: dict[str, tuple[float, float]] | None = None, most: int = 100) -> DataFrame:
-    """A row of MATCH_SCHEMA for each detection, threshold and area.
+    """A row of MATCH_SCHEMA for each detection, threshold and area. See match_packed for one row a detection.
 
     det: image_id, category_id, det_id, score, x0, y0, x1, y1; gt: image_id, category_id, gt_id,
     x0, y0, x1, y1, area, iscrowd. Detections of an image and category are taken in the
@@ -78,38 +78,172 @@ def match(det: DataFrame, gt: DataFrame, thresholds: list[float] | None = None,
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found: list[tuple[np.ndarray, ...]] = []
-            for row, d, g in M.sides(batch):
-                n = len(d["det_id"])
-                if not n:
-                    continue
-                taken, void = match_image(d, g, thresholds, areas)
-                ids = np.append(g["gt_id"].astype(np.int64), 0)
-                found.append((np.full(n, row), d["det_id"].astype(np.int64), np.arange(1, n + 1), -d["order"], ids[taken], taken >= 0, void))
-            if not found:
-                continue
-            row, det_id, rank, score, gt_id, hit, void = (np.concatenate(x) for x in zip(*found, strict=True))
-            each = np.repeat(row, cells)
-            yield pa.record_batch(
-                [
-                    *(batch[c].take(pa.array(each)) for c in ("image_id", "category_id")),
-                    pa.array(np.tile(np.repeat(names, len(thresholds)), len(row))),
-                    pa.array(np.tile(np.array(thresholds, dtype=float), len(row) * len(names))),
-                    pa.array(np.repeat(det_id, cells)),
-                    pa.array(np.repeat(rank, cells), pa.int32()),
-                    pa.array(np.repeat(score.astype(float), cells)),
-                    pa.array(gt_id.ravel(), mask=~hit.ravel()),
-                    pa.array(void.ravel()),
-                ],
-                ["image_id", "category_id", "area_range", "iou_thr", "det_id", "det_rank", "score", "gt_id", "ignored"],
-            )
+            for row, det_id, rank, score, gt_id, hit, void in _matched(batch, thresholds, areas):
+                each = np.repeat(row, cells)
+                yield pa.record_batch(
+                    [
+                        *(batch[c].take(pa.array(each)) for c in ("image_id", "category_id")),
+                        pa.array(np.tile(np.repeat(names, len(thresholds)), len(row))),
+                        pa.array(np.tile(np.array(thresholds, dtype=float), len(row) * len(names))),
+                        pa.array(np.repeat(det_id, cells)),
+                        pa.array(np.repeat(rank, cells), pa.int32()),
+                        pa.array(np.repeat(score.astype(float), cells)),
+                        pa.array(gt_id.ravel(), mask=~hit.ravel()),
+                        pa.array(void.ravel()),
+                    ],
+                    ["image_id", "category_id", "area_range", "iou_thr", "det_id", "det_rank", "score", "gt_id", "ignored"],
+                )
 
+    return _paired(det, gt, most).mapInArrow(run, MATCH_SCHEMA)
+
+
+def _matched(batch: pa.RecordBatch, thresholds: list[float], areas: dict[str, tuple[float, float]]) -> Iterator[tuple[np.ndarray, ...]]:
+    """Row of the batch, det_id, rank and score of the detections, and gt_id, hit and ignored of each in each cell (area, threshold)."""
+    found: list[tuple[np.ndarray, ...]] = []
+    for row, d, g in M.sides(batch):
+        n = len(d["det_id"])
+        if not n:
+            continue
+        taken, void = match_image(d, g, thresholds, areas)
+        ids = np.append(g["gt_id"].astype(np.int64), 0)
+        found.append((np.full(n, row), d["det_id"].astype(np.int64), np.arange(1, n + 1), -d["order"], ids[taken], taken >= 0, void))
+    if found:
+        yield tuple(np.concatenate(x) for x in zip(*found, strict=True))
+
+
+def _paired(det: DataFrame, gt: DataFrame, most: int) -> DataFrame:
+    """A row for each image and category, with its detections, the first `most` alone, and its ground truth."""
     # What lies beyond the largest number of detections never moves.
     top = M.top_per_group(det, ["image_id", "category_id"], [F.desc("score"), F.asc("det_id")], most).withColumn("order", -F.col("score").cast("double"))
     xyxy = ["x0", "y0", "x1", "y1"]
     typed = [f.select(F.col("image_id").cast("long").alias("image_id"), F.col("category_id").cast("int").alias("category_id"), *cols) for f, cols in ((top, ["order", "det_id", *xyxy]), (gt, ["gt_id", *xyxy, "area", "iscrowd"]))]
-    rows = M.by_image(*typed, ["image_id", "category_id"], ["order", "det_id", *xyxy], ["gt_id", *xyxy, "area", "iscrowd"], "left")
-    return rows.mapInArrow(run, MATCH_SCHEMA)
+    return M.by_image(*typed, ["image_id", "category_id"], ["order", "det_id", *xyxy], ["gt_id", *xyxy, "area", "iscrowd"], "left")
+
+
+PACKED = "image_id long, category_id int, det_id long, det_rank int, score double, matched binary, ignored binary"
+
+
+def match_packed(det: DataFrame, gt: DataFrame, thresholds: list[float] | None = None, areas: dict[str, tuple[float, float]] | None = None, most: int = 100) -> DataFrame:
+    """match() with one row a detection: matched and ignored hold a bit for each cell (area, threshold), areas first."""
+    thresholds, areas = thresholds or THRESHOLDS, areas or AREAS
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row, det_id, rank, score, _, hit, void in _matched(batch, thresholds, areas):
+                bits = [pa.array([x.tobytes() for x in np.packbits(b, axis=1)], pa.binary()) for b in (hit, void)]
+                yield pa.record_batch([*(batch[c].take(pa.array(row)) for c in ("image_id", "category_id")), pa.array(det_id), pa.array(rank, pa.int32()), pa.array(score.astype(float)), *bits], ["image_id", "category_id", "det_id", "det_rank", "score", "matched", "ignored"])
+
+    return _paired(det, gt, most).mapInArrow(run, PACKED)
+
+
+#: Detections whose cells are in memory at once.
+STEP = 4096
+
+
+def accumulate(packed: DataFrame, npos: DataFrame, thresholds: list[float] | None = None, areas: dict[str, tuple[float, float]] | None = None, max_dets: tuple[int, ...] = MAX_DETS) -> DataFrame:
+    """What average_precision() gives, from match_packed(): one sort by category and score, and sums over cells by bit columns.
+
+    Each partition of the sorted detections leaves the counts of its last category, then,
+    knowing what came before, the highest precisions of its first one, and then its share of
+    every category's sums. So three passes read the sorted rows, and none moves them again.
+    Collected are a number for each cell and partition, and for each category and area.
+    """
+    thresholds, areas = thresholds or THRESHOLDS, areas or AREAS
+    spots = list(areas)
+    cells, most = len(spots) * len(thresholds), list(max_dets)
+    wide = cells * len(most)
+    placed = O.in_order(packed.where(F.col("det_rank") <= max(most)), ["category_id"], [F.desc("score"), F.asc("image_id"), F.asc("det_id")])
+    truth = {(r["category_id"], r["area_range"]): r["npos"] for r in npos.collect()}
+
+    def parts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        """Category, and whether each detection counts and hits, by (max_det, cell), for runs of one category."""
+        for batch in batches:
+            bounds = [*O.group_starts(batch, ["category_id"]).tolist(), len(batch)] if len(batch) else [0]
+            rank = batch["det_rank"].to_numpy()
+            unpacked = lambda c, a, b: np.unpackbits(np.frombuffer(b"".join(batch[c].slice(a, b - a).to_pylist()), np.uint8).reshape(b - a, -1), axis=1, count=cells).astype(bool)
+            for first, last in zip(bounds[:-1], bounds[1:], strict=True):
+                for a in range(first, last, STEP):
+                    b = min(last, a + STEP)
+                    counted = (rank[a:b, None] <= np.array(most)[None])[:, :, None] & ~unpacked("ignored", a, b)[:, None]
+                    yield batch["category_id"][a].as_py(), counted.reshape(b - a, wide), (counted & unpacked("matched", a, b)[:, None]).reshape(b - a, wide)
+
+    edges = "part long, first int, last int, x array<double>, y array<double>"
+
+    def edge(first: int, last: int, x: np.ndarray, y: np.ndarray) -> pa.RecordBatch:
+        return pa.record_batch([pa.array([TaskContext.get().partitionId()]), pa.array([first], pa.int32()), pa.array([last], pa.int32()), pa.array([x.tolist()], pa.list_(pa.float64())), pa.array([y.tolist()], pa.list_(pa.float64()))], ["part", "first", "last", "x", "y"])
+
+    def tails(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        first = last = None
+        for category, counted, hit in parts(batches):
+            first = category if first is None else first
+            if category != last:
+                n = tp = np.zeros(wide, dtype=np.int64)
+            n, tp, last = n + counted.sum(axis=0), tp + hit.sum(axis=0), category
+        if first is not None:
+            yield edge(first, last, n, tp)
+
+    def curves(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+        """Category, hits, their numbers so far and precisions (-1 where a detection does not count)."""
+        last, n, tp = before.get(TaskContext.get().partitionId(), (None, 0, 0))
+        for category, counted, hit in parts(batches):
+            if category != last:
+                last, n, tp = category, np.zeros(wide, np.int64), np.zeros(wide, np.int64)
+            all_n, all_tp = n + np.cumsum(counted, axis=0), tp + np.cumsum(hit, axis=0)
+            yield category, hit, all_tp, np.where(hit, all_tp / np.maximum(all_n, 1), -1.0)
+            n, tp = all_n[-1], all_tp[-1]
+
+    def heads(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        first = last = None
+        for category, _, _, precision in curves(batches):
+            if first is None:
+                first, top = category, np.full(wide, -1.0)
+            if category == first:
+                top = np.maximum(top, precision.max(axis=0))
+            last = category
+        if first is not None:
+            yield edge(first, last, top, top)
+
+    def shares(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Of each category: the sum over its hits here of the recall samples that each covers times its envelope, and the hits up to here."""
+        sums: dict[int, np.ndarray] = {}
+        found: dict[int, np.ndarray] = {}
+        last, top = after.get(TaskContext.get().partitionId(), (None, None))
+        for category, hit, tp, precision in reversed(list(curves(batches))):
+            if category != last:
+                last, top = category, np.full(wide, -1.0)
+            own = np.tile(np.repeat([max(truth.get((category, s), 0), 1) for s in spots], len(thresholds)), len(most))
+            envelope = np.maximum(np.maximum.accumulate(precision[::-1], axis=0)[::-1], top)
+            # Sample k is taken at the first hit whose recall reaches k / 100, and sample 0 at the first hit: nothing before it has a higher envelope.
+            sample = lambda x: np.floor(x / own * 100 + 1e-9)  # noqa: E731, B023
+            taken = sample(tp) - np.where(tp == 1, -1, sample(tp - 1))
+            sums[category] = sums.get(category, 0) + np.where(hit, taken * envelope, 0.0).sum(axis=0)
+            found.setdefault(category, tp[-1])
+            top = envelope[0]
+        yield pa.record_batch([pa.array(list(sums), pa.int32()), pa.array([x.tolist() for x in sums.values()], pa.list_(pa.float64())), pa.array([found[c].tolist() for c in sums], pa.list_(pa.int64()))], ["category_id", "sums", "found"])
+
+    before: dict[int, tuple[int, np.ndarray, np.ndarray]] = {}
+    category = None
+    for part, first, last, n, tp in sorted(placed.mapInArrow(tails, edges).collect()):
+        if first == category:
+            before[part] = category, total_n, total_tp
+        goes_on = first == category == last
+        total_n, total_tp = np.array(n, np.int64) + (total_n if goes_on else 0), np.array(tp, np.int64) + (total_tp if goes_on else 0)
+        category = last
+    after: dict[int, tuple[int, np.ndarray]] = {}
+    category = None
+    for part, first, last, x, _ in sorted(placed.mapInArrow(heads, edges).collect(), reverse=True):
+        if last == category:
+            after[part] = category, top
+        top = np.maximum(x, top) if first == last == category else np.array(x)
+        category = first
+
+    keys = [(m, a, t) for m in most for a in spots for t in thresholds]
+    each = F.arrays_zip(F.array(*(F.struct(F.lit(m).alias("max_det"), F.lit(a).alias("area_range"), F.lit(t).alias("iou_thr")) for m, a, t in keys)).alias("k"), "sums", "found")
+    rows = placed.mapInArrow(shares, "category_id int, sums array<double>, found array<long>").select("category_id", F.explode(each).alias("e")).select("category_id", "e.k.*", "e.sums", "e.found")
+    total = rows.groupBy("category_id", "area_range", "max_det", "iou_thr").agg((F.sum("sums") / 101).alias("ap"), F.max("found").alias("found"))
+    every = npos.where("npos > 0").select("category_id", "area_range", "npos", F.explode(F.array(*(F.struct(F.lit(m).alias("max_det"), F.lit(t).alias("iou_thr")) for m in most for t in thresholds))).alias("k")).select("category_id", "area_range", "npos", "k.*")
+    joined = every.join(total, ["category_id", "area_range", "max_det", "iou_thr"], "left")
+    return joined.select("category_id", "area_range", "max_det", "iou_thr", F.coalesce("ap", F.lit(0.0)).alias("ap"), F.coalesce(F.col("found") / F.col("npos"), F.lit(0.0)).alias("recall"))
 
 
 def positives(gt: DataFrame, areas: dict[str, tuple[float, float]] | None = None) -> DataFrame:
@@ -122,25 +256,19 @@ def positives(gt: DataFrame, areas: dict[str, tuple[float, float]] | None = None
 def precision_recall(matches: DataFrame, npos: DataFrame, max_dets: tuple[int, ...] = MAX_DETS, hits_only: bool = False) -> DataFrame:
     """For each key (category_id, area_range, max_det, iou_thr) and detection that counts, by score: rank, hit, recall, precision and envelope (the highest precision from there on).
 
-    Detections are dealt into ranges of scores by category, and ranges add up, so that a
-    frequent category is no single task; all of max_dets share one pass, as a lower
-    number only leaves rows out. Both steps read their input more than once and find it in
-    the shared folder. hits_only: leaves out detections that took nothing, which neither
-    the envelope nor the average precision depends on once ranks are counted.
+    All of max_dets share one sort, as a lower number only leaves rows out. hits_only:
+    leaves out detections that took nothing, which neither the envelope nor the average
+    precision depends on once ranks are counted.
     """
-    matches = checkpointed(matches)
     keys = ["category_id", "area_range", "iou_thr"]
-    down = [F.desc("score"), F.asc("image_id"), F.asc("det_id")]
-    up = [F.asc("score"), F.desc("image_id"), F.desc("det_id")]
     counts = {m: F.col("det_rank") <= m for m in max_dets}
     flags = {f"n_{m}": w.cast("int") for m, w in counts.items()} | {f"tp_{m}": (w & F.col("gt_id").isNotNull()).cast("int") for m, w in counts.items()}
     rows = matches.where(~F.col("ignored") & (F.col("det_rank") <= max(max_dets))).select(*keys, "image_id", "det_id", "score", *(v.alias(k) for k, v in flags.items()))
-    bounds = R.band_bounds(rows, ["category_id"], "score")
-    cum = R.cumulated(R.banded(rows, bounds, ["category_id"], "score"), keys, down, list(flags), descending=True)
+    cum = O.running_totals(O.in_order(rows, keys, [F.desc("score"), F.asc("image_id"), F.asc("det_id")]), keys, list(flags))
     curve = cum.withColumns({f"p_{m}": F.when(F.col(f"n_{m}") > 0, F.col(f"cum_tp_{m}") / F.col(f"cum_n_{m}")) for m in max_dets})
     if hits_only:
         curve = curve.where(" or ".join(f"tp_{m} > 0" for m in max_dets))
-    tops = R.highest_after(checkpointed(curve), keys, up, [f"p_{m}" for m in max_dets], descending=True).join(npos.where("npos > 0"), ["category_id", "area_range"])
+    tops = O.highest_after(curve, keys, [f"p_{m}" for m in max_dets]).join(npos.where("npos > 0"), ["category_id", "area_range"])
     each = F.array(*(F.struct(F.lit(m).alias("max_det"), F.col(f"n_{m}").alias("n"), F.col(f"tp_{m}").alias("hit"), F.col(f"cum_n_{m}").alias("rank"), F.col(f"cum_tp_{m}").alias("tp"), F.col(f"p_{m}").alias("precision"), F.col(f"max_p_{m}").alias("envelope")) for m in max_dets))
     return tops.select(*keys, "score", "npos", F.inline(each)).where("hit > 0" if hits_only else "n > 0").select("category_id", "area_range", "max_det", "iou_thr", "rank", "score", "hit", "precision", (F.col("tp") / F.col("npos")).alias("recall"), "envelope", "tp", "npos")
 

@@ -1,58 +1,21 @@
 """Ranking metrics: everything that follows from scores in order.
 
-A running total over a whole group would put the group into one task. Here scores are
-first reduced to one row for each distinct value, then dealt into BANDS ranges by
-approximate quantiles, which are a bounded number for each group; running totals are
-taken within a range, and each range adds the totals of those before it. So a group
-of any size is read by many tasks, and only the distinct scores move.
+Scores are first reduced to one row for each distinct value where that is enough. Then one
+sort over all partitions, with offsets from one partition to the next, gives running
+totals; see boxwise.operators.ordered. No group and no score is a single task.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-BANDS = 64
-
-
-def band_bounds(df: DataFrame, group: list[str], by: str) -> DataFrame:
-    """group..., _bounds: the approximate quantiles of `by` that part a group into BANDS ranges."""
-    return df.groupBy(*group).agg(F.percentile_approx(by, [k / BANDS for k in range(1, BANDS)], 10_000).alias("_bounds"))
-
-
-def banded(df: DataFrame, bounds: DataFrame, group: list[str], by: str) -> DataFrame:
-    """df with _band: the range that `by` falls in; equal values fall in one."""
-    return df.join(bounds, group).withColumn("_band", F.size(F.filter("_bounds", lambda b: b < F.col(by)))).drop("_bounds")
-
-
-def cumulated(rows: DataFrame, group: list[str], order: list[Column], sums: list[str], descending: bool = False) -> DataFrame:
-    """rows, which have _band, with cum_<s> for each sum: the total up to and with each row in the given order, which begins with the score."""
-    within = Window.partitionBy(*group, "_band").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    totals = rows.groupBy(*group, "_band").agg(*(F.sum(s).alias(f"_t_{s}") for s in sums))
-    before = Window.partitionBy(*group).orderBy(F.desc("_band") if descending else F.asc("_band")).rowsBetween(Window.unboundedPreceding, -1)
-    offsets = totals.select(*group, "_band", *(F.coalesce(F.sum(f"_t_{s}").over(before), F.lit(0)).alias(f"_o_{s}") for s in sums))
-    joined = rows.withColumns({f"cum_{s}": F.sum(s).over(within) for s in sums}).join(offsets, [*group, "_band"])
-    return joined.withColumns({f"cum_{s}": F.col(f"cum_{s}") + F.col(f"_o_{s}") for s in sums}).drop(*(f"_o_{s}" for s in sums))
-
-
-def highest_after(rows: DataFrame, group: list[str], order: list[Column], values: list[str], descending: bool = False) -> DataFrame:
-    """rows, which have _band, with max_<v> for each value: the largest of each row and of those after it.
-
-    order: the reverse of the rows' order, so that the frame grows from its start and
-    each row is added once; descending says whether the rows themselves go down.
-    """
-    within = Window.partitionBy(*group, "_band").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    tops = rows.groupBy(*group, "_band").agg(*(F.max(v).alias(f"_t_{v}") for v in values))
-    later = Window.partitionBy(*group).orderBy(F.asc("_band") if descending else F.desc("_band")).rowsBetween(Window.unboundedPreceding, -1)
-    offsets = tops.select(*group, "_band", *(F.max(f"_t_{v}").over(later).alias(f"_o_{v}") for v in values))
-    joined = rows.withColumns({f"max_{v}": F.max(v).over(within) for v in values}).join(offsets, [*group, "_band"])
-    return joined.withColumns({f"max_{v}": F.greatest(f"max_{v}", f"_o_{v}") for v in values}).drop(*(f"_o_{v}" for v in values))
+from boxwise.operators import ordered as O
 
 
 def running(df: DataFrame, group: list[str], by: str, sums: list[str], descending: bool = False) -> DataFrame:
     """df, unique in (group, by), with cum_<s> for each sum: the total up to and with the row's own `by`."""
-    rows = banded(df, band_bounds(df, group, by), group, by)
-    return cumulated(rows, group, [F.desc(by) if descending else F.asc(by)], sums, descending).drop("_band")
+    return O.running_totals(O.in_order(df, group, [F.desc(by) if descending else F.asc(by)]), group, sums)
 
 
 def quantiles(df: DataFrame, group: list[str], x: str, wanted: dict[str, float]) -> DataFrame:
@@ -100,12 +63,10 @@ def fpr_at_tpr(df: DataFrame, group: list[str], y: str, score: str, tpr: float =
 def ranked(df: DataFrame, group: list[str], score: str, key: str, values: list[str], descending: bool = False) -> DataFrame:
     """group..., score, key, values..., cum_<v> and rank, in the total order (score, key).
 
-    key makes rows unique within a group. Ranges are dealt by score, so rows of one
-    score stand in one range.
+    key makes rows unique within a group, and parts rows of one score over tasks.
     """
     x = df.select(*group, F.col(score).cast("double").alias("_score"), F.col(key).alias("_key"), *values, F.lit(1).alias("one"))
-    rows = banded(x, band_bounds(x, group, "_score"), group, "_score")
-    out = cumulated(rows, group, [F.desc("_score") if descending else F.asc("_score"), F.asc("_key")], [*values, "one"], descending)
+    out = O.running_totals(O.in_order(x, group, [F.desc("_score") if descending else F.asc("_score"), F.asc("_key")]), group, [*values, "one"])
     return out.select(*group, F.col("_score").alias("score"), F.col("_key").alias("key"), *values, *(f"cum_{v}" for v in values), F.col("cum_one").alias("rank"))
 
 
@@ -116,11 +77,16 @@ def average_precision_ordered(df: DataFrame, group: list[str], y: str, score: st
     return r.groupBy(*group).agg(F.when((F.sum(y) > 0) & (F.sum(y) < F.count(F.lit(1))), value).alias("aupr_ordered"))
 
 
-def risk_coverage(df: DataFrame, group: list[str], risk: str, uncertainty: str, key: str) -> DataFrame:
-    """group..., rank, n, coverage and selective_risk: the mean risk of the rows no less certain, in the order (uncertainty, key)."""
+def selective_risk(df: DataFrame, group: list[str], risk: str, uncertainty: str, key: str) -> DataFrame:
+    """group..., key, rank and selective_risk: the mean risk of the rows no less certain, in the order (uncertainty, key)."""
     r = ranked(df, group, uncertainty, key, [risk])
-    n = r.groupBy(*group).agg(F.count(F.lit(1)).alias("n"))
-    return r.join(n, group).select(*group, "key", "rank", "n", (F.col("rank") / F.col("n")).alias("coverage"), (F.col(f"cum_{risk}") / F.col("rank")).alias("selective_risk"))
+    return r.select(*group, "key", "rank", (F.col(f"cum_{risk}") / F.col("rank")).alias("selective_risk"))
+
+
+def risk_coverage(df: DataFrame, group: list[str], risk: str, uncertainty: str, key: str) -> DataFrame:
+    """selective_risk() with n, the rows of the group, and coverage, rank / n."""
+    n = df.groupBy(*group).agg(F.count(F.lit(1)).alias("n"))
+    return selective_risk(df, group, risk, uncertainty, key).join(n, group).withColumn("coverage", F.col("rank") / F.col("n"))
 
 
 def aurc_mean(curve: DataFrame, group: list[str]) -> DataFrame:
@@ -130,8 +96,8 @@ def aurc_mean(curve: DataFrame, group: list[str]) -> DataFrame:
 
 def aurc_trapezoid(curve: DataFrame, group: list[str]) -> DataFrame:
     """group..., aurc: the area under selective risk over coverage, by trapezoids: each inner point counts whole, both ends half."""
-    weight = F.when((F.col("rank") == 1) | (F.col("rank") == F.col("n")), 0.5).otherwise(1.0)
-    return curve.groupBy(*group).agg(F.sum(F.when(F.col("n") > 1, F.col("selective_risk") * weight / F.col("n")).otherwise(0.0)).alias("aurc"))
+    first, last = F.sum(F.when(F.col("rank") == 1, F.col("selective_risk"))), F.max_by("selective_risk", "rank")
+    return curve.groupBy(*group).agg(F.when(F.max("rank") > 1, (F.sum("selective_risk") - first / 2 - last / 2) / F.max("rank")).otherwise(0.0).alias("aurc"))
 
 
 def risk_at(curve: DataFrame, group: list[str], coverages: list[float]) -> DataFrame:

@@ -273,8 +273,8 @@ CURVE = f"p AS ({POOL}), w AS (SELECT grp, {{value}} AS v, avg({{value}}) OVER (
 )
 def a17_aurc_eaurc(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = pool(spark, sf_dir)
-    own = R.aurc_trapezoid(R.risk_coverage(p, ["grp"], "y", "u", "id"), ["grp"])
-    best = R.aurc_trapezoid(R.risk_coverage(p, ["grp"], "y", "y", "id"), ["grp"]).withColumnRenamed("aurc", "best")
+    own = R.aurc_trapezoid(R.selective_risk(p, ["grp"], "y", "u", "id"), ["grp"])
+    best = R.aurc_trapezoid(R.selective_risk(p, ["grp"], "y", "y", "id"), ["grp"]).withColumnRenamed("aurc", "best")
     return own.join(best, "grp").select("grp", r6(F.col("aurc")).alias("aurc"), r6(F.col("aurc") - F.col("best")).alias("eaurc"))
 
 
@@ -286,8 +286,8 @@ def a17_aurc_eaurc(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def a18_selective_risk_means(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = pool(spark, sf_dir)
-    own = R.aurc_mean(R.risk_coverage(p, ["grp"], "risk", "u", "id"), ["grp"])
-    best = R.aurc_mean(R.risk_coverage(p, ["grp"], "risk", "risk", "id"), ["grp"]).withColumnRenamed("aurc", "oracle")
+    own = R.aurc_mean(R.selective_risk(p, ["grp"], "risk", "u", "id"), ["grp"])
+    best = R.aurc_mean(R.selective_risk(p, ["grp"], "risk", "risk", "id"), ["grp"]).withColumnRenamed("aurc", "oracle")
     random = p.groupBy("grp").agg(F.avg("risk").alias("random_expected"))
     return own.join(best, "grp").join(random, "grp").select("grp", *(r6(F.col(c)).alias(c) for c in ("aurc", "oracle", "random_expected")))
 

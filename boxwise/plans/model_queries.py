@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from boxwise.functions import boxes as B
 from boxwise.functions import scalars as S
 from boxwise.operators import coco as C
+from boxwise.operators import prototypes as P
 from boxwise.operators import ranking as R
 from boxwise.operators import statistics as T
 from boxwise.operators import topology as U
@@ -35,7 +36,7 @@ def j9_coco_match(spark: SparkSession, sf_dir: str) -> DataFrame:
 def a25_a26_coco_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     det, gt = coco_tables(spark, sf_dir)
     npos = C.positives(gt)
-    return C.summary(C.average_precision(C.precision_recall(C.match(det, gt), npos, hits_only=True), npos))
+    return C.summary(C.accumulate(C.match_packed(det, gt), npos))
 
 
 def _flagged(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
@@ -103,7 +104,7 @@ def u2_topological_uncertainty(spark: SparkSession, sf_dir: str) -> DataFrame:
 def u3_clustered_uncertainty(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same against up to four prototypes of each class and layer."""
     d = tree_diagrams(spark, sf_dir)
-    prototypes = U.clusters(d.where("vec_id % 5 <> 0"), ["label", "layer"], "vec_id", "diagram")
+    prototypes = P.clusters(d.where("vec_id % 5 <> 0"), ["label", "layer"], "vec_id", "diagram")
     held = d.where("vec_id % 5 = 0").select("vec_id", "label", "layer", "diagram")
     return U.uncertainty(U.prototype_distances(held, prototypes, ["label", "layer"], "diagram", "max"), ["vec_id", "label"]).withColumn("tu", r6(F.col("tu")))
 
@@ -111,7 +112,7 @@ def u3_clustered_uncertainty(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("a5_cluster_prototypes", None)
 def a5_cluster_prototypes(spark: SparkSession, sf_dir: str) -> DataFrame:
     v = vectors(spark, sf_dir)
-    return U.clusters(v, ["label", "layer"], "vec_id", "x").select("label", "layer", "cluster_id", "n", r6(F.col("m")[0]).alias("m0"))
+    return P.clusters(v, ["label", "layer"], "vec_id", "x").select("label", "layer", "cluster_id", "n", r6(F.col("m")[0]).alias("m0"))
 
 
 @query(

@@ -111,8 +111,9 @@ def test_coco_summary(spark: SparkSession, scenes) -> None:  # noqa: ANN001
     expected = {"AP": mean(0, "all", 100), "AP50": mean(0, "all", 100, 0.5), "AP75": mean(0, "all", 100, 0.75)} | {f"AP_{a}": mean(0, a, 100) for a in ("small", "medium", "large")} | {f"AR{m}": mean(1, "all", m) for m in C.MAX_DETS} | {f"AR_{a}": mean(1, a, 100) for a in ("small", "medium", "large")}
     d, g = frames(spark, scenes)
     npos = C.positives(g)
-    for hits_only in (False, True):
-        got = {r["stat"]: r["value"] for r in C.summary(C.average_precision(C.precision_recall(C.match(d, g), npos, hits_only=hits_only), npos)).collect()}
+    cubes = [C.average_precision(C.precision_recall(C.match(d, g), npos, hits_only=hits_only), npos) for hits_only in (False, True)]
+    for cube in [*cubes, C.accumulate(C.match_packed(d, g), npos)]:
+        got = {r["stat"]: r["value"] for r in C.summary(cube).collect()}
         assert got.keys() == expected.keys()
         for k, v in expected.items():
             assert got[k] == (None if v is None else pytest.approx(v, abs=1e-9)), k
