@@ -11,23 +11,34 @@ from boxwise.operators import matching as M
 from boxwise.operators import statistics as T
 from boxwise.operators import topology as U
 
-#: The modules of a decoder layer that a capture task stands for.
+#: The modules that a capture task stands for, in each decoder layer or in the encoder.
 TASKS = {
     "score": ("linear1", "linear2", "score_head"),
     "bbox": ("bbox_head_0", "bbox_head_1", "bbox_head_2"),
     "deformable_sampling_offsets": ("sampling_offsets",),
-    "deformable_attention_weights": ("attention_weights",),
-    "deformable_value_proj": ("value_proj",),
-    "deformable_output_proj": ("output_proj",),
+    "attention_weights": ("attention_weights",),
+    "value_proj": ("value_proj",),
+    "output_proj": ("output_proj",),
+}
+ENCODER_TASKS = {
+    "enc_output": ("enc_output_proj",),
+    "enc_score_head": ("enc_score_head",),
+    "enc_bbox_head": ("enc_bbox_head_0", "enc_bbox_head_1", "enc_bbox_head_2"),
 }
 
 
 def selected_layers(captures: DataFrame, tasks: list[str], layers: int | list[int] = -1) -> DataFrame:
-    """The captures (layer, module, ...) that task names and decoder layers select; -1 stands for all layers (U5). The filter reaches the scan."""
-    rows = captures.where(F.col("module").isin([m for t in tasks for m in TASKS[t]]))
-    if layers == -1:
-        return rows
-    return rows.where(F.col("layer").isin([layers] if isinstance(layers, int) else list(layers)))
+    """The captures (layer, module, ...) that task names and decoder layers select; -1 stands for all layers (U5). The filter reaches the scan.
+
+    Modules of the encoder are in no decoder layer, so `layers` leaves them.
+    """
+    if unknown := set(tasks) - {*TASKS, *ENCODER_TASKS}:
+        raise ValueError(f"unknown tasks {sorted(unknown)}")
+    decoder = F.col("module").isin([m for t in tasks for m in TASKS.get(t, ())])
+    encoder = F.col("module").isin([m for t in tasks for m in ENCODER_TASKS.get(t, ())])
+    if layers != -1:
+        decoder &= F.col("layer").isin([layers] if isinstance(layers, int) else list(layers))
+    return captures.where(decoder | encoder)
 
 
 def population(rows: DataFrame, which: str, allowed: list[int] | None = None) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from boxwise.functions import scalars as S
 from boxwise.operators import ranking as R
 
 
@@ -133,3 +134,23 @@ def split(df: DataFrame, key: str, fraction: float, seed: int, most: int | None
 def bernoulli(df: DataFrame, key: str, share: float, seed: int) -> DataFrame:
     """df with chosen: whether the mixed key is below the share."""
     return df.withColumn("chosen", mixed(F.col(key), seed) < int(share * 4294967296))
+
+
+def gaussian_metrics(rows: DataFrame, errors: str, logvars: str, levels: dict[str, float], names: list[str]) -> DataFrame:
+    """One row a nominal level, of arrays of errors and log variances with one element for each of names.
+
+    coordinate: the share of coordinates within z deviations; whole: that of rows with all
+    of them; nll: the mean Gaussian negative log likelihood; and rmse_<name> and
+    mean_std_<name>. One pass, whatever the number of levels.
+    """
+    e, v = F.col(errors), F.col(logvars)
+    ratio = F.zip_with(e, v, lambda a, b: F.abs(a) / F.exp(b / 2))
+    nll = F.zip_with(e, v, lambda a, b: S.gaussian_nll(a, b))
+    n = len(names)
+    within = lambda z: F.size(F.filter("_r", lambda r: r <= z)) / n
+    sums = {f"_in_{k}": F.avg(within(z)) for k, z in levels.items()} | {f"_all_{k}": F.avg((F.array_max("_r") <= z).cast("int")) for k, z in levels.items()}
+    sums |= {"nll": F.avg(S.total(nll) / n)}
+    sums |= {f"rmse_{c}": F.sqrt(F.avg(e[i] * e[i])) for i, c in enumerate(names)} | {f"mean_std_{c}": F.avg(F.exp(v[i] / 2)) for i, c in enumerate(names)}
+    one = rows.withColumn("_r", ratio).agg(*(x.alias(k) for k, x in sums.items()))
+    each = F.inline(F.array(*(F.struct(F.lit(k).alias("nominal"), F.col(f"_in_{k}").alias("coordinate"), F.col(f"_all_{k}").alias("whole")) for k in levels)))
+    return one.select(each, "nll", *(f"rmse_{c}" for c in names), *(f"mean_std_{c}" for c in names))

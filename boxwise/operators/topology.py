@@ -75,6 +75,12 @@ def uncertainty(distances: DataFrame, keys: list[str], layers: int | None = None
     return distances.groupBy(*keys).agg((total / (F.count(F.lit(1)) if layers is None else F.lit(layers))).alias("tu"))
 
 
+def named_uncertainty(distances: DataFrame, keys: list[str], captured: int, name: str = "linear1") -> DataFrame:
+    """keys..., tu: the distances of the layers whose names contain `name`, added up and divided by the number of all captured layers."""
+    own = F.coalesce(F.sum(F.when(F.contains(F.col("layer"), F.lit(name)), F.col("distance"))), F.lit(0.0))
+    return distances.groupBy(*keys).agg((own / F.lit(captured)).alias("tu"))
+
+
 def percentiles(rows: DataFrame, reference: DataFrame, cell: list[str], x: str, least: int = 10) -> DataFrame:
     """rows with percentile: the share of their cell's references that are at most x (F13); rows whose cell has fewer than `least` are left out.
 

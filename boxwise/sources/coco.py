@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from boxwise.functions import boxes as B
+from boxwise.functions import masks as K
 from boxwise.operators import ranking as R
 
 IMAGES = "array<struct<id:bigint,file_name:string,width:int,height:int>>"
@@ -85,3 +86,20 @@ def flattened(predictions: DataFrame) -> DataFrame:
     each = predictions.select("image_id", F.inline(F.arrays_zip("boxes", "labels", "scores")))
     corner = [F.get("boxes", F.lit(k)) for k in range(4)]
     return each.select("image_id", F.col("labels").alias("category_id"), *(c.alias(n) for c, n in zip(B.xyxy_to_xywh(tuple(corner)), "xywh", strict=True)), F.col("scores").alias("score"))
+
+
+def flattened_masks(predictions: DataFrame, threshold: float = 0.5) -> DataFrame:
+    """One row (image_id, category_id, height, width, counts, segmentation, score) for each mask of predictions (image_id, masks, labels, scores).
+
+    masks: arrays of rows of numbers, set where they are more than the threshold; counts
+    are their runs, and segmentation the compressed text of these. Empty predictions have no rows.
+    """
+    each = predictions.select("image_id", F.inline(F.arrays_zip("masks", "labels", "scores")))
+    sized = each.select("image_id", F.col("labels").alias("category_id"), F.size("masks").alias("height"), F.size(F.get("masks", F.lit(0))).alias("width"), K.encode(F.col("masks"), threshold).alias("counts"), F.col("scores").alias("score"))
+    return sized.select("image_id", "category_id", "height", "width", "counts", K.to_text(F.col("counts")).alias("segmentation"), "score")
+
+
+def flattened_keypoints(predictions: DataFrame) -> DataFrame:
+    """One row (image_id, category_id, keypoints, score) for each instance of predictions (image_id, keypoints, labels, scores), whose points (x, y, visible) are one flat array."""
+    each = predictions.select("image_id", F.inline(F.arrays_zip("keypoints", "labels", "scores")))
+    return each.select("image_id", F.col("labels").alias("category_id"), F.flatten("keypoints").alias("keypoints"), F.col("scores").alias("score"))
