@@ -49,6 +49,17 @@ def s1_s6_coco_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _coco(spark, sf_dir).without_crowds().boxes().select("ann_id", "image_id", "label", "x0", "y0", "x1", "y1", "area")
 
 
+@query(
+    "s1_s6_s15_coco_ranges",
+    f"WITH {GT_ROWS} SELECT ann_id, image_id, label, x0, y0, least(x1, 110) AS x1, y1, (x1 - x0) * (y1 - y0) AS area FROM g WHERE least(x1, 110) > x0",
+)
+def s1_s6_s15_coco_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One document, written object by object and named when all is written (S6, S15), and read by ranges of bytes."""
+    folder = _folder(spark, "coco-documents")
+    coco.write_documents(*_ground_truth(spark, sf_dir), folder, 1)
+    return coco.read_ranges(spark, folder, 1 << 18).without_crowds().boxes().select("ann_id", "image_id", "label", "x0", "y0", "x1", "y1", "area")
+
+
 @query(
     "s2_s3_coco_images",
     f"""WITH {GT_ROWS}, i AS (SELECT DISTINCT image_id FROM boxes) SELECT i.image_id, 'img_' || i.image_id || '.jpg' AS file_name, count(ann_id) AS n_boxes, round(coalesce(sum(x1 - x0), 0), 6) AS width

@@ -1,8 +1,8 @@
 """Annotation files in the COCO layout, as tables and back.
 
-A file is one JSON document, so it is read by one task; a folder of files is read by as
-many. Writing makes a folder of shards, each a whole document with its own images and
-annotations and all categories, so that no task holds more than its share.
+read() takes a file, one JSON document, as one task's row, and write() gathers each shard in a
+row: for files that fit in memory many times over. read_ranges() and write_documents()
+do the same for files of any size, by the data source in coco_files.
 """
 
 from __future__ import annotations
@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from boxwise.functions import boxes as B
 from boxwise.functions import masks as K
 from boxwise.operators import ranking as R
+from boxwise.sources import coco_files
 
 IMAGES = "array<struct<id:bigint,file_name:string,width:int,height:int>>"
 ANNOTATIONS = "array<struct<id:bigint,image_id:bigint,category_id:int,bbox:array<double>,area:double,iscrowd:int,keypoints:array<double>>>"
@@ -55,10 +56,38 @@ class Coco:
 def read(spark: SparkSession, path: str) -> Coco:
     """The tables of one file or of all files of a folder. Categories that several files name are taken once."""
     raw = spark.read.schema(f"images {IMAGES}, annotations {ANNOTATIONS}, categories {CATEGORIES}").option("multiLine", True).json(path)
-    images = raw.select(F.inline("images")).select(F.col("id").alias("image_id"), "file_name", "width", "height")
-    a = raw.select(F.inline("annotations"))
-    annotations = a.select(F.col("id").alias("ann_id"), "image_id", "category_id", *(F.get("bbox", F.lit(k)).alias(n) for k, n in enumerate("xywh")), "area", "iscrowd", "keypoints")
-    return Coco(images, annotations, raw.select(F.inline("categories")).distinct().withColumnRenamed("id", "category_id"))
+    return _tables(*(raw.select(F.inline(section)) for section in coco_files.SECTIONS))
+
+
+def _tables(images: DataFrame, annotations: DataFrame, categories: DataFrame) -> Coco:
+    a = annotations.select(F.col("id").alias("ann_id"), "image_id", "category_id", *(F.get("bbox", F.lit(k)).alias(n) for k, n in enumerate("xywh")), "area", "iscrowd", "keypoints")
+    return Coco(images.select(F.col("id").alias("image_id"), "file_name", "width", "height"), a, categories.distinct().withColumnRenamed("id", "category_id"))
+
+
+def read_ranges(spark: SparkSession, path: str, range_bytes: int = coco_files.RANGE) -> Coco:
+    """read() of files of any size: each is read by a task for every range_bytes of it."""
+    sections = coco_files.read_sections(spark, path, range_bytes)
+    return _tables(*(sections[s] for s in coco_files.SECTIONS))
+
+
+def _numbered(boxes: DataFrame) -> DataFrame:
+    """image_id and annotation a of boxes (image_id, box_id, label, x0, y0, x1, y1), numbered from 1 in the order (image_id, box_id)."""
+    per_image = boxes.groupBy("image_id").agg(F.count(F.lit(1)).alias("n")).withColumn("_all", F.lit(0))
+    before = R.running(per_image, ["_all"], "image_id", ["n"]).select("image_id", (F.col("cum_n") - F.col("n")).alias("_before"))
+    place = F.row_number().over(Window.partitionBy("image_id").orderBy("box_id"))
+    x, y, w, h = B.xyxy_to_xywh(B.columns("x0", "y0", "x1", "y1"))
+    return boxes.join(before, "image_id").select("image_id", F.struct((F.col("_before") + place).alias("id"), "image_id", F.col("label").alias("category_id"), F.array(*(c.cast("double") for c in (x, y, w, h))).alias("bbox"), (w * h).alias("area"), F.lit(0).alias("iscrowd")).alias("a"))
+
+
+def write_documents(images: DataFrame, boxes: DataFrame, path: str, documents: int | None = None) -> None:
+    """write() to a new folder, object by object; documents: None for one for each coco_files.DOCUMENT boxes."""
+    documents = documents or -(-boxes.count() // coco_files.DOCUMENT) or 1
+    sections = {
+        "images": images.select(F.col("image_id").alias("id"), "file_name", "width", "height"),
+        "annotations": _numbered(boxes).select("a.*"),
+        "categories": boxes.select(F.col("label").alias("id"), F.col("label").cast("string").alias("name")).distinct(),
+    }
+    coco_files.write_sections(sections, {"images": "id", "annotations": "image_id"}, path, documents)
 
 
 def write(images: DataFrame, boxes: DataFrame, path: str, shards: int = 1) -> None:
@@ -67,11 +96,7 @@ def write(images: DataFrame, boxes: DataFrame, path: str, shards: int = 1) -> No
     Annotations are numbered from 1 over all shards, in the order (image_id, box_id);
     categories are the distinct labels.
     """
-    per_image = boxes.groupBy("image_id").agg(F.count(F.lit(1)).alias("n")).withColumn("_all", F.lit(0))
-    before = R.running(per_image, ["_all"], "image_id", ["n"]).select("image_id", (F.col("cum_n") - F.col("n")).alias("_before"))
-    place = F.row_number().over(Window.partitionBy("image_id").orderBy("box_id"))
-    x, y, w, h = B.xyxy_to_xywh(B.columns("x0", "y0", "x1", "y1"))
-    numbered = boxes.join(before, "image_id").select("image_id", F.struct((F.col("_before") + place).alias("id"), "image_id", F.col("label").alias("category_id"), F.array(*(c.cast("double") for c in (x, y, w, h))).alias("bbox"), (w * h).alias("area"), F.lit(0).alias("iscrowd")).alias("a"))
+    numbered = _numbered(boxes)
     shard = F.pmod(F.xxhash64("image_id"), F.lit(shards)).alias("shard")
     left = images.select(shard, F.struct(F.col("image_id").alias("id"), "file_name", "width", "height").alias("i")).groupBy("shard").agg(F.sort_array(F.collect_list("i")).alias("images"))
     right = numbered.select(shard, "a").groupBy("shard").agg(F.sort_array(F.collect_list("a")).alias("annotations"))
