@@ -6,15 +6,18 @@ are lower-cased. All hashes here are 64 bits wide and the same on every worker.
 
 from __future__ import annotations
 
-import tempfile
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from boxwise.session import checkpointed, shared_folder
+
+__all__ = ["checkpointed", "mix64", "shared_folder", "shingle_hashes", "shingle_sets", "text_table", "utf8_steps", "word_hashes"]
+
 #: Bytes of text that one vectorised step works on; a longer text is a step of its own.
 STEP_BYTES = 1 << 20
 
@@ -25,22 +28,6 @@ _BASE = 0xD6E8FEB86659FD93
 _BASE_INVERSE = pow(_BASE, -1, 1 << 64)
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share; where none is configured (tests), a new local one."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if folder:
-        return folder
-    if not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="boxwise-"))
-    return spark.sparkContext.getCheckpointDir()
-
-
-def checkpointed(df: DataFrame) -> DataFrame:
-    """Writes the rows to the shared folder and cuts the lineage there."""
-    shared_folder(df.sparkSession)
-    return df.checkpoint()
-
-
 def text_table(docs: DataFrame, *more: str) -> DataFrame:
     """doc_id and text (null: empty) and the named columns alone."""
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"), *more)
