@@ -173,3 +173,101 @@ def _arrow(kind: T_.DataType) -> pa.DataType:
     from pyspark.sql.pandas.types import to_arrow_type
 
     return to_arrow_type(kind)
+
+
+def rolling(df: DataFrame, group: list[str], order: list[Column], x: str, size: int = 20) -> DataFrame:
+    """df with median (the lower middle), avg, max and value_now of the last `size` rows, and global_avg of all so far (W1-W5); rows where x is null are left out.
+
+    A partition begins with the last size - 1 values of its first group before it, so a key with all rows is as many tasks as any.
+    """
+    own = [c for c in df.columns if c not in ("median", "avg", "max", "value_now", "global_avg")]
+    rows = df.where(F.col(x).isNotNull()).select(*own, F.col(x).cast("double").alias("_x"), F.lit(1).alias("_one"))
+    placed = in_order(rows, group, order)
+    types = [_arrow(placed.schema[g].dataType) for g in group]
+    fields = [placed.schema[g].dataType for g in group]
+    names = ["part", *(f"f{k}" for k in range(len(group))), *(f"l{k}" for k in range(len(group))), "tail"]
+    schema = T_.StructType([T_.StructField(n, k) for n, k in zip(names, [T_.LongType(), *fields, *fields, T_.ArrayType(T_.DoubleType())], strict=True)])
+    keep = size - 1
+
+    def tails(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        first = last = None
+        tail = np.zeros(0)
+        for batch in batches:
+            if not len(batch):
+                continue
+            at = int(group_starts(batch, group)[-1])
+            first = key_at(batch, group, 0) if first is None else first
+            key = key_at(batch, group, at)
+            values = batch["_x"].to_numpy()[at:]
+            tail = (np.concatenate([tail, values]) if key == last and at == 0 else values)[-keep:] if keep else tail
+            last = key
+        if first is not None:
+            yield pa.record_batch([pa.array([TaskContext.get().partitionId()]), *(pa.array([v], t) for v, t in zip((*first, *last), types * 2, strict=True)), pa.array([tail.tolist()], pa.list_(pa.float64()))], names)
+
+    carried: dict[int, tuple[tuple, list[float]]] = {}
+    before: tuple | None = None
+    tail: list[float] = []
+    for row in sorted(placed.select(*group, "_x").mapInArrow(tails, schema).collect()):
+        part, first, last, values = row[0], tuple(row[1 : 1 + len(group)]), tuple(row[1 + len(group) : 1 + 2 * len(group)]), list(row[-1])
+        if first == before:
+            carried[part] = first, tail
+        tail = ([*tail, *values] if first == before == last else values)[-keep:] if keep else []
+        before = last
+
+    def windowed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, tail = carried.get(TaskContext.get().partitionId(), (None, []))
+        tail = np.array(tail, dtype=float)
+        for batch in batches:
+            if not len(batch):
+                continue
+            starts = group_starts(batch, group)
+            x = batch["_x"].to_numpy()
+            if key != key_at(batch, group, 0):
+                tail = np.zeros(0)
+            parts = []
+            for a, b in zip(starts.tolist(), [*starts[1:].tolist(), len(x)], strict=True):
+                tail = tail if a == 0 else np.zeros(0)
+                line = np.concatenate([np.full(keep - len(tail), np.nan), tail, x[a:b]])
+                sorted_ = np.sort(np.lib.stride_tricks.sliding_window_view(line, size), axis=1)  # NaN last
+                n = np.minimum(len(tail) + 1 + np.arange(b - a), size)
+                each = np.arange(b - a)
+                parts.append((sorted_[each, (n - 1) // 2], np.nansum(sorted_, axis=1) / n, sorted_[each, n - 1]))
+                tail = np.concatenate([tail, x[a:b]])[-keep:] if keep else tail
+            key = key_at(batch, group, int(starts[-1]))
+            yield pa.record_batch([*batch.columns, *(pa.array(np.concatenate([p[k] for p in parts])) for k in range(3))], [*batch.schema.names, "median", "avg", "max"])
+
+    totals = running_totals(placed, group, ["_one", "_x"])
+    out = totals.mapInArrow(windowed, T_.StructType([*totals.schema, *(T_.StructField(c, T_.DoubleType()) for c in ("median", "avg", "max"))]))
+    return out.select(*own, "median", "avg", "max", F.col("_x").alias("value_now"), (F.col("cum__x") / F.col("cum__one")).alias("global_avg"))
+
+
+def ema(df: DataFrame, group: list[str], order: list[str], x: str, decay: float = 0.9999, warmups: float = 2000.0, start: float | None = None) -> DataFrame:
+    """group..., n and ema: the average with decay * (1 - exp(-t / warmups)) at step t (W12); rows where x is null are left out.
+
+    start: what the average begins with, its first step being t = 1; None: it begins
+    with the first value, which is t = 0. A run of rows is an affine map of the average; runs
+    of a batch each are composed where they lie, and a group's few maps are composed in order.
+    """
+    placed = in_order(df.where(F.col(x).isNotNull()).select(*group, *order, F.col(x).cast("double").alias("_x"), F.lit(1).alias("_one")), group, [F.asc(c) for c in order])
+    ranked = running_totals(placed, group, ["_one"]).select(*group, "_x", F.col("cum__one").alias("_t"))
+    fields = [ranked.schema[g] for g in group]
+    schema = T_.StructType([*fields, T_.StructField("place", T_.LongType()), T_.StructField("n", T_.LongType()), T_.StructField("scale", T_.DoubleType()), T_.StructField("shift", T_.DoubleType())])
+
+    def maps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not len(batch):
+                continue
+            starts = group_starts(batch, group)
+            t = batch["_t"].to_numpy() - (1 if start is None else 0)
+            d = decay * (1 - np.exp(-t / warmups))
+            values = batch["_x"].to_numpy()
+            rows = []
+            for a, b in zip(starts.tolist(), [*starts[1:].tolist(), len(t)], strict=True):
+                later = np.append(np.cumprod(d[a:b][::-1])[::-1], 1.0)
+                rows.append((int(t[a]), b - a, float(later[0]), float(((1 - d[a:b]) * values[a:b] * later[1:]).sum())))
+            at = pa.array(starts)
+            yield pa.record_batch([*(batch[g].take(at) for g in group), *(pa.array(c) for c in zip(*rows, strict=True))], [*group, "place", "n", "scale", "shift"])
+
+    fold = "aggregate(array_sort(maps), cast({} as double), (v, m) -> m.scale * v + m.shift)"
+    composed = ranked.mapInArrow(maps, schema).groupBy(*group).agg(F.sum("n").alias("n"), F.collect_list(F.struct("place", "scale", "shift")).alias("maps"))
+    return composed.select(*group, "n", F.expr(fold.format(0.0 if start is None else start)).alias("ema"))

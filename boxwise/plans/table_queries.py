@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from boxwise.functions import boxes as B
 from boxwise.functions import scalars as S
 from boxwise.operators import matching as M
+from boxwise.operators import ordered as O
 from boxwise.operators import ranking as R
 from boxwise.operators import statistics as T
 from boxwise.plans.boxes_queries import PAIRS, pairs, r6, sides, xyxy
@@ -336,7 +337,7 @@ METER_ROLL = "PARTITION BY user_id ORDER BY ts, event_id"
         FROM meter WINDOW w AS ({METER_ROLL} ROWS 19 PRECEDING)""",
 )
 def w1_w5_rolling_meter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    m = T.rolling(view(spark, sf_dir, "meter"), ["user_id"], [F.asc("ts"), F.asc("event_id")], "value")
+    m = O.rolling(view(spark, sf_dir, "meter"), ["user_id"], [F.asc("ts"), F.asc("event_id")], "value")
     return m.select("user_id", "event_id", *(r6(F.col(c)).alias(c) for c in ("median", "max", "value_now")), *(F.round(c, 9).alias(c) for c in ("avg", "global_avg")))
 
 
@@ -347,7 +348,19 @@ def w1_w5_rolling_meter(spark: SparkSession, sf_dir: str) -> DataFrame:
         SELECT user_id, max(t) + 1 AS n, round(arg_max(v, t), 6) AS ema FROM f GROUP BY user_id""",
 )
 def w12_ema(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return T.ema(view(spark, sf_dir, "meter"), ["user_id"], ["ts", "event_id"], "value", 0.99, 10.0).select("user_id", "n", r6(F.col("ema")).alias("ema"))
+    return O.ema(view(spark, sf_dir, "meter"), ["user_id"], ["ts", "event_id"], "value", 0.99, 10.0).select("user_id", "n", r6(F.col("ema")).alias("ema"))
+
+
+@query(
+    "w12_ema_of_one_key",
+    """WITH RECURSIVE o AS (SELECT value, row_number() OVER (ORDER BY ts, event_id) AS t FROM meter),
+        f(t, v) AS (SELECT 0::BIGINT, 10.0::DOUBLE UNION ALL SELECT o.t, f.v * (0.999 * (1 - exp(-o.t / 50.0::DOUBLE))) + (1 - 0.999 * (1 - exp(-o.t / 50.0::DOUBLE))) * o.value FROM f JOIN o ON o.t = f.t + 1)
+        SELECT 0 AS series, max(t) AS n, round(arg_max(v, t), 6) AS ema FROM f""",
+)
+def w12_ema_of_one_key(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All events as one series, which many tasks share, from a stated start (the second form of W12)."""
+    m = view(spark, sf_dir, "meter").withColumn("series", F.lit(0))
+    return O.ema(m, ["series"], ["ts", "event_id"], "value", 0.999, 50.0, 10.0).select("series", "n", r6(F.col("ema")).alias("ema"))
 
 
 @query("w13_warmup", "SELECT event_id, round(least(1.0::DOUBLE, (event_id + 1) / 2000.0::DOUBLE), 6) AS factor FROM events")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import random
+from math import exp
 
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
@@ -46,3 +47,27 @@ def test_one_score_for_all_rows_is_many_tasks(spark: SparkSession) -> None:
     expected = [((k + 1) // 2) / (k + 1) for k in range(10_000)]
     area = sum((a + b) / 2 for a, b in zip(expected, expected[1:], strict=False)) / 10_000
     assert abs(R.aurc_trapezoid(curve, ["g"]).first()["aurc"] - area) < 1e-9
+
+
+def test_meters_of_one_key_over_all_tasks(spark: SparkSession) -> None:
+    """Windows and averages that cross partitions, also of fewer rows than a window."""
+    rng = random.Random(2)
+    for n, size in ((400, 20), (30, 20), (50, 1), (5, 7)):
+        rows = [(g, k, rng.random()) for g, many in ((1, n), (2, 3), (None, 9)) for k in range(many)] + [(1, 999, None)]
+        df = spark.createDataFrame(rows, "g int, k long, x double").repartition(3)
+        found = {(r["g"], r["k"]): r for r in O.rolling(df, ["g"], [F.asc("k")], "x", size).collect()}
+        averages = [{r["g"]: r for r in O.ema(df, ["g"], ["k"], "x", 0.9, 5.0, start).collect()} for start in (None, 2.0)]
+        assert len(found) == n + 12
+        for g in (1, 2, None):
+            own = [r[2] for r in rows if r[0] == g and r[2] is not None]
+            for k, v in enumerate(own):
+                last = sorted(own[max(0, k - size + 1) : k + 1])
+                r = found[g, k]
+                expected = (last[(len(last) - 1) // 2], sum(last) / len(last), last[-1], v, sum(own[: k + 1]) / (k + 1))
+                assert all(abs(a - b) < 1e-9 for a, b in zip((r["median"], r["avg"], r["max"], r["value_now"], r["global_avg"]), expected, strict=True))
+            for start, got in zip((None, 2.0), averages, strict=True):
+                mean = start or 0.0
+                for t, v in enumerate(own, start=0 if start is None else 1):
+                    d = 0.9 * (1 - exp(-t / 5.0))
+                    mean = d * mean + (1 - d) * v
+                assert got[g]["n"] == len(own) and abs(got[g]["ema"] - mean) < 1e-9
