@@ -28,7 +28,8 @@ def greedy_match(det: DataFrame, gt: DataFrame, threshold: float = 0.5) -> DataF
     gathered, at most an image's boxes squared.
     """
     a, b = B.columns("gx0", "gy0", "gx1", "gy1"), B.columns("dx0", "dy0", "dx1", "dy1")
-    near = det.join(gt, ["image_id", "label"]).withColumn("iou", B.iou(a, b)).where(F.col("iou") >= threshold)
+    joined = overlapping(det, gt, ["image_id", "label"], ("dx0", "dy0", "dx1", "dy1"), ("gx0", "gy0", "gx1", "gy1")) if threshold > 0 else det.join(gt, ["image_id", "label"])
+    near = joined.withColumn("iou", B.iou(a, b)).where(F.col("iou") >= threshold)
     wishes = near.groupBy("image_id", "label", "det_id", "score").agg(F.sort_array(F.collect_list(F.struct("iou", "gt_id")), asc=False).alias("wishes"))
     order = F.sort_array(F.collect_list(F.struct((-F.col("score")).alias("order"), "det_id", F.col("wishes.gt_id").alias("wishes"))))
 
@@ -51,6 +52,111 @@ def _iou_matrix(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.divide(inside, whole, out=np.zeros_like(inside), where=whole > 0)
 
 
+#: Boxes of an image past which pairs are found by cells, and pairs in memory at once.
+CROWD, PAIRS = 512, 1 << 22
+
+
+def near_pairs(a: np.ndarray, b: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Places (i, j) of the boxes of a and b that overlap, in runs; every pair once, and no pair that shares no cell is formed.
+
+    Boxes are dealt to all cells of a grid that they touch. Of the cells that a pair shares,
+    the one with the corner where its overlap begins counts.
+    """
+    sides_ = np.concatenate([x[:, 2:] - x[:, :2] for x in (a, b)])
+    if not len(a) or not len(b):
+        return
+    low = np.minimum(a[:, :2].min(axis=0), b[:, :2].min(axis=0))
+    # Large enough that the largest box touches a bounded number of cells.
+    cell = max(float(np.quantile(sides_, 0.9)), float(sides_.max()) / 16, 1e-9)
+
+    def cells(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        first, last = (np.floor((x[:, k : k + 2] - low) / cell).astype(np.int64) for k in (0, 2))
+        wide, high = (np.maximum(last - first, 0) + 1).T
+        n = wide * high
+        own = np.repeat(np.arange(len(x)), n)
+        place = np.arange(len(own)) - np.repeat(np.cumsum(n) - n, n)
+        return own, first[own, 0] + place % wide[own], first[own, 1] + place // wide[own]
+
+    (i, ix, iy), (j, jx, jy) = cells(a), cells(b)
+    rows = int(max(iy.max(), jy.max())) + 1
+    left, right = ix * rows + iy, jx * rows + jy
+    order = np.argsort(right, kind="stable")
+    right, j = right[order], j[order]
+    start = np.searchsorted(right, left)
+    n = np.searchsorted(right, left, side="right") - start
+    ends = np.cumsum(n)
+    at = 0
+    while at < len(left):
+        stop = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + PAIRS, side="right")))
+        own = np.repeat(np.arange(at, stop), n[at:stop])
+        place = np.arange(len(own)) - np.repeat(ends[at:stop] - n[at:stop] - (ends[at - 1] if at else 0), n[at:stop]) + start[own]
+        p, q = i[own], j[place]
+        corner = np.maximum(a[p, :2], b[q, :2])
+        here = np.floor((corner - low) / cell).astype(np.int64)
+        ok = (here[:, 0] == ix[own]) & (here[:, 1] == iy[own]) & (corner < np.minimum(a[p, 2:], b[q, 2:])).all(axis=1)
+        yield p[ok], q[ok]
+        at = stop
+
+
+def _pair_iou(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """IoU of boxes in pairs."""
+    inside = np.prod(np.clip(np.minimum(a[:, 2:], b[:, 2:]) - np.maximum(a[:, :2], b[:, :2]), 0, None), axis=1)
+    whole = np.prod(a[:, 2:] - a[:, :2], axis=1) + np.prod(b[:, 2:] - b[:, :2], axis=1) - inside
+    return np.divide(inside, whole, out=np.zeros_like(inside), where=whole > 0)
+
+
+def suppressed(xy: np.ndarray, threshold: float) -> np.ndarray:
+    """Which boxes are left, the first before all others, when each that is left drops later ones whose IoU with it is more than the threshold."""
+    alive = np.ones(len(xy), dtype=bool)
+    if len(xy) <= CROWD or threshold < 0:
+        over = _iou_matrix(xy, xy) > threshold
+        for i in range(len(xy)):
+            if alive[i]:
+                alive[i + 1 :] &= ~over[i, i + 1 :]
+        return alive
+    found = []
+    for i, j in near_pairs(xy, xy):
+        i, j = i[i < j], j[i < j]
+        over = _pair_iou(xy[i], xy[j]) > threshold
+        found.append(np.stack([i[over], j[over]]))
+    i, j = np.concatenate(found, axis=1)
+    order = np.argsort(i, kind="stable")
+    i, j = i[order], j[order]
+    first = np.searchsorted(i, np.arange(len(xy) + 1))
+    for k in np.unique(i).tolist():
+        if alive[k]:
+            alive[j[first[k] : first[k + 1]]] = False
+    return alive
+
+
+def overlapping(left: DataFrame, right: DataFrame, on: list[str], a: tuple[str, str, str, str], b: tuple[str, str, str, str], cell: float = 32.0) -> DataFrame:
+    """The pairs of rows of left and right with equal `on` whose boxes overlap, by a join on cells, so that a crowded image is many keys.
+
+    A box lies in a grid whose cells are cell, 2 cell, 4 cell ... wide, the first that is as wide as
+    the box, and so in four cells at most; smaller ones look in its grid too. Of the cells
+    that a pair shares, the one with the corner where its overlap begins counts.
+    """
+
+    def level(x: tuple[str, str, str, str]) -> Column:
+        side = F.greatest(F.col(x[2]) - F.col(x[0]), F.col(x[3]) - F.col(x[1]))
+        return F.greatest(F.lit(0), F.ceil(F.log2(F.greatest(side, F.lit(1e-300)) / cell))).cast("int")
+
+    def cells(df: DataFrame, x: tuple[str, str, str, str], width: Column) -> DataFrame:
+        spread = lambda p, q: F.explode(F.sequence(F.floor(F.col(p) / width), F.floor(F.greatest(F.col(p), F.col(q)) / width)))
+        return df.withColumn("_cx", spread(x[0], x[2])).withColumn("_cy", spread(x[1], x[3]))
+
+    width = F.lit(cell) * F.pow(F.lit(2.0), F.col("_level"))
+    sized = [df.withColumn("_own", level(x)) for df, x in ((left, a), (right, b))]
+    levels = [df.select("_own").distinct() for df in sized]  # a few numbers
+    every = F.broadcast(levels[0].union(levels[1]).distinct().withColumnRenamed("_own", "_level"))
+    both = [cells(df.join(every, F.col("_level") >= F.col("_own")), x, width) for df, x in zip(sized, (a, b), strict=True)]
+    joined = both[0].withColumnRenamed("_own", "_a").join(both[1].withColumnRenamed("_own", "_b"), [*on, "_level", "_cx", "_cy"])
+    x, y = (F.greatest(F.col(a[k]), F.col(b[k])) for k in range(2))
+    inside = (x < F.least(F.col(a[2]), F.col(b[2]))) & (y < F.least(F.col(a[3]), F.col(b[3])))
+    here = (F.floor(x / width) == F.col("_cx")) & (F.floor(y / width) == F.col("_cy")) & (F.col("_level") == F.greatest("_a", "_b"))
+    return joined.where(inside & here).drop("_level", "_cx", "_cy", "_a", "_b")
+
+
 def nms(boxes: DataFrame, threshold: float = 0.7, keep: int = 300, floor: float | None = None) -> DataFrame:
     """The boxes (image_id, label, box_id, score, x0, y0, x1, y1) that suppression leaves, `keep` of an image at most.
 
@@ -66,11 +172,7 @@ def nms(boxes: DataFrame, threshold: float = 0.7, keep: int = 300, floor: float
             xy = np.stack([flat[c].to_numpy() for c in ("x0", "y0", "x1", "y1")], axis=1)
             alive = np.ones(len(flat), dtype=bool)
             for a, b in zip(ends[:-1], ends[1:], strict=True):
-                over = _iou_matrix(xy[a:b], xy[a:b]) > threshold
-                own = alive[a:b]
-                for i in range(b - a):
-                    if own[i]:
-                        own[i + 1 :] &= ~over[i, i + 1 :]
+                alive[a:b] = suppressed(xy[a:b], threshold)
             group = pa.array(np.repeat(np.arange(len(batch)), np.diff(ends))[alive])
             left = flat.filter(pa.array(alive))
             yield pa.record_batch([batch["image_id"].take(group), batch["label"].take(group), left["box_id"], pc.negate(left["order"]), *(left[c] for c in ("x0", "y0", "x1", "y1"))], ["image_id", "label", "box_id", "score", "x0", "y0", "x1", "y1"])

@@ -7,11 +7,12 @@ from pyspark.sql import functions as F
 
 from boxwise.functions import boxes as B
 from boxwise.functions import masks as K
+from boxwise.operators import matching as M
 from boxwise.operators import populations as P
 from boxwise.operators import ranking as R
 from boxwise.operators import statistics as T
 from boxwise.operators import topology as U
-from boxwise.plans.boxes_queries import PAIRS, pairs, r6, xyxy
+from boxwise.plans.boxes_queries import PAIRS, det_box, gt_box, pairs, r6, sides, xyxy
 from boxwise.plans.pipeline_queries import POOLS
 from boxwise.plans.registry import query
 from boxwise.plans.table_queries import EMB, vectors
@@ -195,3 +196,14 @@ def u5_attention_and_encoder_layers(spark: SparkSession, sf_dir: str) -> DataFra
     module = F.get(F.array(*map(F.lit, NAMES)), (F.col("vec_id") % len(NAMES)).cast("int"))
     c = table(spark, sf_dir, "embeddings").select("vec_id", module.alias("module")).withColumn("layer", F.when(~F.col("module").startswith("enc"), (F.col("vec_id") % 3).cast("int")))
     return P.selected_layers(c, WANTED, 1).select("vec_id", "layer", "module")
+
+
+@query(
+    "j4_overlapping_pairs",
+    f"WITH {PAIRS} SELECT image_id, gt_id, det_id, round(i / CAST(s - i AS DOUBLE), 6) AS iou FROM pairs WHERE i > 0",
+)
+def j4_overlapping_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The pairs of an image and class that overlap, found by cells of a grid."""
+    gt, det = sides(view(spark, sf_dir, "boxes"))
+    near = M.overlapping(gt, det, ["image_id", "label"], ("gx0", "gy0", "gx1", "gy1"), ("dx0", "dy0", "dx1", "dy1"))
+    return near.select("image_id", "gt_id", "det_id", r6(B.iou(gt_box(), det_box())).alias("iou"))

@@ -251,3 +251,35 @@ def test_quantiles_and_ranked_bins(spark: SparkSession) -> None:
     expected = T.equal_bins(df, ["g"], [F.asc("x"), F.asc("k")], 10).select("g", "k", "bin")
     got = T.ranked_bins(df, ["g"], "x", "k", ["y"], 10).select("g", F.col("key").alias("k"), "bin")
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, expected.collect()))
+
+
+def test_pairs_by_cells_are_all_pairs(spark: SparkSession) -> None:
+    rng = np.random.default_rng(9)
+    for n, size in ((300, 10.0), (200, 400.0), (1, 1.0)):
+        low = rng.random((2, n, 2)) * 500 - 100
+        side = rng.exponential(size, (2, n, 2)) * (rng.random((2, n, 1)) > 0.1)
+        side[0, 0] = 900.0
+        a, b = np.concatenate([low, low + side], axis=2)
+        iou = M._iou_matrix(a, b)
+        expected = sorted(zip(*map(list, np.nonzero(iou > 0)), strict=True))
+        found = sorted((int(i), int(j)) for p, q in M.near_pairs(a, b) for i, j in zip(p, q, strict=True))
+        assert [x for x in found if iou[x] > 0] == expected and len(found) == len(set(found))
+        rows = lambda x, kind: spark.createDataFrame([(1, k, *map(float, r)) for k, r in enumerate(x)], f"image_id long, {kind}_id long, {kind}0 double, {kind}1 double, {kind}2 double, {kind}3 double")
+        pairs = M.overlapping(rows(a, "a"), rows(b, "b"), ["image_id"], ("a0", "a1", "a2", "a3"), ("b0", "b1", "b2", "b3"), 8.0).select("a_id", "b_id").collect()
+        assert sorted(map(tuple, pairs)) == found
+
+
+def test_suppression_in_a_crowd(spark: SparkSession) -> None:
+    """By cells as by the whole matrix; and a hundred thousand boxes in one image."""
+    rng = np.random.default_rng(4)
+    low = rng.random((1500, 2)) * 300
+    xy = np.concatenate([low, low + rng.random((1500, 2)) * 40], axis=1)
+    over = M._iou_matrix(xy, xy) > 0.3
+    alive = np.ones(len(xy), dtype=bool)
+    for i in range(len(xy)):
+        if alive[i]:
+            alive[i + 1 :] &= ~over[i, i + 1 :]
+    assert (M.suppressed(xy, 0.3) == alive).all() and not alive.all()
+    low = rng.random((100_000, 2)) * 4000
+    left = M.suppressed(np.concatenate([low, low + 20 + rng.random((100_000, 2)) * 20], axis=1), 0.5)
+    assert 0 < left.sum() < 100_000
