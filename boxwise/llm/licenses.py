@@ -152,17 +152,19 @@ def license_notices(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     # Dice is at least the threshold only if so large a part of the template is in the text.
     asked = [F.when(F.size(F.array_intersect("shared", _array(own))) >= asked_for(own, threshold), F.struct(F.lit(name).alias("template"), _array(own).alias("own"))) for name, own in templates.items()]
     likely = shared.select("doc_id", "pairs", F.inline(F.filter(F.array(*asked), lambda x: x.isNotNull())))
-    most = F.size("own") * ((2 - threshold) / threshold)
-    ends = F.filter(F.transform("pairs", lambda b, i: F.when(F.array_contains("own", b), i)), lambda i: i.isNotNull())
-    placed = likely.withColumn("ends", ends)
-
-    def compared(a: Column, b: Column) -> Column:
-        run = F.array_distinct(F.slice("pairs", a + 1, b - a + 1))
-        dice = 2 * F.size(F.array_intersect(run, F.col("own"))) / (F.size(run) + F.size("own"))
-        return F.struct((-dice).alias("least"), a.alias("first"), b.alias("last"), F.size(run).alias("n"))
-
-    runs = F.flatten(F.transform("ends", lambda a: F.transform(F.filter("ends", lambda b: (b >= a) & (b - a < most)), lambda b: compared(a, b))))
-    best = placed.select("doc_id", "template", F.array_sort(F.filter(runs, lambda r: -r["least"] >= threshold)).alias("runs")).where(F.size("runs") > 0)
+    # For each bigram the place of the same one before it: sorted by bigram and place, neighbours are compared, and sorted back.
+    by_bigram = "array_sort(transform(pairs, (b, i) -> named_struct('b', b, 'i', i)))"
+    earlier = "transform(array(named_struct('s', {0})), x -> transform(x.s, (e, k) -> named_struct('i', e.i, 'earlier', if(k > 0 and x.s[k - 1].b = e.b, x.s[k - 1].i, -1))))[0]"
+    places = f"transform(zip_with(pairs, array_sort({earlier.format(by_bigram)}), (b, e) -> named_struct('b', b, 'e', e.earlier)), p -> named_struct('earlier', p.e, 'own', array_contains(own, p.b)))"
+    # Runs from a: a bigram counts where it is the run's first of its kind, so numbers run on and no run is built.
+    most = f"cast(ceil(size(own) * {(2 - threshold) / threshold!r}D) as int)"
+    dice = "2D * (acc.s + x.s) / (acc.d + x.d + size(own))"
+    run = "named_struct('least', -x.dice, 'first', a, 'last', acc.k, 'n', acc.d + x.d)"
+    step = f"transform(array(named_struct('d', int(p.earlier < a), 's', int(p.earlier < a and p.own))), x -> transform(array(named_struct('d', x.d, 's', x.s, 'dice', {dice})), x -> named_struct('k', acc.k + 1, 'd', acc.d + x.d, 's', acc.s + x.s, 'out', if(p.own and x.dice >= {threshold!r}D, array_append(acc.out, {run}), acc.out)))[0])[0]"
+    start = "named_struct('k', a, 'd', 0, 's', 0, 'out', cast(array() as array<struct<least:double,first:int,last:int,n:int>>))"
+    # z binds the places, so that no rewriting of the plan works them out for each run.
+    runs = f"transform(array(named_struct('at', {places})), z -> flatten(transform(filter(sequence(0, size(z.at) - 1), i -> z.at[i].own), a -> aggregate(slice(z.at, a + 1, {most}), {start}, (acc, p) -> {step}, acc -> acc.out))))[0]"
+    best = likely.select("doc_id", "template", F.array_sort(F.expr(runs)).alias("runs"))
     none = F.array().cast("array<struct<least:double,first:int,last:int,n:int>>")
     # Words, not bigrams, must be apart: a run's last bigram begins one word before its last word.
     kept = F.aggregate("runs", none, lambda kept, r: F.when(F.exists(kept, lambda k: (r["first"] <= k["last"] + 1) & (k["first"] <= r["last"] + 1)), kept).otherwise(F.concat(kept, F.array(r))))

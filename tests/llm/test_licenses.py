@@ -9,7 +9,7 @@ from collections import defaultdict
 import numpy as np
 from pyspark.sql import SparkSession
 
-from boxwise.llm.licenses import NOTICES, TEMPLATES, license_matches, license_notices, template_bigrams
+from boxwise.llm.licenses import NOTICES, TEMPLATES, THRESHOLD, license_matches, license_notices, template_bigrams
 from boxwise.llm.queries import op3_license_notices
 
 
@@ -59,6 +59,51 @@ def test_matches_equal_plain_sets_on_odd_rows(spark: SparkSession) -> None:
     assert license_notices(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
 
+def plain_notices(text: str) -> list[tuple]:
+    """(template, first_word, n_words, n_bigrams, dice): every run is compared, and the best of those that overlap stays."""
+    words = re.sub("[^a-z0-9]+", " ", text.translate(str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"))).split()
+    pairs = [" ".join(p) for p in zip(words, words[1:], strict=False)]
+    out = []
+    for name, bigrams in template_bigrams(NOTICES).items():
+        own, runs = set(bigrams), []
+        for a in (i for i, p in enumerate(pairs) if p in own):
+            for b in (j for j in range(a, len(pairs)) if pairs[j] in own and j - a < len(own) * (2 - THRESHOLD) / THRESHOLD):
+                run = set(pairs[a : b + 1])
+                dice = 2 * len(run & own) / (len(run) + len(own))
+                if dice >= THRESHOLD:
+                    runs.append((-dice, a, b, len(run)))
+        kept: list[tuple] = []
+        for r in sorted(runs):
+            if not any(r[1] <= k[2] + 1 and k[1] <= r[2] + 1 for k in kept):
+                kept.append(r)
+        out += [(name, a, b - a + 2, n, round(-x, 9)) for x, a, b, n in kept]
+    return sorted(out)
+
+
+def test_notices_equal_all_runs(spark: SparkSession) -> None:
+    """Damaged, repeated and adjoining notices; nulls, repeated rows and clashing names."""
+    rng = np.random.default_rng(6)
+    texts: list[str | None] = [None, "", " \n", "mit"]
+    for _ in range(25):
+        words: list[str] = []
+        for name in rng.choice(list(NOTICES), int(rng.integers(1, 4))):
+            own = NOTICES[name].split()
+            gone = set(rng.choice(len(own), int(len(own) * rng.choice([0, 0.1, 0.3])), replace=False).tolist())
+            words += [w for i, w in enumerate(own) if i not in gone] + [f"w{k}" for k in rng.integers(0, 9, int(rng.integers(0, 6)))]
+        texts.append("\n".join(words))
+    docs = [*enumerate(texts), (7, texts[7]), (None, texts[8])]
+    rows = [(d, t, "x", 1, [1], True) for d, t in docs]
+    got = license_notices(spark.createDataFrame(rows, "doc_id long, text string, template string, pairs int, runs array<int>, own boolean")).collect()
+    expected = [(d, *r) for d, t in docs for r in plain_notices(t or "")]
+    assert sorted(((r["doc_id"], r["template"], r["first_word"], r["n_words"], r["n_bigrams"], round(r["dice"], 9)) for r in got), key=repr) == sorted(expected, key=repr) and expected
+
+
+def test_a_very_long_text_of_notices(spark: SparkSession) -> None:
+    text = ("alpha beta gamma " * 30 + NOTICES["isc"] + " ") * 60
+    found = license_notices(spark.createDataFrame([(1, text), (2, "word " * 1_000_000)], "doc_id long, text string")).where("template = 'isc'").collect()
+    assert len(found) == 60 and all(r["doc_id"] == 1 and r["dice"] == 1 for r in found)
+
+
 def test_every_licence_line_is_found(spark: SparkSession) -> None:
     sf_dir = "/root/testdata/sf0.01"
     texts = {r["doc_id"]: r["text"] or "" for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()}
