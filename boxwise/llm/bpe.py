@@ -260,7 +260,11 @@ def decode(tokens: DataFrame, ranks_path: str) -> DataFrame:
 
 
 def round_trip(docs: DataFrame, ranks_path: str) -> DataFrame:
-    """doc_id, n_tokens, ids_sha256 and decoded_sha256 of every document: encoded, and its ids decoded, in one task, so that no ids move."""
+    """doc_id, n_tokens, ids_sha256 and decoded_sha256 of every document: encoded, and its ids decoded, in one task, so that no ids move.
+
+    Odd rows are as in encode(). Columns other than doc_id and text are not read; an empty
+    table gives no rows.
+    """
 
     def digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = encoder(ranks_path)

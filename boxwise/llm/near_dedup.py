@@ -203,7 +203,8 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     component_id is the smallest doc_id reachable over links. Texts that are null,
     empty or blank have n_shingles 0 and are linked with nothing; so is a row with a
     null doc_id, whose component_id is null and which is kept. Rows of one doc_id are
-    one document. An empty table gives an empty result.
+    one document. An empty table gives an empty result. Columns other than doc_id and text
+    are not read.
     """
     rows = text_table(docs)
     slim = checkpointed(rows.mapInArrow(_describe, "doc_id long, n_shingles long, key binary, bands array<long>"))

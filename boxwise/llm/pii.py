@@ -274,7 +274,8 @@ def find(docs: DataFrame, field: Field) -> DataFrame:
 
     The numbers and the digest are of the patterns' own spans; in spans, those that the
     field adds come after them, their kinds with "crf_" before. A null or empty text has no
-    spans; rows that repeat are read each; a null doc_id stays null.
+    spans; rows that repeat are read each; a null doc_id stays null. Columns other than doc_id
+    and text are not read; an empty table gives no rows.
     """
 
     def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

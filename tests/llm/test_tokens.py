@@ -11,12 +11,13 @@ import numpy as np
 import public_tokenizers
 import pytest
 from pyspark.sql import SparkSession
+from tokenizers import Tokenizer
 
 from boxwise.llm.ann import nearest
 from boxwise.llm.bpe import decode, encode, round_trip
 from boxwise.llm import ann, lm_score
 from boxwise.llm.lm_score import pseudo_likelihood, targets
-from boxwise.llm.packing import best_fit, encoder, local_search, pack
+from boxwise.llm.packing import best_fit, encoder, local_search, pack, pieces
 from boxwise.llm.queries import op1_best_fit_packing, op4_byte_bpe, op7_pseudo_likelihood, op8_multi_index_hashing, op9_fm_toxicity, token_pattern, tokenizer_file
 from boxwise.llm.toxicity import drop_toxic, toxicity
 
@@ -259,3 +260,23 @@ def test_neighbours_among_many_copies(spark: SparkSession) -> None:
     for r in sorted(nearest(vectors, vectors.where("vec_id in (0, 50, 1000)")).collect(), key=lambda r: (r["query_id"], r["rank"])):
         found[r["query_id"]].append(r["vec_id"])
     assert found[0] == [1, 2, 3, 4, 5] and found[50] == [0, 1, 2, 3, 4] and len(found[1000]) == 5
+
+
+def test_long_white_space_is_packed_and_encoded(spark: SparkSession) -> None:
+    """Texts on which the regular expression of the faster encoder runs out of stack, and what it does on both sides of the switch."""
+    from boxwise.llm.packing import LONG
+
+    token = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    texts = [c * 2_000_000 for c in (" ", "\n", "\t")] + ["a <|endoftext|>b\n" * (LONG // 10), " " * LONG, " " * (LONG + 1), "é" * LONG + "x"]
+    docs = spark.createDataFrame([(None if k == 1 else k % 3, t, 1) for k, t in enumerate(texts)], "doc_id long, text string, piece int").repartition(7)
+    ranks = public_tokenizers.path("byte_bpe_50k.tiktoken")
+    rows = pieces(docs, ranks, public_tokenizers.PATTERN).collect()
+    expected = sorted(zlib.crc32(np.array([*token.encode(t, add_special_tokens=False).ids, 0], "<u4")[-2048:].tobytes()) for t in texts[3:])
+    last: dict = {}
+    for r in rows:
+        last.setdefault(r["doc_id"], []).append(r)
+    assert set(last) == {None, 0, 1, 2}
+    assert set(expected) <= {r["ids_crc32"] for r in rows}
+    trip = round_trip(docs, ranks).collect()
+    assert sorted(r["decoded_sha256"] for r in trip) == sorted(hashlib.sha256(t.encode()).hexdigest() for t in texts)
+    assert pack(docs, ranks, public_tokenizers.PATTERN).agg({"length": "sum"}).first()[0] == sum(r["length"] for r in rows)
