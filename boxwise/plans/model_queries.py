@@ -27,7 +27,21 @@ def coco_tables(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]
     return det, gt
 
 
-@query("j9_coco_match", None)
+#: One detection after the other, for all images, categories, areas and thresholds at once; `used` is the ground truth that is taken.
+COCO_MATCH = """WITH RECURSIVE d AS (SELECT image_id, label AS category_id, box_id AS det_id, score, x0, y0, x1, y1, (x1 - x0) * (y1 - y0) AS area, row_number() OVER (PARTITION BY image_id, label ORDER BY score DESC, box_id)::INT AS det_rank FROM boxes WHERE kind = 'DET'),
+    g AS (SELECT image_id, label AS category_id, box_id AS gt_id, x0, y0, x1, y1, (x1 - x0) * (y1 - y0) AS area, box_id % 17 = 0 AS crowd FROM boxes WHERE kind = 'GT'),
+    o AS (SELECT d.image_id, d.category_id, det_rank, gt_id, crowd, d.area AS da, g.area AS ga, greatest(least(d.x1, g.x1) - greatest(d.x0, g.x0), 0) * greatest(least(d.y1, g.y1) - greatest(d.y0, g.y0), 0) AS i FROM d JOIN g ON d.image_id = g.image_id AND d.category_id = g.category_id WHERE det_rank <= 100),
+    l AS (SELECT image_id, category_id, det_rank, list({'iou': i / CASE WHEN crowd THEN da ELSE da + ga - i END, 'gt_id': gt_id, 'crowd': crowd, 'area': ga}) AS c FROM o WHERE i > 0 GROUP BY ALL),
+    areas(area_range, low, high) AS (VALUES ('all', 0.0::DOUBLE, 1e10::DOUBLE), ('small', 0.0, 1024.0), ('medium', 1024.0, 9216.0), ('large', 9216.0, 1e10)), thresholds(iou_thr) AS (VALUES (0.5::DOUBLE), (0.75)),
+    s AS (SELECT DISTINCT image_id, category_id, area_range, low, high, iou_thr, 0::INT AS det_rank, []::BIGINT[] AS used, {'regular': true, 'iou': 0.0::DOUBLE, 'gt_id': NULL::BIGINT} AS pick, false AS ignored FROM d, areas, thresholds
+        UNION ALL
+        SELECT image_id, category_id, area_range, low, high, iou_thr, det_rank, CASE WHEN pick IS NULL THEN used ELSE list_append(used, pick.gt_id) END, pick, CASE WHEN pick IS NULL THEN area < low OR area > high ELSE NOT pick.regular END
+        FROM (SELECT s.image_id, s.category_id, area_range, low, high, iou_thr, d.det_rank, used, d.area, list_sort(list_transform(list_filter(c, lambda x: x.iou >= iou_thr AND (x.crowd OR NOT list_contains(used, x.gt_id))), lambda x: {'regular': NOT (x.crowd OR x.area < low OR x.area > high), 'iou': x.iou, 'gt_id': x.gt_id}))[-1] AS pick
+              FROM s JOIN d ON d.image_id = s.image_id AND d.category_id = s.category_id AND d.det_rank = s.det_rank + 1 AND d.det_rank <= 100 LEFT JOIN l ON l.image_id = d.image_id AND l.category_id = d.category_id AND l.det_rank = d.det_rank))
+    SELECT s.image_id, s.category_id, area_range, iou_thr, d.det_id, s.det_rank, d.score, s.pick.gt_id AS gt_id, ignored FROM s JOIN d ON d.image_id = s.image_id AND d.category_id = s.category_id AND d.det_rank = s.det_rank"""
+
+
+@query("j9_coco_match", COCO_MATCH)
 def j9_coco_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     return C.match(*coco_tables(spark, sf_dir), thresholds=[0.5, 0.75])
 

@@ -74,7 +74,15 @@ def j2_category_remap(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "j12_nms",
-    None,
+    """WITH RECURSIVE d AS (SELECT image_id, label, box_id, score, x0, y0, x1, y1, row_number() OVER (PARTITION BY image_id, label ORDER BY score DESC, box_id) AS k FROM boxes WHERE kind = 'DET' AND score > 0.1),
+        s AS (SELECT DISTINCT image_id, label, 0::BIGINT AS k, []::STRUCT(x0 DOUBLE, y0 DOUBLE, x1 DOUBLE, y1 DOUBLE)[] AS kept, false AS stays FROM d
+            UNION ALL
+            SELECT image_id, label, k, CASE WHEN stays THEN list_append(kept, own) ELSE kept END, stays
+            FROM (SELECT s.image_id, s.label, d.k, kept, {'x0': d.x0, 'y0': d.y0, 'x1': d.x1, 'y1': d.y1} AS own,
+                    len(list_filter(kept, lambda b: greatest(least(b.x1, d.x1) - greatest(b.x0, d.x0), 0) * greatest(least(b.y1, d.y1) - greatest(b.y0, d.y0), 0) > 0.5 * ((b.x1 - b.x0) * (b.y1 - b.y0) + (d.x1 - d.x0) * (d.y1 - d.y0) - greatest(least(b.x1, d.x1) - greatest(b.x0, d.x0), 0) * greatest(least(b.y1, d.y1) - greatest(b.y0, d.y0), 0)))) = 0 AS stays
+                  FROM s JOIN d ON d.image_id = s.image_id AND d.label = s.label AND d.k = s.k + 1)),
+        r AS (SELECT d.*, row_number() OVER (PARTITION BY d.image_id ORDER BY score DESC, box_id) AS place FROM s JOIN d ON d.image_id = s.image_id AND d.label = s.label AND d.k = s.k WHERE stays)
+        SELECT image_id, label, box_id, score, x0, y0, x1, y1 FROM r WHERE place <= 100""",
 )
 def j12_nms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return M.nms(view(spark, sf_dir, "boxes").where("kind = 'DET'"), 0.5, 100, 0.1)
@@ -353,9 +361,9 @@ def w12_ema(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "w12_ema_of_one_key",
-    """WITH RECURSIVE o AS (SELECT value, row_number() OVER (ORDER BY ts, event_id) AS t FROM meter),
-        f(t, v) AS (SELECT 0::BIGINT, 10.0::DOUBLE UNION ALL SELECT o.t, f.v * (0.999 * (1 - exp(-o.t / 50.0::DOUBLE))) + (1 - 0.999 * (1 - exp(-o.t / 50.0::DOUBLE))) * o.value FROM f JOIN o ON o.t = f.t + 1)
-        SELECT 0 AS series, max(t) AS n, round(arg_max(v, t), 6) AS ema FROM f""",
+    """WITH o AS (SELECT value, row_number() OVER (ORDER BY ts, event_id) AS t FROM meter), w AS (SELECT t, value, 0.999 * (1 - exp(-t / 50.0::DOUBLE)) AS d FROM o),
+        p AS (SELECT *, coalesce(exp(sum(ln(d)) OVER (ORDER BY t DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)), 1) AS later FROM w)
+        SELECT 0 AS series, count(*) AS n, round(sum((1 - d) * value * later) + 10 * exp(sum(ln(d))), 6) AS ema FROM p""",
 )
 def w12_ema_of_one_key(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All events as one series, which many tasks share, from a stated start (the second form of W12)."""
