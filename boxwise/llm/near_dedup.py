@@ -10,11 +10,12 @@ Texts with the same words are one class from the start, and its smallest doc_id
 stands for it. In each bucket of a band, classes are first compared with the
 bucket's smallest member, then, where a bucket still holds several components, with
 a few members of its largest one. Buckets that are still mixed compare the members
-outside their largest component with every member. So no link between components is
-lost, and a large group of near copies costs its size, not its square. All
-comparisons past the first are of pairs whose sketches, longer signatures made for the
-members of such buckets alone, agree to some degree; two texts at the threshold
-fail by chance about as rarely as they share no band.
+outside their largest component with every member, in blocks. So no link between
+components is lost, and a large group of near copies costs its size, not its square.
+Before texts are compared, pairs past the first are held to a bound that no link fails:
+a bit of a parity plane says whether an odd number of a set's shingles falls on it, so that
+two planes differ in no more bits than the sets do in shingles, which for a link is a
+seventh of both sizes at most.
 """
 
 from __future__ import annotations
@@ -24,7 +25,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from boxwise.llm.common import checkpointed, mix64, shingle_hashes, shingle_sets, text_table, utf8_steps, word_hashes
@@ -32,16 +34,16 @@ from boxwise.llm.common import checkpointed, mix64, shingle_hashes, shingle_sets
 SHINGLE = 5
 #: A link at similarity 0.75 is missed with probability (1 - 0.75^ROWS)^(BANDED / ROWS), 5e-6.
 BANDED, ROWS = 128, 4
-#: Coordinates of a sketch, which keeps two bits of each. Of two texts at the threshold 13/16 of
-#: them agree on average (832, standard deviation 12.5); with FAR differing or fewer a pair is compared.
-SKETCHED, FAR = 1024, 248
+#: Bits of a parity plane. Sets of more than half as many shingles have a wide plane too, of twice to four times their size.
+PLANE = 2048
 #: Members of a bucket's largest component that the others are compared with first.
 HUBS = 4
 DOMAIN = 1 << 20
 #: Numbers in memory at once while signatures are made.
 CHUNK = 1 << 22
-PLANES = [[f"s{bit}_{k}" for k in range(SKETCHED // 64)] for bit in range(2)]
-SKETCH = PLANES[0] + PLANES[1]
+#: Pairs of one bucket that one block compares, about, and pairs that share one copy of a text while they are verified.
+BLOCK, TURN = 1 << 22, 64
+WORDS = [f"s{k}" for k in range(PLANE // 64)]
 
 _tables: list[np.ndarray] = []
 
@@ -52,7 +54,7 @@ def permutations() -> tuple[np.ndarray, np.ndarray]:
         slots = np.arange(DOMAIN, dtype=np.uint64)
         scatter = np.argsort(mix64(slots), kind="stable").astype(np.int32)
         turn = np.argsort(mix64(slots + np.uint64(DOMAIN)), kind="stable").astype(np.uint32)
-        _tables[:] = [scatter, np.concatenate([turn, turn[:SKETCHED]])]
+        _tables[:] = [scatter, np.concatenate([turn, turn[:BANDED]])]
     return _tables[0], _tables[1]
 
 
@@ -101,15 +103,38 @@ def _describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             )
 
 
-def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def parity(hashes: np.ndarray, text: np.ndarray, n_texts: int, bits: int) -> np.ndarray:
+    """For each text, packed: which of `bits` places an odd number of its shingles falls on. Halving bits folds the upper half onto the lower by xor."""
+    places, counts = np.unique(text * bits + (hashes % np.uint64(bits)).astype(np.int64), return_counts=True)
+    odd = np.zeros(n_texts * bits, dtype=bool)
+    odd[places[counts % 2 == 1]] = True
+    return np.packbits(odd).reshape(n_texts, bits // 8)
+
+
+def _planes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for first, data, offsets in utf8_steps(batch["text"]):
-            words, bounds = word_hashes(data, offsets)
-            hashes, before = shingle_sets(words, bounds, SHINGLE)
-            n = len(offsets) - 1
-            signature = signatures(hashes, np.repeat(np.arange(n), np.diff(before)), n, SKETCHED)
-            planes = np.concatenate([np.packbits(((signature >> bit) & 1).astype(bool), axis=1).view(np.int64) for bit in range(2)], axis=1)
-            yield pa.record_batch([batch["doc_id"].slice(first, n), pa.array(np.diff(before), pa.int64()), *(pa.array(np.ascontiguousarray(s)) for s in planes.T)], ["node", "n", *SKETCH])
+            hashes, before = shingle_sets(*word_hashes(data, offsets), SHINGLE)
+            sizes = np.diff(before)
+            n = len(sizes)
+            plane = parity(hashes, np.repeat(np.arange(n), sizes), n, PLANE).view(np.int64)
+            wide = [parity(hashes[a:b], np.zeros(b - a, np.int64), 1, 2 << int(b - a).bit_length()).tobytes() if b - a > PLANE // 2 else None for a, b in zip(before[:-1], before[1:], strict=True)]
+            yield pa.record_batch([batch["doc_id"].slice(first, n), pa.array(sizes, pa.int64()), pa.array(wide, pa.binary()), *(pa.array(np.ascontiguousarray(x)) for x in plane.T)], ["node", "n", "wide", *WORDS])
+
+
+def _narrowed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The pairs (a, b) whose wide planes, where both have one, allow a link."""
+    for batch in batches:
+        left = np.ones(len(batch), dtype=bool)
+        for row in np.flatnonzero(pc.and_(batch["wide_a"].is_valid(), batch["wide_b"].is_valid()).to_numpy(zero_copy_only=False)).tolist():
+            x, y = (np.frombuffer(batch[c][row].as_py(), dtype=np.uint8) for c in ("wide_a", "wide_b"))
+            while len(x) > len(y):
+                x = x[: len(x) // 2] ^ x[len(x) // 2 :]
+            while len(y) > len(x):
+                y = y[: len(y) // 2] ^ y[len(y) // 2 :]
+            left[row] = 7 * int(np.bitwise_count(x ^ y).sum()) <= batch["n_a"][row].as_py() + batch["n_b"][row].as_py()
+        left = pa.array(left)
+        yield pa.record_batch([batch["a"].filter(left), batch["b"].filter(left)], ["a", "b"])
 
 
 def _linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -130,10 +155,17 @@ def _linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def links(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """The pairs (a, b) whose texts are similar enough."""
-    left = texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a"))
-    right = texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b"))
-    return pairs.join(left, "a").join(right, "b").select("a", "b", "text_a", "text_b").mapInArrow(_linked, "a long, b long")
+    """The pairs (a, b) whose texts are similar enough.
+
+    Each pair fetches the text of b, and goes with TURN others of its a, about, to one copy of
+    the text of a: one that is in many pairs is many keys.
+    """
+    pairs = checkpointed(pairs)
+    turns = pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / TURN).alias("turns"))
+    dealt = pairs.join(turns, "a").select("a", "b", F.pmod(F.xxhash64("b"), "turns").alias("turn"))
+    left = turns.join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a")), "a").select("a", F.explode(F.sequence(F.lit(0), F.col("turns") - 1)).alias("turn"), "text_a")
+    right = dealt.join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b")), "b")
+    return right.join(left, ["a", "turn"]).select("a", "b", "text_a", "text_b").mapInArrow(_linked, "a long, b long")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -170,28 +202,37 @@ def _edges(names: DataFrame) -> DataFrame:
 
 
 def _mixed(buckets: DataFrame, names: DataFrame) -> DataFrame:
-    """The rows (bucket, node) of buckets with several components, with component and the bucket's largest one, major."""
+    """The rows (bucket, node) of buckets with several components, with component, the bucket's largest one, major, and its numbers of members, size, and of those outside of major, outside."""
     placed = buckets.join(names, "node", "left").select("bucket", "node", F.coalesce("component", "node").alias("component"))
-    sizes = placed.groupBy("bucket", "component").count().groupBy("bucket").agg(F.max_by("component", F.struct("count", "component")).alias("major"), F.count(F.lit(1)).alias("several"))
-    return placed.join(sizes.where("several > 1"), "bucket").select("bucket", "node", "component", "major")
+    sizes = placed.groupBy("bucket", "component").count().groupBy("bucket").agg(F.max_by("component", F.struct("count", "component")).alias("major"), F.sum("count").alias("size"), F.max("count").alias("most"))
+    return placed.join(sizes.where("size > most"), "bucket").select("bucket", "node", "component", "major", "size", (F.col("size") - F.col("most")).alias("outside"))
 
 
-def _pairs(mixed: DataFrame, others: DataFrame, sketches: DataFrame) -> DataFrame:
-    """Pairs (a, b) of one bucket and different components, one of them outside of the largest, that may be linked by size and sketch.
+def _pairs(mixed: DataFrame, planes: DataFrame, hubs: DataFrame | None = None) -> DataFrame:
+    """Pairs (a, b) of one bucket and different components, one of them outside of the largest, that size and parity allow.
 
-    others: rows of mixed, all or those of hubs. A pair comes from the first of its
-    common buckets alone, however many there are, and once where both are outside.
+    b is any member, or one of hubs, a few rows of each bucket. A pair comes from the
+    first of its common buckets alone, however many there are, and once where both are
+    outside. Blocks hold a share of the members and all outside, or, with hubs, a share
+    of those outside and all hubs.
     """
+    others = mixed if hubs is None else hubs
+    blocks = F.ceil(F.col("outside") * (F.col("size") if hubs is None else F.lit(HUBS)) / BLOCK)
+    shared = F.pmod(F.xxhash64("node"), blocks)
+    copied = F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1))
 
-    def side(rows: DataFrame, known: DataFrame, end: str) -> DataFrame:
+    def side(rows: DataFrame, known: DataFrame, end: str, block: Column) -> DataFrame:
         own = known.groupBy("node").agg(F.collect_set("bucket").alias("own"))
-        return rows.join(own, "node").join(sketches, "node").select("bucket", *(F.col(c).alias(f"{c}_{end}") for c in ("node", "component", "major", "own", "n", *SKETCH)))
+        held = rows.select("bucket", "node", "component", "major", block.alias("block")).join(own, "node").join(planes, "node")
+        return held.select("bucket", "block", *(F.col(c).alias(f"{c}_{end}") for c in ("node", "component", "major", "own", "n", "wide", *WORDS)))
 
-    differ = " + ".join(f"bit_count(({x}_a ^ {x}_b) | ({y}_a ^ {y}_b))" for x, y in zip(*PLANES, strict=True))
+    differ = " + ".join(f"bit_count({x}_a ^ {x}_b)" for x in WORDS)
     once = "(component_b = major_b or node_a < node_b) and array_min(array_intersect(own_a, own_b)) = bucket"
-    near = F.expr(f"component_a <> component_b and 100 * least(n_a, n_b) >= 75 * greatest(n_a, n_b) and {differ} <= {FAR} and {once}")
-    found = side(mixed.where("component <> major"), mixed, "a").join(side(others, others, "b"), "bucket").where(near)
-    return found.select(F.least("node_a", "node_b").alias("a"), F.greatest("node_a", "node_b").alias("b")).distinct()
+    near = F.expr(f"component_a <> component_b and 100 * least(n_a, n_b) >= 75 * greatest(n_a, n_b) and 7 * ({differ}) <= n_a + n_b and {once}")
+    left = side(mixed.where("component <> major"), mixed, "a", copied if hubs is None else shared)
+    found = left.join(side(others, others, "b", shared if hubs is None else copied), ["bucket", "block"]).where(near)
+    ends = F.least("node_a", "node_b").alias("a"), F.greatest("node_a", "node_b").alias("b")
+    return found.select(*ends, "n_a", "n_b", "wide_a", "wide_b").mapInArrow(_narrowed, "a long, b long").distinct()
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -204,7 +245,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     empty or blank have n_shingles 0 and are linked with nothing; so is a row with a
     null doc_id, whose component_id is null and which is kept. Rows of one doc_id are
     one document. An empty table gives an empty result. Columns other than doc_id and text
-    are not read.
+    are not read, whatever their names.
     """
     rows = text_table(docs)
     slim = checkpointed(rows.mapInArrow(_describe, "doc_id long, n_shingles long, key binary, bands array<long>"))
@@ -219,18 +260,19 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     stars = shared.where("first <> node").select(F.col("first").alias("a"), F.col("node").alias("b")).distinct()
     names = components(links(stars, texts))
     mixed = checkpointed(_mixed(shared.select("bucket", "node"), names))
-    sketched = texts.join(mixed.select(F.col("node").alias("doc_id")).distinct(), "doc_id").mapInArrow(_sketch, f"node long, n long, {', '.join(f'{s} long' for s in SKETCH)}")
-    sketches = checkpointed(sketched)  # several rows of one doc_id have a sketch each
+    planes = texts.join(mixed.select(F.col("node").alias("doc_id")).distinct(), "doc_id").mapInArrow(_planes, f"node long, n long, wide binary, {', '.join(f'{s} long' for s in WORDS)}")
+    planes = checkpointed(planes)  # several rows of one doc_id have a plane each
     one = Window.partitionBy("bucket").orderBy(F.xxhash64("node"), "node")
     hubs = mixed.where("component = major").withColumn("k", F.row_number().over(one)).where(F.col("k") <= HUBS).drop("k")
-    names = components(_edges(names).unionByName(links(_pairs(mixed, hubs, sketches), texts)))
+    names = components(_edges(names).unionByName(links(_pairs(mixed, planes, hubs), texts)))
     mixed = checkpointed(_mixed(mixed.select("bucket", "node"), names))
-    final = components(_edges(names).unionByName(links(_pairs(mixed, mixed, sketches), texts)))
+    final = components(_edges(names).unionByName(links(_pairs(mixed, planes), texts)))
 
     named = classes.join(final, "node", "left").select("key", F.coalesce("component", "node").alias("component"))
-    joined = slim.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull() & (F.col("n_shingles") > 0), F.col("key")).alias("key")).join(named, "key", "left")
-    component = F.coalesce("component", "doc_id")
-    return joined.select("doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
+    linked = F.col("doc_id").isNotNull() & (F.col("n_shingles") > 0)
+    alone = slim.where(~linked).select("doc_id", "n_shingles", F.col("doc_id").alias("component"))  # no key for them all
+    joined = slim.where(linked).select("doc_id", "n_shingles", "key").join(named, "key").drop("key").unionByName(alone)
+    return joined.select("doc_id", "n_shingles", F.col("component").alias("component_id"), F.col("doc_id").eqNullSafe(F.col("component")).alias("kept"))
 
 
 def drop_near_duplicates(docs: DataFrame) -> DataFrame:

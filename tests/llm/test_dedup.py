@@ -8,13 +8,16 @@ import re
 from collections import defaultdict
 from pathlib import Path
 
+import numpy as np
 import public_tokenizers
+import pytest
 from pyspark.sql import SparkSession
 from tokenizers import Tokenizer
 
 import corpus_pipeline
+from boxwise.llm import near_dedup
 from boxwise.llm.exact_dedup import SLACK, build_index, directory, drop_exact_duplicates, exact_duplicates
-from boxwise.llm.near_dedup import drop_near_duplicates, near_duplicates
+from boxwise.llm.near_dedup import drop_near_duplicates, near_duplicates, parity
 from boxwise.llm.queries import ORACLE_SQL, op3_license_dice, op6_minhash_near_dedup, op10_exact_dedup
 from boxwise.llm.pii import personal_data
 from boxwise.llm.toxicity import toxicity
@@ -79,6 +82,33 @@ def test_near_duplicates_of_a_large_group(spark: SparkSession) -> None:
     compare(near_duplicates(spark.createDataFrame(list(texts.items()), SCHEMA)), texts)
 
 
+def test_parity_never_exceeds_the_difference() -> None:
+    """Planes of any width differ in no more bits than the sets do in shingles; a wide plane folds to a narrow one."""
+    rng = np.random.default_rng(4)
+    for n in (1, 7, 500, 6000):
+        both, a, b = (np.unique(rng.integers(0, 1 << 63, k, dtype=np.uint64)) for k in (n, n // 3, n // 2))
+        x, y = np.union1d(both, a), np.union1d(both, b)
+        for bits in (64, 2048, 16384):
+            p, q = (parity(h, np.zeros(len(h), np.int64), 1, bits)[0] for h in (x, y))
+            assert int(np.bitwise_count(p ^ q).sum()) <= len(np.setxor1d(x, y))
+            half = parity(x, np.zeros(len(x), np.int64), 1, bits // 2)[0]
+            assert (half == p[: len(half)] ^ p[len(half) :]).all()
+
+
+def test_near_duplicates_of_long_texts_that_share_passages(spark: SparkSession, monkeypatch: pytest.MonkeyPatch) -> None:
+    """Texts around the threshold, long and short, with one passage in common, in many blocks and turns."""
+    monkeypatch.setattr(near_dedup, "BLOCK", 40)
+    monkeypatch.setattr(near_dedup, "TURN", 3)
+    rng = random.Random(11)
+    texts = {}
+    for size, ids in ((1400, range(24)), (300, range(24, 90))):
+        passage = [f"p{size}x{k}" for k in range(size)]
+        for d in ids:
+            own = int(size * rng.choice([0.02, 0.25, 0.3, 0.33, 0.36, 0.5, 0.8]))
+            texts[d] = " ".join(passage + [f"d{rng.randrange(8)}w{k}" if d % 2 else f"d{d}w{k}" for k in range(own)])
+    compare(near_duplicates(spark.createDataFrame(list(texts.items()), SCHEMA)), texts)
+
+
 def test_near_duplicates_keep_odd_rows(spark: SparkSession) -> None:
     docs = spark.createDataFrame([(None, "a b c d e f", "p"), (1, "a b c d e f", "q"), (2, "A b  c d e f", "r"), (3, None, "s"), (4, "", "t")], "doc_id long, text string, node string")
     kept = drop_near_duplicates(docs)
