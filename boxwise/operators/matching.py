@@ -193,38 +193,57 @@ def top_per_group(df: DataFrame, group: list[str], order: list[Column], k: int)
 
 
 def assign(cost: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Rows and columns of an assignment of least total cost, as many pairs as the smaller side has.
-
-    Shortest augmenting paths with potentials: each row in turn finds the cheapest path
-    to a free column in reduced costs.
-    """
+    """Rows and columns of an assignment of least total cost, as many pairs as the smaller side has."""
     if cost.shape[0] > cost.shape[1]:
         cols, rows = assign(cost.T)
         order = np.argsort(rows)
         return rows[order], cols[order]
-    n, m = cost.shape
+    return assign_rows(cost.__getitem__, *cost.shape)
+
+
+def assign_rows(costs: Callable[[int], np.ndarray], n: int, m: int) -> tuple[np.ndarray, np.ndarray]:
+    """The assignment of n rows to m columns, n at most m, of least total cost, where costs(row) makes one row when it is wanted.
+
+    A row whose cheapest column is free takes it. Each of the others then finds the
+    cheapest path to a free column in reduced costs; of columns as near, a free one ends
+    the path. Memory is a few vectors of m numbers, besides what costs() holds.
+    """
     row_potential, col_potential = np.zeros(n), np.zeros(m)
     owner = np.full(m, -1)
+    crowded = []
     for row in range(n):
-        distance, before = np.full(m, np.inf), np.full(m, -1)
-        done = np.zeros(m, dtype=bool)
+        cost = costs(row)
+        row_potential[row] = cost.min()
+        free = np.flatnonzero((cost == row_potential[row]) & (owner < 0))
+        if len(free):
+            owner[free[0]] = row
+        else:
+            crowded.append(row)
+    free = np.flatnonzero(owner < 0)
+    for row in crowded:
+        near, before = np.full(m, np.inf), np.full(m, -1)  # of the columns not yet visited
+        potential = col_potential.copy()
+        visited: list[tuple[int, float]] = []
         i, reached, column = row, 0.0, -1
         while True:
-            way = reached + cost[i] - row_potential[i] - col_potential
-            shorter = ~done & (way < distance)
-            distance[shorter], before[shorter] = way[shorter], column
-            column = int(np.where(done, np.inf, distance).argmin())
-            reached = distance[column]
-            done[column] = True
-            if owner[column] < 0:
+            way = costs(i) - potential
+            way += reached - row_potential[i]
+            shorter = way < near
+            near[shorter], before[shorter] = way[shorter], column
+            column = int(near.argmin())
+            reached = float(near[column])
+            end = free[near[free].argmin()]
+            if near[end] <= reached:
+                column = int(end)
                 break
+            visited.append((column, reached))
+            near[column], potential[column] = np.inf, -np.inf
             i = owner[column]
         row_potential[row] += reached
-        visited = np.flatnonzero(done)
-        for c in visited:
-            if owner[c] >= 0:
-                row_potential[owner[c]] += reached - distance[c]
-            col_potential[c] -= reached - distance[c]
+        for c, distance in visited:
+            row_potential[owner[c]] += reached - distance
+            col_potential[c] -= reached - distance
+        free = free[free != column]
         while column >= 0:  # the path's columns move one owner on
             earlier = before[column]
             owner[column] = owner[earlier] if earlier >= 0 else row
@@ -234,6 +253,45 @@ def assign(cost: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return owner[cols][order], cols[order]
 
 
+#: Cells of a cost matrix past which its rows are made when they are wanted.
+DENSE = 1 << 20
+
+
+def assign_overlaps(a: np.ndarray, b: np.ndarray, a_label: np.ndarray, b_label: np.ndarray, penalty: float = 1000.0) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Places in a and b, and IoU, of the assignment of least total 1 - IoU, plus the penalty where labels differ.
+
+    A crowded image keeps the overlapping pairs alone: a row of costs is the same for all
+    rows of its label but for those.
+    """
+    n, m = len(a), len(b)
+    if n * m <= DENSE:
+        iou = _iou_matrix(a, b)
+        i, j = assign(1 - iou + penalty * (a_label[:, None] != b_label[None]))
+        return i, j, iou[i, j]
+    if n > m:
+        j, i, iou = assign_overlaps(b, a, b_label, a_label, penalty)
+        order = np.argsort(i)
+        return i[order], j[order], iou[order]
+    places = [(np.zeros(0, np.int64), np.zeros(0, np.int64)), *near_pairs(a, b)]
+    i, j = (np.concatenate(x) for x in zip(*places, strict=True))
+    order = np.lexsort((j, i))
+    i, j = i[order], j[order]
+    iou = _pair_iou(a[i], b[j])
+    first = np.searchsorted(i, np.arange(n + 1))
+    plain = {label: 1 + penalty * (b_label != label) for label in np.unique(a_label).tolist()}
+
+    def costs(row: int) -> np.ndarray:
+        cost = plain[a_label[row]].copy()
+        own = slice(first[row], first[row + 1])
+        cost[j[own]] -= iou[own]
+        return cost
+
+    rows, cols = assign_rows(costs, n, m)
+    key, wanted = np.append(i * m + j, n * m), rows * m + cols
+    at = np.searchsorted(key, wanted)
+    return rows, cols, np.where(key[at] == wanted, np.append(iou, 0.0)[at], 0.0)
+
+
 def _giou_matrix(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     iou = _iou_matrix(a, b)
     hull = np.prod(np.maximum(a[:, None, 2:], b[None, :, 2:]) - np.minimum(a[:, None, :2], b[None, :, :2]), axis=2)
@@ -301,17 +359,28 @@ def hungarian_match(det: DataFrame, gt: DataFrame, class_weight: float = 2.0, bo
     def solve(d: dict, g: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         x = np.stack(list(d["logits"])).astype(float)
         a, b = corners(d, shape), corners(g, shape)
+        a_ends, b_ends = (np.concatenate([c[:, :2] - c[:, 2:] / 2, c[:, :2] + c[:, 2:] / 2], axis=1) for c in (a, b))
         if focal:
-            p = (1 / (1 + np.exp(-x)))[:, g["label"]]
+            p = 1 / (1 + np.exp(-x))
             kind = alpha * (1 - p) ** gamma * -np.log(p + 1e-8) - (1 - alpha) * p**gamma * -np.log(1 - p + 1e-8)
         else:
             e = np.exp(x - x.max(axis=1, keepdims=True))
-            kind = -(e / e.sum(axis=1, keepdims=True))[:, g["label"]]
-        far = np.abs(a[:, None] - b[None]).sum(axis=2)
-        ends = [np.concatenate([c[:, :2] - c[:, 2:] / 2, c[:, :2] + c[:, 2:] / 2], axis=1) for c in (a, b)]
-        cost = class_weight * kind + box_weight * far - giou_weight * _giou_matrix(*ends)
-        i, j = assign(cost)
-        return i, j, cost[i, j]
+            kind = -(e / e.sum(axis=1, keepdims=True))
+
+        def cost(i: slice, j: slice) -> np.ndarray:
+            far = np.abs(a[i, None] - b[None, j]).sum(axis=2)
+            return class_weight * kind[i][:, g["label"][j]] + box_weight * far - giou_weight * _giou_matrix(a_ends[i], b_ends[j])
+
+        every, n, m = slice(None), len(a), len(b)
+        if n * m <= DENSE:
+            whole = cost(every, every)
+            i, j = assign(whole)
+            return i, j, whole[i, j]
+        if n <= m:
+            i, j = assign_rows(lambda k: cost(slice(k, k + 1), every)[0], n, m)
+        else:
+            j, i = assign_rows(lambda k: cost(every, slice(k, k + 1))[:, 0], m, n)
+        return i, j, np.array([cost(slice(p, p + 1), slice(q, q + 1))[0, 0] for p, q in zip(i, j, strict=True)])
 
     return _assigned(by_image(det, gt, ["image_id"], ["det_id", "logits", *shape], ["gt_id", "label", *shape]), "cost", solve)
 
@@ -321,11 +390,9 @@ def overlap_assignment(det: DataFrame, gt: DataFrame, least: float = 0.1) -> Dat
     a, b = ("dx0", "dy0", "dx1", "dy1"), ("gx0", "gy0", "gx1", "gy1")
 
     def solve(d: dict, g: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        iou = _iou_matrix(corners(d, a), corners(g, b))
-        same = d["label"][:, None] == g["label"][None]
-        i, j = assign(1 - iou + 1000.0 * ~same)
-        ok = same[i, j] & (iou[i, j] >= least)
-        return i[ok], j[ok], iou[i[ok], j[ok]]
+        i, j, iou = assign_overlaps(corners(d, a), corners(g, b), d["label"], g["label"])
+        ok = (d["label"][i] == g["label"][j]) & (iou >= least)
+        return i[ok], j[ok], iou[ok]
 
     return _assigned(by_image(det, gt, ["image_id"], ["det_id", "label", *a], ["gt_id", "label", *b]), "iou", solve)
 

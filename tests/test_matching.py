@@ -145,6 +145,46 @@ def test_overlap_assignment_is_best_and_complete(spark: SparkSession, scenes) ->
     assert sorted((r["det_id"], r["gt_id"]) for r in pairs.where(f"image_id = {image}").collect()) == sorted((ds[a]["det_id"], gs[b]["gt_id"]) for a, b in zip(i, j, strict=True) if ds[a]["label"] == gs[b]["label"] and plain_iou(ds[a]["box"], gs[b]["box"]) >= 0.1)
 
 
+def test_crowded_assignment_equals_the_dense_one(monkeypatch: pytest.MonkeyPatch) -> None:
+    """Costs made row by row, from overlapping pairs alone, give the total of the whole matrix; a crowd of thousands ends."""
+    rng = np.random.default_rng(8)
+
+    def crowd(n: int, m: int, side: float) -> tuple[np.ndarray, ...]:
+        at = rng.uniform(0, side, (n + m, 2))
+        xy = np.concatenate([at, at + rng.uniform(10, 30, (n + m, 2))], axis=1)
+        moved = min(n, m) // 2
+        xy[:moved] = xy[n : n + moved] + rng.normal(0, 2, (moved, 4))
+        return xy[:n], xy[n:], rng.integers(0, 3, n), rng.integers(0, 3, m)
+
+    for n, m in ((1, 1), (1, 40), (40, 1), (60, 50), (150, 200), (200, 150), (180, 180)):
+        a, b, p, q = crowd(n, m, 120)
+        totals = []
+        for dense in (1 << 20, 0):
+            monkeypatch.setattr(M, "DENSE", dense)
+            i, j, iou = M.assign_overlaps(a, b, p, q)
+            assert len(i) == len(set(i)) == len(set(j)) == min(n, m) and (np.diff(i) > 0).all()
+            assert iou == pytest.approx(M._iou_matrix(a, b)[i, j])
+            totals.append((1 - iou + 1000 * (p[i] != q[j])).sum())
+        assert totals[0] == pytest.approx(totals[1])
+    monkeypatch.undo()
+    a, b, p, q = crowd(5000, 4000, 1500)
+    i, j, _ = M.assign_overlaps(a, b, p, q)
+    assert len(set(i)) == len(set(j)) == 4000
+
+
+def test_hungarian_match_of_a_crowd_equals_the_dense_one(spark: SparkSession, monkeypatch: pytest.MonkeyPatch) -> None:
+    rng = np.random.default_rng(6)
+    side = lambda n, extra: [{"image_id": 1, **{k: float(v) for k, v in zip(("cx", "cy", "w", "h"), rng.uniform(0.1, 0.5, 4), strict=True)}, **extra(k)} for k in range(n)]
+    for n, m in ((30, 12), (12, 30)):
+        det = spark.createDataFrame(side(n, lambda k: {"det_id": k, "logits": rng.normal(size=3).tolist()}))
+        gt = spark.createDataFrame(side(m, lambda k: {"gt_id": k, "label": k % 3}))
+        found = []
+        for dense in (1 << 20, 0):
+            monkeypatch.setattr(M, "DENSE", dense)
+            found.append(sorted((r["det_id"], r["gt_id"], round(r["cost"], 9)) for r in M.hungarian_match(det, gt).collect()))
+        assert found[0] == found[1] and len(found[0]) == 12
+
+
 @pytest.mark.parametrize("focal", [True, False])
 def test_hungarian_cost(spark: SparkSession, focal: bool) -> None:
     rng = np.random.default_rng(5)
