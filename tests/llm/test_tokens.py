@@ -6,6 +6,7 @@ import hashlib
 import math
 import zlib
 from collections import defaultdict
+from dataclasses import replace
 
 import numpy as np
 import public_tokenizers
@@ -19,7 +20,7 @@ from boxwise.llm import ann, lm_score
 from boxwise.llm.lm_score import pseudo_likelihood, targets
 from boxwise.llm.packing import best_fit, encoder, local_search, pack, pieces
 from boxwise.llm.queries import op1_best_fit_packing, op4_byte_bpe, op7_pseudo_likelihood, op8_multi_index_hashing, op9_fm_toxicity, token_pattern, tokenizer_file
-from boxwise.llm.toxicity import drop_toxic, toxicity
+from boxwise.llm.toxicity import Machine, _descend, buckets_by_text, drop_toxic, toxicity
 
 RANKS = "byte_bpe_50k.tiktoken"
 SCHEMA = "doc_id long, text string"
@@ -142,6 +143,53 @@ def test_toxicity_learns_a_pair_of_terms(spark: SparkSession) -> None:
     assert np.mean(found) > 0.95
 
 
+def plain_logit(machine: Machine, own: list[int]) -> float:
+    """The machine's logit of a set of terms, pair by pair."""
+    pairs = sum(float(machine.factors[a] @ machine.factors[b]) for k, a in enumerate(own) for b in own[k + 1 :])
+    return machine.bias + sum(machine.weight[own]) + pairs
+
+
+def test_machine_scores_equal_a_sum_over_pairs() -> None:
+    rng = np.random.default_rng(5)
+    machine = Machine(-0.7, np.arange(30), rng.normal(0, 0.5, 30), rng.normal(0, 0.5, (30, 4)))
+    sets = [sorted(rng.choice(30, size, replace=False).tolist()) for size in (0, 1, 2, 9, 30, 0)]
+    term, text = np.array([t for own in sets for t in own]), np.repeat(np.arange(len(sets)), [len(own) for own in sets])
+    assert machine.scores(term, text, len(sets)) == pytest.approx([1 / (1 + np.exp(-plain_logit(machine, own))) for own in sets])
+
+
+def test_machine_steps_against_the_slope_of_its_loss() -> None:
+    """The first step moves each number against the slope that small differences of a plain loss give."""
+    rng = np.random.default_rng(6)
+    x = (rng.random((40, 12)) < 0.4).astype(float)
+    y, share, decay = (rng.random(40) < 0.3).astype(float), np.full(40, 1 / 40), 1e-3
+    fitted = lambda rounds: _descend(x, y, share, -0.5, np.arange(12), rounds, decay)
+
+    def loss(m: Machine) -> float:
+        logits = np.array([plain_logit(m, np.flatnonzero(row).tolist()) for row in x])
+        return float((share * (np.logaddexp(0, logits) - y * logits)).sum() + decay / 2 * (m.weight**2).sum() + 5 * decay * (m.factors**2).sum())
+
+    start, after = fitted(0), fitted(1)
+    for part in ("weight", "factors"):
+        moved = getattr(after, part) - getattr(start, part)
+        for at in np.ndindex(moved.shape):
+            ends = []
+            for step in (1e-5, -1e-5):
+                changed = getattr(start, part).copy()
+                changed[at] += step
+                ends.append(loss(replace(start, **{part: changed})))
+            slope = (ends[0] - ends[1]) / 2e-5
+            assert abs(slope) < 1e-6 or moved[at] * slope < 0
+    assert loss(fitted(300)) < loss(start)
+
+
+@pytest.mark.parametrize("text", ["insultword " * 300_000, "x" * 2_000_000, " " * 2_000_000, "\u00e9" * 700_000])
+def test_a_very_long_text_scores_as_its_set_of_terms(text: str) -> None:
+    raw = np.frombuffer(text.encode(), dtype=np.uint8)
+    term, own = buckets_by_text(raw, np.array([0, len(raw)]))
+    short = np.frombuffer(" ".join(dict.fromkeys(text.split())).encode(), dtype=np.uint8)
+    assert term.tolist() == buckets_by_text(short, np.array([0, len(short)]))[0].tolist() and not own.any()
+
+
 def test_toxicity_of_odd_tables(spark: SparkSession) -> None:
     docs = spark.createDataFrame([(1, None, "a"), (2, "", "b"), (None, "x y", "c"), (2, "", "d")], "doc_id long, text string, toxic string")
     labels = spark.createDataFrame([(1, None), (None, 1), (2, 0)], "doc_id long, toxic int")
