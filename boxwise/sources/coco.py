@@ -1,8 +1,7 @@
 """Annotation files in the COCO layout, as tables and back.
 
-read() takes a file, one JSON document, as one task's row, and write() gathers each shard in a
-row: for files that fit in memory many times over. read_ranges() and write_documents()
-do the same for files of any size, by the data source in coco_files.
+Files may have any size: the data source in coco_files reads them by ranges of bytes and writes
+them object by object, a file to each document.
 """
 
 from __future__ import annotations
@@ -17,10 +16,6 @@ from boxwise.functions import masks as K
 from boxwise.operators import ranking as R
 from boxwise.sources import coco_files
 
-IMAGES = "array<struct<id:bigint,file_name:string,width:int,height:int>>"
-ANNOTATIONS = "array<struct<id:bigint,image_id:bigint,category_id:int,bbox:array<double>,area:double,iscrowd:int,keypoints:array<double>>>"
-CATEGORIES = "array<struct<id:int,name:string>>"
-
 
 @dataclass(frozen=True)
 class Coco:
@@ -55,8 +50,7 @@ class Coco:
 
 def read(spark: SparkSession, path: str) -> Coco:
     """The tables of one file or of all files of a folder. Categories that several files name are taken once."""
-    raw = spark.read.schema(f"images {IMAGES}, annotations {ANNOTATIONS}, categories {CATEGORIES}").option("multiLine", True).json(path)
-    return _tables(*(raw.select(F.inline(section)) for section in coco_files.SECTIONS))
+    return read_ranges(spark, path)
 
 
 def _tables(images: DataFrame, annotations: DataFrame, categories: DataFrame) -> Coco:
@@ -65,7 +59,7 @@ def _tables(images: DataFrame, annotations: DataFrame, categories: DataFrame) ->
 
 
 def read_ranges(spark: SparkSession, path: str, range_bytes: int = coco_files.RANGE) -> Coco:
-    """read() of files of any size: each is read by a task for every range_bytes of it."""
+    """read() with a task for every range_bytes of a file."""
     sections = coco_files.read_sections(spark, path, range_bytes)
     return _tables(*(sections[s] for s in coco_files.SECTIONS))
 
@@ -91,19 +85,13 @@ def write_documents(images: DataFrame, boxes: DataFrame, path: str, documents: i
 
 
 def write(images: DataFrame, boxes: DataFrame, path: str, shards: int = 1) -> None:
-    """Writes images (image_id, file_name, width, height) and boxes (image_id, box_id, label, x0, y0, x1, y1) as `shards` documents.
+    """write_documents(), instead of what path holds (S6): images (image_id, file_name, width, height) and boxes (image_id, box_id, label, x0, y0, x1, y1) as `shards` documents, a file each.
 
     Annotations are numbered from 1 over all shards, in the order (image_id, box_id);
     categories are the distinct labels.
     """
-    numbered = _numbered(boxes)
-    shard = F.pmod(F.xxhash64("image_id"), F.lit(shards)).alias("shard")
-    left = images.select(shard, F.struct(F.col("image_id").alias("id"), "file_name", "width", "height").alias("i")).groupBy("shard").agg(F.sort_array(F.collect_list("i")).alias("images"))
-    right = numbered.select(shard, "a").groupBy("shard").agg(F.sort_array(F.collect_list("a")).alias("annotations"))
-    kinds = boxes.select("label").distinct().agg(F.sort_array(F.collect_list(F.struct(F.col("label").alias("id"), F.col("label").cast("string").alias("name")))).alias("categories"))
-    none = F.expr("cast(array() as array<struct<id:bigint,image_id:bigint,category_id:int,bbox:array<double>,area:double,iscrowd:int>>)")
-    whole = left.join(right, "shard", "left").crossJoin(F.broadcast(kinds))  # one row of categories
-    whole.select("images", F.coalesce("annotations", none).alias("annotations"), "categories").repartition(shards).write.mode("overwrite").json(path)
+    coco_files.remove(path)
+    write_documents(images, boxes, path, shards)
 
 
 def flattened(predictions: DataFrame) -> DataFrame:

@@ -57,6 +57,16 @@ def files(path: str) -> list[tuple[str, int]]:
     return sorted((prefix + f.path, f.size) for f in found if f.type == pafs.FileType.File and not f.base_name.startswith((".", "_")))
 
 
+def remove(path: str) -> None:
+    """Removes a file or a folder, if there is one."""
+    fs, name = opened(path)
+    kind = fs.get_file_info(name).type
+    if kind == pafs.FileType.Directory:
+        fs.delete_dir(name)
+    elif kind == pafs.FileType.File:
+        fs.delete_file(name)
+
+
 def read_bytes(path: str, first: int, last: int) -> bytes:
     fs, name = opened(path)
     with fs.open_input_file(name) as f:
@@ -310,4 +320,4 @@ def write_sections(sections: dict[str, DataFrame], keys_: dict[str, str], path:
         shard = F.explode(F.sequence(F.lit(0), F.lit(documents - 1))) if section == "categories" else F.pmod(F.xxhash64(keys_[section]), F.lit(documents)).cast("int")
         own = df.select(shard.alias("shard"), F.lit(k).alias("place"), F.lit(section).alias("section"), F.col("id").cast("long").alias("id"), F.to_json(F.struct(*df.columns)).alias("body"))
         rows = own if rows is None else rows.unionByName(own)
-    rows.repartition(documents, "shard").sortWithinPartitions("place", "id", "body").select("section", "body").write.format("coco_files").option("path", path).mode("append").save()
+    rows.repartitionById(documents, "shard").sortWithinPartitions("place", "id", "body").select("section", "body").write.format("coco_files").option("path", path).mode("append").save()

@@ -68,3 +68,19 @@ def test_a_failed_task_leaves_no_file(spark: SparkSession, tmp_path: Path) -> No
         coco_files.write_sections({"images": broken}, {"images": "id"}, str(tmp_path / "out"), 4)
     spark.sparkContext.setLogLevel("ERROR")
     assert list((tmp_path / "out").iterdir()) == []
+
+
+def test_every_shard_is_a_file_and_is_read_whole(spark: SparkSession, tmp_path: Path) -> None:
+    """Rows of many partitions: two shards must not meet in one file."""
+    images = spark.range(0, 400, 1, 8).select(F.col("id").alias("image_id"), F.lit("i").alias("file_name"), F.lit(100).alias("width"), F.lit(100).alias("height"))
+    boxes = spark.range(0, 4000, 1, 8).select((F.col("id") % 400).alias("image_id"), F.col("id").alias("box_id"), (F.col("id") % 3).cast("int").alias("label"), F.lit(1.0).alias("x0"), F.lit(2.0).alias("y0"), F.lit(9.5).alias("x1"), F.lit(5.0).alias("y1"))
+    before = spark.conf.get("spark.sql.adaptive.enabled")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")  # small partitions are not put together, as large ones are not
+    try:
+        for _ in range(2):
+            coco.write(images, boxes, str(tmp_path / "out"), 7)
+        assert len(list((tmp_path / "out").glob("*.json"))) == 7
+        back = coco.read(spark, str(tmp_path / "out"))
+        assert back.boxes().count() == 4000 and back.images_with_boxes().count() == 400
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", before)
