@@ -34,23 +34,52 @@ def _set_runs(counts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return mask[own], (ends - flat)[own], ends[own]
 
 
+def _lists(values: np.ndarray, lengths: np.ndarray, null: np.ndarray) -> pa.Array:
+    """Lists of 32-bit numbers, one after the other in values."""
+    offsets = np.concatenate([[0], np.cumsum(lengths)]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(values.astype(np.int32)), mask=pa.array(null))
+
+
+def _lengths(x: pa.Array) -> np.ndarray:
+    return pc.fill_null(pc.list_value_length(x), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+
+
+#: Pixels of masks that are looked at together.
+PIXELS = 1 << 20
+
+
 @F.arrow_udf(RUNS)
 def _encode(pixels: pa.Array, threshold: pa.Array) -> pa.Array:
-    out: list[np.ndarray | None] = []
-    lengths = lambda x: pc.fill_null(pc.list_value_length(x), 0).to_numpy(zero_copy_only=False)
-    rows, null = pixels.flatten(), pc.is_null(pixels).to_numpy(zero_copy_only=False)
-    last = np.cumsum(lengths(pixels))
-    ends = np.concatenate([[0], np.cumsum(lengths(rows))])
+    heights, null = _lengths(pixels), pc.is_null(pixels).to_numpy(zero_copy_only=False)
+    rows = pixels.flatten()
+    ends = np.concatenate([[0], np.cumsum(_lengths(rows))])  # of rows, in values
     values = pc.fill_null(rows.flatten().cast(pa.float64()), 0.0).to_numpy(zero_copy_only=False)
-    for k, (height, least) in enumerate(zip(lengths(pixels).tolist(), threshold.to_pylist(), strict=True)):
-        if null[k]:
-            out.append(None)
-            continue
-        flat = (values[ends[last[k] - height] : ends[last[k]]] > least).reshape(height, -1).ravel(order="F") if height else np.zeros(0, bool)
-        edges = np.flatnonzero(flat[1:] != flat[:-1]) + 1
-        runs = np.diff(np.concatenate([[0], edges, [len(flat)]]))
-        out.append(np.concatenate([[0], runs]) if len(flat) and flat[0] else runs)
-    return pa.array(out, pa.list_(pa.int32()))
+    last = np.concatenate([[0], np.cumsum(heights)])
+    first, size = ends[last[:-1]], ends[last[1:]] - ends[last[:-1]]
+    least = threshold.to_numpy(zero_copy_only=False)
+    parts, lengths = [], np.zeros(len(pixels), np.int64)
+    a = 0
+    while a < len(pixels):
+        b = max(a + 1, int(np.searchsorted(first + size, first[a] + PIXELS, side="right")))
+        n, h = size[a:b], heights[a:b]
+        if (n % np.maximum(h, 1)).any() or (np.diff(ends)[last[a] : last[b]] != np.repeat(n // np.maximum(h, 1), h)).any():
+            raise ValueError("the rows of a mask have one length")
+        mask, start = np.repeat(np.arange(b - a), n), np.cumsum(n) - n
+        place = np.arange(len(mask)) - start[mask]
+        column, row = np.divmod(place, np.maximum(h, 1)[mask])
+        at = start[mask] + row * (n // np.maximum(h, 1))[mask] + column
+        flat = (values[first[a] : first[a] + len(mask)] > np.repeat(least[a:b], n))[at]
+        # A run begins at a mask's first pixel and where a pixel is not as the one before; a set first pixel has an empty run before it.
+        begins = np.flatnonzero((place == 0) | (flat != np.roll(flat, 1)))
+        runs = np.diff(np.append(begins, len(flat)))
+        empty = (place[begins] == 0) & flat[begins]
+        lengths[a:b] = np.bincount(mask[begins], minlength=b - a) + np.bincount(mask[begins[empty]], minlength=b - a)
+        parts.append(np.insert(runs, np.flatnonzero(empty), 0))
+        a = b
+    out, bare = np.concatenate(parts) if parts else np.zeros(0), (size == 0) & ~null  # a mask without pixels is one empty run
+    out = np.insert(out, (np.cumsum(lengths) - lengths)[bare], 0)
+    lengths[bare] = 1
+    return _lists(out, lengths, null)
 
 
 def encode(pixels: Column, threshold: float = 0.5) -> Column:
@@ -136,22 +165,23 @@ def iou(a: Column, b: Column, crowd: Column | None = None) -> Column:
 
 @F.arrow_udf(T_.StringType())
 def _text(counts: pa.Array) -> pa.Array:
-    out = []
-    for runs in counts.to_pylist():
-        if runs is None:
-            out.append(None)
-            continue
-        chars = []
-        for k, n in enumerate(runs):
-            rest = n - runs[k - 2] if k > 2 else n
-            while True:
-                low, rest = rest & 31, rest >> 5
-                done = rest == (-1 if low & 16 else 0)
-                chars.append(chr(48 + (low if done else low | 32)))
-                if done:
-                    break
-        out.append("".join(chars))
-    return pa.array(out, pa.string())
+    runs, first = _parts(counts)
+    mask = np.repeat(np.arange(len(counts)), np.diff(first))
+    rest = runs.copy()
+    differs = np.flatnonzero(np.arange(len(runs)) - first[:-1][mask] > 2)
+    rest[differs] -= runs[differs - 2]
+    # The codes of all runs, a column for each of their groups of five bits.
+    codes, going = [], np.ones(len(rest), bool)
+    while going.any():
+        low, rest = rest & 31, rest >> 5
+        more = rest != np.where(low & 16, -1, 0)
+        codes.append(np.where(going, 48 + (low | np.where(more, 32, 0)), 0).astype(np.uint8))
+        going = going & more
+    wide = np.stack(codes, axis=1) if codes else np.zeros((0, 1), np.uint8)
+    used = wide > 0
+    offsets = np.concatenate([[0], np.cumsum(used.sum(axis=1))])[first].astype(np.int32)
+    null = pc.is_null(counts)
+    return pc.if_else(null, pa.scalar(None, pa.string()), pa.StringArray.from_buffers(len(counts), pa.py_buffer(offsets.tobytes()), pa.py_buffer(wide[used].tobytes())))
 
 
 def to_text(counts: Column) -> Column:
@@ -161,24 +191,28 @@ def to_text(counts: Column) -> Column:
 
 @F.arrow_udf(RUNS)
 def _from_text(texts: pa.Array) -> pa.Array:
-    out = []
-    for text in texts.to_pylist():
-        if text is None:
-            out.append(None)
-            continue
-        runs: list[int] = []
-        value = shift = 0
-        for char in text:
-            code = ord(char) - 48
-            value |= (code & 31) << shift
-            shift += 5
-            if not code & 32:
-                if code & 16:
-                    value -= 1 << shift
-                runs.append(value + runs[-2] if len(runs) > 2 else value)
-                value = shift = 0
-        out.append(runs)
-    return pa.array(out, pa.list_(pa.int32()))
+    null = pc.is_null(texts).to_numpy(zero_copy_only=False)
+    sizes = pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    codes = np.frombuffer("".join(pc.fill_null(texts, "").to_pylist()).encode(), np.uint8).astype(np.int64) - 48
+    ends = np.flatnonzero(~codes & 32 > 0)  # the last group of each run
+    begins = np.append(0, ends[:-1] + 1) if len(ends) else ends
+    run = np.repeat(np.arange(len(ends)), ends - begins + 1)
+    codes = codes[: len(run)]
+    shift = 5 * (np.arange(len(run)) - begins[run])
+    values = np.bincount(run, weights=(codes & 31) * 2.0**shift, minlength=len(ends)).astype(np.int64)
+    values -= np.where(codes[ends] & 16, np.int64(1) << (shift[ends] + 5), 0)
+    first = np.searchsorted(ends, np.concatenate([[0], np.cumsum(sizes)]))
+    lengths = np.diff(first)
+    # From the fourth run on a run is a difference to the one two before: sums over every second one.
+    place = np.arange(len(values)) - np.repeat(first[:-1], lengths)
+    order = np.lexsort((place, place % 2, np.repeat(np.arange(len(texts)), lengths)))
+    anchor = place <= 2
+    sums = np.cumsum(values[order])
+    heads = np.flatnonzero(anchor[order])
+    before = np.concatenate([[0], sums])[heads]
+    out = np.empty_like(values)
+    out[order] = sums - np.repeat(before, np.diff(np.append(heads, len(values))))
+    return _lists(out, lengths, null)
 
 
 def from_text(text: Column) -> Column:

@@ -29,9 +29,12 @@ PIXELS = f"""m AS (SELECT image_id, box_id, label, kind, score, i, j, {_DISC.rep
 
 def masks(boxes: DataFrame) -> DataFrame:
     """boxes with the pixels of a mask each."""
+    # The squares are columns of their own, so that each is worked out once a row and not once a pixel.
     squared = lambda n, c, most: (F.lit(n) - F.col(c) % most) * (F.lit(n) - F.col(c) % most)
-    disc = lambda i, j: F.lit(1.0) / (1 + squared(i, "box_id", 7) + squared(j, "image_id", 8)) + F.lit(0.05) * (F.col("box_id") % 5)
-    return boxes.withColumn("pixels", F.array(*(F.array(*(disc(i, j) for j in range(WIDTH))) for i in range(HEIGHT))))
+    rows, columns = [f"_i{i}" for i in range(HEIGHT)], [f"_j{j}" for j in range(WIDTH)]
+    parts = {c: squared(i, "box_id", 7).cast("double") for i, c in enumerate(rows)} | {c: squared(j, "image_id", 8).cast("double") + 1 for j, c in enumerate(columns)} | {"_rise": F.lit(0.05) * (F.col("box_id") % 5)}
+    pixels = F.array(*(F.array(*(F.lit(1.0) / (F.col(i) + F.col(j)) + F.col("_rise") for j in columns)) for i in rows))
+    return boxes.withColumns(parts).withColumn("pixels", pixels).drop(*parts)
 
 
 def runs(boxes: DataFrame) -> DataFrame:

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import time
+
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
@@ -68,3 +71,22 @@ def test_predictions_flatten(spark: SparkSession) -> None:
     assert [(r["image_id"], r["category_id"], r["height"], r["width"], r["counts"], r["score"]) for r in m] == [(1, 3, 1, 2, [1, 1], 0.5), (1, 4, 1, 2, [0, 1, 1], 0.25)]
     k = coco.flattened_keypoints(df).collect()
     assert [(r["category_id"], r["keypoints"]) for r in k] == [(3, [1.0, 2.0, 2.0, 3.0, 4.0, 0.0]), (4, [5.0, 6.0, 1.0])]
+
+
+def test_many_small_masks_take_no_step_each(spark: SparkSession) -> None:
+    """100,000 masks of 7 x 8 pixels to runs, to texts and back: a Python step for each run or mask would take much longer. Sliced and odd arrays give the same."""
+    rng = np.random.default_rng(5)
+    bits = rng.random((100_000, 7, 8)) < 0.4
+    rows = pa.ListArray.from_arrays(pa.array(np.arange(0, bits.size + 1, 8, dtype=np.int32)), pa.array(bits.astype(float).ravel()))
+    pixels = pa.ListArray.from_arrays(pa.array(np.arange(0, len(rows) + 1, 7, dtype=np.int32)), rows)
+    began = time.process_time()
+    runs = K._encode.func(pixels, pa.array(np.full(len(bits), 0.5)))
+    texts = K._text.func(runs)
+    back = K._from_text.func(texts)
+    assert time.process_time() - began < 3
+    assert back.equals(runs)
+    assert all(runs[k].as_py() == plain_runs(bits[k]) for k in range(0, 100_000, 997))
+    part = K._encode.func(pixels.slice(50, 20), pa.array(np.full(20, 0.5)))
+    assert part.to_pylist() == runs.slice(50, 20).to_pylist() == K._from_text.func(K._text.func(runs.slice(50, 20))).to_pylist()
+    odd = pa.array([None, [], [[]], [[1.0]], [[0.0, None, 1.0]]], pa.list_(pa.list_(pa.float64())))
+    assert K._encode.func(odd, pa.array([0.5] * 5)).to_pylist() == [None, [0], [0], [0, 1], [2, 1]]
