@@ -24,8 +24,11 @@ def out_of_order(spark: SparkSession, sf_dir: str, folder: str) -> DataFrame:
     first, last = events.agg(F.min("ts"), F.max("ts")).first()
     spans = (last - first).days // DAYS + 1 if first else 0
     day = F.floor((F.unix_micros("ts") - F.unix_micros(F.lit(first))) / (DAYS * 86_400_000_000)) if first else F.lit(0)
+    # The events are dealt to their spans in one pass, so that the file of a span is made from its own rows alone.
+    events.withColumn("span", day.cast("int")).write.partitionBy("span").parquet(f"{folder}/spans")
+    dealt = spark.read.schema(f"{SCHEMA}, span int").parquet(f"{folder}/spans")
     for k in range(spans + spans % 2):
-        events.where(day == (k ^ 1)).coalesce(1).write.mode("append").parquet(f"{folder}/in")
+        dealt.where(F.col("span") == (k ^ 1)).drop("span").coalesce(1).write.mode("append").parquet(f"{folder}/in")
     end = spark.range(1).select(F.lit(None).cast("long").alias("user_id"), F.to_timestamp(F.lit("2200-01-01")).alias("ts"), F.lit(-1).cast("long").alias("event_id"), F.lit(None).cast("string").alias("event_type"), F.lit(0.0).alias("value"))
     end.coalesce(1).write.mode("append").parquet(f"{folder}/in")
     return spark.readStream.schema(SCHEMA).option("maxFilesPerTrigger", 1).parquet(f"{folder}/in")

@@ -3,11 +3,13 @@
 A row is taken when the watermark has passed it, so that rows of one key are taken in
 the order of their times whatever files or batches they come in; rows that come after the
 watermark are late, are left out by Spark, and are counted in the stream's progress.
-State is what waits: the rows of one key within the delay, and a meter's own numbers.
+State is what waits: the rows within the delay, and a meter's own numbers for each key, by
+buckets of keys.
 """
 
 from __future__ import annotations
 
+import pickle
 import sys
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
@@ -24,44 +26,51 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, St
 Fold = Callable[[tuple, tuple[int, int, float]], tuple[tuple, tuple]]
 
 
+#: Keys whose hashes agree in this modulus wait in one list, so that calls to the state store do not grow with the keys.
+BUCKETS = 512
+
+
 class InEventOrder(StatefulProcessor):
-    """Rows of a key in the order (time, event): they wait in a list, with a timer at the first; when the watermark reaches it, those that it has passed are folded."""
+    """Rows of a bucket of keys in the order (time, event): they wait in a list, with a timer at the first; when the watermark reaches it, those that it has passed are folded, each into the state of its own key."""
 
-    def __init__(self, fold: Fold, start: tuple, state: str, columns: list[str]) -> None:
-        self.fold, self.start, self.state, self.columns = fold, start, state, columns
+    def __init__(self, fold: Fold, start: tuple, columns: list[str]) -> None:
+        self.fold, self.start, self.columns = fold, start, columns
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.waiting = handle.getListState("waiting", "ts long, event long, value double")
-        self.folded = handle.getValueState("folded", self.state)
+        self.waiting = handle.getListState("waiting", "key long, missing boolean, ts long, event long, value double")
+        self.folded = handle.getValueState("folded", "states binary")
 
     def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
-        new = [(int(t), int(e), float(v)) for frame in rows for t, e, v in frame[["us", "event", "value"]].itertuples(index=False)]
+        new = [(int(k), bool(m), int(t), int(e), float(v)) for frame in rows for k, m, t, e, v in frame[["key", "missing", "us", "event", "value"]].itertuples(index=False)]
         self.waiting.appendList(new)
-        self._wake(min(new)[0])
+        self._wake(min(r[2] for r in new))
         return iter(())
 
     def handleExpiredTimer(self, key: Any, timerValues: Any, expiredTimerInfo: Any) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
         passed = timerValues.getCurrentWatermarkInMs() * 1000
-        rows = sorted(tuple(r) for r in self.waiting.get())
-        ready = [r for r in rows if r[0] <= passed]
+        rows = sorted((tuple(r) for r in self.waiting.get()), key=lambda r: r[2:])
+        ready = [r for r in rows if r[2] <= passed]
         rest = rows[len(ready) :]
         if rest:
             self.waiting.put(rest)
-            self.handle.registerTimer(-(-rest[0][0] // 1000))  # the timer that has just run out is still in the list
+            self.handle.registerTimer(-(-rest[0][2] // 1000))  # the timer that has just run out is still in the list
         else:
             self.waiting.clear()
-        state = tuple(self.folded.get()) if self.folded.exists() else self.start
+        states = pickle.loads(self.folded.get()[0]) if self.folded.exists() else {}
         out = []
-        for row in ready:
-            state, made = self.fold(state, row)
-            out.append((*key, *made))
-        self.folded.update(state)
+        for k, missing, *row in ready:
+            own = None if missing else k
+            states[own], made = self.fold(states.get(own, self.start), tuple(row))
+            out.append((own, *made))
+        self.folded.update((pickle.dumps(states),))
         if out:
-            yield pd.DataFrame(out, columns=self.columns)
+            made = pd.DataFrame(out, columns=self.columns)
+            made["key"] = pd.array([r[0] for r in out], dtype="Int64")
+            yield made
 
     def _wake(self, us: int) -> None:
-        """One timer a key, at the first row that waits."""
+        """One timer a bucket, at the first row that waits."""
         at = -(-us // 1000)
         timers = list(self.handle.listTimers())
         if not timers or at < min(timers):
@@ -72,8 +81,9 @@ class InEventOrder(StatefulProcessor):
 
 def _folded(stream: DataFrame, key: str, time: str, order: str, value: str, delay: str, processor: StatefulProcessor, schema: str) -> DataFrame:
     cloudpickle.register_pickle_by_value(sys.modules[__name__])  # the process that sets up state does not see the files shipped to executors
-    timed = stream.select(F.col(key).cast("long").alias("key"), F.col(time).alias("ts"), F.unix_micros(time).alias("us"), F.col(order).cast("long").alias("event"), F.col(value).cast("double").alias("value")).where("value is not null and ts is not null")
-    return timed.withWatermark("ts", delay).groupBy("key").transformWithStateInPandas(processor, schema, "append", "EventTime")
+    own = F.col(key).cast("long")
+    timed = stream.select(F.pmod(F.xxhash64(own), F.lit(BUCKETS)).alias("bucket"), F.coalesce(own, F.lit(0).cast("long")).alias("key"), own.isNull().alias("missing"), F.col(time).alias("ts"), F.unix_micros(time).alias("us"), F.col(order).cast("long").alias("event"), F.col(value).cast("double").alias("value")).where("value is not null and ts is not null")
+    return timed.withWatermark("ts", delay).groupBy("bucket").transformWithStateInPandas(processor, schema, "append", "EventTime")
 
 
 def rolling(stream: DataFrame, key: str, time: str, order: str, value: str, delay: str, size: int = 20) -> DataFrame:
@@ -87,7 +97,7 @@ def rolling(stream: DataFrame, key: str, time: str, order: str, value: str, dela
         return (last, n, total), (row[1], sorted(last)[(len(last) - 1) // 2], sum(last) / len(last), max(last), row[2], total / n)
 
     columns = ["key", "event", "median", "avg", "max", "value_now", "global_avg"]
-    processor = InEventOrder(fold, ([], 0, 0.0), "last array<double>, n long, total double", columns)
+    processor = InEventOrder(fold, ([], 0, 0.0), columns)
     return _folded(stream, key, time, order, value, delay, processor, "key long, event long, median double, avg double, max double, value_now double, global_avg double")
 
 
@@ -100,7 +110,7 @@ def ema(stream: DataFrame, key: str, time: str, order: str, value: str, delay: s
         n, mean = n + 1, d * mean + (1 - d) * row[2]
         return (n, mean), (row[1], n, mean)
 
-    processor = InEventOrder(fold, (0, 0.0), "n long, mean double", ["key", "event", "n", "ema"])
+    processor = InEventOrder(fold, (0, 0.0), ["key", "event", "n", "ema"])
     return _folded(stream, key, time, order, value, delay, processor, "key long, event long, n long, ema double")
 
 

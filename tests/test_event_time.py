@@ -55,3 +55,15 @@ def test_late_rows_are_counted(spark: SparkSession, tmp_path: Path) -> None:
     query = E.drain(counts, str(tmp_path / "w"), str(tmp_path / "ws"))
     assert E.late_rows(query) >= 1
     assert sorted((r["start"].timestamp() % 86400, r["n"]) for r in spark.read.parquet(str(tmp_path / "w")).where("user = 1").collect()) == [(1000.0, 1), (4900.0, 1), (5000.0, 2)]
+
+
+def test_calls_to_the_state_store_do_not_grow_with_the_keys(spark: SparkSession, tmp_path: Path) -> None:
+    """5,000 keys, one of them past 2^53, and rows without a key: state and timers are those of the buckets."""
+    big = 2**53 + 1
+    rows = [(k, 1000.0 + k % 7, k, float(k)) for k in range(5000)] + [(big, 1001.0, 9000, 1.0), (None, 1002.0, 9001, 2.0)]
+    write(spark, tmp_path, rows)
+    write(spark, tmp_path, [(None, 10_000.0, -1, 0.0)])
+    query = E.drain(E.ema(source(spark, tmp_path), "user", "ts", "id", "value", "1 minute", 0.5, 1.0), str(tmp_path / "out"), str(tmp_path / "state"))
+    assert max(s["customMetrics"].get("numRegisteredTimers", 0) for p in query.recentProgress for s in p["stateOperators"]) <= 512
+    found = {(r["key"], r["event"]): r["ema"] for r in spark.read.parquet(str(tmp_path / "out")).where("event >= 0").collect()}
+    assert found == {(k, e): v for k, _, e, v in rows}
