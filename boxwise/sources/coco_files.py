@@ -153,7 +153,10 @@ def ranges(spark: SparkSession, path: str, range_bytes: int = RANGE) -> list[dic
             types = (pa.string(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.string())
             yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], ["path", "number", "state", "end", "step", "sections"])
 
-    rows = spark.createDataFrame(every, schema).repartition(max(1, len(every)))
+    # A task looks at several small ranges, about RANGE bytes in all.
+    each = max(1, RANGE // max(1, range_bytes))
+    tasks = max(1, min(len(every), max(-(-len(every) // each), spark.sparkContext.defaultParallelism)))
+    rows = spark.createDataFrame(every, schema).repartition(tasks)
     found = {(r["path"], r["number"], r["state"]): r for r in rows.mapInArrow(scan, "path string, number int, state int, end int, step long, sections string").collect()}
     out, state, depth, section = [], OUTSIDE, 0, ""
     for name, k, a, b, size in every:
@@ -198,6 +201,10 @@ class _Reader(DataSourceReader):
     def __init__(self, section: str, every: list[dict], schema: StructType) -> None:
         self.section, self.every, self.schema = section, every, schema
 
+    def __getstate__(self) -> dict:
+        """What a task gets: its own range comes as the partition, not with all others."""
+        return {"section": self.section, "every": [], "schema": self.schema}
+
     def partitions(self) -> Sequence[InputPartition]:
         """The ranges that may hold objects of the section."""
         return [_Range(r) for r in self.every if self.section == r["section"] or r["ends"] != r["section"]] or [_Range({})]

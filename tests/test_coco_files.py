@@ -7,8 +7,10 @@ import random
 from pathlib import Path
 
 import pytest
+from pyspark import cloudpickle
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from boxwise.sources import coco, coco_files
 
@@ -84,3 +86,10 @@ def test_every_shard_is_a_file_and_is_read_whole(spark: SparkSession, tmp_path:
         assert back.boxes().count() == 4000 and back.images_with_boxes().count() == 400
     finally:
         spark.conf.set("spark.sql.adaptive.enabled", before)
+
+
+def test_a_task_is_not_sent_the_other_ranges() -> None:
+    every = [{"path": "p" * 50, "first": k, "last": k + 1, "size": 10_000, "state": 0, "depth": 1, "section": "images", "ends": "images"} for k in range(10_000)]
+    reader = coco_files._Reader("images", every, StructType())
+    assert len(reader.partitions()) == 10_000
+    assert len(cloudpickle.dumps(reader)) < 10_000
