@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Images in a file: a file of XML is read by one task, and must not grow with the table.
+IMAGES = 10_000
+
 SCHEMA = "filename string, object array<struct<name:string,bndbox:struct<xmin:double,ymin:double,xmax:double,ymax:double>>>"
 
 
@@ -28,7 +31,7 @@ def read_split(spark: SparkSession, path: str) -> DataFrame:
 
 
 def write(boxes: DataFrame, path: str, names: list[str]) -> None:
-    """Writes boxes (file_name, label, x0, y0, x1, y1) as XML documents."""
+    """Writes boxes (file_name, label, x0, y0, x1, y1) as XML documents, up to IMAGES of them in a file."""
     o = F.struct(F.element_at(F.array(*map(F.lit, names)), F.col("label") + 1).alias("name"), F.struct(*(F.col(n).alias(k) for k, n in (("xmin", "x0"), ("ymin", "y0"), ("xmax", "x1"), ("ymax", "y1")))).alias("bndbox"))
     grouped = boxes.groupBy(F.col("file_name").alias("filename")).agg(F.array_sort(F.collect_list(o), lambda a, b: F.when(F.struct(a["bndbox"], a["name"]) < F.struct(b["bndbox"], b["name"]), -1).otherwise(1)).alias("object"))
-    grouped.write.mode("overwrite").format("xml").option("rootTag", "annotations").option("rowTag", "annotation").save(path)
+    grouped.write.mode("overwrite").format("xml").option("rootTag", "annotations").option("rowTag", "annotation").option("maxRecordsPerFile", IMAGES).save(path)

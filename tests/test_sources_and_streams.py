@@ -202,3 +202,10 @@ def test_ema_stream_goes_on_after_a_restart(spark: SparkSession, meter: DataFram
     last = spark.read.parquet(out).groupBy("key").agg(F.max_by(F.struct("n", "ema"), "batch").alias("s"))
     expected = T.ema(meter.unionByName(more), ["user_id"], ["event_id"], "value", 0.99, 10.0)
     assert {r["key"]: (r["s"]["n"], pytest.approx(r["s"]["ema"])) for r in last.collect()} == {r["user_id"]: (r["n"], r["ema"]) for r in expected.collect()}
+
+
+def test_voc_files_do_not_grow_with_the_table(spark: SparkSession, tmp_path: Path) -> None:
+    boxes = spark.range(25_000).select(F.col("id").cast("string").alias("file_name"), F.lit(0).alias("label"), *(F.lit(float(k)).alias(c) for k, c in enumerate(("x0", "y0", "x1", "y1"))))
+    voc.write(boxes.coalesce(1), str(tmp_path / "voc"), ["cat"])
+    assert len(list((tmp_path / "voc").glob("*.xml*"))) >= 3
+    assert voc.read(spark, str(tmp_path / "voc"), ["cat"]).select("file_name").distinct().count() == 25_000
