@@ -227,14 +227,15 @@ def a9_a10_image_means(spark: SparkSession, sf_dir: str) -> DataFrame:
                round(avg(0.5 * (e0 * e0 / exp(lv) + lv + ln(2 * pi()))), 6) AS nll, round(sqrt(avg(e0 * e0)), 6) AS rmse, round(avg(sd), 6) AS mean_std FROM q, z GROUP BY nominal""",
 )
 def a20_a21_interval_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Coverage of nominal intervals by coordinate and by box, likelihood and sharpness, in one pass."""
-    levels = F.array(*(F.struct(F.lit(k).alias("nominal"), F.lit(z).alias("z")) for k, z in (("50", 0.67448975), ("80", 1.28155157), ("90", 1.64485363), ("95", 1.95996398))))
-    e = (F.array(F.col("dx0") - F.col("gx0"), F.col("dy0") - F.col("gy0")),)
-    q = pairs(view(spark, sf_dir, "boxes")).select(F.transform(e[0], lambda v: v / 100).alias("e"), F.exp(F.col("score") - 3).alias("sd"), (2 * (F.col("score") - 3)).alias("lv"))
-    inside = q.select("*", F.inline(levels)).withColumn("ok", F.transform("e", lambda v: F.abs(v) <= F.col("z") * F.col("sd")))
-    both = F.forall("ok", lambda v: v).cast("int")
-    share = S.total(F.transform("ok", lambda v: v.cast("double"))) / F.size("ok")
-    return inside.groupBy("nominal").agg(r6(F.avg(share)).alias("coordinate"), r6(F.avg(both)).alias("whole"), r6(F.avg(S.gaussian_nll(F.col("e")[0], F.col("lv")))).alias("nll"), r6(F.sqrt(F.avg(F.col("e")[0] * F.col("e")[0]))).alias("rmse"), r6(F.avg("sd")).alias("mean_std"))
+    """Coverage of nominal intervals by coordinate and by box, likelihood and sharpness, in one pass, which keeps one row for all levels."""
+    levels = {"50": 0.67448975, "80": 1.28155157, "90": 1.64485363, "95": 1.95996398}
+    p = pairs(view(spark, sf_dir, "boxes"))
+    q = p.select(((F.col("dx0") - F.col("gx0")) / 100).alias("e0"), ((F.col("dy0") - F.col("gy0")) / 100).alias("e1"), F.exp(F.col("score") - 3).alias("sd"), (2 * (F.col("score") - 3)).alias("lv"))
+    within = lambda e, z: (F.abs(F.col(e)) <= z * F.col("sd")).cast("int")
+    shares = {k: (F.avg((within("e0", z) + within("e1", z)) / 2), F.avg(within("e0", z) * within("e1", z))) for k, z in levels.items()}
+    row = q.agg(F.count(F.lit(1)).alias("n"), F.avg(S.gaussian_nll(F.col("e0"), F.col("lv"))).alias("nll"), F.sqrt(F.avg(F.col("e0") * F.col("e0"))).alias("rmse"), F.avg("sd").alias("mean_std"), *(x.alias(f"{c}_{k}") for k, both in shares.items() for c, x in zip(("coordinate", "whole"), both, strict=True)))
+    each = F.array(*(F.struct(F.lit(k).alias("nominal"), r6(F.col(f"coordinate_{k}")).alias("coordinate"), r6(F.col(f"whole_{k}")).alias("whole")) for k in levels))
+    return row.where("n > 0").select(F.inline(each), *(r6(F.col(c)).alias(c) for c in ("nll", "rmse", "mean_std")))
 
 
 @query(
