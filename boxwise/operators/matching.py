@@ -303,13 +303,13 @@ def _giou_matrix(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 def by_image(det: DataFrame, gt: DataFrame, keys: list[str], det_values: list[str], gt_values: list[str], how: str = "inner") -> DataFrame:
     """keys..., d and g: the detections and the ground truth of each group as sorted arrays of structs, which are as large as an image."""
-    d = det.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(*det_values))).alias("d"))
-    g = gt.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(*gt_values))).alias("g"))
+    d = det.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct(*det_values))).alias("d"))
+    g = gt.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct(*gt_values))).alias("g"))
     return d.join(g, keys, how)
 
 
-def sides(batch: pa.RecordBatch) -> Iterator[tuple[int, dict[str, np.ndarray], dict[str, np.ndarray]]]:
-    """Row number, detections and ground truth, by column, of each row of by_image(); a missing side is empty."""
+def flat_sides(batch: pa.RecordBatch) -> list[tuple[np.ndarray, dict[str, np.ndarray]]]:
+    """For detections and ground truth of by_image(): where each row's begin (one entry more), and all of them by column; a missing side is empty."""
 
     def columns(name: str) -> tuple[np.ndarray, dict[str, np.ndarray]]:
         column = batch[name]
@@ -317,7 +317,12 @@ def sides(batch: pa.RecordBatch) -> Iterator[tuple[int, dict[str, np.ndarray], d
         flat = column.flatten()
         return ends, {f.name: part.to_numpy(zero_copy_only=False) for f, part in zip(flat.type, flat.flatten(), strict=True)}
 
-    (d_ends, d), (g_ends, g) = columns("d"), columns("g")
+    return [columns("d"), columns("g")]
+
+
+def sides(batch: pa.RecordBatch) -> Iterator[tuple[int, dict[str, np.ndarray], dict[str, np.ndarray]]]:
+    """Row number, detections and ground truth, by column, of each row of by_image(); a missing side is empty."""
+    (d_ends, d), (g_ends, g) = flat_sides(batch)
     for row in range(len(batch)):
         yield row, {k: v[d_ends[row] : d_ends[row + 1]] for k, v in d.items()}, {k: v[g_ends[row] : g_ends[row + 1]] for k, v in g.items()}
 
@@ -385,16 +390,45 @@ def hungarian_match(det: DataFrame, gt: DataFrame, class_weight: float = 2.0, bo
     return _assigned(by_image(det, gt, ["image_id"], ["det_id", "logits", *shape], ["gt_id", "label", *shape]), "cost", solve)
 
 
+def _overlap_rows(det: DataFrame, gt: DataFrame, how: str) -> DataFrame:
+    return by_image(det, gt, ["image_id"], ["det_id", "label", "dx0", "dy0", "dx1", "dy1"], ["gt_id", "label", "gx0", "gy0", "gx1", "gy1"], how)
+
+
+def _overlap_pairs(d: dict, g: dict, least: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    i, j, iou = assign_overlaps(corners(d, ("dx0", "dy0", "dx1", "dy1")), corners(g, ("gx0", "gy0", "gx1", "gy1")), d["label"], g["label"])
+    ok = (d["label"][i] == g["label"][j]) & (iou >= least)
+    return i[ok], j[ok], iou[ok]
+
+
 def overlap_assignment(det: DataFrame, gt: DataFrame, least: float = 0.1) -> DataFrame:
     """image_id, det_id, gt_id, iou: the assignment of least total 1 - IoU, plus 1000 where labels differ; only pairs of one label and at least `least` IoU are kept."""
-    a, b = ("dx0", "dy0", "dx1", "dy1"), ("gx0", "gy0", "gx1", "gy1")
+    return _assigned(_overlap_rows(det, gt, "inner"), "iou", lambda d, g: _overlap_pairs(d, g, least))
 
-    def solve(d: dict, g: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        i, j, iou = assign_overlaps(corners(d, a), corners(g, b), d["label"], g["label"])
-        ok = (d["label"][i] == g["label"][j]) & (iou >= least)
-        return i[ok], j[ok], iou[ok]
 
-    return _assigned(by_image(det, gt, ["image_id"], ["det_id", "label", *a], ["gt_id", "label", *b]), "iou", solve)
+def overlap_outcomes(det: DataFrame, gt: DataFrame, least: float = 0.1) -> DataFrame:
+    """What with_errors() gives for overlap_assignment(), whose assignments are found once, with what is left over beside them."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            (d_ends, d), (g_ends, g) = flat_sides(batch)
+            free = np.ones(len(d["det_id"]), bool), np.ones(len(g["gt_id"]), bool)
+            pairs: list[tuple[np.ndarray, ...]] = [(np.zeros(0, np.int64),) * 2 + (np.zeros(0),)]
+            for row, a, b in sides(batch):
+                if len(a["det_id"]) and len(b["gt_id"]):
+                    i, j, iou = _overlap_pairs(a, b, least)
+                    pairs.append((i + d_ends[row], j + g_ends[row], iou))
+            i, j, iou = (np.concatenate(x) for x in zip(*pairs, strict=True))
+            free[0][i], free[1][j] = False, False
+            false, lost = (np.flatnonzero(x) for x in free)
+            row = np.concatenate([np.searchsorted(e, x, side="right") - 1 for e, x in ((d_ends, i), (d_ends, false), (g_ends, lost))])
+            n, m, k = len(i), len(false), len(lost)
+            ids = lambda x, size: pa.nulls(size, pa.int64()) if x is None else pa.array(x.astype(np.int64))
+            det_id = pa.concat_arrays([ids(d["det_id"][i], n), ids(d["det_id"][false], m), ids(None, k)])
+            gt_id = pa.concat_arrays([ids(g["gt_id"][j], n), ids(None, m), ids(g["gt_id"][lost], k)])
+            outcome = pa.array(np.repeat(["match", "false_positive", "missed"], [n, m, k]))
+            yield pa.record_batch([batch["image_id"].take(pa.array(row)), outcome, det_id, gt_id, pa.concat_arrays([pa.array(iou.astype(float)), pa.nulls(m + k, pa.float64())])], ["image_id", "outcome", "det_id", "gt_id", "iou"])
+
+    return _overlap_rows(det, gt, "full_outer").mapInArrow(run, "image_id long, outcome string, det_id long, gt_id long, iou double")
 
 
 def with_errors(det: DataFrame, gt: DataFrame, matches: DataFrame) -> DataFrame:

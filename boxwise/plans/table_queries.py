@@ -107,7 +107,7 @@ def j11_overlap_assignment(spark: SparkSession, sf_dir: str) -> DataFrame:
 def j11_false_and_missed(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every detection and ground truth once: matched, false or missed."""
     gt, det = sides(view(spark, sf_dir, "boxes"))
-    return M.with_errors(det, gt, M.overlap_assignment(det, gt))
+    return M.overlap_outcomes(det, gt)
 
 
 @query(

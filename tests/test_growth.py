@@ -22,3 +22,17 @@ def plan(spark: SparkSession, sf_dir: str, name: str) -> str:
 def test_interval_levels_are_rows_after_the_averages(spark: SparkSession, sf_dir: str) -> None:
     text = plan(spark, sf_dir, "a20_a21_interval_coverage")
     assert text.index("Generate") < text.index("Aggregate")
+
+
+def test_assignments_of_outcomes_are_found_once(spark: SparkSession, sf_dir: str) -> None:
+    gt, det = sides(view(spark, sf_dir, "boxes"))
+    assert plan(spark, sf_dir, "j11_false_and_missed").count("MapInArrow") == 1
+    assert rows_of(M.overlap_outcomes(det, gt)) == rows_of(M.with_errors(det, gt, M.overlap_assignment(det, gt)))
+
+
+def test_outcomes_of_images_with_one_side(spark: SparkSession) -> None:
+    shape = "image_id long, label int, {0}_id long, {1}x0 double, {1}y0 double, {1}x1 double, {1}y1 double"
+    det = spark.createDataFrame([(1, 0, 5, 0.0, 0.0, 9.0, 9.0), (None, 0, 6, 0.0, 0.0, 9.0, 9.0)], shape.format("det", "d"))
+    gt = spark.createDataFrame([(2, 0, 7, 0.0, 0.0, 9.0, 9.0), (None, 0, 8, 0.0, 0.0, 9.0, 9.0)], shape.format("gt", "g"))
+    found = {(r["image_id"], r["outcome"], r["det_id"], r["gt_id"]) for r in M.overlap_outcomes(det, gt).collect()}
+    assert found == {(1, "false_positive", 5, None), (None, "false_positive", 6, None), (2, "missed", None, 7), (None, "missed", None, 8)}
