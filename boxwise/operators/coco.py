@@ -35,32 +35,99 @@ def match_image(d: dict[str, np.ndarray], g: dict[str, np.ndarray], thresholds:
     own area. A detection is ignored if what it took is, or if it took nothing and is
     outside of the area.
     """
+    return match_groups(d, np.array([0, len(d["x0"])]), g, np.array([0, len(g["x0"])]), thresholds, areas)
+
+
+#: Pairs of a detection and a ground truth in memory at once, and cells of detections.
+PAIRS, CELLS = 1 << 20, 1 << 22
+
+
+def _overlaps(a: np.ndarray, b: np.ndarray, crowd: np.ndarray, d_ends: np.ndarray, g_ends: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Places (i, j) and IoU of the pairs within one group whose IoU is at least `least`."""
+    area_a, area_b = (np.prod(x[:, 2:] - x[:, :2], axis=1) for x in (a, b))
+    group = np.repeat(np.arange(len(d_ends) - 1), np.diff(d_ends))
+    n, first = np.diff(g_ends)[group], g_ends[group]
+    ends = np.cumsum(n)
+    found, at = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))], 0
+    while at < len(a):
+        done = ends[at - 1] if at else 0
+        stop = max(at + 1, int(np.searchsorted(ends, done + PAIRS, side="right")))
+        i = np.repeat(np.arange(at, stop), n[at:stop])
+        j = np.arange(len(i)) - np.repeat(ends[at:stop] - n[at:stop] - done, n[at:stop]) + first[i]
+        wide, high = (np.clip(np.minimum(a[i, k + 2], b[j, k + 2]) - np.maximum(a[i, k], b[j, k]), 0, None) for k in range(2))
+        if least > 0:  # most pairs share nothing
+            some = np.flatnonzero((wide > 0) & (high > 0))
+            i, j, wide, high = i[some], j[some], wide[some], high[some]
+        inside = wide * high
+        whole = np.where(crowd[j], area_a[i], area_a[i] + area_b[j] - inside)
+        iou = np.divide(inside, whole, out=np.zeros_like(inside), where=whole > 0)
+        near = iou >= least
+        found.append((i[near], j[near], iou[near]))
+        at = stop
+    i, j, iou = (np.concatenate(x) for x in zip(*found, strict=True))
+    return i, j, iou
+
+
+def match_groups(d: dict[str, np.ndarray], d_ends: np.ndarray, g: dict[str, np.ndarray], g_ends: np.ndarray, thresholds: list[float], areas: dict[str, tuple[float, float]]) -> tuple[np.ndarray, np.ndarray]:
+    """What match_image() gives, for groups one after the other, which begin at d_ends and g_ends.
+
+    Only pairs that reach the least threshold are looked at one by one, with a bit for each
+    cell (area, threshold) where a ground truth is taken or a detection has none yet.
+    """
     a, b = M.corners(d, ("x0", "y0", "x1", "y1")), M.corners(g, ("x0", "y0", "x1", "y1"))
-    crowd = g["iscrowd"].astype(bool)
-    area_d, area_g = (np.prod(x[:, 2:] - x[:, :2], axis=1) for x in (a, b))
-    low, high = np.maximum(a[:, None, :2], b[None, :, :2]), np.minimum(a[:, None, 2:], b[None, :, 2:])
-    inside = np.prod(np.clip(high - low, 0, None), axis=2)
-    whole = np.where(crowd[None], area_d[:, None], area_d[:, None] + area_g[None] - inside)
-    iou = np.divide(inside, whole, out=np.zeros_like(inside), where=whole > 0)
-    # One row of state for each (area, threshold): all of them take each detection together.
-    least, largest = (np.repeat([r[k] for r in areas.values()], len(thresholds))[:, None] for k in range(2))
-    floor = np.minimum(np.tile(thresholds, len(areas)), 1 - 1e-10)[:, None]
-    own = g["area"].astype(float)
-    ignored = crowd | (own < least) | (own > largest)
-    cells, n_gt = len(floor), len(own)
-    free = np.ones((cells, n_gt), dtype=bool)
+    crowd, own = g["iscrowd"].astype(bool), g["area"].astype(float)
+    floor = np.minimum(thresholds, 1 - 1e-10)
+    cells, wide = len(areas) * len(floor), len(floor)
+    least, largest = (np.array([r[k] for r in areas.values()]) for k in range(2))
+    area_d = np.prod(a[:, 2:] - a[:, :2], axis=1)[:, None]
+    void = np.repeat((area_d < least) | (area_d > largest), wide, axis=1)
     taken = np.full((len(a), cells), -1)
-    void = ((area_d < least) | (area_d > largest)).T
-    each = np.arange(cells)
-    for k in range(len(a) if n_gt else 0):
-        able = (free | crowd) & (iou[k] >= floor)
-        regular = able & ~ignored
-        usable = np.where(regular.any(axis=1, keepdims=True), regular, able)
-        pick = n_gt - 1 - np.where(usable, iou[k], -1.0)[:, ::-1].argmax(axis=1)
-        hit = usable.any(axis=1)
-        free[each[hit], pick[hit]] = False
-        taken[k, hit] = pick[hit]
-        void[k, hit] = ignored[each[hit], pick[hit]]
+    i, j, iou = _overlaps(a, b, crowd, d_ends, g_ends, float(floor.min()))
+    if not len(i):
+        return taken, void
+    order = np.lexsort((-j, -iou, i))
+    i, j, iou = i[order], j[order], iou[order]
+    ignored = np.repeat(crowd[:, None] | (own[:, None] < least) | (own[:, None] > largest), wide, axis=1)
+    size = -(-cells // 8)
+    hits: list[tuple[int, int, bytes]] = []
+    used: dict[int, int] = {}
+    every = (1 << cells) - 1
+    last, kept = -1, every
+    later: list[tuple[int, int]] = []
+
+    def leave() -> None:
+        """Cells where no regular ground truth was left take an ignored one."""
+        left = kept
+        for at, bits in later:
+            bits &= left if crowd[at] else left & ~used.get(at, 0)
+            if bits:
+                used[at] = used.get(at, 0) | bits
+                left &= ~bits
+                hits.append((last, at, bits.to_bytes(size, "little")))
+        later.clear()
+
+    for at in range(0, len(i), CELLS // cells + 1):
+        some = slice(at, at + CELLS // cells + 1)
+        able = np.tile(iou[some, None] >= floor, len(areas))
+        void_g = ignored[j[some]]
+        regular, other = (np.packbits(x, axis=1, bitorder="little").tobytes() for x in (able & ~void_g, able & void_g))
+        for k, (row, col) in enumerate(zip(i[some].tolist(), j[some].tolist(), strict=True)):
+            if row != last:
+                leave()
+                last, kept = row, every
+            bits = int.from_bytes(regular[k * size : (k + 1) * size], "little") & kept & ~used.get(col, 0)
+            if bits:
+                used[col] = used.get(col, 0) | bits
+                kept &= ~bits
+                hits.append((row, col, bits.to_bytes(size, "little")))
+            if bits := int.from_bytes(other[k * size : (k + 1) * size], "little"):
+                later.append((col, bits))
+    leave()
+    for at in range(0, len(hits), CELLS // cells + 1):
+        rows, cols, bits = zip(*hits[at : at + CELLS // cells + 1], strict=True)
+        k, cell = np.nonzero(np.unpackbits(np.frombuffer(b"".join(bits), np.uint8).reshape(-1, size), axis=1, count=cells, bitorder="little"))
+        row, col = np.array(rows)[k], np.array(cols)[k]
+        taken[row, cell], void[row, cell] = col, ignored[col, cell]
     return taken, void
 
 
@@ -99,16 +166,20 @@ def match(det: DataFrame, gt: DataFrame, thresholds: list[float] | None = None,
 
 def _matched(batch: pa.RecordBatch, thresholds: list[float], areas: dict[str, tuple[float, float]]) -> Iterator[tuple[np.ndarray, ...]]:
     """Row of the batch, det_id, rank and score of the detections, and gt_id, hit and ignored of each in each cell (area, threshold)."""
-    found: list[tuple[np.ndarray, ...]] = []
-    for row, d, g in M.sides(batch):
-        n = len(d["det_id"])
-        if not n:
-            continue
-        taken, void = match_image(d, g, thresholds, areas)
-        ids = np.append(g["gt_id"].astype(np.int64), 0)
-        found.append((np.full(n, row), d["det_id"].astype(np.int64), np.arange(1, n + 1), -d["order"], ids[taken], taken >= 0, void))
-    if found:
-        yield tuple(np.concatenate(x) for x in zip(*found, strict=True))
+    (d_ends, d), (g_ends, g) = M.flat_sides(batch)
+    most = max(1, CELLS // (len(thresholds) * len(areas)))
+    ids = np.append(g["gt_id"].astype(np.int64), 0)
+    at = 0
+    while at < len(batch):
+        stop = max(at + 1, int(np.searchsorted(d_ends, d_ends[at] + most, side="right")) - 1)
+        here, there = slice(d_ends[at], d_ends[stop]), slice(g_ends[at], g_ends[stop])
+        taken, void = match_groups({k: v[here] for k, v in d.items()}, d_ends[at : stop + 1] - d_ends[at], {k: v[there] for k, v in g.items()}, g_ends[at : stop + 1] - g_ends[at], thresholds, areas)
+        n = np.diff(d_ends[at : stop + 1])
+        rank = np.arange(1, len(taken) + 1) - np.repeat(np.cumsum(n) - n, n)
+        if len(taken):
+            hit = taken >= 0
+            yield np.repeat(np.arange(at, stop), n), d["det_id"][here].astype(np.int64), rank, -d["order"][here], ids[np.where(hit, taken + g_ends[at], -1)], hit, void
+        at = stop
 
 
 def _paired(det: DataFrame, gt: DataFrame, most: int) -> DataFrame:
