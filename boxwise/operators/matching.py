@@ -129,17 +129,17 @@ def suppressed(xy: np.ndarray, threshold: float) -> np.ndarray:
     return alive
 
 
-def overlapping(left: DataFrame, right: DataFrame, on: list[str], a: tuple[str, str, str, str], b: tuple[str, str, str, str], cell: float = 32.0) -> DataFrame:
+def overlapping(left: DataFrame, right: DataFrame, on: list[str], a: tuple[str, str, str, str], b: tuple[str, str, str, str], cell: float = 128.0) -> DataFrame:
     """The pairs of rows of left and right with equal `on` whose boxes overlap, by a join on cells, so that a crowded image is many keys.
 
-    A box lies in a grid whose cells are cell, 2 cell, 4 cell ... wide, the first that is as wide as
-    the box, and so in four cells at most; smaller ones look in its grid too. Of the cells
+    A box lies in a grid whose cells are cell, 2 cell, 4 cell ... wide, the first that is four times as wide as
+    the box, and so in one cell mostly and in four at most; smaller ones look in its grid too. Of the cells
     that a pair shares, the one with the corner where its overlap begins counts.
     """
 
     def level(x: tuple[str, str, str, str]) -> Column:
         side = F.greatest(F.col(x[2]) - F.col(x[0]), F.col(x[3]) - F.col(x[1]))
-        return F.greatest(F.lit(0), F.ceil(F.log2(F.greatest(side, F.lit(1e-300)) / cell))).cast("int")
+        return F.greatest(F.lit(0), F.ceil(F.log2(F.greatest(4 * side, F.lit(1e-300)) / cell))).cast("int")
 
     def cells(df: DataFrame, x: tuple[str, str, str, str], width: Column) -> DataFrame:
         spread = lambda p, q: F.explode(F.sequence(F.floor(F.col(p) / width), F.floor(F.greatest(F.col(p), F.col(q)) / width)))

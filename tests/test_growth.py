@@ -62,3 +62,12 @@ def test_groups_of_coco_are_matched_together() -> None:
             here = taken[13 * k : 13 * k + 13]
             assert (np.where(here >= 0, here - 13 * k, -1) == one).all() and (void[13 * k : 13 * k + 13] == own_void).all()
     assert spent < 0.6  # a step for each detection takes 1.4 s
+
+
+def test_lines_are_dealt_to_images_once(spark: SparkSession, sf_dir: str) -> None:
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        text = __spark_entry__.queries()["j9_coco_match"](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
+        assert text.count("FileScan") == 1 and "ReusedExchange" in text
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
