@@ -16,6 +16,7 @@ from contextlib import contextmanager
 from math import exp
 from typing import Any
 
+import numpy as np
 import pandas as pd
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
@@ -26,6 +27,9 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, St
 Fold = Callable[[tuple, tuple[int, int, float]], tuple[tuple, tuple]]
 
 
+#: A row that waits. Those of a batch are one value of the list, so that calls to the state store do not grow with them.
+ROW = np.dtype([("key", "<i8"), ("missing", "?"), ("us", "<i8"), ("event", "<i8"), ("value", "<f8")])
+
 #: Keys whose hashes agree in this modulus wait in one list, so that calls to the state store do not grow with the keys.
 BUCKETS = 512
 
@@ -38,28 +42,32 @@ class InEventOrder(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.waiting = handle.getListState("waiting", "key long, missing boolean, ts long, event long, value double")
+        self.waiting = handle.getListState("waiting", "rows binary")
         self.folded = handle.getValueState("folded", "states binary")
 
     def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
-        new = [(int(k), bool(m), int(t), int(e), float(v)) for frame in rows for k, m, t, e, v in frame[["key", "missing", "us", "event", "value"]].itertuples(index=False)]
-        self.waiting.appendList(new)
-        self._wake(min(r[2] for r in new))
+        frames = [f for f in rows if len(f)]
+        new = np.zeros(sum(map(len, frames)), ROW)
+        for c in ROW.names:
+            new[c] = np.concatenate([f[c].to_numpy() for f in frames])
+        self.waiting.appendValue((new.tobytes(),))
+        self._wake(int(new["us"].min()))
         return iter(())
 
     def handleExpiredTimer(self, key: Any, timerValues: Any, expiredTimerInfo: Any) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
         passed = timerValues.getCurrentWatermarkInMs() * 1000
-        rows = sorted((tuple(r) for r in self.waiting.get()), key=lambda r: r[2:])
-        ready = [r for r in rows if r[2] <= passed]
-        rest = rows[len(ready) :]
-        if rest:
-            self.waiting.put(rest)
-            self.handle.registerTimer(-(-rest[0][2] // 1000))  # the timer that has just run out is still in the list
+        rows = np.concatenate([np.zeros(0, ROW), *(np.frombuffer(r[0], ROW) for r in self.waiting.get())])
+        rows = rows[np.lexsort((rows["value"], rows["event"], rows["us"]))]
+        at = int(np.searchsorted(rows["us"], passed, side="right"))
+        ready, rest = rows[:at], rows[at:]
+        if len(rest):
+            self.waiting.put([(rest.tobytes(),)])
+            self.handle.registerTimer(-(-int(rest["us"][0]) // 1000))  # the timer that has just run out is still in the list
         else:
             self.waiting.clear()
         states = pickle.loads(self.folded.get()[0]) if self.folded.exists() else {}
         out = []
-        for k, missing, *row in ready:
+        for k, missing, *row in ready.tolist():
             own = None if missing else k
             states[own], made = self.fold(states.get(own, self.start), tuple(row))
             out.append((own, *made))

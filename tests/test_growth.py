@@ -5,6 +5,7 @@ from __future__ import annotations
 import time
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import SparkSession
 
 import __spark_entry__
@@ -12,6 +13,7 @@ from boxwise.operators import coco as C
 from boxwise.operators import matching as M
 from boxwise.plans.boxes_queries import sides
 from boxwise.plans.views import view
+from boxwise.streaming import event_time as E
 from tests.comparing import rows_of
 
 
@@ -71,3 +73,26 @@ def test_lines_are_dealt_to_images_once(spark: SparkSession, sf_dir: str) -> Non
         assert text.count("FileScan") == 1 and "ReusedExchange" in text
     finally:
         spark.conf.set("spark.sql.adaptive.enabled", "true")
+
+
+def test_rows_that_wait_are_one_value_a_batch() -> None:
+    """The list of a bucket takes one value for all rows of a call, and gives them back in order."""
+    kept: list = []
+
+    class Fake:
+        def __getattr__(self, name: str):  # noqa: ANN204
+            return lambda *a, **k: self if name.startswith("get") and a else {"listTimers": [], "getCurrentWatermarkInMs": 1, "exists": False, "get": list(kept)}.get(name)
+
+        def appendValue(self, value: tuple) -> None:  # noqa: N802
+            kept.append(value)
+
+        def appendList(self, values: list) -> None:  # noqa: N802
+            kept.extend(values)
+
+    made = E.InEventOrder(lambda state, row: (state, (row[1], row[2])), (), ["key", "event", "value"])
+    made.init(Fake())
+    frame = pd.DataFrame({"key": [1, 2, 1], "missing": [False, False, True], "us": [30, 10, 20], "event": [3, 1, 2], "value": [0.3, 0.1, 0.2]})
+    list(made.handleInputRows((0,), iter([frame, frame[:0]]), None))
+    assert len(kept) == 1
+    (out,) = made.handleExpiredTimer((0,), Fake(), None)
+    assert out["event"].tolist() == [1, 2, 3] and out["key"].isna().tolist() == [False, True, False]
