@@ -24,7 +24,7 @@ def _parts(counts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return counts.flatten().to_numpy(zero_copy_only=False).astype(np.int64), np.concatenate([[0], np.cumsum(lengths)])
 
 
-def _set_runs(counts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def set_runs(counts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Mask, first pixel and end of each run of set pixels."""
     flat, first = _parts(counts)
     mask = np.repeat(np.arange(len(counts)), np.diff(first))
@@ -106,7 +106,7 @@ def decode(counts: Column, height: Column) -> Column:
 
 @F.arrow_udf(T_.LongType())
 def _area(counts: pa.Array) -> pa.Array:
-    mask, first, end = _set_runs(counts)
+    mask, first, end = set_runs(counts)
     return pa.array(np.bincount(mask, weights=end - first, minlength=len(counts)).astype(np.int64))
 
 
@@ -117,7 +117,7 @@ def area(counts: Column) -> Column:
 
 @F.arrow_udf(T_.StructType([T_.StructField(c, T_.IntegerType()) for c in ("x0", "y0", "x1", "y1")]))
 def _box(counts: pa.Array, height: pa.Array) -> pa.Array:
-    mask, first, end = _set_runs(counts)
+    mask, first, end = set_runs(counts)
     h = np.maximum(pc.fill_null(height, 1).to_numpy(zero_copy_only=False).astype(np.int64), 1)[mask]
     n, far = len(counts), np.iinfo(np.int64).max
     last = end - 1
@@ -138,8 +138,8 @@ def box(counts: Column, height: Column) -> Column:
 
 @F.arrow_udf(T_.LongType())
 def _shared(a: pa.Array, b: pa.Array) -> pa.Array:
-    mask, first, end = _set_runs(a)
-    other, start, stop = _set_runs(b)
+    mask, first, end = set_runs(a)
+    other, start, stop = set_runs(b)
     if not len(mask) or not len(other):
         return pa.array(np.zeros(len(a), np.int64))
     # All masks of the batch on one line: the set pixels of b before a place are a line that rises along its runs.

@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from boxwise.functions import boxes as B
+from boxwise.functions import masks as K
 
 
 def greedy_match(det: DataFrame, gt: DataFrame, threshold: float = 0.5) -> DataFrame:
@@ -431,6 +432,53 @@ def overlap_outcomes(det: DataFrame, gt: DataFrame, least: float = 0.1) -> DataF
     return _overlap_rows(det, gt, "full_outer").mapInArrow(run, "image_id long, outcome string, det_id long, gt_id long, iou double")
 
 
+#: Pairs of masks in memory at once.
+MASK_PAIRS = 1 << 17
+
+
+def mask_overlaps(det: DataFrame, gt: DataFrame) -> DataFrame:
+    """image_id, gt_id, det_id, iou of all pairs of masks of an image and label (J9); of crowds, over the detection's own area, and 0 without any pixel.
+
+    det: image_id, label, det_id, counts (run lengths); gt: image_id, label, gt_id, counts, crowd. Masks move once
+    and not once a pair, and pairs are formed in a task, MASK_PAIRS (or one detection's) at a time.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            (d_ends, d), (g_ends, g) = ((np.concatenate([[0], np.cumsum(pc.list_value_length(batch[c]).to_numpy())]), pa.RecordBatch.from_struct_array(batch[c].flatten())) for c in ("d", "g"))
+            (d_mask, begin, end), (g_mask, start, stop) = K.set_runs(d["counts"]), K.set_runs(g["counts"])
+            area_d, area_g = (np.bincount(m, weights=y - x, minlength=len(s)) for m, x, y, s in ((d_mask, begin, end, d), (g_mask, start, stop, g)))
+            crowd = pc.fill_null(g["crowd"], False).to_numpy(zero_copy_only=False)
+            det_id, gt_id = d["det_id"].to_numpy(), g["gt_id"].to_numpy()
+            # All ground truth on one line: its set pixels before a place are a line that rises along its runs.
+            width = int(max(end.max(initial=0), stop.max(initial=0))) + 1
+            places = np.stack([start + g_mask * width, stop + g_mask * width], axis=1).ravel() if len(g_mask) else np.zeros(1)
+            before = np.concatenate([[0], np.cumsum(stop - start)])
+            rises = np.stack([before[:-1], before[1:]], axis=1).ravel() if len(g_mask) else np.zeros(1)
+            first = np.searchsorted(d_mask, np.arange(len(d) + 1))
+            group = np.repeat(np.arange(len(batch)), np.diff(d_ends))
+            n = np.diff(g_ends)[group]
+            ends = np.cumsum(n)
+            at = 0
+            while at < len(d):
+                done = ends[at - 1] if at else 0
+                last = max(at + 1, int(np.searchsorted(ends, done + MASK_PAIRS, side="right")))
+                i = np.repeat(np.arange(at, last), n[at:last])
+                j = np.arange(len(i)) - np.repeat(ends[at:last] - n[at:last] - done, n[at:last]) + g_ends[:-1][group[i]]
+                own = np.repeat(np.arange(len(i)), np.diff(first)[i])
+                r = np.arange(len(own)) - np.repeat(np.cumsum(np.diff(first)[i]) - np.diff(first)[i], np.diff(first)[i]) + first[i][own]
+                line = j[own] * width
+                inside = np.interp(end[r] + line, places, rises) - np.interp(begin[r] + line, places, rises)
+                shared = np.bincount(own, weights=inside, minlength=len(i)).round()
+                whole = np.where(crowd[j], area_d[i], area_d[i] + area_g[j] - shared)
+                iou = np.divide(shared, whole, out=np.zeros(len(i)), where=whole > 0)
+                yield pa.record_batch([batch["image_id"].take(pa.array(group[i])), pa.array(gt_id[j].astype(np.int64)), pa.array(det_id[i].astype(np.int64)), pa.array(iou)], ["image_id", "gt_id", "det_id", "iou"])
+                at = last
+
+    masks = by_image(det, gt, ["image_id", "label"], ["det_id", "counts"], ["gt_id", "counts", "crowd"])
+    return masks.mapInArrow(run, "image_id long, gt_id long, det_id long, iou double")
+
+
 def with_errors(det: DataFrame, gt: DataFrame, matches: DataFrame) -> DataFrame:
     """image_id, outcome ('match', 'false_positive' or 'missed'), det_id, gt_id, iou: every detection and ground truth once.
 

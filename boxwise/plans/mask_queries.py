@@ -80,9 +80,9 @@ def a42_mask_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
 def j9_mask_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Mask IoU of the pairs of an image and category; of crowds, over the detection's own area."""
     m = runs(view(spark, sf_dir, "boxes"))
-    side = lambda kind, end: m.where(f"kind = '{kind}'").select("image_id", "label", F.col("box_id").alias(f"{end}_id"), F.col("counts").alias(f"{end}_counts"))
-    both = side("DET", "det").join(side("GT", "gt"), ["image_id", "label"])
-    return both.select("image_id", "gt_id", "det_id", r6(K.iou(F.col("det_counts"), F.col("gt_counts"), F.col("gt_id") % 17 == 0)).alias("iou"))
+    det = m.where("kind = 'DET'").select("image_id", "label", F.col("box_id").alias("det_id"), "counts")
+    gt = m.where("kind = 'GT'").select("image_id", "label", F.col("box_id").alias("gt_id"), "counts", (F.col("box_id") % 17 == 0).alias("crowd"))
+    return M.mask_overlaps(det, gt).withColumn("iou", r6(F.col("iou")))
 
 
 @query(

@@ -96,3 +96,7 @@ def test_rows_that_wait_are_one_value_a_batch() -> None:
     assert len(kept) == 1
     (out,) = made.handleExpiredTimer((0,), Fake(), None)
     assert out["event"].tolist() == [1, 2, 3] and out["key"].isna().tolist() == [False, True, False]
+
+
+def test_masks_move_once_and_not_once_a_pair(spark: SparkSession, sf_dir: str) -> None:
+    assert "ArrowEvalPython" not in plan(spark, sf_dir, "j9_mask_overlap").split("MapInArrow")[0]
