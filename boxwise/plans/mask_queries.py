@@ -50,8 +50,8 @@ def runs(boxes: DataFrame) -> DataFrame:
 )
 def p19_flat_masks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Masks nested by image, as rows of runs."""
-    m = masks(view(spark, sf_dir, "boxes"))
-    r = F.collect_list(F.when(F.col("kind") == "DET", F.struct("pixels", "label", "score"))).alias("r")
+    m = masks(view(spark, sf_dir, "boxes").where("kind = 'DET'"))
+    r = F.collect_list(F.struct("pixels", "label", "score")).alias("r")
     nested = m.groupBy("image_id").agg(r).select("image_id", F.col("r.pixels").alias("masks"), F.col("r.label").alias("labels"), F.col("r.score").alias("scores"))
     return coco.flattened_masks(nested, 0.21).drop("segmentation")
 
