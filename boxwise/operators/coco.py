@@ -11,12 +11,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
+from pyspark import StorageLevel, TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from boxwise.operators import matching as M
 from boxwise.operators import ordered as O
+from boxwise.session import checkpointed
 
 #: The protocol's IoU thresholds, areas and numbers of detections.
 THRESHOLDS = [round(0.5 + 0.05 * k, 2) for k in range(10)]
@@ -207,8 +208,40 @@ def match_packed(det: DataFrame, gt: DataFrame, thresholds: list[float] | None =
     return _paired(det, gt, most).mapInArrow(run, PACKED)
 
 
-#: Detections whose cells are in memory at once.
-STEP = 4096
+BLOCKS = "category_id int, ranks binary, matched binary, ignored binary"
+
+
+def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A row of BLOCKS for each run of one category in a batch: sorted detections are read three times, and a row each costs more than its bits."""
+    for batch in batches:
+        bounds = [*O.group_starts(batch, ["category_id"]).tolist(), len(batch)] if len(batch) else [0]
+        runs = [batch.slice(a, b - a) for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
+        ranks = [r["det_rank"].to_numpy().astype(np.int32).tobytes() for r in runs]
+        bits = [[b"".join(r[c].to_pylist()) for r in runs] for c in ("matched", "ignored")]
+        yield pa.record_batch([batch["category_id"].take(pa.array(bounds[:-1], pa.int64())), *(pa.array(x, pa.binary()) for x in (ranks, *bits))], ["category_id", "ranks", "matched", "ignored"])
+
+
+def _bits(rows: bytes, n: int, cells: int) -> np.ndarray:
+    """The bits of match_packed() for n detections, by (cell, detection)."""
+    return np.ascontiguousarray(np.unpackbits(np.frombuffer(rows, np.uint8).reshape(n, -1), axis=1, count=cells).T).astype(bool)
+
+
+def hit_precisions(rank: np.ndarray, counted: np.ndarray, hit: np.ndarray, most: list[int], n: np.ndarray, tp: np.ndarray) -> list[np.ndarray]:
+    """The precisions at the hits of some detections, one array for each (max_det, cell), after n that count and tp hits.
+
+    counted and hit are by (cell, detection), n and tp by (max_det, cell). Nothing is kept of a detection that takes nothing.
+    """
+    out, at = [], 0
+    for m in most:
+        kept = rank <= m
+        some, own = (counted, hit) if kept.all() else (counted[:, kept], hit[:, kept])
+        so_far = np.cumsum(some, axis=1, dtype=np.int32)
+        cell, place = np.nonzero(own)
+        ends = np.searchsorted(cell, np.arange(len(own) + 1))
+        each = np.arange(1, len(cell) + 1) - ends[cell] + tp[at + cell]
+        out += np.split(each / (so_far[cell, place] + n[at + cell]), ends[1:-1])
+        at += len(own)
+    return out
 
 
 def accumulate(packed: DataFrame, npos: DataFrame, thresholds: list[float] | None = None, areas: dict[str, tuple[float, float]] | None = None, max_dets: tuple[int, ...] = MAX_DETS) -> DataFrame:
@@ -216,27 +249,34 @@ def accumulate(packed: DataFrame, npos: DataFrame, thresholds: list[float] | Non
 
     Each partition of the sorted detections leaves the counts of its last category, then,
     knowing what came before, the highest precisions of its first one, and then its share of
-    every category's sums. So three passes read the sorted rows, and none moves them again.
+    every category's sums. So three passes read the sorted rows, and none moves them again; a task
+    holds a number for each hit of its partition.
     Collected are a number for each cell and partition, and for each category and area.
     """
     thresholds, areas = thresholds or THRESHOLDS, areas or AREAS
     spots = list(areas)
     cells, most = len(spots) * len(thresholds), list(max_dets)
     wide = cells * len(most)
-    placed = O.in_order(packed.where(F.col("det_rank") <= max(most)), ["category_id"], [F.desc("score"), F.asc("image_id"), F.asc("det_id")])
-    truth = {(r["category_id"], r["area_range"]): r["npos"] for r in npos.collect()}
-
-    def parts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-        """Category, and whether each detection counts and hits, by (max_det, cell), for runs of one category."""
+    pieces = int(packed.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    # Dealing rows into ranges looks at them twice; they are matched once.
+    kept = packed.where(F.col("det_rank") <= max(most)).persist(StorageLevel.DISK_ONLY)
+    order = [F.col("category_id"), F.desc("score"), F.asc("image_id"), F.asc("det_id")]
+    placed = checkpointed(kept.repartitionByRange(pieces, *order).sortWithinPartitions(*order).select("category_id", "det_rank", "matched", "ignored").mapInArrow(_blocks, BLOCKS))
+    kept.unpersist()
+    known = npos.collect()
+    truth = {(r["category_id"], r["area_range"]): r["npos"] for r in known}
+    npos = packed.sparkSession.createDataFrame(known, npos.schema)  # a row for each category and area
+
+    def parts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+        """Category, ranks, whether each detection counts and hits, by (cell, detection), and the numbers of both, by (max_det, cell), for runs of one category."""
         for batch in batches:
-            bounds = [*O.group_starts(batch, ["category_id"]).tolist(), len(batch)] if len(batch) else [0]
-            rank = batch["det_rank"].to_numpy()
-            unpacked = lambda c, a, b: np.unpackbits(np.frombuffer(b"".join(batch[c].slice(a, b - a).to_pylist()), np.uint8).reshape(b - a, -1), axis=1, count=cells).astype(bool)
-            for first, last in zip(bounds[:-1], bounds[1:], strict=True):
-                for a in range(first, last, STEP):
-                    b = min(last, a + STEP)
-                    counted = (rank[a:b, None] <= np.array(most)[None])[:, :, None] & ~unpacked("ignored", a, b)[:, None]
-                    yield batch["category_id"][a].as_py(), counted.reshape(b - a, wide), (counted & unpacked("matched", a, b)[:, None]).reshape(b - a, wide)
+            for block in batch.to_pylist():
+                rank = np.frombuffer(block["ranks"], np.int32)
+                counted = ~_bits(block["ignored"], len(rank), cells)
+                hit = counted & _bits(block["matched"], len(rank), cells)
+                own = [rank <= m for m in most]
+                n, tp = (np.concatenate([np.count_nonzero(x if k.all() else x[:, k], axis=1) for k in own]) for x in (counted, hit))
+                yield block["category_id"], rank, counted, hit, n, tp
 
     edges = "part long, first int, last int, x array<double>, y array<double>"
 
@@ -245,31 +285,30 @@ def accumulate(packed: DataFrame, npos: DataFrame, thresholds: list[float] | Non
 
     def tails(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         first = last = None
-        for category, counted, hit in parts(batches):
+        for category, _, _, _, own_n, own_tp in parts(batches):
             first = category if first is None else first
             if category != last:
                 n = tp = np.zeros(wide, dtype=np.int64)
-            n, tp, last = n + counted.sum(axis=0), tp + hit.sum(axis=0), category
+            n, tp, last = n + own_n, tp + own_tp, category
         if first is not None:
             yield edge(first, last, n, tp)
 
-    def curves(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
-        """Category, hits, their numbers so far and precisions (-1 where a detection does not count)."""
+    def curves(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, np.ndarray, list[np.ndarray]]]:
+        """Category, the hits before, by (max_det, cell), and the precisions at those that follow."""
         last, n, tp = before.get(TaskContext.get().partitionId(), (None, 0, 0))
-        for category, counted, hit in parts(batches):
+        for category, rank, counted, hit, own_n, own_tp in parts(batches):
             if category != last:
                 last, n, tp = category, np.zeros(wide, np.int64), np.zeros(wide, np.int64)
-            all_n, all_tp = n + np.cumsum(counted, axis=0), tp + np.cumsum(hit, axis=0)
-            yield category, hit, all_tp, np.where(hit, all_tp / np.maximum(all_n, 1), -1.0)
-            n, tp = all_n[-1], all_tp[-1]
+            yield category, tp, hit_precisions(rank, counted, hit, most, n, tp)
+            n, tp = n + own_n, tp + own_tp
 
     def heads(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         first = last = None
-        for category, _, _, precision in curves(batches):
+        for category, _, precisions in curves(batches):
             if first is None:
                 first, top = category, np.full(wide, -1.0)
             if category == first:
-                top = np.maximum(top, precision.max(axis=0))
+                top = np.maximum(top, [p.max(initial=-1.0) for p in precisions])
             last = category
         if first is not None:
             yield edge(first, last, top, top)
@@ -279,17 +318,22 @@ def accumulate(packed: DataFrame, npos: DataFrame, thresholds: list[float] | Non
         sums: dict[int, np.ndarray] = {}
         found: dict[int, np.ndarray] = {}
         last, top = after.get(TaskContext.get().partitionId(), (None, None))
-        for category, hit, tp, precision in reversed(list(curves(batches))):
+        for category, tp, precisions in reversed(list(curves(batches))):
             if category != last:
                 last, top = category, np.full(wide, -1.0)
+            else:
+                top = top.copy()
             own = np.tile(np.repeat([max(truth.get((category, s), 0), 1) for s in spots], len(thresholds)), len(most))
-            envelope = np.maximum(np.maximum.accumulate(precision[::-1], axis=0)[::-1], top)
-            # Sample k is taken at the first hit whose recall reaches k / 100, and sample 0 at the first hit: nothing before it has a higher envelope.
-            sample = lambda x: np.floor(x / own * 100 + 1e-9)  # noqa: E731, B023
-            taken = sample(tp) - np.where(tp == 1, -1, sample(tp - 1))
-            sums[category] = sums.get(category, 0) + np.where(hit, taken * envelope, 0.0).sum(axis=0)
-            found.setdefault(category, tp[-1])
-            top = envelope[0]
+            share = np.zeros(wide)
+            for w, p in enumerate(precisions):
+                if len(p):
+                    envelope = np.maximum(np.maximum.accumulate(p[::-1])[::-1], top[w])
+                    # Sample k is taken at the first hit whose recall reaches k / 100, and sample 0 at the first hit: nothing before it has a higher envelope.
+                    sample = np.floor(np.arange(tp[w], tp[w] + len(p) + 1) / own[w] * 100 + 1e-9)
+                    sample[0] = sample[0] if tp[w] else -1
+                    share[w], top[w] = (np.diff(sample) * envelope).sum(), envelope[0]
+            sums[category] = sums.get(category, 0) + share
+            found.setdefault(category, tp + [len(p) for p in precisions])
         yield pa.record_batch([pa.array(list(sums), pa.int32()), pa.array([x.tolist() for x in sums.values()], pa.list_(pa.float64())), pa.array([found[c].tolist() for c in sums], pa.list_(pa.int64()))], ["category_id", "sums", "found"])
 
     before: dict[int, tuple[int, np.ndarray, np.ndarray]] = {}

@@ -6,12 +6,14 @@ import time
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import SparkSession
+from pyspark import Accumulator
+from pyspark.sql import DataFrame, SparkSession
 
 import __spark_entry__
 from boxwise.operators import coco as C
 from boxwise.operators import matching as M
 from boxwise.plans.boxes_queries import sides
+from boxwise.plans.model_queries import coco_tables
 from boxwise.plans.views import view
 from boxwise.streaming import event_time as E
 from tests.comparing import rows_of
@@ -100,3 +102,36 @@ def test_rows_that_wait_are_one_value_a_batch() -> None:
 
 def test_masks_move_once_and_not_once_a_pair(spark: SparkSession, sf_dir: str) -> None:
     assert "ArrowEvalPython" not in plan(spark, sf_dir, "j9_mask_overlap").split("MapInArrow")[0]
+
+
+def test_detections_of_a_summary_are_matched_once_and_truth_counted_once(spark: SparkSession, sf_dir: str) -> None:
+    det, gt = coco_tables(spark, sf_dir)
+    matched, counted = spark.sparkContext.accumulator(0), spark.sparkContext.accumulator(0)
+
+    def watched(rows: DataFrame, seen: Accumulator) -> DataFrame:
+        def run(batches):  # noqa: ANN001, ANN202
+            for batch in batches:
+                seen.add(len(batch))
+                yield batch
+
+        return rows.mapInArrow(run, rows.schema)
+
+    npos = C.positives(gt)
+    cube = C.accumulate(watched(C.match_packed(det, gt), matched), watched(npos, counted))
+    assert cube.where("ap > 0").count() and cube.count()
+    assert matched.value == det.count()
+    assert counted.value == npos.count()
+
+
+def test_precisions_at_hits_equal_a_loop() -> None:
+    rng = np.random.default_rng(4)
+    rank, counted = rng.integers(1, 6, 300), rng.random((3, 300)) < 0.8
+    hit = counted & (rng.random((3, 300)) < [[0.3], [1.0], [0.0]])
+    n, tp = rng.integers(5, 9, 6), rng.integers(0, 5, 6)
+    got = C.hit_precisions(rank, counted, hit, [2, 5], n, tp)
+    for w, (m, cell) in enumerate((m, cell) for m in (2, 5) for cell in range(3)):
+        some, taken, expected = n[w], tp[w], []
+        for k in np.flatnonzero((rank <= m) & counted[cell]):
+            some, taken = some + 1, taken + hit[cell, k]
+            expected += [taken / some] * int(hit[cell, k])
+        assert got[w].tolist() == expected
