@@ -36,6 +36,8 @@ FREQUENT = VOCABULARY - SHARED - 1
 COUNTED = 1 << 17
 #: Tokens to a step of training and to one of scoring; weights to a chunk.
 STEP, SCORED, CHUNK = 2048, 16_384, 4096
+#: Logits that differ by less have exponentials that a 32-bit number holds without loss.
+RANGE = 60.0
 
 
 @dataclass
@@ -68,20 +70,36 @@ class Network:
         return cls(*(x.astype(np.float32) for x in (*parts, np.log(by_class / by_class.sum()), np.log(table / by_class[:, None]))))
 
     def hidden(self, around: np.ndarray) -> np.ndarray:
-        total = self.embed[0][around[:, 0]]
+        total = self.embed[0].take(around[:, 0], axis=0)
         for k in range(1, 2 * WINDOW):
-            total = total + self.embed[k][around[:, k]]
-        return np.tanh(total)
+            total += self.embed[k].take(around[:, k], axis=0)
+        return np.tanh(total, out=total)
+
+    def _members(self, h: np.ndarray, kind: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+        """The inner layer's values for rows in the order of their class: a product a class, and all else at once."""
+        x = np.empty((len(h), CLASSES), h.dtype)
+        for c in np.flatnonzero(np.diff(bounds)).tolist():
+            own = slice(bounds[c], bounds[c + 1])
+            np.matmul(h[own], self.inner[c], out=x[own])
+        x += self.inner_bias.take(kind, axis=0)
+        return x
+
+    @staticmethod
+    def _shifted(x: np.ndarray) -> np.ndarray:
+        """x less a number for each row, so that its exponentials neither overflow nor all vanish: one number does where x has no wide range."""
+        top = x.max(initial=-np.inf)
+        return x - (top if top - x.min(initial=np.inf) < RANGE else x.max(axis=1, keepdims=True))
 
     @staticmethod
     def _softmax(x: np.ndarray) -> np.ndarray:
-        e = np.exp(x - x.max(axis=1, keepdims=True))
+        e = Network._shifted(x)
+        np.exp(e, out=e)
         e /= (e @ np.ones(e.shape[1], e.dtype))[:, None]
         return e
 
     @staticmethod
     def _log_softmax_at(x: np.ndarray, column: np.ndarray) -> np.ndarray:
-        x = x - x.max(axis=1, keepdims=True)
+        x = Network._shifted(x)
         return x[np.arange(len(x)), column] - np.log(np.exp(x) @ np.ones(x.shape[1], x.dtype))
 
     @staticmethod
@@ -91,41 +109,44 @@ class Network:
 
     def log_probability(self, around: np.ndarray, token: np.ndarray) -> np.ndarray:
         """Of each token, given those around it."""
-        h, kind, member = self.hidden(around), token // CLASSES, token % CLASSES
-        out = self._log_softmax_at(h @ self.outer + self.outer_bias, kind)
-        order = self._order(kind)
-        bounds = np.searchsorted(kind[order], np.arange(CLASSES + 1))
-        for c in range(CLASSES):
-            own = order[bounds[c] : bounds[c + 1]]
-            if len(own):
-                out[own] += self._log_softmax_at(h[own] @ self.inner[c] + self.inner_bias[c], member[own])
+        order = self._order(token // CLASSES)
+        token = token[order]
+        h, kind, member = self.hidden(around.take(order, axis=0)), token // CLASSES, token % CLASSES
+        own = self._log_softmax_at(h @ self.outer + self.outer_bias, kind)
+        own += self._log_softmax_at(self._members(h, kind, np.searchsorted(kind, np.arange(CLASSES + 1))), member)
+        out = np.empty_like(own)
+        out[order] = own
         return out
 
     def learn(self, around: np.ndarray, token: np.ndarray, rate: float) -> None:
         """One step of gradient descent on the mean log probability."""
         n = len(token)
         order = self._order(token)  # so that a class is a slice
-        around, token = around[order], token[order]
+        around, token = around.take(order, axis=0), token[order]
         h, kind, member = self.hidden(around), token // CLASSES, token % CLASSES
         slope = self._softmax(h @ self.outer + self.outer_bias)
         slope[np.arange(n), kind] -= 1
         back = slope @ self.outer.T
         self.outer -= rate * (h.T @ slope) / n
-        self.outer_bias -= rate * slope.mean(axis=0)
+        self.outer_bias -= rate * (np.ones(n, slope.dtype) @ slope) / n
         bounds = np.searchsorted(kind, np.arange(CLASSES + 1))
-        for c in np.flatnonzero(np.diff(bounds)):
+        slope = self._softmax(self._members(h, kind, bounds))
+        slope[np.arange(n), member] -= 1
+        met = np.flatnonzero(np.diff(bounds))
+        moves, inner_back = np.empty((len(met), *self.SHAPES[2][1:]), h.dtype), np.empty_like(back)
+        for k, c in enumerate(met.tolist()):
             own = slice(bounds[c], bounds[c + 1])
-            slope = self._softmax(h[own] @ self.inner[c] + self.inner_bias[c])
-            slope[np.arange(len(slope)), member[own]] -= 1
-            back[own] += slope @ self.inner[c].T
-            self.inner[c] -= rate * (h[own].T @ slope) / n
-            self.inner_bias[c] -= rate * slope.sum(axis=0) / n
+            np.matmul(slope[own], self.inner[c].T, out=inner_back[own])
+            np.matmul(h[own].T, slope[own], out=moves[k])
+        back += inner_back
+        self.inner[met] -= rate * moves / n
+        self.inner_bias[met] -= rate * np.add.reduceat(slope, bounds[met]) / n
         back *= (1 - h * h) * (rate / n)
+        # Sums for each token met, without sorting rows by it.
+        place = np.arange(WIDTH)
         for k in range(2 * WINDOW):
-            order = self._order(around[:, k])
-            token = around[order, k]
-            first = np.flatnonzero(np.concatenate([[True], token[1:] != token[:-1]]))
-            self.embed[k][token[first]] -= np.add.reduceat(back[order], first)
+            at = (around[:, k, None] * WIDTH + place).ravel()
+            self.embed[k] -= np.bincount(at, back.ravel(), VOCABULARY * WIDTH).reshape(VOCABULARY, WIDTH).astype(back.dtype)
 
 
 @dataclass(frozen=True)

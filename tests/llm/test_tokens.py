@@ -328,3 +328,21 @@ def test_long_white_space_is_packed_and_encoded(spark: SparkSession) -> None:
     trip = round_trip(docs, ranks).collect()
     assert sorted(r["decoded_sha256"] for r in trip) == sorted(hashlib.sha256(t.encode()).hexdigest() for t in texts)
     assert pack(docs, ranks, public_tokenizers.PATTERN).agg({"length": "sum"}).first()[0] == sum(r["length"] for r in rows)
+
+
+def test_a_step_of_training_takes_all_classes_at_once(monkeypatch: pytest.MonkeyPatch) -> None:
+    """One softmax for the classes and one for all members; sums by token and logits of a wide range are those of a plain loop."""
+    rng = np.random.default_rng(3)
+    around, token = rng.integers(0, lm_score.VOCABULARY, (500, 2 * lm_score.WINDOW)), rng.integers(0, lm_score.VOCABULARY, 500)
+    network = lm_score.Network.start(np.ones(lm_score.VOCABULARY))
+    calls, plain = [], lm_score.Network._softmax
+    monkeypatch.setattr(lm_score.Network, "_softmax", staticmethod(lambda x: calls.append(len(x)) or plain(x)))
+    network.learn(around, token, 0.5)
+    assert calls == [500, 500]
+    for wide in (1.0, 300.0):
+        x = (rng.normal(0, wide, (50, lm_score.CLASSES))).astype(np.float32)
+        e = np.exp(x.astype(float) - x.max(axis=1, keepdims=True))
+        assert plain(x) == pytest.approx(e / e.sum(axis=1, keepdims=True), abs=1e-6)
+        column = rng.integers(0, lm_score.CLASSES, 50)
+        exact = np.log((e / e.sum(axis=1, keepdims=True))[np.arange(50), column].clip(1e-300))
+        assert np.where(exact > -600, lm_score.Network._log_softmax_at(x, column) - exact, 0) == pytest.approx(0, abs=1e-3)
