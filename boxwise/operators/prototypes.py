@@ -72,8 +72,10 @@ def _left(best: dict, group: int, h: np.ndarray, x: np.ndarray, starts: list[tup
 
 
 def _sums(best: dict, group: int, h: np.ndarray, x: np.ndarray, starts: Starts) -> None:
-    """Squared distances, rows and sum of the rows nearest to each centre."""
+    """Squared distances, rows and sum of the rows nearest to each centre; starts without centres have settled."""
     for s, centres in enumerate(starts):
+        if not len(centres):
+            continue
         at, far = nearest(x, centres)
         for c in np.unique(at).tolist():
             own = at == c
@@ -129,26 +131,26 @@ def _wave(rows: DataFrame, groups: list[int], size: int, k: int, starts: int, ro
         left = _pass(rows, tried, _left).groupBy("grp", "start", "centre").agg(F.sum("value").alias("value"))
         for g, s, t in left.groupBy("grp", "start").agg(F.min_by("centre", F.struct("value", "centre")).alias("centre")).collect():
             centres[g][s] = np.vstack([centres[g][s], tried[g][s][1][t]])
-    settled: dict[int, list[tuple]] = {}
+    # What each start of a group has come to; a start that no longer moves is not looked at again.
+    reached: dict[int, dict[int, list[tuple]]] = {g: {} for g in groups}
     for _ in range(rounds):
         found: dict[int, dict[int, list]] = {}
         for g, s, c, inertia, n, total in _means(_pass(rows, centres, _sums), size):
             found.setdefault(g, {}).setdefault(s, []).append((c, inertia, n, np.array(total) / n))
         for g, own in found.items():
-            moved = False
             for s, parts in own.items():
                 parts.sort(key=lambda p: p[0])
+                reached[g][s] = parts
                 new = np.array([p[3] for p in parts])
                 # Sums in another order may differ in the last digits.
-                moved |= new.shape != centres[g][s].shape or bool(np.abs(new - centres[g][s]).max() > 1e-12 * max(1.0, np.abs(new).max()))
-                centres[g][s] = new
-            best = min(own, key=lambda s: (sum(p[1] for p in own[s]), s))
-            settled[g] = own[best]
-            if not moved:
+                moved = new.shape != centres[g][s].shape or bool(np.abs(new - centres[g][s]).max() > 1e-12 * max(1.0, np.abs(new).max()))
+                centres[g][s] = new if moved else np.empty((0, size))
+            if not any(map(len, centres[g])):
                 del centres[g]
         if not centres:
             break
         rows = rows.where(F.col("grp").isin(list(centres))) if len(centres) < len(found) else rows
+    settled = {g: own[min(own, key=lambda s: (sum(p[1] for p in own[s]), s))] for g, own in reached.items() if own}
     return [(g, c, n, m.tolist()) for g, parts in settled.items() for c, (_, _, n, m) in enumerate(parts)]
 
 

@@ -103,3 +103,18 @@ def test_clustered_uncertainty_equals_a_loop_over_its_prototypes(spark: SparkSes
     found = {(r["vec_id"], r["label"]): r["tu"] for r in all_queries.QUERIES["u3_clustered_uncertainty"](spark, sf_dir).collect()}
     assert found.keys() == scores.keys()
     assert all(abs(found[k] - sum(v) / len(v)) < 2e-6 for k, v in scores.items())
+
+
+def test_settled_starts_are_not_looked_at_again(spark: SparkSession, monkeypatch: pytest.MonkeyPatch) -> None:
+    """Starts of one group settle in different rounds; only those that still move go on to the next pass."""
+    df = spark.createDataFrame([("g", k, x.tolist()) for k, x in enumerate(np.random.default_rng(5).random((400, 2)))], "g string, id long, x array<double>")
+    moving, plain = [], prototypes._pass
+
+    def watched(rows, starts, step):  # noqa: ANN001, ANN202
+        if step is prototypes._sums:
+            moving.append(sum(len(c) > 0 for own in starts.values() for c in own))
+        return plain(rows, starts, step)
+
+    monkeypatch.setattr(prototypes, "_pass", watched)
+    assert clusters(df, ["g"], "id", "x").count() == 4
+    assert moving == sorted(moving, reverse=True) and moving[0] == 10 and moving[-1] < 10
