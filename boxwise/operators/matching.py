@@ -45,11 +45,16 @@ def greedy_match(det: DataFrame, gt: DataFrame, threshold: float = 0.5) -> DataF
     return joined.select("image_id", "label", "det_id", "score", "gt_id", F.col("gt_id").isNotNull().alias("matched"))
 
 
+def _areas(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Areas of the overlap and of the union of boxes (..., row, corners), each of a with each of b."""
+    wide, high = (np.minimum(a[..., :, None, k + 2], b[..., None, :, k + 2]) - np.maximum(a[..., :, None, k], b[..., None, :, k]) for k in range(2))
+    inside = np.clip(wide, 0, None) * np.clip(high, 0, None)
+    x, y = ((c[..., 2] - c[..., 0]) * (c[..., 3] - c[..., 1]) for c in (a, b))
+    return inside, x[..., :, None] + y[..., None, :] - inside
+
+
 def _iou_matrix(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    low, high = np.maximum(a[:, None, :2], b[None, :, :2]), np.minimum(a[:, None, 2:], b[None, :, 2:])
-    inside = np.prod(np.clip(high - low, 0, None), axis=2)
-    areas = (np.prod(x[:, 2:] - x[:, :2], axis=1) for x in (a, b))
-    whole = np.add.outer(*areas) - inside
+    inside, whole = _areas(a, b)
     return np.divide(inside, whole, out=np.zeros_like(inside), where=whole > 0)
 
 
@@ -254,8 +259,113 @@ def assign_rows(costs: Callable[[int], np.ndarray], n: int, m: int) -> tuple[np.
     return owner[cols][order], cols[order]
 
 
-#: Cells of a cost matrix past which its rows are made when they are wanted.
-DENSE = 1 << 20
+#: Cells of a cost matrix past which its rows are made when they are wanted, and cells of many small matrices in memory at once.
+DENSE, COSTS = 1 << 20, 1 << 20
+
+
+def assign_many(cost: np.ndarray, n: np.ndarray, m: np.ndarray) -> np.ndarray:
+    """The row of each column (-1: none) in what assign_rows() finds for every group of finite costs (group, row, column), of which n rows and m columns count, n at most m.
+
+    Each group takes the steps of assign_rows(), and a step of all groups is taken at once.
+    """
+    groups, most, width = cost.shape
+    cost = np.where(np.arange(width) < m[:, None, None], cost, np.inf)
+    row_potential, col_potential = cost.min(axis=2), np.zeros((groups, width))
+    owner = np.full((groups, width), -1)
+    crowded = np.zeros((groups, most), dtype=bool)
+    for k in range(most):
+        open_ = (cost[:, k] == row_potential[:, k, None]) & (owner < 0)
+        some = open_.any(axis=1)
+        here = np.flatnonzero(some & (k < n))
+        owner[here, open_[here].argmax(axis=1)] = k
+        crowded[:, k] = ~some & (k < n)
+    wait = crowded.sum(axis=1)
+    queue = np.argsort(~crowded, axis=1, kind="stable")
+    live = np.flatnonzero(wait)
+    turn = np.zeros(len(live), np.int64)
+    row = queue[live, 0]
+    i, reached, column = row.copy(), np.zeros(len(live)), np.full(len(live), -1)
+    near, before = np.full((len(live), width), np.inf), np.full((len(live), width), -1)
+    potential, distance, visited = np.zeros_like(near), np.zeros_like(near), np.zeros(near.shape, bool)
+    free = (owner[live] < 0) & (np.arange(width) < m[live, None])
+    while len(live):
+        way = cost[live, i]
+        way -= potential
+        way += (reached - row_potential[live, i])[:, None]
+        shorter = way < near
+        np.copyto(near, way, where=shorter)
+        np.copyto(before, column[:, None], where=shorter)
+        column = near.argmin(axis=1)
+        reached = near[np.arange(len(live)), column]
+        ends = (near == reached[:, None]) & free
+        ended = ends.any(axis=1)
+        on, end = np.flatnonzero(~ended), np.flatnonzero(ended)
+        c = column[on]
+        distance[on, c], visited[on, c], near[on, c], potential[on, c] = reached[on], True, np.inf, -np.inf
+        i[on] = owner[live[on], c]
+        if not len(end):
+            continue
+        g = live[end]
+        k, c = np.nonzero(visited[end])
+        less = reached[end[k]] - distance[end[k], c]
+        row_potential[g, row[end]] += reached[end]
+        row_potential[g[k], owner[g[k], c]] += less
+        col_potential[g[k], c] -= less
+        c = ends[end].argmax(axis=1)
+        free[end, c] = False
+        k = end
+        while len(k):  # the path's columns move one owner on
+            earlier = before[k, c]
+            owner[live[k], c] = np.where(earlier < 0, row[k], owner[live[k], earlier])
+            k, c = k[earlier >= 0], earlier[earlier >= 0]
+        turn[end] += 1
+        k = end[turn[end] < wait[g]]
+        row[k] = i[k] = queue[live[k], turn[k]]
+        reached[k], column[k], near[k], before[k], potential[k], visited[k] = 0.0, -1, np.inf, -1, col_potential[live[k]], False
+        if len(k) < len(end):
+            stay = turn < wait[live]
+            free[~stay] = False  # one that has no row left ends no more
+            if 8 * stay.sum() > 7 * len(live):
+                continue  # few have left, which take empty steps until more do
+            live, turn, row, i, reached, column, near, before, potential, distance, visited, free = (x[stay] for x in (live, turn, row, i, reached, column, near, before, potential, distance, visited, free))
+    return owner
+
+
+def assign_groups(d_ends: np.ndarray, g_ends: np.ndarray, costs: Callable[[np.ndarray, np.ndarray], np.ndarray], crowd: Callable[[slice, slice], tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    """Places (i, j) of the assignments of least cost of all groups, whose sides begin at d_ends and g_ends (one entry more), by i.
+
+    costs(i, j) is of the places i (group, row) with j (group, column), each with each; crowd() assigns the sides of a group
+    that has more than DENSE pairs. Groups of like size are assigned together, COSTS cells, or one group, at a time.
+    """
+    n, m = np.diff(d_ends), np.diff(g_ends)
+    few, many = np.minimum(n, m), np.maximum(n, m)
+    found = [(np.zeros(0, np.int64),) * 2]
+    for k in np.flatnonzero(n * m > DENSE).tolist():
+        i, j = crowd(slice(d_ends[k], d_ends[k + 1]), slice(g_ends[k], g_ends[k + 1]))
+        found.append((i + d_ends[k], j + g_ends[k]))
+    for turned in (False, True):
+        own = np.flatnonzero((n * m <= DENSE) & (few > 0) & ((n > m) == turned))
+        own = own[np.lexsort((few[own], many[own]))]
+        while len(own):
+            # As many as keep the padded costs within bounds; the widest is the last.
+            cells = np.arange(1, len(own) + 1) * np.maximum.accumulate(few[own]) * many[own]
+            k, own = np.split(own, [max(1, int(np.searchsorted(cells, COSTS, side="right")))])
+            i, j = (e[k, None] + np.minimum(np.arange(s[k].max()), s[k, None] - 1) for e, s in ((d_ends, n), (g_ends, m)))
+            cost = costs(i, j)
+            if turned:
+                cost = cost.transpose(0, 2, 1)
+            finite = np.isfinite(cost).all(axis=(1, 2))
+            owner = assign_many(cost[finite], few[k[finite]], many[k[finite]])
+            group, second = np.nonzero(owner >= 0)
+            parts = [(np.flatnonzero(finite)[group], owner[group, second], second)]
+            for p in np.flatnonzero(~finite).tolist():
+                first, second = assign(cost[p, : few[k[p]], : many[k[p]]])
+                parts.append((np.full(len(first), p), first, second))
+            for group, first, second in parts:
+                found.append((i[group, second], j[group, first]) if turned else (i[group, first], j[group, second]))
+    i, j = (np.concatenate(x) for x in zip(*found, strict=True))
+    order = np.argsort(i)
+    return i[order], j[order]
 
 
 def assign_overlaps(a: np.ndarray, b: np.ndarray, a_label: np.ndarray, b_label: np.ndarray, penalty: float = 1000.0) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -294,12 +404,11 @@ def assign_overlaps(a: np.ndarray, b: np.ndarray, a_label: np.ndarray, b_label:
 
 
 def _giou_matrix(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    iou = _iou_matrix(a, b)
-    hull = np.prod(np.maximum(a[:, None, 2:], b[None, :, 2:]) - np.minimum(a[:, None, :2], b[None, :, :2]), axis=2)
-    low, high = np.maximum(a[:, None, :2], b[None, :, :2]), np.minimum(a[:, None, 2:], b[None, :, 2:])
-    inside = np.prod(np.clip(high - low, 0, None), axis=2)
-    areas = (np.prod(x[:, 2:] - x[:, :2], axis=1) for x in (a, b))
-    return iou - (hull - (np.add.outer(*areas) - inside)) / hull
+    inside, whole = _areas(a, b)
+    iou = np.divide(inside, whole, out=np.zeros_like(inside), where=whole > 0)
+    wide, high = (np.maximum(a[..., :, None, k + 2], b[..., None, :, k + 2]) - np.minimum(a[..., :, None, k], b[..., None, :, k]) for k in range(2))
+    hull = wide * high
+    return iou - (hull - whole) / hull
 
 
 def by_image(det: DataFrame, gt: DataFrame, keys: list[str], det_values: list[str], gt_values: list[str], how: str = "inner") -> DataFrame:
@@ -332,21 +441,15 @@ def corners(g: dict[str, np.ndarray], names: tuple[str, str, str, str]) -> np.nd
     return np.stack([g[c].astype(float) for c in names], axis=1)
 
 
-def _assigned(rows: DataFrame, value: str, solve: Callable[[dict, dict], tuple[np.ndarray, np.ndarray, np.ndarray]]) -> DataFrame:
-    """image_id, det_id, gt_id and the value of the pairs that solve() returns as places and values."""
+def _assigned(rows: DataFrame, value: str, solve: Callable[[np.ndarray, dict, np.ndarray, dict], tuple[np.ndarray, np.ndarray, np.ndarray]]) -> DataFrame:
+    """image_id, det_id, gt_id and the value of the pairs that solve() returns for a batch's sides (ends and columns, as flat_sides() has them) as places and values."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            image, det, gt, values = [], [], [], []
-            for row, d, g in sides(batch):
-                i, j, v = solve(d, g)
-                image.append(np.full(len(i), row))
-                det.append(d["det_id"][i])
-                gt.append(g["gt_id"][j])
-                values.append(v)
-            if image:
-                own = batch["image_id"].take(pa.array(np.concatenate(image)))
-                yield pa.record_batch([own, *(pa.array(np.concatenate(x).astype(t)) for x, t in ((det, np.int64), (gt, np.int64), (values, np.float64)))], ["image_id", "det_id", "gt_id", value])
+            (d_ends, d), (g_ends, g) = flat_sides(batch)
+            i, j, values = solve(d_ends, d, g_ends, g)
+            own = batch["image_id"].take(pa.array(np.searchsorted(d_ends, i, side="right") - 1))
+            yield pa.record_batch([own, *(pa.array(x.astype(t)) for x, t in ((d["det_id"][i], np.int64), (g["gt_id"][j], np.int64), (values, np.float64)))], ["image_id", "det_id", "gt_id", value])
 
     return rows.mapInArrow(run, f"image_id long, det_id long, gt_id long, {value} double")
 
@@ -362,31 +465,35 @@ def hungarian_match(det: DataFrame, gt: DataFrame, class_weight: float = 2.0, bo
     """
     shape = ("cx", "cy", "w", "h")
 
-    def solve(d: dict, g: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        x = np.stack(list(d["logits"])).astype(float)
+    def solve(d_ends: np.ndarray, d: dict, g_ends: np.ndarray, g: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        if not len(d["det_id"]):
+            return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
+        # Logits one after the other, as images may have other numbers of classes.
+        x = np.concatenate(d["logits"]).astype(float)
+        sizes = np.fromiter(map(len, d["logits"]), np.int64, len(d["logits"]))
+        begin = np.cumsum(sizes) - sizes
         a, b = corners(d, shape), corners(g, shape)
         a_ends, b_ends = (np.concatenate([c[:, :2] - c[:, 2:] / 2, c[:, :2] + c[:, 2:] / 2], axis=1) for c in (a, b))
         if focal:
             p = 1 / (1 + np.exp(-x))
             kind = alpha * (1 - p) ** gamma * -np.log(p + 1e-8) - (1 - alpha) * p**gamma * -np.log(1 - p + 1e-8)
         else:
-            e = np.exp(x - x.max(axis=1, keepdims=True))
-            kind = -(e / e.sum(axis=1, keepdims=True))
-
-        def cost(i: slice, j: slice) -> np.ndarray:
-            far = np.abs(a[i, None] - b[None, j]).sum(axis=2)
-            return class_weight * kind[i][:, g["label"][j]] + box_weight * far - giou_weight * _giou_matrix(a_ends[i], b_ends[j])
-
-        every, n, m = slice(None), len(a), len(b)
-        if n * m <= DENSE:
-            whole = cost(every, every)
-            i, j = assign(whole)
-            return i, j, whole[i, j]
-        if n <= m:
-            i, j = assign_rows(lambda k: cost(slice(k, k + 1), every)[0], n, m)
-        else:
-            j, i = assign_rows(lambda k: cost(every, slice(k, k + 1))[:, 0], m, n)
-        return i, j, np.array([cost(slice(p, p + 1), slice(q, q + 1))[0, 0] for p, q in zip(i, j, strict=True)])
+            e = np.exp(x - np.repeat(np.maximum.reduceat(x, begin), sizes))
+            kind = -(e / np.repeat(np.add.reduceat(e, begin), sizes))
+
+        def costs(i: np.ndarray, j: np.ndarray) -> np.ndarray:
+            far = sum(np.abs(a[i, k][..., :, None] - b[j, k][..., None, :]) for k in range(4))
+            return class_weight * kind[begin[i][..., :, None] + g["label"][j][..., None, :]] + box_weight * far - giou_weight * _giou_matrix(a_ends[i], b_ends[j])
+
+        def crowd(own: slice, other: slice) -> tuple[np.ndarray, np.ndarray]:
+            every, others = np.arange(own.start, own.stop), np.arange(other.start, other.stop)
+            if len(every) <= len(others):
+                return assign_rows(lambda k: costs(every[k : k + 1], others)[0], len(every), len(others))
+            j, i = assign_rows(lambda k: costs(every, others[k : k + 1])[:, 0], len(others), len(every))
+            return i, j
+
+        i, j = assign_groups(d_ends, g_ends, costs, crowd)
+        return i, j, costs(i[:, None], j[:, None])[:, 0, 0]
 
     return _assigned(by_image(det, gt, ["image_id"], ["det_id", "logits", *shape], ["gt_id", "label", *shape]), "cost", solve)
 
@@ -395,15 +502,25 @@ def _overlap_rows(det: DataFrame, gt: DataFrame, how: str) -> DataFrame:
     return by_image(det, gt, ["image_id"], ["det_id", "label", "dx0", "dy0", "dx1", "dy1"], ["gt_id", "label", "gx0", "gy0", "gx1", "gy1"], how)
 
 
-def _overlap_pairs(d: dict, g: dict, least: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    i, j, iou = assign_overlaps(corners(d, ("dx0", "dy0", "dx1", "dy1")), corners(g, ("gx0", "gy0", "gx1", "gy1")), d["label"], g["label"])
+def _overlap_pairs(d_ends: np.ndarray, d: dict, g_ends: np.ndarray, g: dict, least: float, penalty: float = 1000.0) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Places and IoU of the pairs of one label and at least `least` IoU that assign_overlaps() finds in each image."""
+    a, b = corners(d, ("dx0", "dy0", "dx1", "dy1")), corners(g, ("gx0", "gy0", "gx1", "gy1"))
+
+    def costs(i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        return 1 - _iou_matrix(a[i], b[j]) + penalty * (d["label"][i][..., :, None] != g["label"][j][..., None, :])
+
+    def crowd(own: slice, other: slice) -> tuple[np.ndarray, np.ndarray]:
+        return assign_overlaps(a[own], b[other], d["label"][own], g["label"][other], penalty)[:2]
+
+    i, j = assign_groups(d_ends, g_ends, costs, crowd)
+    iou = _pair_iou(a[i], b[j])
     ok = (d["label"][i] == g["label"][j]) & (iou >= least)
     return i[ok], j[ok], iou[ok]
 
 
 def overlap_assignment(det: DataFrame, gt: DataFrame, least: float = 0.1) -> DataFrame:
     """image_id, det_id, gt_id, iou: the assignment of least total 1 - IoU, plus 1000 where labels differ; only pairs of one label and at least `least` IoU are kept."""
-    return _assigned(_overlap_rows(det, gt, "inner"), "iou", lambda d, g: _overlap_pairs(d, g, least))
+    return _assigned(_overlap_rows(det, gt, "inner"), "iou", lambda *sides: _overlap_pairs(*sides, least))
 
 
 def overlap_outcomes(det: DataFrame, gt: DataFrame, least: float = 0.1) -> DataFrame:
@@ -413,12 +530,7 @@ def overlap_outcomes(det: DataFrame, gt: DataFrame, least: float = 0.1) -> DataF
         for batch in batches:
             (d_ends, d), (g_ends, g) = flat_sides(batch)
             free = np.ones(len(d["det_id"]), bool), np.ones(len(g["gt_id"]), bool)
-            pairs: list[tuple[np.ndarray, ...]] = [(np.zeros(0, np.int64),) * 2 + (np.zeros(0),)]
-            for row, a, b in sides(batch):
-                if len(a["det_id"]) and len(b["gt_id"]):
-                    i, j, iou = _overlap_pairs(a, b, least)
-                    pairs.append((i + d_ends[row], j + g_ends[row], iou))
-            i, j, iou = (np.concatenate(x) for x in zip(*pairs, strict=True))
+            i, j, iou = _overlap_pairs(d_ends, d, g_ends, g, least)
             free[0][i], free[1][j] = False, False
             false, lost = (np.flatnonzero(x) for x in free)
             row = np.concatenate([np.searchsorted(e, x, side="right") - 1 for e, x in ((d_ends, i), (d_ends, false), (g_ends, lost))])

@@ -6,6 +6,7 @@ import time
 
 import numpy as np
 import pandas as pd
+import pytest
 from pyspark import Accumulator
 from pyspark.sql import DataFrame, SparkSession
 
@@ -135,3 +136,36 @@ def test_precisions_at_hits_equal_a_loop() -> None:
             some, taken = some + 1, taken + hit[cell, k]
             expected += [taken / some] * int(hit[cell, k])
         assert got[w].tolist() == expected
+
+
+def test_assignments_of_many_images_are_found_together(monkeypatch: pytest.MonkeyPatch) -> None:
+    rng = np.random.default_rng(5)
+    n, m = rng.integers(0, 12, (2, 300))
+    d_ends, g_ends = (np.concatenate([[0], np.cumsum(x)]) for x in (n, m))
+    # Some of these costs are equal.
+    table = rng.integers(0, 40, (int(n.sum()), int(m.sum()))).astype(float)
+
+    def costs(i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        return table[i[..., :, None], j[..., None, :]]
+
+    def one_by_one() -> list[tuple[int, int]]:
+        found = []
+        for k in np.flatnonzero((n > 0) & (m > 0)).tolist():
+            i, j = M.assign(table[d_ends[k] : d_ends[k + 1], g_ends[k] : g_ends[k + 1]])
+            found += zip((i + d_ends[k]).tolist(), (j + g_ends[k]).tolist(), strict=True)
+        return found
+
+    def together() -> list[tuple[int, int]]:
+        i, j = M.assign_groups(d_ends, g_ends, costs, lambda own, other: M.assign(table[own, other]))
+        return list(zip(i.tolist(), j.tolist(), strict=True))
+
+    expected = one_by_one()
+    with monkeypatch.context() as patch:
+        patch.setattr(M, "COSTS", 500)
+        patch.setattr(M, "assign_rows", None)  # no group is assigned alone
+        assert together() == expected
+    with monkeypatch.context() as patch:
+        patch.setattr(M, "DENSE", 60)
+        assert together() == expected
+    table[::9] = np.nan
+    assert together() == one_by_one()
