@@ -68,7 +68,7 @@ def s1_s6_s15_coco_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
 def s2_s3_coco_images(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every image with its boxes as an array, images without too, crowds kept."""
     rows = _coco(spark, sf_dir).images_with_boxes()
-    return rows.select("image_id", "file_name", F.size("boxes").cast("long").alias("n_boxes"), r6(S.total(F.transform("boxes", lambda b: b["w"]))).alias("width"))
+    return rows.select("image_id", "file_name", F.size("boxes").cast("long").alias("n_boxes"), r6(S.total(F.filter(F.transform("boxes", lambda b: b["w"]), lambda w: w.isNotNull()))).alias("width"))
 
 
 @query("s4_voc_scan", "SELECT 'img_' || image_id || '.jpg' AS file_name, label, x0, y0, x1, y1 FROM boxes WHERE kind = 'GT'")

@@ -10,6 +10,7 @@ import pytest
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+import __spark_entry__
 from boxwise.operators import populations as P
 from boxwise.operators import statistics as T
 from boxwise.plans import pipeline_queries as Q
@@ -17,6 +18,7 @@ from boxwise.plans.model_queries import layer_weights
 from boxwise.plans.views import view
 from boxwise.sources import coco, reports, voc
 from boxwise.streaming import meters
+from tests.comparing import rows_of, sql_rows
 from tests.test_matching import kruskal
 
 
@@ -209,3 +211,13 @@ def test_voc_files_do_not_grow_with_the_table(spark: SparkSession, tmp_path: Pat
     voc.write(boxes.coalesce(1), str(tmp_path / "voc"), ["cat"])
     assert len(list((tmp_path / "voc").glob("*.xml*"))) >= 3
     assert voc.read(spark, str(tmp_path / "voc"), ["cat"]).select("file_name").distinct().count() == 25_000
+
+
+def test_boxes_without_a_width_are_counted_and_add_nothing(spark: SparkSession, sf_dir: str, tmp_path: Path) -> None:
+    """Lines without a quantity have boxes without x; the sum of an image is of the others, as in SQL."""
+    lines = spark.read.parquet(f"{sf_dir}/lineitem.parquet").withColumn("l_quantity", F.when(F.col("l_partkey") % 5 > 0, F.col("l_quantity")))
+    lines.coalesce(1).write.parquet(str(tmp_path / "lines"))
+    next((tmp_path / "lines").glob("*.parquet")).rename(tmp_path / "lineitem.parquet")
+    names, expected = sql_rows(str(tmp_path), __spark_entry__.oracle_sql()["s2_s3_coco_images"])
+    found = Q.s2_s3_coco_images(spark, str(tmp_path))
+    assert sorted(found.columns) == names and rows_of(found) == expected
