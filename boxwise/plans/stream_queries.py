@@ -13,25 +13,29 @@ from boxwise.plans.views import table
 from boxwise.session import shared_folder
 from boxwise.streaming import event_time as E
 
-#: Days of events to a file, and how late a row may be: files come in the order 1, 0, 3, 2 ...
+#: Days of events to a span, and how late a row may be: spans come in the order 1, 0, 3, 2 ...
 DAYS, DELAY = 4, "9 days"
+#: Rows of a file, about, so that files are written and read by more tasks as the table grows.
+FILE = 1 << 18
 SCHEMA = "user_id long, ts timestamp, event_id long, event_type string, value double"
 
 
 def out_of_order(spark: SparkSession, sf_dir: str, folder: str) -> DataFrame:
-    """The events as a stream of files, every two of them swapped, a file a batch; a last row of no user moves the watermark past all others."""
+    """The events as a stream of files, every two spans of them swapped, the files of a span a batch; a last row of no user moves the watermark past all others."""
     events = table(spark, sf_dir, "events").select("user_id", F.col("ts").cast("timestamp").alias("ts"), "event_id", "event_type", "value")
-    first, last = events.agg(F.min("ts"), F.max("ts")).first()
+    first, last, n = events.agg(F.min("ts"), F.max("ts"), F.count("ts")).first()
     spans = (last - first).days // DAYS + 1 if first else 0
     day = F.floor((F.unix_micros("ts") - F.unix_micros(F.lit(first))) / (DAYS * 86_400_000_000)) if first else F.lit(0)
-    # The events are dealt to their spans in one pass, so that the file of a span is made from its own rows alone.
+    files = max(1, -(-n // (FILE * max(1, spans))))  # a span of fewer rows than these has fewer; a batch then goes on into the next, which makes no row late
+    # The events are dealt to their spans in one pass, so that the files of a span are made from its own rows alone.
     events.withColumn("span", day.cast("int")).write.partitionBy("span").parquet(f"{folder}/spans")
     dealt = spark.read.schema(f"{SCHEMA}, span int").parquet(f"{folder}/spans")
     for k in range(spans + spans % 2):
-        dealt.where(F.col("span") == (k ^ 1)).drop("span").coalesce(1).write.mode("append").parquet(f"{folder}/in")
+        own = dealt.where(F.col("span") == (k ^ 1)).drop("span")
+        (own.repartition(files) if files > 1 else own.coalesce(1)).write.mode("append").parquet(f"{folder}/in")
     end = spark.range(1).select(F.lit(None).cast("long").alias("user_id"), F.to_timestamp(F.lit("2200-01-01")).alias("ts"), F.lit(-1).cast("long").alias("event_id"), F.lit(None).cast("string").alias("event_type"), F.lit(0.0).alias("value"))
     end.coalesce(1).write.mode("append").parquet(f"{folder}/in")
-    return spark.readStream.schema(SCHEMA).option("maxFilesPerTrigger", 1).parquet(f"{folder}/in")
+    return spark.readStream.schema(SCHEMA).option("maxFilesPerTrigger", files).parquet(f"{folder}/in")
 
 
 def drained(spark: SparkSession, sf_dir: str, name: str, make) -> DataFrame:  # noqa: ANN001

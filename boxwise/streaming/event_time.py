@@ -145,19 +145,27 @@ def followed(first: DataFrame, second: DataFrame, key: str, time: str, delay: st
     return a.join(b, F.expr(f"{key} = _key and second_ts >= first_ts and second_ts <= first_ts + interval {within}")).drop("_key")
 
 
+#: The state store that keeps lists and timers, and what it writes at the end of a batch: the changes, not all of its files.
+STORE = {
+    "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
+}
+
+
 @contextmanager
 def _state_store(spark: SparkSession) -> Iterator[None]:
-    """The state store that keeps lists and timers."""
-    name, store = "spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
-    before = spark.conf.get(name, None)
-    spark.conf.set(name, store)
+    """STORE, for the queries that begin meanwhile."""
+    before = {name: spark.conf.get(name, None) for name in STORE}
+    for name, value in STORE.items():
+        spark.conf.set(name, value)
     try:
         yield
     finally:
-        if before is None:
-            spark.conf.unset(name)
-        else:
-            spark.conf.set(name, before)
+        for name, value in before.items():
+            if value is None:
+                spark.conf.unset(name)
+            else:
+                spark.conf.set(name, value)
 
 
 def drain(df: DataFrame, path: str, checkpoint: str) -> StreamingQuery:

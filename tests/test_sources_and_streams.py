@@ -14,9 +14,11 @@ import __spark_entry__
 from boxwise.operators import populations as P
 from boxwise.operators import statistics as T
 from boxwise.plans import pipeline_queries as Q
+from boxwise.plans import stream_queries as V
 from boxwise.plans.model_queries import layer_weights
 from boxwise.plans.views import view
 from boxwise.sources import coco, reports, voc
+from boxwise.streaming import event_time as E
 from boxwise.streaming import meters
 from tests.comparing import rows_of, sql_rows
 from tests.test_matching import kruskal
@@ -221,3 +223,16 @@ def test_boxes_without_a_width_are_counted_and_add_nothing(spark: SparkSession,
     names, expected = sql_rows(str(tmp_path), __spark_entry__.oracle_sql()["s2_s3_coco_images"])
     found = Q.s2_s3_coco_images(spark, str(tmp_path))
     assert sorted(found.columns) == names and rows_of(found) == expected
+
+
+def test_a_span_of_events_is_several_files(spark: SparkSession, sf_dir: str, tmp_path: Path, monkeypatch: pytest.MonkeyPatch) -> None:
+    """A file holds so many rows, not a share of the table, and a batch takes a span's files."""
+    monkeypatch.setattr(V, "FILE", 50)
+    events = spark.read.parquet(f"{sf_dir}/events.parquet")
+    events.repartition(8).write.parquet(str(tmp_path / "events.parquet"))
+    stream, n = V.out_of_order(spark, str(tmp_path), str(tmp_path)), events.count()
+    sizes = [spark.read.parquet(str(f)).count() for f in (tmp_path / "in").glob("*.parquet")]
+    assert sum(sizes) == n + 1 and max(sizes) < n / 12
+    query = E.drain(E.rolling(stream, "user_id", "ts", "event_id", "value", V.DELAY), str(tmp_path / "out"), str(tmp_path / "state"))
+    assert E.late_rows(query) == 0
+    assert spark.read.parquet(str(tmp_path / "out")).where("key is not null").count() == n
